@@ -4,6 +4,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op2_decontaminate": "decontaminate",
     "op4_near_dedup": "near_dedup",
 }
 
