@@ -5,6 +5,7 @@ import importlib
 
 _QUERIES = {
     "op2_decontaminate": "decontaminate",
+    "op3_secret_scan": "secret_scan",
     "op4_near_dedup": "near_dedup",
 }
 
