@@ -7,13 +7,14 @@ _QUERIES = {
     "op2_decontaminate": "decontaminate",
     "op3_secret_scan": "secret_scan",
     "op4_near_dedup": "near_dedup",
+    "op7_mixing": "mixing",
     "op10_language_id": "language_id",
 }
 
 
 def queries() -> dict:
     found = {name: getattr(importlib.import_module(f".{module}", __package__), name) for name, module in _QUERIES.items()}
-    return found
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -22,4 +23,6 @@ def oracle_sql() -> dict[str, str]:
         sql = getattr(importlib.import_module(f".{module}", __package__), "SQL", None)
         if sql:
             found[name] = sql
+    if (sql := importlib.import_module("corpus_pipeline").ORACLE_SQL) is not None:
+        found["pipeline"] = sql
     return found
