@@ -7,6 +7,7 @@ _QUERIES = {
     "op2_decontaminate": "decontaminate",
     "op3_secret_scan": "secret_scan",
     "op4_near_dedup": "near_dedup",
+    "op6_lm_scoring": "lm_scoring",
     "op7_mixing": "mixing",
     "op10_language_id": "language_id",
 }
