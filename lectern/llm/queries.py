@@ -4,6 +4,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op1_quality_rules": "quality_rules",
     "op2_decontaminate": "decontaminate",
     "op3_secret_scan": "secret_scan",
     "op4_near_dedup": "near_dedup",
