@@ -10,6 +10,8 @@ _QUERIES = {
     "op4_near_dedup": "near_dedup",
     "op6_lm_scoring": "lm_scoring",
     "op7_mixing": "mixing",
+    "op8_license_scan": "license_scan",
+    "op9_url_filter": "url_filter",
     "op10_language_id": "language_id",
 }
 
