@@ -8,6 +8,7 @@ _QUERIES = {
     "op2_decontaminate": "decontaminate",
     "op3_secret_scan": "secret_scan",
     "op4_near_dedup": "near_dedup",
+    "op5_token_counts": "token_counts",
     "op6_lm_scoring": "lm_scoring",
     "op7_mixing": "mixing",
     "op8_license_scan": "license_scan",
