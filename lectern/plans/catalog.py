@@ -1,6 +1,7 @@
 """Registry of the named queries and of the SQL that checks them."""
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -21,9 +22,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_MODULES = ("projections",)
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f".{name}", __package__)
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
