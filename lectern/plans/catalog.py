@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_MODULES = ("projections",)
+_MODULES = ("projections", "joins", "aggregations")
 
 
 def _load() -> None:
