@@ -53,12 +53,12 @@ def agg05(spark, d):
 
 
 @query("agg06_reading_stats", oracle("reads keywords", """WITH r AS (SELECT * FROM reads WHERE NOT deleted), k AS (SELECT user_id, name, count(*) AS n, min(event_id * 1000 + pos) AS seen FROM r JOIN keywords USING (paper_id) GROUP BY ALL),
-  t AS (SELECT user_id, name, count(*) OVER (PARTITION BY user_id) AS distinct_keywords, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) AS rn FROM k)
+  t AS (SELECT user_id, name, count(*) OVER (PARTITION BY user_id) AS distinct_keywords, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen, name) AS rn FROM k)
   SELECT user_id, reads, distinct_keywords, name AS top_keyword FROM (SELECT user_id, count(*) AS reads FROM r GROUP BY 1) LEFT JOIN (SELECT * FROM t WHERE rn = 1) USING (user_id)"""))
 def agg06(spark, d):
     r = A.reads(spark, d).where("NOT deleted")
     k = r.join(A.keywords(spark, d), "paper_id").groupBy("user_id", "name").agg(F.count("*").alias("n"), F.min(F.col("event_id") * 1000 + F.col("pos")).alias("at"))
-    k = k.groupBy("user_id").agg(F.count("*").alias("distinct_keywords"), F.max_by("name", F.struct("n", -F.col("at"))).alias("top_keyword"))
+    k = k.groupBy("user_id").agg(F.count("*").alias("distinct_keywords"), F.min_by("name", F.struct(-F.col("n"), "at", "name")).alias("top_keyword"))
     return r.groupBy("user_id").agg(F.count("*").alias("reads")).join(k, "user_id", "left")
 
 
