@@ -31,6 +31,15 @@ KEYWORD_MAX = 60
 SEPARATORS = r"\s+[.·|]\s+|\s*/\s+|\s+/\s*|;\s*|,\s+"
 
 
+def arrow(kind: str):
+    """An Arrow-batched function made when it is first used in a query: workers import this module without a session."""
+
+    def wrap(f):
+        return lambda *cols: pandas_udf(f, kind)(*cols)
+
+    return wrap
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\n\\t\\r]+"), lambda x: x != "")
 
@@ -54,12 +63,12 @@ def clean_term_py(value) -> str | None:
     return out or None
 
 
-@pandas_udf("string")
+@arrow("string")
 def clean_term(s: pd.Series) -> pd.Series:
     return s.map(clean_term_py)
 
 
-@pandas_udf("string")
+@arrow("string")
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
@@ -156,19 +165,19 @@ def by_language_py(value) -> tuple[list[str], list[str]]:
     return once([c for x in ko if (c := clean_term_py(x))], False), once([c for x in en if (c := clean_term_py(x))], True)
 
 
-@pandas_udf("struct<ko:array<string>,en:array<string>>")
+@arrow("struct<ko:array<string>,en:array<string>>")
 def keywords_by_language(s: pd.Series) -> pd.DataFrame:
     rows = [by_language_py(v) for v in s]
     return pd.DataFrame({"ko": [r[0] for r in rows], "en": [r[1] for r in rows]})
 
 
-@pandas_udf("struct<ko:array<string>,en:array<string>>")
+@arrow("struct<ko:array<string>,en:array<string>>")
 def language_runs(s: pd.Series) -> pd.DataFrame:
     rows = [language_runs_py(v or "") if v else ([], []) for v in s]
     return pd.DataFrame({"ko": [r[0] for r in rows], "en": [r[1] for r in rows]})
 
 
-@pandas_udf("array<string>")
+@arrow("array<string>")
 def bracketed(s: pd.Series) -> pd.Series:
     return s.map(lambda v: [c for a, b in re.findall(r"\(([^()]*)\)|\[([^\[\]]*)\]", v or "") if (c := clean_term_py(a or b))])
 
@@ -193,7 +202,7 @@ def title_keys(t: Column) -> Column:
     return F.struct(F.trim(low).alias("plain"), F.regexp_replace(low, "[ \\t\\n\\r]+", "").alias("tight"), F.regexp_replace(low, "[^0-9a-z가-힣]", "").alias("bare"), F.trim(F.regexp_replace(low, "[ \\t\\n\\r]+", " ")).alias("spaced"))
 
 
-@pandas_udf("double")
+@arrow("double")
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     norm = lambda v: re.sub(r"[^0-9a-z가-힣]", "", (v or "").lower())
     return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y)).ratio() for x, y in zip(a, b)])
@@ -277,7 +286,7 @@ def same_institution_py(a: str | None, b: str | None) -> bool:
     return any(t.startswith(own(na)) for t in tails(b)) or any(t.startswith(own(nb)) for t in tails(a))
 
 
-@pandas_udf("boolean")
+@arrow("boolean")
 def same_institution(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_institution_py(x, y) for x, y in zip(a, b)])
 
@@ -325,7 +334,7 @@ def repaired_py(value: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", t)).strip() or None
 
 
-@pandas_udf("string")
+@arrow("string")
 def repaired(s: pd.Series) -> pd.Series:
     return s.map(repaired_py)
 
@@ -344,7 +353,7 @@ def markers_py(raw: str | None, longest: int = 40) -> tuple[str, int | None, int
     return (body, start, end) if ok else (body, None, None)
 
 
-@pandas_udf("struct<text:string,start:int,end:int>")
+@arrow("struct<text:string,start:int,end:int>")
 def markers(s: pd.Series) -> pd.DataFrame:
     rows = [markers_py(v) for v in s]
     return pd.DataFrame({"text": [r[0] for r in rows], "start": pd.array([r[1] for r in rows], "Int32"), "end": pd.array([r[2] for r in rows], "Int32")})
@@ -402,7 +411,7 @@ def valid_numbers(values: Column, count: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda x: (x >= 1) & (x <= count)))
 
 
-@pandas_udf("string")
+@arrow("string")
 def first_json(s: pd.Series) -> pd.Series:
     import json
 
