@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_MODULES = ("projections", "joins", "aggregations", "vectors", "filters", "windows", "text", "graphs")
+_MODULES = ("projections", "joins", "aggregations", "vectors", "filters", "windows", "text", "graphs", "scans", "stateful")
 
 
 def _load() -> None:
