@@ -32,6 +32,8 @@ STATES, ITERATIONS = 6, 4
 TOP, HASHED = 4096, 4096
 COMMON = 200_000
 GROUP, PIECE = 600_000, 100_000
+#: So many texts are split into words at a time.
+SLICE = 500
 STRENGTH = 50.0
 END = b""
 
@@ -216,24 +218,54 @@ def _index(held, key: str) -> tuple[Vocabulary, dict]:
     return _INDEX[key]
 
 
-def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Parameters:
-    """Baum-Welch over rows t (binary). Rows with a number below 0 carry starts and moves."""
+def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Rows id, t, fit once more as numbers: cls (16-bit classes of the whole text), the sums over common words, and the other words.
+
+    The passes of training and scoring read this instead of the texts."""
+    held, key = docs.sparkSession.sparkContext.broadcast(vocab), uuid.uuid4().hex
+
+    def run(batches):
+        v, index = _index(held, key)
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                n, known, logc, mass, rare, seq = [], [], [], [], [], []
+                for t in b.column(1).to_pylist():
+                    words = tokens(t)
+                    c, at = classes(words, index, v)
+                    ok = at >= 0
+                    n.append(len(words))
+                    known.append(int(ok.sum()))
+                    logc.append(float(v.logc[at[ok]].sum()))
+                    mass.append(float(v.log_mass[c].sum()))
+                    rare.append([words[j] for j in np.flatnonzero(~ok).tolist()])
+                    seq.append(c.astype("<i2").tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logc, pa.float64()), pa.array(mass, pa.float64()),
+                     pa.array(rare, pa.list_(pa.binary())), pa.array(seq, pa.binary())],
+                    names=["id", "fit", "n", "known", "logc", "mass", "rare", "cls"])
+
+    rows = docs.select("id", "t", "fit").mapInArrow(run, "id long, fit boolean, n long, known long, logc double, mass double, rare array<binary>, cls binary")
+    return stage(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Parameters:
+    """Baum-Welch over the encoded rows to fit. Rows with a number below 0 carry starts and moves."""
     p = first_guess(vocab, states)
-    sc, key = docs.sparkSession.sparkContext, uuid.uuid4().hex
-    held = sc.broadcast(vocab)
+    sc, size = encoded.sparkSession.sparkContext, len(vocab.share)
+    seqs = encoded.where("fit").select("cls")
     cols = [f"s{i}" for i in range(states)]
     for _ in range(iterations):
         now = sc.broadcast(p)
 
         def run(batches, now=now):
-            v, index = _index(held, key)
-            starts, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(v.share), states))
+            starts, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
             for b in batches:
-                seqs = []
-                for t in b.column(0).to_pylist():
-                    c = classes(tokens(t), index, v)[0]
-                    seqs += [c[i : i + PIECE] for i in range(0, len(c), PIECE)]
-                for group in grouped(seqs, len, GROUP):
+                pieces = []
+                for raw in b.column(0).to_pylist():
+                    c = np.frombuffer(raw, "<i2")
+                    pieces += [c[i : i + PIECE] for i in range(0, len(c), PIECE)]
+                for group in grouped(pieces, len, GROUP):
                     x, y, z = expected_counts(group, now.value)
                     starts, moves, emit = starts + x, moves + y, emit + z
             at = np.flatnonzero(emit.sum(axis=1))
@@ -241,7 +273,7 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations:
             names = np.concatenate([-np.arange(1, states + 2), at])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[pa.array(rows[:, i]) for i in range(states)]], names=["cls", *cols])
 
-        got = docs.select("t").mapInArrow(run, "cls long, " + ", ".join(f"{c} double" for c in cols)).groupBy("cls").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+        got = seqs.mapInArrow(run, "cls long, " + ", ".join(f"{c} double" for c in cols)).groupBy("cls").agg(*[F.sum(c).alias(c) for c in cols]).collect()
         starts, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros(p.emit.shape)
         for r in got:
             x = [r[c] for c in cols]
@@ -257,48 +289,36 @@ def train(docs: DataFrame, vocab: Vocabulary, states: int = STATES, iterations:
     return p
 
 
-def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, p: Parameters) -> DataFrame:
-    """id, n_tokens, n_known, base_score and score of rows id and t. counts: the written table of word counts."""
-    sc, key = docs.sparkSession.sparkContext, uuid.uuid4().hex
-    held, now = sc.broadcast(vocab), sc.broadcast(p)
+def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, p: Parameters) -> DataFrame:
+    """id, n_tokens, n_known, base_score and score of the encoded rows. counts: the written table of word counts."""
+    now = encoded.sparkSession.sparkContext.broadcast(p)
 
     def run(batches):
-        v, index = _index(held, key)
         for b in batches:
-            texts = [tokens(t) for t in b.column(1).to_pylist()]
-            n = np.array([len(t) for t in texts], np.int64)
-            known, logc, mass, ll, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts)), [None] * len(texts)
-            for group in grouped(range(len(texts)), lambda i: len(texts[i]), GROUP):
-                seqs = []
-                for i in group:
-                    c, at = classes(texts[i], index, v)
-                    ok = at >= 0
-                    known[i], logc[i] = ok.sum(), v.logc[at[ok]].sum()
-                    mass[i] = v.log_mass[c].sum()
-                    rare[i] = [texts[i][j] for j in np.flatnonzero(~ok).tolist()]
-                    seqs.append(c)
-                ll[group] = log_likelihood(seqs, now.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(known), pa.array(logc), pa.array(ll - mass), pa.array(rare, pa.list_(pa.binary()))],
-                                             names=["id", "n", "known", "logc", "rest", "rare"])
-
-    part = docs.select("id", "t").mapInArrow(run, "id long, n long, known long, logc double, rest double, rare array<binary>")
-    part = stage(part.select(F.monotonically_increasing_id().alias("row"), "*"))
-    words = part.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
+            seqs = [np.frombuffer(raw, "<i2") for raw in b.column(6).to_pylist()]
+            ll = np.zeros(len(seqs))
+            for group in grouped(range(len(seqs)), lambda i: len(seqs[i]), GROUP):
+                ll[group] = log_likelihood([seqs[i] for i in group], now.value)
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ll)], names=[*b.schema.names[:6], "ll"])
+
+    part = encoded.select("row", "id", "n", "known", "logc", "mass", "cls").mapInArrow(run, "row long, id long, n long, known long, logc double, mass double, ll double")
+    words = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     c = F.coalesce("c", F.lit(0))
     more = words.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * F.log10(c + 0.1)).alias("logc2"))
     logc = F.col("logc") + F.coalesce("logc2", F.lit(0.0))
     base = logc - F.col("n") * vocab.base if vocab.n else F.lit(float("-inf"))
-    return part.drop("rare").join(more, "row", "left").select(
-        "id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), base.alias("base_score"), (F.col("rest") + logc).alias("score"))
+    return part.join(more, "row", "left").select(
+        "id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"), base.alias("base_score"), (F.col("ll") - F.col("mass") + logc).alias("score"))
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     held_out = F.coalesce(fold == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t"))
-    fit = docs.where(F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 != 0, F.lit(True)))
-    counts = stage(word_counts(fit))
+    docs = docs.withColumn("fit", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 != 0, F.lit(True)))
+    counts = stage(word_counts(docs.where("fit")))
     vocab = vocabulary(counts)
-    out = score(docs, counts, vocab, train(fit, vocab)).withColumnRenamed("id", "doc_id")
+    encoded = encode(docs, vocab)
+    out = score(encoded, counts, vocab, train(encoded, vocab)).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(vocab.n).cast("long").alias("train_tokens"), "base_score", "score")
