@@ -48,7 +48,7 @@ def _xml(spark, d):
 
 @query("src04_article_xml")
 def src04(spark, d):
-    return _xml(spark, d).select("id", R.article(F.col("xml")).alias("a")).select("id", F.col("a.id").alias("art_id"), "a.title", "a.year", F.get("a.authors.author", 0)["name"].alias("author"), F.array_join("a.keywords.keyword", "|").alias("keywords"))
+    return _xml(spark, d).select("id", R.article(F.col("xml")).alias("a")).select("id", F.col("a.id").alias("art_id"), "a.title", F.col("a.year").try_cast("int").alias("year"), F.get("a.authors.author", 0)["name"].alias("author"), F.array_join("a.keywords.keyword", "|").alias("keywords"))
 
 
 @query("src05_record_finder")

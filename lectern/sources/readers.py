@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAPER = "struct<CN:string,DBCode:string,Title:string,Abstract:string,Keyword:array<string>,Pubyear:int,Pubdate:string>"
-ARTICLE = """struct<id:string,title:string,year:int,authors:struct<author:array<struct<_order:int,name:string,institution:string>>>,keywords:struct<keyword:array<string>>,refs:struct<ref:array<struct<_id:string,_VALUE:string>>>>"""
+ARTICLE = """struct<id:string,title:string,year:string,authors:struct<author:array<struct<_order:int,name:string,institution:string>>>,keywords:struct<keyword:array<string>>,refs:struct<ref:array<struct<_id:string,_VALUE:string>>>>"""
 
 
 def papers_in(text: Column) -> Column:
@@ -64,15 +64,14 @@ def article(xml: Column) -> Column:
 
 def find_records(node, names: tuple = ("record", "records", "item", "items")) -> list:
     """The first list of records under a known container key, depth first, of a parsed document."""
-    if isinstance(node, list):
-        return node if node and all(isinstance(x, dict) for x in node) else next((r for x in node if (r := find_records(x, names))), [])
-    if isinstance(node, dict):
-        for n in names:
-            if n in node:
-                found = node[n] if isinstance(node[n], list) else [node[n]]
-                if found and all(isinstance(x, dict) and not set(names) & set(x) for x in found):
-                    return found
-        return next((r for x in node.values() if (r := find_records(x, names))), [])
+    inside = node if isinstance(node, list) else list(node.values()) if isinstance(node, dict) else []
+    for x in inside:
+        if found := find_records(x, names):
+            return found
+    for n in names if isinstance(node, dict) else ():
+        held = node.get(n) if isinstance(node.get(n), list) else [node[n]] if n in node else []
+        if held and all(isinstance(x, dict) for x in held):
+            return held
     return []
 
 
