@@ -7,8 +7,8 @@ the beta-binomial moment estimate over its groups. A page without a rule is bloc
 (mean less Z standard deviations) is above LINE.
 
 All is DataFrame functions: outcomes are summed before any shuffle, hot hosts are joined as rows of a few bytes that AQE may split.
-Defined results: a null url or one without `://` has an empty host and path, fits no rule and gets the overall rate's verdict;
-without labelled pages the rate is one half with no strength, and all is allowed; repeated rows count each; an empty table gives no
+Defined results: a null url or one without `://` has an empty host and path, fits no rule and keeps the uniform prior, so it is allowed;
+without labelled pages all is allowed; repeated rows count each; an empty table gives no
 rows. Only id and url are read.
 """
 from __future__ import annotations
@@ -79,11 +79,13 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     d = d.withColumns({"rule": rule, "verdict": verdict})
     hosts, doms, sufs, top = reputation(d.where("rule IS NOT NULL").select("host", (F.col("verdict") == "block").cast("long").alias("y")))
-    # Only hosts, not pages, meet the three tables; a level without labels passes on the one above with its own strength.
+    # Only hosts, not pages, meet the three tables; a level without labels passes on the one above.
     names = d.groupBy("host").count().select("host", last_labels(F.col("host"), 2).alias("dom"), last_labels(F.col("host"), 1).alias("suf"))
     names = names.join(hosts, "host", "left").join(doms.select("dom", F.col("rate").alias("dr")), "dom", "left").join(sufs.select("suf", F.col("rate").alias("sr")), "suf", "left")
-    rate = F.coalesce("rate", "dr", "sr", F.lit(top["rate"]))
-    k = F.coalesce("k", F.lit(top["host"]))
+    rate = F.coalesce("rate", "dr", "sr", F.lit(0.5))
+    # A host without labels is as uncertain as the levels between it and the nearest one with labels are spread; without
+    # labels at any level it keeps the uniform prior.
+    k = F.coalesce("k", F.when(F.col("dr").isNotNull(), top["host"]).when(F.col("sr").isNotNull(), min(top["host"], top["dom"])).otherwise(2.0))
     bound = rate - z * F.sqrt(rate * (1 - rate) / (k + 1))
     names = stage(names.select("host", F.round(rate, 9).alias("rate"), F.when(bound > line, "block").otherwise("allow").alias("own")))
     return d.join(names, "host", "left").select("id", "host", "path", "rule", F.coalesce("verdict", "own").alias("verdict"), F.col("rate").alias("block_rate"))
@@ -112,8 +114,8 @@ ks AS (SELECT {k} FROM s), ko AS (SELECT {k} FROM o), kh AS (SELECT {k} FROM h),
 sr AS (SELECT suf, (y + k * rate) / (n + k) AS rate FROM s, ks, t),
 dr AS (SELECT o.dom, (y + k * sr.rate) / (n + k) AS rate FROM o JOIN sr USING (suf), ko),
 hr AS (SELECT h.host, (y + k * dr.rate) / (n + k) AS rate, n + k AS k FROM h JOIN dr USING (dom), kh),
-p AS (SELECT d.*, coalesce(hr.rate, dr.rate, sr.rate, t.rate) AS r, coalesce(hr.k, kh.k) AS kk
-  FROM d LEFT JOIN hr USING (host) LEFT JOIN dr USING (dom) LEFT JOIN sr USING (suf), t, kh)
+p AS (SELECT d.*, coalesce(hr.rate, dr.rate, sr.rate, 0.5) AS r, coalesce(hr.k, CASE WHEN dr.rate IS NOT NULL THEN kh.k WHEN sr.rate IS NOT NULL THEN least(kh.k, ko.k) ELSE 2.0 END) AS kk
+  FROM d LEFT JOIN hr USING (host) LEFT JOIN dr USING (dom) LEFT JOIN sr USING (suf), kh, ko)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN r - {Z} * sqrt(r * (1 - r) / (kk + 1)) > {LINE} THEN 'block' ELSE 'allow' END) AS verdict, round(r, 9) AS block_rate FROM p
 """
 
