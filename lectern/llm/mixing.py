@@ -128,8 +128,8 @@ def plan_mix(sized: DataFrame, **opts) -> tuple[DataFrame, DataFrame]:
     return out, draws.select("src", "block", "pass", "words", F.row_number().over(turn).alias("turn"))
 
 
-def deal(draws: DataFrame, levels: int | None = None) -> DataFrame:
-    """draws with their shard: disjoint runs of each source's permuted draws, as long as the tree's quotas."""
+def deal(draws: DataFrame, levels: int | None = None) -> tuple[DataFrame, int]:
+    """draws with their shard (disjoint runs of each source's permuted draws, as long as the tree's quotas), and how many shards."""
     draws = stage(draws)
     if levels is None:
         words = draws.agg(F.sum("words").alias("n")).first()["n"] or 0
@@ -137,7 +137,7 @@ def deal(draws: DataFrame, levels: int | None = None) -> DataFrame:
     quota = split_quotas(draws.groupBy("src").agg(F.count("*").alias("q")).select(F.col("src").cast("int").alias("src"), "q"), levels)
     upto = quota.withColumn("upto", F.sum("q").over(Window.partitionBy("src").orderBy("shard"))).groupBy("src").agg(F.array_sort(F.collect_list("upto")).alias("upto"))
     shard = F.size(F.filter("upto", lambda u: u < F.col("turn")))
-    return draws.join(upto, "src").select("src", "block", "pass", shard.alias("shard"))
+    return draws.join(upto, "src").select("src", "block", "pass", shard.alias("shard")), 1 << levels
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int | None = None, **opts) -> DataFrame:
@@ -150,22 +150,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shard, take = name("shard"), name("take")
     rows, draws = plan_mix(stage(sized_rows(docs, id_col, text_col, source_col)), **opts)
     rows = stage(rows.where("whole > 0 OR part > 0"))
-    drawn = stage(deal(draws, levels))
+    drawn, n_shards = deal(draws, levels)
+    drawn = stage(drawn)
     each = rows.join(drawn, ["src", "block"]).withColumn("n", F.when(F.col("pass") > 0, F.col("size")).otherwise(F.col("part"))).where("n > 0")
     each = each.groupBy("id", "size").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("pass", "shard", "n")))).alias("draws"))
-    held = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("__n"))
-    joined = held.join(each.withColumnsRenamed({"id": "__id", "size": "__size"}), held[id_col].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    out = joined.select(*[F.col(f"`{c}`") for c in cols], "__n", F.inline("draws"))
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(SPACE_WORD), F.lit(0)), 1, F.col("n").cast("int"))
-    text = F.when(F.col("n") < F.col("__n"), F.array_join(words, " ")).otherwise(F.col(text_col))
-    out = out.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in cols], F.col("shard").alias(shard), F.col("pass").alias(take))
+    # The documents' own columns travel as one struct, whatever their names.
+    own = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    held = docs.select(own, F.col(f"`{id_col}`").alias("did"), F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("dn"))
+    each = each.withColumnsRenamed({"id": "eid", "size": "en"})
+    out = held.join(each, held["did"].eqNullSafe(each["eid"]) & (held["dn"] == each["en"])).select("row", "dn", F.inline("draws"))
+    t = F.col("row").getField(text_col)
+    words = F.slice(F.regexp_extract_all(t, F.lit(SPACE_WORD), F.lit(0)), 1, F.col("n").cast("int"))
+    text = F.when(F.col("n") < F.col("dn"), F.array_join(words, " ")).otherwise(t)
+    out = out.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in cols], F.col("shard").alias(shard), F.col("pass").alias(take))
     place = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(take))
-    return out.repartition(F.col(shard)).sortWithinPartitions(shard, place, id_col)
+    # One task for each shard: a hash of so few numbers would put several in one task.
+    return out.repartitionById(n_shards, F.col(shard).cast("int")).sortWithinPartitions(shard, place, id_col)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     rows, draws = plan_mix(stage(sized_rows(table(spark, sf_dir, "documents"))))
-    drawn = deal(draws)
+    drawn, _ = deal(draws)
     shards = drawn.groupBy("src", "block").agg(F.array_join(F.array_sort(F.collect_list("shard")), ",").alias("shards"))
     taken = F.col("whole") * F.col("size") + F.col("part")
     return rows.join(shards, ["src", "block"], "left").select(

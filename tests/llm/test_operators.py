@@ -1,0 +1,451 @@
+"""Every operator against a plain version, on awkward rows and on the smallest tables."""
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate as D
+from lectern.llm import language_id as L
+from lectern.llm import license_scan as C
+from lectern.llm import lm_scoring as H
+from lectern.llm import mixing as M
+from lectern.llm import near_dedup as N
+from lectern.llm import quality_rules as Q
+from lectern.llm import queries
+from lectern.llm import secret_scan as S
+from lectern.llm import token_counts as T
+from lectern.llm import url_filter as U
+from tests.compare import connect, rows_in, rows_of
+from tests.llm.conftest import docs_in
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BOTH = pytest.mark.parametrize("where", ["edge", "small"])
+NAMES = [n for n in queries.queries() if n.startswith("op")]
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+
+
+def bag(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables_give_no_rows(spark, empty, name):
+    assert queries.queries()[name](spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n in queries.oracle_sql()])
+def test_same_rows_as_sql(spark, small, name):
+    assert rows_of(queries.queries()[name](spark, small)) == rows_in(connect(), queries.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_row_for_row_and_reruns_agree(spark, edge, name):
+    table = "pages" if name.startswith("op9") else "documents"
+    f = queries.queries()[name]
+    a, b = rows_of(f(spark, edge)), rows_of(f(spark, edge))
+    assert len(a[1]) == spark.read.parquet(f"{edge}/{table}.parquet").count()
+    assert name.startswith("op6") or a == b
+
+
+# 1
+
+
+def _repeated(words):
+    at = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    return len({j for i in range(len(words) - 2) if at[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+
+
+@BOTH
+def test_quality_base(spark, where, request):
+    d = request.getfixturevalue(where)
+    want = []
+    for r in docs_in(spark, d):
+        t = r["text"] or ""
+        w = SPACE.findall(t)
+        lines = [x for x in t.split("\n") if SPACE.search(x)]
+        rep = _repeated(w)
+        want.append((r["doc_id"], len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), rep, len(w) < 50 or 100 * rep > 50 * len(w)))
+    got = Q.op1_quality_rules(spark, d).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    assert bag(got) == bag(want)
+
+
+def test_lines_are_cleaned(spark):
+    t = "A fine line.\nHome | About | Us\n\n  Click HERE to win.\nNo end\nLast one!"
+    assert Q.clean_lines(spark.createDataFrame([(t,), (None,)], "text string")).collect() == [("A fine line.\n\nLast one!",), (None,)]
+
+
+# 2
+
+
+def _hits(words, items, window):
+    hit, found = set(), set()
+    for i, w in items:
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == w[k : k + n]:
+                    hit.update(range(j, j + n))
+                    found.add(i)
+    return hit, found
+
+
+@pytest.mark.parametrize("block_words", [200_000, 3])
+def test_decontamination(spark, edge, block_words):
+    items = [(str(r[0]) if r[0] is not None else None, ALNUM.findall(low(r[1]))) for r in spark.read.parquet(f"{edge}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = [r for r in docs_in(spark, edge) if len(r["text"] or "") < 50_000]
+    out, h = D.find_hits(spark.read.parquet(f"{edge}/documents.parquet").where("length(coalesce(text, '')) < 50000"), spark.read.parquet(f"{edge}/benchmark.parquet"), block_words=block_words)
+    assert h == "hits_"
+    got = bag((r["doc_id"], r[h]["n_words"], sum(s["end"] - s["start"] for s in r[h]["spans"]), ",".join(r[h]["items"])) for r in out.collect())
+    want = []
+    for r in docs:
+        words = ALNUM.findall(low(r["text"]))
+        hit, found = _hits(words, items, 10)
+        want.append((r["doc_id"], len(words), len(hit), ",".join(sorted(found - {None}))))
+    assert got == bag(want)
+    assert any(w[2] for w in want)
+
+
+def test_automaton_on_random_words():
+    rng = random.Random(2)
+    for _ in range(150):
+        text = lambda n: [rng.choice(["a", "b", "c"]) for _ in range(n)]
+        items = [(str(i), text(rng.randint(0, 9))) for i in range(rng.randint(0, 5))]
+        words, w = text(rng.randint(0, 30)), rng.randint(1, 5)
+        auto = D.Automaton([(i, " ".join(t).encode()) for i, t in items], w)
+        found, spans = auto.match(" ".join(words).encode().split())
+        hit, names = _hits(words, items, w)
+        assert {j for s, e, _ in spans for j in range(s, e)} == hit and found == names
+
+
+def test_spans_are_cut_out(spark):
+    item = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Intro é. A b, c d e f g h i j! Rest of it stays here, every word; and so it goes on."), (2, "a b c d e f g h i j k"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in D.decontaminate(docs, item).collect()}
+    assert got == {1: "Intro é. ! Rest of it stays here, every word; and so it goes on.", 3: None}
+
+
+# 3
+
+
+def _secrets(t):
+    rules = [("assign", r"""(?ia:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
+    out = [(m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(rules) for m in re.finditer(p, t or "") if len(m.group(g)) >= n]
+    return sorted(out), [r[0] for r in rules]
+
+
+@BOTH
+def test_secrets(spark, where, request):
+    d = request.getfixturevalue(where)
+    want = []
+    for r in docs_in(spark, d):
+        spans, kinds = _secrets(r["text"])
+        n = Counter(k for _, k, _ in spans)
+        want.append((r["doc_id"], n[0], n[1], n[2], hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()))
+    assert bag(S.op3_secret_scan(spark, d).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()) == bag(want)
+    assert sum(w[1] + w[2] + w[3] for w in want) > 0
+
+
+def test_ledger_scans_only_new_blobs(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    whole, ledger = S.find_secrets(docs)
+    part, fresh = S.find_secrets(docs, ledger.where("hex(blob) < '8'"))
+    assert bag(whole.select("id", "spans").collect()) == bag(part.select("id", "spans").collect())
+    assert fresh.count() == ledger.where("hex(blob) >= '8'").count()
+    assert S.update_ledger(docs, ledger).count() == 0 and S.update_ledger(docs, ledger, version="other").count() == ledger.count()
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, 'é password = "abcdefghijkl" end', 7), (2, "token=deadbeefdeadbeef00 x", 7), (3, None, 7)], "doc_id long, text string, __blob int")
+    assert [r["text"] for r in S.redact(df).orderBy("doc_id").collect()] == ["é [secret]\" end", "[secret] x", None]
+
+
+# 4
+
+
+def _near(rows, percent=75):
+    def shingles(t):
+        w = SPACE.findall(low(t))
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [(r["doc_id"], shingles(r["text"])) for r in rows]
+    up = list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (i, (_, a)), (j, (_, b)) in itertools.combinations(enumerate(sets), 2):
+        if a and b and 4 * len(a & b) >= 3 * len(a | b) and 100 * len(a & b) >= percent * len(a | b):
+            up[top(i)] = top(j)
+    out = []
+    for i, (k, s) in enumerate(sets):
+        ids = [x for j, (x, _) in enumerate(sets) if top(j) == top(i) and x is not None]
+        comp = min(ids) if ids and s else k
+        out.append((k, len(s), comp, k == comp))
+    return out
+
+
+@BOTH
+def test_near_duplicates(spark, where, request):
+    d = request.getfixturevalue(where)
+    assert bag(N.op4_near_dedup(spark, d).collect()) == bag(_near(docs_in(spark, d)))
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """A large group of copies with few and many changes: the exact way for large buckets gives all components."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(110)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for j in rng.sample(range(110), rng.choice([1, 2, 3, 4, 5, 6])):
+            w[j] = f"x{rng.randrange(40)}"
+        rows.append((i + 5, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = bag((k, c) for k, _, c, _ in _near([r.asDict() for r in docs.collect()]))
+    for most in (64, 4, 2):
+        monkeypatch.setattr(N, "SMALL", most)
+        assert bag(N.dedup(docs).select("id", "component_id").collect()) == want
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    a, b = x[:2000], x[1000:3000]
+    ra, rb = N.registers(a), N.registers(b)
+    assert (np.maximum(ra, rb) == N.registers(x)).all()
+    more, less = np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()])
+    est = N.estimate(more, less, N.M - more - less, np.array([2000.0]), np.array([2000.0]))[0]
+    assert abs(est - 1 / 3) < 0.13
+
+
+# 5
+
+
+def test_token_counts_equal_whole_encoding(spark, edge):
+    import tiktoken
+
+    counter = T.Counter(open(T.VOCABULARY, "rb").read())
+    whole = lambda t: len(counter.encoding.encode_ordinary(t))
+    assert isinstance(counter.encoding, tiktoken.Encoding)
+    edited = lambda t: t[: len(t) // 2] + " (revised) " + t[len(t) // 2 + 12 :]
+    want = bag((r["doc_id"], whole(r["text"] or ""), whole(edited(r["text"] or ""))) for r in docs_in(spark, edge) if r["doc_id"] != 41)
+    got = T.op5_token_counts(spark, edge).where("doc_id IS NULL OR doc_id <> 41").select("doc_id", "n_tokens", "n_tokens_edited")
+    assert bag(got.collect()) == want
+
+
+def test_random_edits():
+    counter, rng = T.Counter(open(T.VOCABULARY, "rb").read()), random.Random(6)
+    bits = [" ", "  ", "\n", "'", "'ll", "don't", " word", "é", "12", "!!", "日本", "\t x"]
+    for _ in range(60):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 900)))
+        tree = T.Tree(*T.leaves_of(T._SPLIT.findall(t), counter))
+        for _ in range(6):
+            t, n = tree.edit(t, rng.randint(0, len(t) + 3), rng.choice([0, 1, 5, 400]), "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 300]))), counter)
+            assert tree.total == len(counter.encoding.encode_ordinary(t)) and tree.sums == T.tree_of(tree.tokens)
+
+
+def test_edits_table(spark):
+    docs, tree = T.build(spark.createDataFrame([(1, "one two three " * 200), (2, "left alone"), (3, None)], "doc_id long, text string"))
+    edits = spark.createDataFrame([(1, 2, 0, 4, ""), (1, 1, 0, 0, "zero "), (3, 1, 5, 1, "new")], "doc_id long, seq int, at int, drop int, insert string")
+    got = {r["doc_id"]: (r["text"], r[tree]["sums"][1]) for r in T.apply_edits(docs, edits, tree).collect()}
+    counter = T.Counter(open(T.VOCABULARY, "rb").read())
+    assert got[1][0].startswith(" one two") and got[3][0] == "new" and got[2][0] == "left alone"
+    assert all(n == len(counter.encoding.encode_ordinary(t)) for t, n in got.values())
+
+
+# 6
+
+
+def test_base_scores(spark, edge):
+    rows = docs_in(spark, edge)
+    fit = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 != 0
+    toks = lambda t: [*SPACE.findall(low(t)), ""]
+    c = Counter(w for r in rows if fit(r["doc_id"]) for w in toks(r["text"]))
+    n, v = sum(c.values()), len(c)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in H.op6_lm_scoring(spark, edge).collect()}
+    for r in rows:
+        t = toks(r["text"])
+        g = got[r["doc_id"], len(t)]
+        assert g["held_out"] == (not fit(r["doc_id"])) and g["train_tokens"] == n and g["n_known"] == sum(c[w] > 0 for w in t)
+        assert g["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
+        assert g["score"] < 0
+
+
+def test_rare_words_take_the_join(spark, small, monkeypatch):
+    one = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in H.op6_lm_scoring(spark, small).collect()}
+    monkeypatch.setattr(H, "COMMON", 50)
+    two = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in H.op6_lm_scoring(spark, small).collect()}
+    assert all(one[i][0] == two[i][0] and one[i][1] == pytest.approx(two[i][1], rel=1e-9) for i in one)
+
+
+def test_recursions_against_all_paths():
+    rng = np.random.default_rng(3)
+    k, v = 3, 4
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    p = H.Parameters(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, v))).T)
+    seqs = [np.array(s) for s in ([0], [1, 3], [2, 2, 0, 1], [3, 1, 0])]
+    starts, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((v, k))
+    for s, ll in zip(seqs, H.log_likelihood(seqs, p)):
+        paths = {z: p.start[z[0]] * np.prod([p.move[a, b] for a, b in zip(z, z[1:])]) * np.prod([p.emit[o, a] for o, a in zip(s, z)]) for z in itertools.product(range(k), repeat=len(s))}
+        total = sum(paths.values())
+        assert ll == pytest.approx(math.log10(total))
+        for z, q in paths.items():
+            starts[z[0]] += q / total
+            for a, b in zip(z, z[1:]):
+                moves[a, b] += q / total
+            for o, a in zip(s, z):
+                emit[o, a] += q / total
+    for got, want in zip(H.expected_counts(seqs, p), (starts, moves, emit)):
+        assert np.allclose(got, want, atol=1e-4)
+
+
+def test_model_is_a_distribution_and_beats_the_base(spark, small):
+    out = H.op6_lm_scoring(spark, small).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > out[1]
+
+
+# 7
+
+
+def _targets(size, weights=(3, 1, 2), share=1.5, most=2):
+    names = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, full = share * sum(size.values()), set()
+    while True:
+        left, wsum = total - sum(most * size[s] for s in full), sum(w[s] for s in size if s not in full)
+        t = {s: most * size[s] if s in full else left * w[s] / wsum for s in size}
+        over = {s for s in size if s not in full and t[s] > most * size[s] + 1e-9}
+        if not over:
+            return t
+        full |= over
+
+
+@BOTH
+def test_mixture(spark, where, request):
+    d = request.getfixturevalue(where)
+    rows = docs_in(spark, d)
+    size = Counter()
+    for r in rows:
+        size[r["source"]] += len(SPACE.findall(r["text"] or ""))
+    want = _targets(dict(size))
+    src = Counter((r["doc_id"], len(SPACE.findall(r["text"] or "")), round(want[r["source"]], 6), size[r["source"]]) for r in rows)
+    got = M.op7_mixing(spark, d).collect()
+    assert Counter((r["doc_id"], r["size"], round(r["target"], 6), r["source_size"]) for r in got) == src
+    taken = Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[round(r["target"], 6), r["source_size"]] += r["taken"]
+    goals = Counter()
+    for s in size:
+        goals[round(want[s], 6), size[s]] += want[s]
+    assert all(abs(taken[g] - goals[g]) <= 1 + 1e-6 for g in goals)
+
+
+def test_splitting_tree_is_exact_and_hypergeometric(spark):
+    quotas = spark.createDataFrame([(1, 40), (2, 7), (3, 0), (4, 17)], "src int, q long")
+    rows = M.split_quotas(quotas, 3).collect()
+    by_src, by_shard = Counter(), Counter()
+    for r in rows:
+        assert r["q"] >= 0
+        by_src[r["src"]] += r["q"]
+        by_shard[r["shard"]] += r["q"]
+    assert by_src == Counter({1: 40, 2: 7, 3: 0, 4: 17}) and set(by_shard) == set(range(8)) and max(by_shard.values()) - min(by_shard.values()) <= 1
+    many = spark.createDataFrame([(2 * i + j, 30 if j else 10) for i in range(1) for j in (0, 1)], "src int, q long")
+    lefts = []
+    for seed in range(40):
+        M.SEED = f"t{seed}"
+        lefts.append({r["src"]: r["q"] for r in M.split_quotas(many, 1).where("shard = 0").collect()}[0])
+    M.SEED = "mix"
+    mean, var = 20 * 10 / 40, 20 * (10 / 40) * (30 / 40) * (20 / 39)
+    assert abs(np.mean(lefts) - mean) < 4 * math.sqrt(var / 40) and np.std(lefts) > 0
+
+
+def test_mixed_rows_hold_the_taken_words(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    out = M.mix(docs, levels=2)
+    assert out.columns[: len(docs.columns)] == docs.columns and out.columns[-2:] == ["_shard", "take"]
+    rows, _ = M.plan_mix(M.stage(M.sized_rows(docs)))
+    want = {r["id"]: r["whole"] * r["size"] + r["part"] for r in rows.collect()}
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(SPACE.findall(r["text"]))
+    assert {k: v for k, v in want.items() if v} == dict(got)
+
+
+# 8
+
+
+@BOTH
+def test_license_base(spark, where, request):
+    d = request.getfixturevalue(where)
+    want = []
+    for r in docs_in(spark, d):
+        w = ALNUM.findall(low(r["text"]))
+        at = [(i, label) for p, label in C.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        want.append((r["doc_id"], len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    got = C.op8_license_scan(spark, d)
+    assert bag(got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()) == bag(want)
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got.collect())
+
+
+def test_license_templates_align_with_noise():
+    ix = C.Index()
+    for label, _, words in C.TEMPLATES:
+        assert ix.match(("x " + words + " y").encode().split()).get(label, 0) == pytest.approx(1.0)
+    w = C.TEMPLATES[1][2].split()
+    w[5] = "noise"
+    assert "gpl" in ix.match(" ".join(w).encode().split()) and ix.match(b"general words of a license but no phrase".split()) == {}
+
+
+# 9
+
+
+def test_urls(spark, edge):
+    got = {(r["page_id"], r["host"], r["path"], r["rule"]) for r in U.op9_url_filter(spark, edge).collect() if r["page_id"] is None or r["page_id"] < 100}
+    assert got == {(0, "example.com", "/en/1", "example.com/en/"), (1, "www.example.com", "/en/", "www.example.com/en/"), (2, "a.example.net", "/es/x", "net/es/"), (3, "a.example.net", "/de/x", None), (4, "net", "/fr/1", "net/fr/"),
+                   (5, "", "", None), (6, "", "", None), (7, "", "", None), (8, "h", "", None), (9, "other.org", "", None), (10, "blog.example.com", "/en", "com/"), (11, "a.b.net", "/es/", "net/es/"), (None, "a.example.net", "/es/x", "net/es/")}
+    verdict = {r["page_id"]: r["verdict"] for r in U.op9_url_filter(spark, edge).collect()}
+    assert verdict[0] == "block" and verdict[1] == "allow" and verdict[100] == "block" and verdict[6] == "allow"
+
+
+def test_url_sql_on_awkward_rows(spark, edge):
+    con = connect()
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{edge}/pages.parquet/*.parquet')")
+    assert rows_of(U.op9_url_filter(spark, edge)) == rows_in(con, U.SQL)
+
+
+# 10
+
+
+def test_languages_held_out(spark, small):
+    lang = {r["doc_id"]: r["lang"] for r in docs_in(spark, small)}
+    got = [r for r in L.op10_language_id(spark, small).collect() if r["held_out"]]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got]) > 0.95
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_languages_of_awkward_rows(spark, edge):
+    got = {(r["doc_id"]): r for r in L.op10_language_id(spark, edge).collect() if r["doc_id"] is not None}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] for i in (20, 21, 22, 27))
+    assert all(got[i]["lang_pred"] in ("en", "fr") for i in (1, 23, 26, 40, 41))
+
+
+def test_embedding_table_is_the_network():
+    rng = np.random.default_rng(0)
+    m = L.train([(i, (" alpha beta" if i % 2 else " gamma delta").encode() * int(rng.integers(1, 9)), "a" if i % 2 else "b") for i in range(60)])
+    assert m.langs == ["a", "b"] and np.argmax(L.logits(m, b"alpha")) == 0 and np.argmax(L.logits(m, b"delta gamma")) == 1
