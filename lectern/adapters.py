@@ -70,7 +70,7 @@ CTES["journals"] = """SELECT n_nationkey AS id, n_name AS title, lpad(CAST(10000
 def journals(spark, d) -> DataFrame:
     k = F.col("n_nationkey")
     issn = lambda n: F.lpad((n * 37 + 10000000).cast("string"), 8, "0")
-    return read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         k.alias("id"), F.col("n_name").alias("title"), issn(k).alias("issn"), F.when(k % 2 == 0, issn(k - k % 4)).alias("e_issn"), F.col("r_name").isin("ASIA", "EUROPE").alias("sci_indexed"),
         F.when(k % 7 != 0, k % 3 == 0).alias("kci_indexed"), F.when(k % 5 != 0, k % 4 + 2020).alias("sjr_year"), F.when(k % 6 != 0, k * 0.25).alias("sjr_score"), (k % 9).alias("h_index"),
         F.when(k % 5 != 0, F.concat(F.lit("Q"), k % 5)).alias("quartile"), F.when(k % 3 != 0, k * 0.5).alias("if_value"))
@@ -98,7 +98,7 @@ CTES["keywords"] = "SELECT l_orderkey AS paper_id, p_name AS name, min(l_linenum
 
 def keywords(spark, d) -> DataFrame:
     """Keyword names of papers, with their place: 64 keys."""
-    return read(spark, d, "lineitem").join(F.broadcast(read(spark, d, "part").select("p_partkey", "p_name")), F.col("l_partkey") == F.col("p_partkey")).groupBy(
+    return read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy(
         F.col("l_orderkey").alias("paper_id"), F.col("p_name").alias("name")).agg(F.min("l_linenumber").alias("pos"), F.when(F.min("p_partkey") % 2 == 0, "ko").otherwise("en").alias("lang"))
 
 

@@ -69,7 +69,7 @@ def bin_edges(values: DataFrame, group: list[str], value: str, key: str, bins: i
 def assign_bins(values: DataFrame, edges: DataFrame, group: list[str], value: str) -> DataFrame:
     """Each row's bin: how many edges its value reaches (an equal value goes to the right)."""
     e = edges.groupBy(*group).agg(F.array_sort(F.collect_set("edge")).alias("__e"))
-    return values.join(F.broadcast(e), group, "left").withColumn("bin", F.coalesce(F.size(F.filter("__e", lambda x: x <= F.col(value))), F.lit(0))).drop("__e")
+    return values.join(e, group, "left").withColumn("bin", F.coalesce(F.size(F.filter("__e", lambda x: x <= F.col(value))), F.lit(0))).drop("__e")
 
 
 def index_percentile(values: DataFrame, group: list[str], value: str, key: str, p: float) -> DataFrame:
@@ -109,7 +109,7 @@ def tfidf_vocabulary(tokens: DataFrame, n_docs: int, least_len: int, stop: list[
     per = out.groupBy("freq").agg(F.count("*").alias("k"))
     run = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("k").over(run), F.lit(0))).crossJoin(per.agg(F.floor(F.sum("k") * share).alias("keep")))
-    x = out.join(F.broadcast(per), "freq").where("before < keep")
+    x = out.join(per, "freq").where("before < keep")
     whole, edge = x.where("before + k <= keep"), x.where("before + k > keep")
     edge = edge.withColumn("rn", F.row_number().over(Window.orderBy("token"))).where("before + rn <= keep").drop("rn")
     return whole.union(edge).select("token", "freq", F.round("weight", 6).alias("weight"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import top_per_group
+from .windows import ensure_checkpoint_dir, top_per_group
 
 
 def both_ways(related: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def anchor_children(related: DataFrame, counts: DataFrame, anchors: DataFrame, k
     """anchor, child, n, rank: the k most co-occurring keywords that are not commoner than the anchor (ties included)."""
     c = counts.select(F.col("name").alias("b"), F.col("papers").alias("pb"))
     a = counts.select(F.col("name").alias("a"), F.col("papers").alias("pa"))
-    e = both_ways(related).join(F.broadcast(anchors.select(F.col("name").alias("a"))), "a", "left_semi").where(F.col("n") >= least)
-    e = e.join(F.broadcast(a), "a").join(F.broadcast(c), "b").where("pb <= pa")
+    e = both_ways(related).join(anchors.select(F.col("name").alias("a")), "a", "left_semi").where(F.col("n") >= least)
+    e = e.join(a, "a").join(c, "b").where("pb <= pa")
     rn = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))
     return e.withColumn("rank", rn).where(F.col("rank") <= k).select(F.col("a").alias("anchor"), F.col("b").alias("child"), "n", "rank", "pa", "pb")
 
@@ -84,11 +84,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     """node, comp (least node of the component; alone: itself), of edges a, b.
 
     Large-star and small-star steps on written tables; stops when a round changes nothing."""
-    spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    ensure_checkpoint_dir(nodes.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     last = None
     for _ in range(rounds):

@@ -10,7 +10,7 @@ from .projections import paper_type
 def paper_cards(papers: DataFrame, journals: DataFrame) -> DataFrame:
     """Papers with their journal by key: registered by code or registry, sci false where unknown."""
     j = journals.select(F.col("id").alias("jid"), F.col("title").alias("jtitle"), "kci_indexed", "sci_indexed")
-    x = papers.join(F.broadcast(j), F.col("journal_id") == F.col("jid"), "left")
+    x = papers.join(j, F.col("journal_id") == F.col("jid"), "left")
     return x.select(
         "id", "title", paper_type(F.col("db_code"), F.col("degree")).alias("kind"), F.coalesce("jtitle", "journal_name").alias("journal"), F.coalesce("citation_count", F.lit(0)).cast("long").alias("citations"),
         ((F.col("db_code") == "JAKO") | F.coalesce("kci_indexed", F.lit(False))).alias("registered"), F.coalesce("sci_indexed", F.lit(False)).alias("sci"))
@@ -41,15 +41,15 @@ def quality_order() -> list[Column]:
 
 def or_join(items: DataFrame, journals: DataFrame) -> DataFrame:
     """item key, id of every journal with the key in either column, each once."""
-    return items.join(F.broadcast(journal_keys(journals).select("key", F.col("id").alias("journal_id"))), "key").select("item", "journal_id").distinct()
+    return items.join(journal_keys(journals).select("key", F.col("id").alias("journal_id")), "key").select("item", "journal_id").distinct()
 
 
 def best_journal(items: DataFrame, journals: DataFrame) -> DataFrame:
     """item (item, key, title): the best journal that shares an ISSN or the case-folded title; NULL without one."""
     j = journals.withColumn("t", F.lower(F.trim("title")))
     cols = ["id", "sjr_year", "sjr_score", "h_index"]
-    by_key = items.join(F.broadcast(journal_keys(journals).select("key", *cols)), "key")
-    by_title = items.withColumn("t", F.lower(F.trim("title"))).join(F.broadcast(j.select("t", *cols)), "t")
+    by_key = items.join(journal_keys(journals).select("key", *cols), "key")
+    by_title = items.withColumn("t", F.lower(F.trim("title"))).join(j.select("t", *cols), "t")
     best = best_by_key(by_key.select("item", *cols).union(by_title.select("item", *cols)), ["item"], quality_order())
     return items.select("item").join(best.select("item", F.col("id").alias("journal_id")), "item", "left")
 
@@ -59,14 +59,14 @@ def first_wins(items: DataFrame, journals: DataFrame) -> DataFrame:
     j = journals.withColumn("t", F.lower(F.trim("title")))
     by_key = best_by_key(journal_keys(journals), ["key"], quality_order()).select("key", F.col("id").alias("k_id"))
     by_title = best_by_key(j, ["t"], quality_order()).select("t", F.col("id").alias("t_id"))
-    x = items.withColumn("t", F.lower(F.trim("title"))).join(F.broadcast(by_key), "key", "left").join(F.broadcast(by_title), "t", "left")
+    x = items.withColumn("t", F.lower(F.trim("title"))).join(by_key, "key", "left").join(by_title, "t", "left")
     return x.select("item", F.coalesce("k_id", "t_id").alias("journal_id"))
 
 
 def lateral_journal(papers: DataFrame, journals: DataFrame) -> DataFrame:
     """The paper's own journal, else the one of its title (indexed ones first), ranked once instead of per row."""
     ranked = best_by_key(journals.withColumn("t", F.lower(F.trim("title"))), ["t"], [F.col("sci_indexed").desc_nulls_last(), F.col("id").asc()]).select("t", F.col("id").alias("t_id"))
-    x = papers.withColumn("t", F.when(F.col("journal_id").isNull(), F.lower(F.trim("journal_name")))).join(F.broadcast(ranked), "t", "left")
+    x = papers.withColumn("t", F.when(F.col("journal_id").isNull(), F.lower(F.trim("journal_name")))).join(ranked, "t", "left")
     return x.select("id", F.coalesce("journal_id", "t_id").alias("journal_id"), F.col("t_id").isNotNull().alias("by_title"))
 
 

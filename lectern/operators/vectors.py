@@ -1,10 +1,10 @@
 """Vector similarity, BM25 and hybrid search."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import rrf
+from .windows import global_rank, rrf
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -52,9 +52,9 @@ def _count(term: str) -> Column:
     return F.aggregate("toks", F.lit(0), lambda a, x: a + F.when(x == term, 1).otherwise(0))
 
 
-def ranked(scores: DataFrame, score: str) -> DataFrame:
-    """id, rank by score, ties by id. The scored corpus is one narrow row per document."""
-    return scores.select("id", F.row_number().over(Window.orderBy(F.col(score).desc(), "id")).alias("rank"))
+def ranked(scores: DataFrame, score: str, n_rows: int) -> DataFrame:
+    """id, rank by score, ties by id."""
+    return global_rank(scores.select("id", score), [F.col(score).desc(), F.col("id").asc()], "rank", n_rows).select("id", "rank")
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], floor: float = 0.7) -> DataFrame:
@@ -63,7 +63,7 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, terms: list[str], query:
     Both are computed before any filter, as filters must only shrink a result."""
     sim = query_similarity(vectors, query).withColumn("sim", F.round("sim", 9))
     lex = bm25(docs, terms).withColumn("score", F.round("score", 9))
-    fused = rrf(ranked(sim, "sim"), ranked(lex, "score"))
+    fused = rrf(ranked(sim, "sim", vectors.count()), ranked(lex, "score", docs.count()))
     top = sim.agg(F.max("sim").alias("top"))
     return fused.join(sim, "id").crossJoin(F.broadcast(top)).where(F.col("sim") >= floor * F.col("top")).select("id", F.round("score", 6).alias("score"), F.round("sim", 6).alias("sim"))
 

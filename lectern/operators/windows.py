@@ -26,6 +26,35 @@ def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return top_per_group(rows, key, order, 1)
 
 
+#: Up to so many rows one task ranks; more are ranked in ranges.
+ONE_TASK = 1_000_000
+
+
+def global_rank(rows: DataFrame, order: list, name: str, n_rows: int) -> DataFrame:
+    """rows with their place (from 1) in a total order.
+
+    Beyond ONE_TASK rows the order is dealt out in ranges: places within a range, plus the sizes of the ranges before it. The
+    dealt rows are checkpointed, so that sizes and places come from the same ranges."""
+    if n_rows <= ONE_TASK:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    ensure_checkpoint_dir(rows.sparkSession)
+    parts = max(2, -(-n_rows // ONE_TASK))
+    x = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = x.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__b", before).select("__p", "__b")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) + F.col("__b")
+    return x.join(F.broadcast(sizes), "__p").withColumn(name, place).drop("__p", "__b")
+
+
+def ensure_checkpoint_dir(spark) -> None:
+    """Checkpoints go to the folder that the session names; to a temporary one only where it names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-"))
+
+
 def spread(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """k rows at even places: round-half-even of i * (n - 1) / (k - 1)."""
     w = Window.partitionBy(group)

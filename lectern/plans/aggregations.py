@@ -276,7 +276,7 @@ def agg36(spark, d):
 @query("agg37_verify_report", oracle("papers journals", "SELECT p.db_code, count(*) AS n, count(j.id) AS matched, round(count(j.id) / count(*), 6) AS rate, count(*) - count(DISTINCT p.title) AS repeated FROM papers p LEFT JOIN journals j ON lower(j.title) = lower(p.journal_name) AND j.sci_indexed GROUP BY 1"))
 def agg37(spark, d):
     j = A.journals(spark, d).where("sci_indexed").select(F.lower("title").alias("t"))
-    p = A.papers(spark, d).withColumn("t2", F.lower("journal_name")).join(F.broadcast(j), F.col("t2") == F.col("t"), "left")
+    p = A.papers(spark, d).withColumn("t2", F.lower("journal_name")).join(j, F.col("t2") == F.col("t"), "left")
     return p.groupBy("db_code").agg(F.count("*").alias("n"), F.count("t").alias("matched"), F.round(F.count("t") / F.count("*"), 6).alias("rate"), (F.count("*") - F.countDistinct("title")).alias("repeated"))
 
 

@@ -107,7 +107,7 @@ def flt15(spark, d):
   WHERE (p.title ILIKE '%paper 1%' OR kw ILIKE '%BOLT%') AND p.pubyear >= 1996 AND p.pubyear < 2000 AND p.db_code IN ('JAKO', 'DIKO') AND (j.sci_indexed IS NULL OR NOT j.sci_indexed)"""))
 def flt16(spark, d):
     k = A.keywords(spark, d).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("kw"))
-    p = A.papers(spark, d).join(F.broadcast(A.journals(spark, d).select(F.col("id").alias("jid"), "sci_indexed")), F.col("journal_id") == F.col("jid"), "left").withColumnRenamed("id", "pid")
+    p = A.papers(spark, d).join(A.journals(spark, d).select(F.col("id").alias("jid"), "sci_indexed"), F.col("journal_id") == F.col("jid"), "left").withColumnRenamed("id", "pid")
     x = A.bookmarks(spark, d).join(p, F.col("paper_id") == F.col("pid")).join(k, "paper_id", "left")
     return P.bookmark_search(x, "paper 1", "BOLT", ("JAKO", "DIKO"), (1996, 2000), sci=False).select("id")
 
@@ -115,7 +115,7 @@ def flt16(spark, d):
 @query("flt17_is_bookmarked", oracle("papers bookmarks", "SELECT id, id IN (SELECT paper_id FROM bookmarks WHERE user_id = 3) AS bookmarked FROM papers"))
 def flt17(spark, d):
     b = A.bookmarks(spark, d).where("user_id = 3").select(F.col("paper_id").alias("id"), F.lit(True).alias("b")).distinct()
-    return A.papers(spark, d).select("id").join(F.broadcast(b), "id", "left").select("id", F.coalesce("b", F.lit(False)).alias("bookmarked"))
+    return A.papers(spark, d).select("id").join(b, "id", "left").select("id", F.coalesce("b", F.lit(False)).alias("bookmarked"))
 
 
 @query("flt18_chip_gate", oracle("keywords", "SELECT name, count(*) AS n, count(*) > 4 AS narrow, count(*) >= 10 AS broad FROM keywords GROUP BY 1"))

@@ -167,7 +167,7 @@ def jon21(spark, d):
 def jon22(spark, d):
     p = A.papers(spark, d).where("id % 2 = 0").select("id", "title", "journal_id")
     j = A.journals(spark, d).select(F.col("id").alias("jid"), F.col("title").alias("journal"))
-    return A.cites(spark, d).join(p, F.col("dst") == F.col("id"), "left").join(F.broadcast(j), F.col("journal_id") == F.col("jid"), "left").select("src", "dst", "title", "journal")
+    return A.cites(spark, d).join(p, F.col("dst") == F.col("id"), "left").join(j, F.col("journal_id") == F.col("jid"), "left").select("src", "dst", "title", "journal")
 
 
 @query("jon23_positional_zip", oracle("papers", """SELECT id, pos, CAST(l AS VARCHAR) AS l, r FROM (SELECT id, p - 1 AS pos, [id, id + 1, id + 2][p] AS l, (CASE WHEN id % 2 = 0 THEN [db_code, degree] ELSE [db_code] END)[p] AS r FROM papers, (SELECT unnest([1, 2, 3]) AS p)) WHERE l IS NOT NULL AND r IS NOT NULL"""))

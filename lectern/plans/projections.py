@@ -95,7 +95,7 @@ _J = "SELECT p.id, p.db_code, p.citation_count AS c, j.title AS jn, upper(j.quar
 def prj10(spark, d):
     p, j = A.papers(spark, d), A.journals(spark, d).withColumnsRenamed({"id": "jid", "title": "jtitle"})
     c = P.credibility(F.col("citation_count"), F.col("jtitle"), F.col("quartile"), F.col("sci_indexed"), F.col("kci_indexed"), F.col("db_code") == "JAKO")
-    return p.join(F.broadcast(j), F.col("journal_id") == F.col("jid"), "left").select("id", c.alias("c")).select("id", "c.*")
+    return p.join(j, F.col("journal_id") == F.col("jid"), "left").select("id", c.alias("c")).select("id", "c.*")
 
 
 @query("prj11_thesis_credibility", oracle("papers", f"""SELECT id, CASE WHEN contains(degree, '박사') THEN 'medium' WHEN contains(degree, '석사') THEN 'low' ELSE 'unknown' END AS badge,
@@ -110,7 +110,7 @@ def prj11(spark, d):
 def prj12(spark, d):
     p, j = A.papers(spark, d), A.journals(spark, d).select(F.col("id").alias("jid"), "kci_indexed", "sci_indexed", "if_value")
     b = P.trust_badge(P.paper_type(F.col("db_code"), F.col("degree")), F.col("journal_name"), F.col("kci_indexed"), F.col("sci_indexed"), F.col("citation_count"), F.col("if_value").cast("double"), F.col("db_code") == "JAKO")
-    return p.join(F.broadcast(j), F.col("journal_id") == F.col("jid"), "left").select("id", b.alias("b")).select("id", "b.*")
+    return p.join(j, F.col("journal_id") == F.col("jid"), "left").select("id", b.alias("b")).select("id", "b.*")
 
 
 @query("prj13_paper_cards", oracle("papers journals", f"""SELECT p.id, p.title, {_TYPE} AS kind, coalesce(j.title, p.journal_name) AS journal, coalesce(p.citation_count, 0) AS citations, p.db_code = 'JAKO' OR coalesce(j.kci_indexed, false) AS registered,

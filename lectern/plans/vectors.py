@@ -108,11 +108,10 @@ def vec11(spark, d):
     return A.docs(spark, d).select("doc_id", F.size(bm25_text(F.col("source"), F.col("text"), F.col("lang"))).cast("long").alias("n"))
 
 
-@query("vec12_similarity_diagnostics", oracle("vecs keywords", f"""WITH k AS (SELECT paper_id, list(name) AS k FROM keywords WHERE paper_id IN (SELECT id FROM vecs) GROUP BY 1), p AS (SELECT least(3, len(list_intersect(ka.k, kb.k))) AS shared, {_COS} AS s FROM (SELECT * FROM vecs WHERE id < 100) a, (SELECT * FROM vecs WHERE id < 100) b, k ka, k kb WHERE a.id < b.id AND ka.paper_id = a.id AND kb.paper_id = b.id)
-  SELECT shared, count(*) AS n, round(avg(s), 6) AS mean FROM p GROUP BY 1""".replace("WHERE id < 100", "WHERE label < 3")))
+@query("vec12_similarity_diagnostics", oracle("vecs keywords", f"""WITH t AS (SELECT paper_id AS id, name FROM keywords WHERE paper_id IN (SELECT id FROM vecs)), p AS (SELECT x.id AS i, y.id AS j, count(*) AS n FROM t x JOIN t y ON x.name = y.name AND x.id < y.id GROUP BY 1, 2)
+  SELECT least(3, n) AS shared, count(*) AS n, round(avg({_COS}), 6) AS mean FROM p JOIN vecs a ON a.id = i JOIN vecs b ON b.id = j GROUP BY 1"""))
 def vec12(spark, d):
-    k = A.keywords(spark, d).groupBy(F.col("paper_id").alias("id")).agg(F.collect_set("name").alias("k"))
-    return C.similarity_diagnostics(A.vecs(spark, d).where("label < 3").join(k, "id"), 3)
+    return C.similarity_diagnostics(A.vecs(spark, d).select("id", "v"), A.keywords(spark, d).select(F.col("paper_id").alias("id"), "name"), 3)
 
 
 @query("srt09_bm25_top", f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, id LIMIT 20")

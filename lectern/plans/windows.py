@@ -34,8 +34,9 @@ def win04(spark, d):
     from ..operators.vectors import ranked
 
     v = A.vecs(spark, d)
-    a = ranked(query_similarity(v.where("id <> 0"), query_vector(v, 0)).withColumn("sim", F.round("sim", 9)), "sim")
-    b = ranked(A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "n_chars")
+    a = ranked(query_similarity(v.where("id <> 0"), query_vector(v, 0)).withColumn("sim", F.round("sim", 9)), "sim", v.count())
+    docs = A.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    b = ranked(docs, "n_chars", docs.count())
     return W.rrf(a, b).select("id", F.round("score", 9).alias("score"))
 
 

@@ -245,3 +245,11 @@ def test_assembled(spark):
     rows = [(["a" * 100, "b" * 90],), (["a" * 150, "b" * 90],), (["a" * 300],), ([],)]
     got = [(len(r[0]["text"]), r[0]["complete"]) for r in values(spark, rows, "s array<string>", X.assembled(F.col("s")).alias("a"))]
     assert got == [(191, True), (150, False), (300, False), (0, True)]
+
+
+def test_rank_in_ranges_equals_one_window(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "id long, s double")
+    order = [F.col("s").desc(), F.col("id").asc()]
+    one = sorted(map(tuple, W.global_rank(df, order, "rank", 200).collect()))
+    monkeypatch.setattr(W, "ONE_TASK", 30)
+    assert sorted(map(tuple, W.global_rank(df, order, "rank", 200).collect())) == one
