@@ -48,3 +48,12 @@ def ascii_lower(c):
 def let(value, body):
     """body(value) with value evaluated once, also where body uses it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of at most `rows` rows for its session: texts are long, so 10,000 of them are too much for one batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df

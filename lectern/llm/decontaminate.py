@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, stage, table
+from .common import ALNUM_TABLE, small_batches, stage, table
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -196,8 +196,10 @@ def _ddl_schema(df: DataFrame, name: str):
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-              window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, str]:
-    """docs with one more column, a struct of n_words, items and spans (in words), and that column's name."""
+              window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: float | None = None) -> tuple[DataFrame, str]:
+    """docs with one more column, a struct of n_words, items and spans (in words), and that column's name.
+
+    cut: texts of which at most this share of words is hit lose their spans."""
     items = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // (6 * block_words)))
@@ -209,22 +211,28 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
         held = docs.sparkSession.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in block.toLocalIterator()])
         seen, key = k > 0, uuid.uuid4().hex
 
-        def run(batches, held=held, seen=seen, key=key):
+        last = k == blocks - 1
+
+        def run(batches, held=held, seen=seen, key=key, last=last):
             for b in batches:
                 auto = _automaton(held, key, window)
                 cols = [b.column(i) for i in range(b.num_columns)]
                 old = cols.pop().to_pylist() if seen else repeat(None)
-                rows = []
-                for t, before in zip(cols[at].cast(pa.binary()).to_pylist(), old):
+                rows, texts = [], cols[at].to_pylist() if cut is not None and last else None
+                for i, (t, before) in enumerate( zip(cols[at].cast(pa.binary()).to_pylist(), old)):
                     words = words_of(t)
                     found, spans = auto.match(words)
                     if before:
                         found |= set(before["items"])
                         spans = _merged(spans + [[s["start"], s["end"], s["longest"]] for s in before["spans"]])
                     rows.append({"n_words": len(words), "items": sorted(found), "spans": [{"start": s, "end": e, "longest": m} for s, e, m in spans]})
+                    if texts is not None and spans and sum(s[1] - s[0] for s in spans) <= cut * len(words):
+                        texts[i] = without_spans(texts[i], spans)
+                if texts is not None:
+                    cols[at] = pa.array(texts, b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, _HITS_ARROW)], names=[*b.schema.names[: len(cols)], name])
 
-        out = out.mapInArrow(run, _ddl_schema(docs, name))
+        out = small_batches(out).mapInArrow(run, _ddl_schema(docs, name))
         if blocks > 1:
             out = stage(out)
     return out, name
@@ -240,12 +248,12 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+def without_spans(text: str, spans: list) -> str:
     """text without the words of the spans and without what stands between words of one span."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
     out, last = [], 0
-    for s, e in spans:
+    for s, e, *_ in spans:
         out.append(raw[last : at[s][0]])
         last = at[e - 1][1]
     out.append(raw[last:])
@@ -254,21 +262,9 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, window: int = WINDOW, **names) -> DataFrame:
     """docs without the hit spans; a document of whose words more than max_coverage are hit goes as a whole."""
-    found, name = find_hits(docs, items, text_col, window=window, **names)
-    spans = F.col(f"`{name}`.spans")
-    n_hit = F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    found = found.where(n_hit <= max_coverage * F.col(f"`{name}`.n_words"))
-    at, hits = found.columns.index(text_col), found.columns.index(name)
-
-    def cut(batches):
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            spans = b.column(hits).to_pylist()
-            new = [without_spans(t, [(s["start"], s["end"]) for s in h["spans"]]) if h["spans"] else t for t, h in zip(texts, spans)]
-            cols = [pa.array(new, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns) if i != hits]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for i, n in enumerate(b.schema.names) if i != hits])
-
-    return found.mapInArrow(cut, docs.schema)
+    found, name = find_hits(docs, items, text_col, window=window, cut=max_coverage, **names)
+    n_hit = F.aggregate(F.col(f"`{name}`.spans"), F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return found.where(n_hit <= max_coverage * F.col(f"`{name}`.n_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 PER_LANG, EPOCHS, RATE = 600, 6, 0.4
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", name: str = "
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL("lang string, score double, rejected boolean"))])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def fold(id_col: str, n: int) -> Column:

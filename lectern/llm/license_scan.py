@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, table
+from .common import ALNUM_TABLE, small_batches, table
 
 LEAST = 0.7
 #: Distinct words whose postings are looked up first; more follow only to align.
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(run, f"id {kind}, n_words long, places array<long>, base_labels array<string>, labels array<string>, score double")
+    return small_batches(d).mapInArrow(run, f"id {kind}, n_words long, places array<long>, base_labels array<string>, labels array<string>, score double")
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

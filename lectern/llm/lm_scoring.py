@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import small_batches, stage, table
 
 STATES, ITERATIONS = 6, 4
 TOP, HASHED = 4096, 4096
@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     seen.clear()
         yield rows()
 
-    return docs.select("t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return small_batches(docs.select("t")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                      pa.array(rare, pa.list_(pa.binary())), pa.array(seq, pa.binary())],
                     names=["id", "fit", "n", "known", "logc", "mass", "rare", "cls"])
 
-    rows = docs.select("id", "t", "fit").mapInArrow(run, "id long, fit boolean, n long, known long, logc double, mass double, rare array<binary>, cls binary")
+    rows = small_batches(docs.select("id", "t", "fit")).mapInArrow(run, "id long, fit boolean, n long, known long, logc double, mass double, rare array<binary>, cls binary")
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 

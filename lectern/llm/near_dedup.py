@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import small_batches, stage, table
 
 M, ROWS = 128, 4
 BANDS = M // ROWS
@@ -51,7 +51,7 @@ class _WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -143,7 +143,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             )
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return d.mapInArrow(run, "id long, cls binary, n long, keys array<long>")
+    return small_batches(d).mapInArrow(run, "id long, cls binary, n long, keys array<long>")
 
 
 def _wanted_bits(classes: DataFrame) -> np.ndarray:
@@ -182,7 +182,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) ->
                 names=["cls", "reg", "s"])
 
     d = docs.select(F.col(text_col).cast("binary").alias("t"))
-    found = d.mapInArrow(run, "cls binary, reg array<long>, s array<long>")
+    found = small_batches(d).mapInArrow(run, "cls binary, reg array<long>, s array<long>")
     return stage(found.groupBy("cls").agg(F.first("reg").alias("reg"), F.first("s").alias("s")))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pre-token pattern.
@@ -163,7 +163,7 @@ def build(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY)
             tree = pa.StructArray.from_arrays([pa.array(chars, kind), pa.array(tokens, kind), pa.array(sums, kind)], names=["chars", "tokens", "sums"])
             yield pa.RecordBatch.from_arrays([*b.columns, tree], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(_TREE))])), name
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(_TREE))])), name
 
 
 def recount(docs: DataFrame, tree: str, edits: str, text_col: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
@@ -189,7 +189,7 @@ def recount(docs: DataFrame, tree: str, edits: str, text_col: str = "text", voca
             cols[it], cols[itree] = pa.array(texts, b.schema.field(it).type), pa.array(trees, _STRUCT)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(again, pa.int64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])), name
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])), name
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, tree: str = "tree", id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
