@@ -34,6 +34,16 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Tables of fewer bytes (in files) than this may lie in one row group, which one core alone would read.
+LITTLE = 24 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A little table is dealt out to all cores; a larger one stays where it is, without a shuffle."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < LITTLE else df
+
+
 CTES["papers"] = """SELECT o_orderkey AS id, 'Paper ' || (o_orderkey % 997) AS title,
   CASE WHEN o_orderkey % 11 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS pubyear,
   CASE WHEN o_orderkey % 11 <> 0 THEN CAST(month(o_orderdate) AS VARCHAR) END AS pubmonth,
@@ -131,7 +141,7 @@ CTES["vecs"] = "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x
 
 
 def docs(spark, d) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return dealt(read(spark, d, "documents")).select("doc_id", "text", "lang", "source")
 
 
 def vecs(spark, d) -> DataFrame:

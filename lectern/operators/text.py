@@ -41,7 +41,7 @@ def arrow(kind: str):
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[ \\n\\t\\r]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), "[ \\n\\t\\r]+"), "")
 
 
 def sentences(text: Column) -> Column:

@@ -35,21 +35,19 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75, sh
     Document lengths and the terms' counts come from one pass over tokens, kept only for query terms; the mean idf needs the
     document frequency of every word, hence one count by word (partial sums before the shuffle)."""
     n_docs, avg = docs.agg(F.count("*"), F.avg(F.size("toks"))).first()
+    if not n_docs or not avg:
+        return docs.select("id", F.lit(0.0).alias("score"))
     df = docs.select(F.explode(F.array_distinct("toks")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    idf = df.select("t", (F.log(F.lit(float(n_docs)) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
-    held = {r["t"]: r["idf"] if r["idf"] >= 0 else share * mean for r in idf.where(F.col("t").isin(*terms)).collect()}
+    idf = F.log(F.lit(float(n_docs)) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    wanted = list(dict.fromkeys(terms))
+    got = df.select("t", idf.alias("idf")).agg(F.avg("idf").alias("mean"), *[F.max(F.when(F.col("t") == t, F.col("idf"))).alias(f"i{k}") for k, t in enumerate(wanted)]).first()
     score, size = F.lit(0.0), F.size("toks")
-    for t in terms:
-        if t in held:
-            tf = F.col("tf")[terms.index(t)]
-            score = score + held[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / float(avg)))
-    tfs = F.array(*[_count(t) for t in terms])
-    return docs.withColumn("tf", tfs).select("id", score.alias("score"))
-
-
-def _count(term: str) -> Column:
-    return F.aggregate("toks", F.lit(0), lambda a, x: a + F.when(x == term, 1).otherwise(0))
+    for k, t in enumerate(wanted):
+        if got[f"i{k}"] is not None:
+            weight = got[f"i{k}"] if got[f"i{k}"] >= 0 else share * (got["mean"] or 0.0)
+            tf = size - F.size(F.array_remove("toks", t))
+            score = score + terms.count(t) * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / float(avg)))
+    return docs.select("id", score.alias("score"))
 
 
 def ranked(scores: DataFrame, score: str, n_rows: int) -> DataFrame:
