@@ -14,12 +14,18 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_TABLE = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
+LITTLE = 24 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, by Spark's own reader, so that any store will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder, by Spark's own reader, so that any store will do.
+
+    Documents of less than LITTLE bytes (they may lie in one row group) are dealt out to all cores; more stay where they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < LITTLE:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the tables that stage() wrote in this process; results that still read them must be written first."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and nothing is computed twice."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

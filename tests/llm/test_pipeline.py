@@ -64,3 +64,13 @@ def test_awkward_and_empty_rows(spark, edge, empty):
 
 def test_run_equals_its_stages(spark, small, steps):
     assert sorted(map(tuple, P.run(spark, small).select("doc_id", "take", "shard").collect())) == sorted(map(tuple, steps[-1].select("doc_id", "take", "shard").collect()))
+
+
+def test_written_tables_can_be_deleted(spark):
+    from lectern.llm import common
+
+    df = stage(spark.range(3))
+    path = df.inputFiles()[0]
+    assert common.cleanup(spark) > 0 and not common._WRITTEN
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
