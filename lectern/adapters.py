@@ -40,7 +40,7 @@ LITTLE = 24 << 20
 
 def dealt(df: DataFrame) -> DataFrame:
     """A little table is dealt out to all cores; a larger one stays where it is, without a shuffle."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < LITTLE else df
 
 
