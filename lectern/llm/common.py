@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     Documents of less than LITTLE bytes (they may lie in one row group) are dealt out to all cores; more stay where they are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < LITTLE:
+    if name == "documents" and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < LITTLE:
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
