@@ -11,15 +11,15 @@ from ..operators import text
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Install clean_term, title_similarity, same_institution, repaired_markup and the table function split_terms."""
+    """Install clean_term, title_similarity, repaired_markup and the table function split_terms."""
     def clean(s: pd.Series) -> pd.Series:
         return s.map(text.clean_term_py)
 
     def repaired(s: pd.Series) -> pd.Series:
         return s.map(text.repaired_py)
 
-    def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([text.same_institution_py(x, y) for x, y in zip(a, b)])
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([text.title_ratio(x, y) for x, y in zip(a, b)])
 
     @udtf(returnType="lang string, term string")
     class SplitTerms:
@@ -30,6 +30,6 @@ def register(spark: SparkSession) -> list[str]:
 
     spark.udf.register("clean_term", pandas_udf(clean, "string"))
     spark.udf.register("repaired_markup", pandas_udf(repaired, "string"))
-    spark.udf.register("same_institution", pandas_udf(same, "boolean"))
+    spark.udf.register("title_similarity", pandas_udf(similarity, "double"))
     spark.udtf.register("split_terms", SplitTerms)
-    return ["clean_term", "repaired_markup", "same_institution", "split_terms"]
+    return ["clean_term", "repaired_markup", "title_similarity", "split_terms"]

@@ -21,7 +21,7 @@ INSTITUTION_SUFFIXES = ("대학교병원", "대학교", "대학병원", "대학"
                         "연구회", "협회", "주식회사", "농업기술원", "보건환경연구원", "사업단", "연구단", "박물관", "과학관")
 NOT_A_DEPARTMENT = ("대학원", "일반대학원", "산업대학원", "특수대학원", "전문대학원", "University", "College", "Graduate School", "대학", "학과", "과")
 NATIONAL = ("국립", "농촌진흥청")
-COMPANY = re.compile(r"\(주\)|주식회사|㈜|\(재\)|재단법인|사단법인")
+COMPANY = r"\(주\)|주식회사|㈜|\(재\)|재단법인|사단법인"
 #: Characters that have a raised or lowered form.
 RAISED = dict(zip("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"))
 LOWERED = dict(zip("0123456789+-=()aeox", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₒₓ"))
@@ -202,10 +202,15 @@ def title_keys(t: Column) -> Column:
     return F.struct(F.trim(low).alias("plain"), F.regexp_replace(low, "[ \\t\\n\\r]+", "").alias("tight"), F.regexp_replace(low, "[^0-9a-z가-힣]", "").alias("bare"), F.trim(F.regexp_replace(low, "[ \\t\\n\\r]+", " ")).alias("spaced"))
 
 
+def title_ratio(a: str | None, b: str | None) -> float:
+    """Matching-blocks ratio of the titles' letters and digits."""
+    x, y = (re.sub("[^0-9a-z가-힣]", "", (t or "").lower()) for t in (a, b))
+    return difflib.SequenceMatcher(None, x, y).ratio()
+
+
 @arrow("double")
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    norm = lambda v: re.sub(r"[^0-9a-z가-힣]", "", (v or "").lower())
-    return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y)).ratio() for x, y in zip(a, b)])
+    return pd.Series([title_ratio(x, y) for x, y in zip(a, b)])
 
 
 def issn(raw: Column) -> Column:
@@ -266,29 +271,19 @@ def institution_dept(raw: Column) -> Column:
     return F.when((rest != "") & ~rest.isin(*NOT_A_DEPARTMENT), rest)
 
 
-def _tight(v: str) -> str:
-    return re.sub(r"\s+", "", v).lower()
-
-
-def same_institution_py(a: str | None, b: str | None) -> bool:
-    """One of the two starts at a word boundary of the other, company markers and national prefixes aside."""
-    a, b = (COMPANY.sub(" ", x or "").strip() for x in (a, b))
-    na, nb = _tight(a), _tight(b)
-    if not na or not nb or na == nb:
-        return bool(na and nb)
-
-    def tails(raw: str) -> list[str]:
-        words = [w for w in re.split(r"[\s,/·()]+", raw) if w]
-        out = [_tight("".join(words[i:])) for i in range(len(words))]
-        return out + [t[len(p):] for t in out for p in NATIONAL if t.startswith(p) and len(t) > len(p)]
-
-    own = lambda n: n[2:] if n.startswith("국립") else n
-    return any(t.startswith(own(na)) for t in tails(b)) or any(t.startswith(own(nb)) for t in tails(a))
+def same_institution(a: Column, b: Column) -> Column:
+    """One name starts at a word boundary of the other; company markers and national prefixes do not count."""
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), COMPANY, " "))
+    tight = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    x, y = tight(clean(a)), tight(clean(b))
 
+    def within(name: Column, other: Column) -> Column:
+        words = F.array_remove(F.split(clean(other), r"[\s,/·()]+"), "")
+        tails = F.transform(words, lambda w, i: tight(F.array_join(F.slice(words, i + 1, F.size(words)), "")))
+        stem = F.regexp_replace(name, f"^{NATIONAL[0]}", "")
+        return F.exists(tails, lambda t: t.startswith(stem) | F.regexp_replace(t, "^(" + "|".join(NATIONAL) + ")", "").startswith(stem))
 
-@arrow("boolean")
-def same_institution(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_institution_py(x, y) for x, y in zip(a, b)])
+    return (x != "") & (y != "") & ((x == y) | within(x, b) | within(y, a))
 
 
 #: Words that mark an organisation, strong ones first.
@@ -316,22 +311,32 @@ def institution_units(raw: Column) -> Column:
 # Markup, markers
 
 
+_KNOWN = "TEX|SUP|SUB|B|I|P"
+#: A pair of known tags with no known tag inside.
+_INNERMOST = re.compile(rf"<({_KNOWN})\b[^>]*>((?:(?!</?(?:{_KNOWN})\b).)*)</\1>", re.I | re.S)
+_UNPAIRED = re.compile(rf"</?({_KNOWN})\b[^>]*>", re.I)
+_AROUND = {"b": ("**", "**"), "i": ("*", "*"), "p": ("", "\n\n")}
+
+
+def _rendered(m: re.Match) -> str:
+    kind, body = m[1].lower(), m[2]
+    forms = {"sup": RAISED, "sub": LOWERED}.get(kind, {})
+    if forms and set(body) <= set(forms):
+        return body.translate(str.maketrans(forms))
+    before, after = _AROUND.get(kind, ("", ""))
+    return before + body + after
+
+
 def repaired_py(value: str | None) -> str | None:
+    """Entities (escaped twice, too) and known tags become plain text, from the innermost pair outwards; other tags stay."""
     if not value:
         return value
-    tag = re.compile(r"<(TEX|SUP|SUB|B|I|P)\b[^>]*>(.*?)</\1>", re.I | re.S)
-
-    def inner(m: re.Match) -> str:
-        body, kind = tag.sub(inner, m.group(2)), m.group(1).upper()
-        forms = {"SUP": RAISED, "SUB": LOWERED}.get(kind)
-        if forms and body and all(ch in forms for ch in body):
-            return "".join(forms[ch] for ch in body)
-        return {"B": f"**{body}**", "I": f"*{body}*", "P": f"{body}\n\n"}.get(kind, body)
-
-    t = tag.sub(inner, html.unescape(html.unescape(value)))
-    t = re.sub(r"</?(TEX|SUP|SUB|B|I|P)\b[^>]*>", lambda m: "\n\n" if m.group(1).upper() == "P" else "", t, flags=re.I)
-    t = re.sub(r"[ \t]+", " ", t.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", t)).strip() or None
+    text, n = html.unescape(html.unescape(value)), 1
+    while n:
+        text, n = _INNERMOST.subn(_rendered, text)
+    text = _UNPAIRED.sub(lambda m: "\n\n" if m[1] in "pP" else "", text)
+    lines = [re.sub("[ \t]+", " ", line).strip(" ") for line in re.split("\r\n|\r|\n", text)]
+    return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip() or None
 
 
 @arrow("string")
@@ -339,24 +344,16 @@ def repaired(s: pd.Series) -> pd.Series:
     return s.map(repaired_py)
 
 
-def markers_py(raw: str | None, longest: int = 40) -> tuple[str, int | None, int | None]:
-    """Text without `**` and the place of the first marked phrase; none if unpaired, too long or all of the text."""
-    raw = raw or ""
-    m = re.search(r"\*\*(.+?)\*\*", raw, re.S)
-    plain = raw.replace("**", "")
-    body = plain.strip()
-    if not m:
-        return body, None, None
-    start = len(raw[: m.start()].replace("**", "")) - (len(plain) - len(plain.lstrip()))
-    end = start + len(m.group(1))
-    ok = start >= 0 and end <= len(body) and body[start:end] == m.group(1) and end - start <= longest and not (start <= 0 and end >= len(body))
-    return (body, start, end) if ok else (body, None, None)
-
-
-@arrow("struct<text:string,start:int,end:int>")
-def markers(s: pd.Series) -> pd.DataFrame:
-    rows = [markers_py(v) for v in s]
-    return pd.DataFrame({"text": [r[0] for r in rows], "start": pd.array([r[1] for r in rows], "Int32"), "end": pd.array([r[2] for r in rows], "Int32")})
+def markers(raw: Column, longest: int = 40) -> Column:
+    """struct text, start, end: text without `**` and the place of the first marked phrase; none if unpaired, too long or all of the text."""
+    raw = F.coalesce(raw, F.lit(""))
+    plain = F.replace(raw, F.lit("**"), F.lit(""))
+    body, phrase = F.trim(plain), F.regexp_extract(raw, r"(?s)\*\*(.+?)\*\*", 1)
+    start = F.instr(raw, "**") - 1 - (F.length(plain) - F.length(F.ltrim(plain)))
+    end = start + F.length(phrase)
+    held = body.substr(F.greatest(start + 1, F.lit(1)), F.length(phrase)) == phrase
+    ok = (phrase != "") & (start >= 0) & (end <= F.length(body)) & held & (F.length(phrase) <= longest) & ~((start == 0) & (end == F.length(body)))
+    return F.struct(body.alias("text"), F.when(ok, start).alias("start"), F.when(ok, end).alias("end"))
 
 
 def assembled(sents: Column, hard: int = 220, most: int = 200) -> Column:

@@ -35,4 +35,4 @@ def stm07(spark, d):
 def udf01(spark, d):
     register(spark)
     A.researchers(spark, d).createOrReplaceTempView("lectern_researchers")
-    return spark.sql("SELECT r.rid, clean_term(r.name) AS term, same_institution(r.institution, 'Brand#1') AS same, t.lang, t.term AS part FROM lectern_researchers r, LATERAL split_terms(concat(r.name, '; ', r.dept)) t")
+    return spark.sql("SELECT r.rid, clean_term(r.name) AS term, title_similarity(r.institution, 'Brand#1') AS ratio, t.lang, t.term AS part FROM lectern_researchers r, LATERAL split_terms(concat(r.name, '; ', r.dept)) t")

@@ -134,9 +134,9 @@ def str19(spark, d):
     return _inst(spark, d).select("rid", X.institution_dept(F.col("inst")).alias("dept"))
 
 
-@query("str20_institution_match")
+@query("str20_institution_match", oracle("researchers", "SELECT rid, rid % 6 IN (0, 1) AS same FROM researchers"))
 def str20(spark, d):
-    return _inst(spark, d).select("rid", X.same_institution("inst", F.lit("가람대학교")).alias("same"))
+    return _inst(spark, d).select("rid", X.same_institution(F.col("inst"), F.lit("가람대학교")).alias("same"))
 
 
 @query("str21_polished_institution")
@@ -154,9 +154,9 @@ def str23(spark, d):
     return A.papers(spark, d).select("id", X.query_key(F.array(F.upper("title"), "db_code", F.col("title"))).alias("key"))
 
 
-@query("str24_markers")
+@query("str24_markers", oracle("papers", "SELECT id, 'on ' || title || ' and more' AS text, 3 AS start, 3 + CAST(length(title) AS INT) AS \"end\" FROM papers"))
 def str24(spark, d):
-    return A.papers(spark, d).select("id", X.markers(F.concat(F.lit(" on **"), "title", F.lit("** and more"))).alias("m")).select("id", "m.*")
+    return A.papers(spark, d).select("id", X.markers(F.concat(F.lit(" on **"), F.col("title"), F.lit("** and more"))).alias("m")).select("id", "m.*")
 
 
 @query("str25_from_inverted", oracle("keywords", "SELECT paper_id, string_agg(name, ' ' ORDER BY pos, name) AS text FROM (SELECT paper_id, name, pos FROM keywords UNION ALL SELECT paper_id, name, pos + 100 FROM keywords) GROUP BY 1"))

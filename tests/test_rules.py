@@ -210,8 +210,8 @@ def test_institution_root(spark, raw, root, dept):
 
 
 @pytest.mark.parametrize("a,b,same", [("서울대학교", "서울대학교병원", True), ("국립식량과학원", "농촌진흥청 국립식량과학원", True), ("서울대학교", "남서울대학교", False), ("(주)가람", "가람", True), (None, "가람", False)])
-def test_same_institution(a, b, same):
-    assert X.same_institution_py(a, b) is same
+def test_same_institution(spark, a, b, same):
+    assert values(spark, [(a, b)], "a string, b string", X.same_institution(F.col("a"), F.col("b"))) == [(same,)]
 
 
 def test_terms_by_language():
@@ -223,11 +223,12 @@ def test_terms_by_language():
 def test_markup():
     assert X.repaired_py("H<SUB>2</SUB>O") == "H₂O" and X.repaired_py("a<SUP>xyz</SUP>") == "axyz" and X.repaired_py(None) is None
     assert X.repaired_py("<P>one</P><P>two") == "one\n\ntwo"
+    assert X.repaired_py("<I>y <B>z</B></I> &amp;lt; <Parasite>") == "*y **z*** < <Parasite>"
 
 
 @pytest.mark.parametrize("raw,want", [("a **b** c", ("a b c", 2, 3)), ("**all**", ("all", None, None)), ("a **b", ("a b", None, None)), ("**x** and **y** z", ("x and y z", 0, 1)), ("a **" + "b" * 41 + "** c", ("a " + "b" * 41 + " c", None, None)), (None, ("", None, None))])
-def test_markers(raw, want):
-    assert X.markers_py(raw) == want
+def test_markers(spark, raw, want):
+    assert tuple(values(spark, [(raw,)], "r string", X.markers(F.col("r")).alias("m"))[0][0]) == want
 
 
 def test_author_roles(spark):
