@@ -157,6 +157,19 @@ def grouped(items: list, size, most: int):
         yield run
 
 
+def buffered(batches, column: int, most: int = 8 * GROUP):
+    """Lists of batches of about `most` tokens: texts of like length are then stepped through together."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.column(column).nbytes // 2
+        if total >= most:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def log_likelihood(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
     """log10 probability of each class sequence, by the scaled forward recursion."""
     c = _Columns(seqs)
@@ -260,12 +273,9 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iteration
 
         def run(batches, now=now):
             starts, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-            for b in batches:
-                pieces = []
-                for raw in b.column(0).to_pylist():
-                    c = np.frombuffer(raw, "<i2")
-                    pieces += [c[i : i + PIECE] for i in range(0, len(c), PIECE)]
-                for group in grouped(pieces, len, GROUP):
+            for held in buffered(batches, 0):
+                seqs = [np.frombuffer(raw, "<i2") for b in held for raw in b.column(0).to_pylist()]
+                for group in grouped([c[i : i + PIECE] for c in seqs for i in range(0, len(c), PIECE)], len, GROUP):
                     x, y, z = expected_counts(group, now.value)
                     starts, moves, emit = starts + x, moves + y, emit + z
             at = np.flatnonzero(emit.sum(axis=1))
@@ -294,12 +304,15 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, p: Parameter
     now = encoded.sparkSession.sparkContext.broadcast(p)
 
     def run(batches):
-        for b in batches:
-            seqs = [np.frombuffer(raw, "<i2") for raw in b.column(6).to_pylist()]
+        for held in buffered(batches, 6):
+            seqs = [np.frombuffer(raw, "<i2") for b in held for raw in b.column(6).to_pylist()]
             ll = np.zeros(len(seqs))
             for group in grouped(range(len(seqs)), lambda i: len(seqs[i]), GROUP):
                 ll[group] = log_likelihood([seqs[i] for i in group], now.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ll)], names=[*b.schema.names[:6], "ll"])
+            at = 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ll[at : at + b.num_rows])], names=[*b.schema.names[:6], "ll"])
+                at += b.num_rows
 
     part = encoded.select("row", "id", "n", "known", "logc", "mass", "cls").mapInArrow(run, "row long, id long, n long, known long, logc double, mass double, ll double")
     words = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
