@@ -1,19 +1,20 @@
 """Licence scans with a positional index of rare words.
 
-Licence templates (notices and key paragraphs) are indexed by word: each word's postings are (template, position). A file's licence
-words are looked up, those of highest inverse template frequency first, and each occurrence votes, with that weight, for the start
-at which its template would lie. The starts with the most votes are aligned word by word; the aligned share of the template's
-weight is its score. A label needs a score of LEAST and the template's mandatory key phrase in place.
+Licence templates (notices and key paragraphs) are indexed by the rarest word (highest inverse template frequency) of their mandatory
+key phrase: its postings are (template, position). Every occurrence of such a word in a file gives the start at which its template
+would lie; where the key phrase stands in place, the template is aligned word by word, and the aligned share of the template's weight
+is its score. A label needs a score of LEAST. As the key phrase is mandatory and all its places are tried, no alignment is missed,
+however long the file and however many licences it holds.
 
 Base phrases are found wherever their words stand consecutively, and give labels as well.
 
-Defined results: a null or empty text has no words, no places and no labels; ties between starts go to the first; repeated rows each
+Defined results: a null or empty text has no words, no places and no labels; repeated rows each
 get a row; an empty table gives no rows. Only id and text are read.
 """
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import ALNUM_TABLE, small_batches, table
 
 LEAST = 0.7
-#: Distinct words whose postings are looked up first; more follow only to align.
-SEEDS = 8
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Label, mandatory key phrase, and words of the licence's usual notice or key paragraph.
 TEMPLATES = (
@@ -56,16 +55,19 @@ class Index:
         self.words = [t[2].encode().split() for t in templates]
         self.key = [t[1].encode().split() for t in templates]
         self.key_at = [next(i for i in range(len(w)) if w[i : i + len(k)] == k) for w, k in zip(self.words, self.key)]
-        self.post: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for n, w in enumerate(self.words):
-            for i, x in enumerate(w):
-                self.post[x].append((n, i))
-        self.post = dict(self.post)
-        self.idf = {x: math.log((len(templates) + 1) / len({n for n, _ in p})) for x, p in self.post.items()}
+        self.idf = {x: math.log((len(templates) + 1) / n) for x, n in Counter(x for w in self.words for x in set(w)).items()}
         self.weight = [sum(self.idf[x] for x in w) for w in self.words]
         self.base = [(p.encode().split(), label) for p, label in base]
+        #: Templates, and the position in each, by the rarest word of their key phrase.
+        self.seed: dict[bytes, list[tuple[int, int]]] = {}
+        for n, k in enumerate(self.key):
+            x = self.rarest(k)
+            self.seed.setdefault(x, []).append((n, self.key_at[n] + k.index(x)))
         #: A file without one of these words can hold no key phrase and no base phrase.
-        self.need = frozenset(max(k, key=lambda x: (self.idf.get(x, 99.0), x)) for k in [*self.key, *(p for p, _ in self.base)])
+        self.need = frozenset([*self.seed, *(self.rarest(p) for p, _ in self.base)])
+
+    def rarest(self, phrase: list[bytes]) -> bytes:
+        return max(phrase, key=lambda x: (self.idf.get(x, 99.0), x))
 
     def places(self, words: list[bytes]) -> list[tuple[int, str]]:
         """Start and label of every base phrase."""
@@ -83,25 +85,16 @@ class Index:
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels whose template aligns and whose key phrase stands in place, with their best score."""
-        at: dict[bytes, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            if w in self.post:
-                at[w].append(i)
-        seeds = sorted(at, key=lambda w: (-self.idf[w], w))[:SEEDS]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in seeds:
-            for n, i in self.post[w]:
-                for j in at[w]:
-                    votes[n, j - i] += self.idf[w]
         best: dict[str, float] = {}
-        for (n, start), v in sorted(votes.items()):
-            t, k = self.words[n], self.key_at[n]
-            if start + k < 0 or words[start + k : start + k + len(self.key[n])] != self.key[n]:
-                continue
-            hit = sum(self.idf[x] for i, x in enumerate(t) if 0 <= start + i < len(words) and words[start + i] == x)
-            score = min(1.0, hit / self.weight[n])
-            if score >= LEAST and score > best.get(self.label[n], 0):
-                best[self.label[n]] = score
+        for at, w in enumerate(words):
+            for n, i in self.seed.get(w, ()):
+                t, k, start = self.words[n], self.key_at[n], at - i
+                if start + k < 0 or words[start + k : start + k + len(self.key[n])] != self.key[n]:
+                    continue
+                hit = sum(self.idf[x] for i, x in enumerate(t) if 0 <= start + i < len(words) and words[start + i] == x)
+                score = min(1.0, hit / self.weight[n])
+                if score >= LEAST and score > best.get(self.label[n], 0):
+                    best[self.label[n]] = score
         return best
 
 

@@ -412,6 +412,15 @@ def test_license_templates_align_with_noise():
     assert "gpl" in ix.match(" ".join(w).encode().split()) and ix.match(b"general words of a license but no phrase".split()) == {}
 
 
+def test_license_templates_in_a_long_text_with_several_licenses(spark):
+    plain = "are code conditions either except file for form into later may not person program that your "
+    text = plain * 50 + " ".join(f"{words} {plain * 20}" for _, _, words in C.TEMPLATES)
+    assert C.Index().match(text.encode().split()) == pytest.approx({label: 1.0 for label, _, _ in C.TEMPLATES})
+    two = plain * 9 + "Released under the MIT License. " + plain * 9 + "Licensed under CC BY-NC 4.0."
+    row = C.scan(spark.createDataFrame([(1, two)], "doc_id long, text string")).first()
+    assert row["labels"] == ["cc-by", "cc-by-nc", "mit"] and row["score"] == pytest.approx(1.0)
+
+
 # 9
 
 
