@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .projections import paper_type
+from .windows import global_rank
 
 #: Codes of each listed type.
 CODES = {"journal": ("JAKO", "JAFO"), "conference": ("CFKO",), "thesis": ("DIKO",)}
@@ -87,13 +88,20 @@ def result_order(mode: str, tie: str) -> list:
     return [*first, F.col(tie)]
 
 
+def list_sorted(items: DataFrame, mode: str) -> DataFrame:
+    """Every item with its place rn in the list's order; an unknown year is 0, so first when oldest. Ties go by id."""
+    y = F.coalesce("pubyear", F.lit(0))
+    first = {"latest": y.desc(), "oldest": y.asc(), "citation": F.coalesce("citation_count", F.lit(0)).desc()}[mode]
+    return global_rank(items, [first, F.col("id").asc()], "rn", items.count())
+
+
 def researcher_order(mode: str) -> list:
     y, m = F.coalesce("pubyear", F.lit(0)).desc(), F.coalesce(F.col("pubmonth").try_cast("int"), F.lit(0)).desc()
     return [y, m, F.col("title").desc()] if mode == "recent" else [F.coalesce("citation_count", F.lit(-1)).desc(), y, m]
 
 
 def downgraded(rows: DataFrame, group: str, cited: Column, least: int) -> DataFrame:
-    """Each group's first row by citations if `least` of its rows are cited, else by year."""
+    """Every row with its place rn in its group: by citations if `least` of the group's rows are cited, else by year."""
     x = rows.withColumn("ok", F.count_if(cited).over(Window.partitionBy(group)) >= least)
     w = Window.partitionBy(group).orderBy(F.when(F.col("ok"), F.coalesce("citation_count", F.lit(-1))).otherwise(0).desc(), F.coalesce("pubyear", F.lit(0)).desc(), "paper_id")
-    return x.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return x.withColumn("rn", F.row_number().over(w))

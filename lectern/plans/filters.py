@@ -141,6 +141,11 @@ def srt02(spark, d):
     return A.papers(spark, d).select("id", F.coalesce("pubyear", F.lit(0)).alias("y")).orderBy("y", "id").limit(50)
 
 
+@query("srt02_list_sort_whole", oracle("papers", "SELECT id, coalesce(pubyear, 0) AS y, row_number() OVER (ORDER BY coalesce(pubyear, 0), id) AS rn FROM papers"))
+def srt02_whole(spark, d):
+    return P.list_sorted(A.papers(spark, d), "oldest").select("id", F.coalesce("pubyear", F.lit(0)).alias("y"), "rn")
+
+
 @query("srt03_researcher_sort", oracle("links papers", "SELECT rid, paper_id, rn FROM (SELECT rid, paper_id, row_number() OVER (PARTITION BY rid ORDER BY coalesce(pubyear, 0) DESC, coalesce(TRY_CAST(pubmonth AS INT), 0) DESC, title DESC, paper_id) AS rn FROM links JOIN papers ON id = paper_id) WHERE rn <= 3"))
 def srt03(spark, d):
     x = A.links(spark, d).join(A.papers(spark, d), F.col("paper_id") == F.col("id"))
@@ -152,7 +157,14 @@ def srt03(spark, d):
   SELECT rid, paper_id, ok FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN ok THEN coalesce(citation_count, -1) ELSE 0 END DESC, coalesce(pubyear, 0) DESC, paper_id) AS rn FROM x) WHERE rn = 1"""))
 def srt04(spark, d):
     x = A.links(spark, d).join(A.papers(spark, d), F.col("paper_id") == F.col("id"))
-    return P.downgraded(x, "rid", F.col("citation_count") > 45, 3).select("rid", "paper_id", "ok")
+    return P.downgraded(x, "rid", F.col("citation_count") > 45, 3).where("rn = 1").select("rid", "paper_id", "ok")
+
+
+@query("srt04_sort_downgrade_whole", oracle("links papers", """WITH x AS (SELECT rid, paper_id, pubyear, citation_count, count(*) FILTER (citation_count > 45) OVER (PARTITION BY rid) >= 3 AS ok FROM links JOIN papers ON id = paper_id)
+  SELECT rid, paper_id, ok, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN ok THEN coalesce(citation_count, -1) ELSE 0 END DESC, coalesce(pubyear, 0) DESC, paper_id) AS rn FROM x"""))
+def srt04_whole(spark, d):
+    x = A.links(spark, d).join(A.papers(spark, d), F.col("paper_id") == F.col("id"))
+    return P.downgraded(x, "rid", F.col("citation_count") > 45, 3).select("rid", "paper_id", "ok", "rn")
 
 
 @query("srt05_name_search", oracle("researchers links", """WITH n AS (SELECT rid, count(*) AS papers FROM links GROUP BY 1), x AS (SELECT r.rid, r.name, CASE WHEN name = 'red bolt' THEN 3 WHEN starts_with(name, 'red') THEN 2 END AS s, n.papers FROM researchers r LEFT JOIN n USING (rid) WHERE name = 'red bolt' OR starts_with(name, 'red'))

@@ -254,3 +254,17 @@ def test_rank_in_ranges_equals_one_window(spark, monkeypatch):
     one = sorted(map(tuple, W.global_rank(df, order, "rank", 200).collect()))
     monkeypatch.setattr(W, "ONE_TASK", 30)
     assert sorted(map(tuple, W.global_rank(df, order, "rank", 200).collect())) == one
+
+
+def test_list_sort_returns_every_row(spark):
+    p = spark.createDataFrame([(i, None if i % 5 == 0 else 1990 + i % 7, i % 3) for i in range(120)], "id long, pubyear int, citation_count long")
+    got = {r["id"]: r["rn"] for r in P.list_sorted(p, "oldest").collect()}
+    order = sorted(range(120), key=lambda i: (0 if i % 5 == 0 else 1990 + i % 7, i))
+    assert [got[i] for i in order] == list(range(1, 121))
+
+
+def test_sort_downgrade_returns_every_row(spark):
+    rows = [(1, 10, 5, 2000), (1, 11, 9, 1999), (1, 12, 7, 2001), (2, 20, 9, 1990), (2, 21, 0, 2005), (2, 22, None, 2001)]
+    x = spark.createDataFrame(rows, "rid int, paper_id int, citation_count int, pubyear int")
+    got = P.downgraded(x, "rid", F.col("citation_count") > 0, 3).select("rid", "paper_id", "ok", "rn").collect()
+    assert sorted(map(tuple, got)) == [(1, 10, True, 3), (1, 11, True, 1), (1, 12, True, 2), (2, 20, False, 3), (2, 21, False, 1), (2, 22, False, 2)]
