@@ -137,6 +137,17 @@ def jon17(spark, d):
     return p.withColumn("bare", F.lower(bare_doi(F.col("doi")))).join(b, "bare").select("id", "match")
 
 
+@query("jon17_doi_join_whole", oracle("papers", r"""WITH a AS (SELECT id, CASE id % 5 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'http://dx.doi.org/' WHEN 2 THEN 'HTTPS://DOI.ORG/' WHEN 3 THEN 'http://doi.org/' ELSE '' END || '10.5/P' || id AS doi FROM papers)
+  SELECT a.id, b.id AS match FROM a JOIN (SELECT id, '10.5/p' || id AS bare FROM papers) b ON lower(regexp_replace(a.doi, '(?i)^https?://(dx\.)?doi\.org/', '')) = b.bare"""))
+def jon17_whole(spark, d):
+    from ..operators.text import bare_doi
+
+    k = F.col("id") % 5
+    p = A.papers(spark, d).select("id", F.concat(F.when(k == 0, "https://doi.org/").when(k == 1, "http://dx.doi.org/").when(k == 2, "HTTPS://DOI.ORG/").when(k == 3, "http://doi.org/").otherwise(""), F.lit("10.5/P"), F.col("id")).alias("doi"))
+    b = A.papers(spark, d).select(F.col("id").alias("match"), F.concat(F.lit("10.5/p"), F.col("id")).alias("bare"))
+    return p.withColumn("bare", F.lower(bare_doi(F.col("doi")))).join(b, "bare").select("id", "match")
+
+
 @query("jon18_resolve_two_keys", oracle("papers cites", "WITH q AS (SELECT DISTINCT dst + 7 AS key FROM cites), a AS (SELECT id * 2 AS alt, max(id) AS id FROM papers GROUP BY 1) SELECT key, coalesce(p.id, a.id) AS id FROM q LEFT JOIN (SELECT id FROM papers WHERE id % 3 > 0) p ON p.id = key LEFT JOIN a ON a.alt = key"))
 def jon18(spark, d):
     p = A.papers(spark, d)
@@ -223,6 +234,12 @@ def jon30(spark, d):
     return A.papers(spark, d).where("id % 3 = 0").select(F.lit("paper").alias("kind"), F.col("id").alias("key")).distinct().join(done, ["kind", "key"], "left_anti")
 
 
+@query("jon30_pending_work_whole", oracle("papers bookmarks", "SELECT DISTINCT 'paper' AS kind, id AS key FROM papers WHERE NOT EXISTS (SELECT 1 FROM bookmarks b WHERE b.paper_id = papers.id)"))
+def jon30_whole(spark, d):
+    done = A.bookmarks(spark, d).select(F.lit("paper").alias("kind"), F.col("paper_id").alias("key"))
+    return A.papers(spark, d).select(F.lit("paper").alias("kind"), F.col("id").alias("key")).distinct().join(done, ["kind", "key"], "left_anti")
+
+
 # Set operations
 
 
@@ -258,6 +275,11 @@ def set06(spark, d):
     return S.union_distinct(A.links(spark, d).where("rid % 10 = 0").select(F.col("paper_id").alias("id")), A.cites(spark, d).select("dst"), A.bookmarks(spark, d).select("paper_id"))
 
 
+@query("set06_three_way_union_whole", oracle("links cites bookmarks", "SELECT paper_id AS id FROM links UNION SELECT dst FROM cites UNION SELECT paper_id FROM bookmarks"))
+def set06_whole(spark, d):
+    return S.union_distinct(A.links(spark, d).select(F.col("paper_id").alias("id")), A.cites(spark, d).select("dst"), A.bookmarks(spark, d).select("paper_id"))
+
+
 @query("set07_missing_keys", oracle("vecs docs", "SELECT id FROM vecs WHERE id NOT IN (SELECT doc_id FROM docs WHERE doc_id % 2 = 0)"))
 def set07(spark, d):
     return A.vecs(spark, d).select("id").join(A.docs(spark, d).where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), "id", "left_anti")
