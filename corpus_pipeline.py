@@ -27,12 +27,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: the one with the least id."""
+    """One row of each group of exact and near copies: the one with the least id.
+
+    Where rows share an id or have none, they are decided by id and text: of a group's rows with the least id (or, if none of
+    the group has an id, of all its rows) the one whose digest is least stays. A text without words is in no group; its row stays, once
+    for each id and text."""
     found = stage(n.dedup(docs))
     out = docs.join(found.where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    if not found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    again = stage(found.groupBy("id").count().where("count > 1 OR id IS NULL").select(F.col("id").alias("__again")))
+    if again.isEmpty():
+        return out
+    same = F.col("doc_id") == F.col("__again")
+    some = n.with_class(docs.join(again, same, "left_semi").union(docs.where("doc_id IS NULL")))
+    some = stage(some.withColumn("__blank", F.when(F.col("__cls").isNull(), F.col("text"))).dropDuplicates(["doc_id", "__cls", "__blank"]))
+    first = found.where("kept AND cls IS NOT NULL").groupBy("comp").agg(F.min("cls").alias("__first"), F.first("id").alias("__id"))
+    some = some.join(first, (F.col("__cls") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").union(some.where("__cls IS NULL"))
+    return out.where("doc_id IS NOT NULL").join(again, same, "left_anti").union(some.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

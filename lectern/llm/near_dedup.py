@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, stage, table
 
@@ -120,6 +121,18 @@ def _class_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+def with_class(docs: DataFrame, text_col: str = "text", name: str = "__cls") -> DataFrame:
+    """docs with one more column, the digest of the word sequence (null without words), as in sketches()."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            words = [t.lower().split() if t else [] for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_class_of(w) if w else None for w in words], pa.binary())], names=[*b.schema.names, name])
+
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """One row per input row: id, cls (digest of the word sequence, null without words), n (set size), keys (band keys)."""
 
@@ -283,7 +296,8 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: id, cls, n_shingles, component_id (the least id that links lead to), kept."""
+    """One row per input row: id, cls, n_shingles, component_id (the least id that links lead to), kept, comp (a digest that names the
+    component, null without words)."""
     sk = stage(sketches(docs, id_col, text_col, size))
     cl = sk.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     member = stage(cl.select("cls", "id", F.explode("keys").alias("key")))
@@ -315,10 +329,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     ids = sk.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id")).join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left")
     ids = stage(ids.select("cls", "id", F.coalesce("comp", "cls").alias("comp")))
     least = stage(ids.groupBy("comp").agg(F.min("id").alias("component_id")))
-    of = stage(ids.join(least, "comp").select("cls", "component_id"))
+    of = stage(ids.join(least, "comp").select("cls", "component_id", "comp"))
     out = sk.select("id", "cls", F.col("n").alias("n_shingles")).join(of, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")))
-    return out.select("id", "cls", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("id", "cls", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "comp")
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

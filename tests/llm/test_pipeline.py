@@ -32,6 +32,15 @@ def test_one_of_each_group_stays(steps):
     assert sorted(r["doc_id"] for r in steps[2].collect()) == want
 
 
+def test_repeated_and_missing_ids_are_decided_by_text(spark):
+    word = lambda k, i: f"w{k}x{i}"
+    text = lambda k, *other: " ".join(["changed" if i in other else word(k, i) for i in range(80)])
+    rows = [(7, text(1)), (7, text(1)), (7, text(2, 40)), (3, text(2)), (None, text(2, 41)), (None, text(3)), (None, text(3).upper()), (9, text(4)), (9, text(4, 40)), (8, text(5)), (12, text(5)), (None, None), (20, ""), (20, ""), (30, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted(((r["doc_id"], (r["text"] or "")[:3].lower()) for r in P.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(7, "w1x"), (3, "w2x"), (None, "w3x"), (9, "w4x"), (8, "w5x"), (None, ""), (20, ""), (30, "w6x")], key=repr)
+
+
 def test_no_benchmark_passage_stays(spark, small, steps):
     items = [(str(r[0]), ALNUM.findall(low(r[1]))) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     by_first: dict = {}
