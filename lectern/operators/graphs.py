@@ -1,6 +1,8 @@
 """Property-graph patterns as joins, keyword maps, citation graphs, connected components."""
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,14 +82,17 @@ def materialised(refs: DataFrame, alias: DataFrame) -> tuple[DataFrame, DataFram
     return refs.join(a, "external").where("src <> id").select("src", F.col("id").alias("dst")).distinct(), refs.join(a, "external", "left_anti")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, comp (least node of the component; alone: itself), of edges a, b.
 
-    Large-star and small-star steps on written tables; stops when a round changes nothing."""
+    Large-star and small-star steps on written tables; stops when a round changes nothing. Where `rounds` are given and do not
+    suffice, it raises."""
     ensure_checkpoint_dir(nodes.sparkSession)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     last = None
-    for _ in range(rounds):
+    for n in count():
+        if n == rounds:
+            raise RuntimeError(f"components have not converged in {rounds} rounds")
         both = e.union(e.select("v", "u")).toDF("u", "v")
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()

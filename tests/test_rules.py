@@ -175,6 +175,14 @@ def test_components_against_union_find(spark):
     assert {r["node"]: r["comp"] for r in got.collect()} == _components(nodes, edges)
 
 
+def test_components_that_have_not_converged_raise(spark):
+    nodes, edges = list(range(40)), [(i, i + 1) for i in range(39)]
+    n, e = spark.createDataFrame([(n,) for n in nodes], "n long"), spark.createDataFrame(edges, "a long, b long")
+    with pytest.raises(RuntimeError):
+        R.components(n, e, rounds=1)
+    assert {r["comp"] for r in R.components(n, e).collect()} == {0}
+
+
 def test_name_components_against_union_find(spark):
     rng = random.Random(5)
     rows = sorted({(f"n{rng.randrange(3)}", rng.randrange(40), rng.randrange(60)) for _ in range(90)})
