@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, and calibrated rejection.
 
-Training takes at most `per_lang` labelled rows of each language, drawn by a hash of the id (the bound is a parameter), and
-runs stochastic gradient descent in numpy on the driver. A text's vector is the mean of the embeddings of its byte
+Training takes at most `per_lang` labelled rows of each language, drawn by a hash of the id, and sees of each a random
+window of at most `window` bytes in each of the EPOCHS (both bounds are parameters). Stochastic gradient descent runs in numpy on the driver. A text's vector is the mean of the embeddings of its byte
 n-grams (orders 1 to 4, over lower-cased letters with single spaces), so scores are means of one precomputed table of
 fixed size, which every worker holds. Whole texts are scored.
 
@@ -14,6 +14,7 @@ that sorts first. Only id, text and (to learn) lang are read.
 """
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from .common import small_batches, table
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 PER_LANG, EPOCHS, RATE = 600, 6, 0.4
+#: Bytes of a sampled text that one epoch of training sees at most; 16 at least.
+WINDOW = 1 << 12
 REJECT, MOST_BOUND = 0.002, 0.45
 PIECE = 1 << 20
 #: ASCII letters lower-cased, other ASCII bytes blank, the rest as it is.
@@ -79,7 +82,7 @@ def logits(model: Model, text: bytes) -> np.ndarray:
     return total / max(n, 1) + model.bias
 
 
-def train(rows: list[tuple[int, bytes, str]], seed: int = 7) -> Model:
+def train(rows: list[tuple[int, bytes, str]], seed: int = 7, window: int = WINDOW) -> Model:
     """Fit on (id, text, lang) rows; their order does not matter."""
     rows = sorted(r for r in rows if has_letter(r[1]))
     langs = sorted({r[2] for r in rows})
@@ -95,7 +98,7 @@ def train(rows: list[tuple[int, bytes, str]], seed: int = 7) -> Model:
     for _ in range(EPOCHS):
         for k in rng.permutation(len(fit)):
             x, y = fit[k]
-            size = int(min(len(x), 2 ** rng.uniform(3.5, 12)))  # pieces of all lengths, so that short texts are learned too
+            size = int(min(len(x), 2 ** rng.uniform(3.5, math.log2(window))))  # pieces of all lengths, so that short texts are learned too
             at = int(rng.integers(0, len(x) - size + 1))
             u, c = np.unique(np.concatenate(grams(x[at : at + size])), return_counts=True)
             share = (c / c.sum()).astype(np.float32)
@@ -120,8 +123,8 @@ def train(rows: list[tuple[int, bytes, str]], seed: int = 7) -> Model:
     return model
 
 
-def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
-    """Train on at most about per_lang rows of each language, whatever the table's size."""
+def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, window: int = WINDOW) -> Model:
+    """Train on at most about per_lang rows of each language and windows of at most `window` bytes, whatever the table's size."""
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     d = d.where(F.col("lang").isNotNull() & F.col("id").isNotNull())
     d = d.where(where) if where is not None else d
@@ -131,7 +134,7 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 20))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 20)))])
     sample = d.where(draw < F.try_element_at(share, "lang")).where("text is not null").select("id", F.col("text").cast("binary").alias("text"), "lang")
-    return train([(r["id"], bytes(r["text"]), r["lang"]) for r in sample.toLocalIterator()])
+    return train([(r["id"], bytes(r["text"]), r["lang"]) for r in sample.toLocalIterator()], window=window)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:

@@ -458,3 +458,14 @@ def test_embedding_table_is_the_network():
     rng = np.random.default_rng(0)
     m = L.train([(i, (" alpha beta" if i % 2 else " gamma delta").encode() * int(rng.integers(1, 9)), "a" if i % 2 else "b") for i in range(60)])
     assert m.langs == ["a", "b"] and np.argmax(L.logits(m, b"alpha")) == 0 and np.argmax(L.logits(m, b"delta gamma")) == 1
+
+
+def test_window_bounds_what_an_epoch_sees(monkeypatch):
+    seen, grams = [], L.grams
+    monkeypatch.setattr(L, "grams", lambda x: seen.append(len(x)) or grams(x))
+    rows = [(i, (b"alpha beta " if i % 2 else b"gamma delta ") * 2000, "a" if i % 2 else "b") for i in range(40)]
+    L.train(rows, window=64)
+    assert max(seen) <= 64 and len(seen) == 40 * L.EPOCHS
+    seen.clear()
+    L.train(rows)
+    assert 64 < max(seen) <= L.WINDOW
