@@ -1,11 +1,13 @@
 """What the operators of this subpackage share."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separators of words: these bytes become spaces, so that bytes.split() yields the words.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -28,25 +30,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._conf.get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, a local session
+    gets a folder of its own, and any other an error, because its executors would not see the driver's folders."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _OWN.get(sc.applicationId)
     if not d:
-        d = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: start the session with it, naming a folder that driver and executors share")
+        d = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="lectern-")
     return d.rstrip("/")
 
 
 _WRITTEN: list[str] = []
 
 
-def cleanup(spark: SparkSession) -> int:
-    """Delete the tables that stage() wrote in this process; results that still read them must be written first."""
+def written() -> int:
+    """How many tables stage() has written in this process and not deleted; for cleanup(since=)."""
+    return len(_WRITTEN)
+
+
+def cleanup(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that stage() wrote after the first `since`, but for the last `keep`; results that still read them
+    must be written first."""
     jvm, n = spark.sparkContext._jvm, 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
@@ -76,3 +90,52 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
     return df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, run, more: str = "", rows: int = 1000) -> DataFrame:
+    """df.mapInArrow(run) for run that passes df's columns on and adds those of the schema `more`; any column names will do.
+
+    In run the columns are named by their places, "0" and so on; the new ones follow."""
+    new = T.StructType.fromDDL(more) if more else T.StructType()
+    fields = [*df.schema.fields, *new.fields]
+    plain = T.StructType([T.StructField(str(i), f.dataType, True) for i, f in enumerate(fields)])
+    return small_batches(df.toDF(*map(str, range(len(df.columns)))), rows).mapInArrow(run, plain).toDF(*[f.name for f in fields])
+
+
+def batch_of(columns) -> "pa.RecordBatch":
+    """A batch for map_rows."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays(columns, names=list(map(str, range(len(columns)))))
+
+
+def col(name: str):
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def prefix(values, zero, op, chunk: int = 128):
+    """For an array, the array of op over all earlier items (zero for the first). Chunks keep the copying near linear."""
+    n = F.size(values)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / chunk).cast("int")), lambda c: F.slice(values, c * chunk + 1, F.lit(chunk)))
+
+    def of(parts):
+        def of_totals(totals):
+            def one(part, c):
+                before = F.aggregate(F.slice(totals, F.lit(1), c), zero, op)
+                start = F.struct(before.alias("at"), F.array().cast("array<bigint>").alias("out"))
+                return F.aggregate(part, start, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+            return F.flatten(F.transform(parts, one))
+
+        return let(F.transform(parts, lambda p: F.aggregate(p, zero, op)), of_totals)
+
+    return F.when(n > 0, let(chunks, of)).otherwise(F.array().cast("array<bigint>"))

@@ -1,15 +1,17 @@
 """Licence scans with a positional index of rare words.
 
-Licence templates (notices and key paragraphs) are indexed by the rarest word (highest inverse template frequency) of their mandatory
-key phrase: its postings are (template, position). Every occurrence of such a word in a file gives the start at which its template
-would lie; where the key phrase stands in place, the template is aligned word by word, and the aligned share of the template's weight
-is its score. A label needs a score of LEAST. As the key phrase is mandatory and all its places are tried, no alignment is missed,
-however long the file and however many licences it holds.
+Licence templates (notices, key paragraphs or whole licences; a list or a table) are indexed by the rarest word (highest inverse
+template frequency) of their mandatory key phrase: its postings are (template, position). Every occurrence of such a word in
+a file gives the place at which its template would lie; where the key phrase stands in place, the template is aligned
+outward from the phrase in runs of RUN words. A run may lie up to DRIFT words off the place that its neighbour nearer the phrase gives it, so
+that names and dates filled in do not break a long licence; of equally good places the nearest counts, then the earlier one.
+The aligned share of the template's weight is its score, and a label needs a score of LEAST. As the key phrase is mandatory and all its
+places are tried, no alignment is missed, however long the file and however many licences it holds.
 
 Base phrases are found wherever their words stand consecutively, and give labels as well.
 
-Defined results: a null or empty text has no words, no places and no labels; repeated rows each
-get a row; an empty table gives no rows. Only id and text are read.
+Defined results: a null or empty text has no words, no places and no labels; a very long text is scanned whole; equal scores of a label count
+once; repeated rows each get a row; an empty table gives no rows. Only id and text are read, so other columns may have any names.
 """
 from __future__ import annotations
 
@@ -20,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, small_batches, table
+from .common import ALNUM_TABLE, col, small_batches, table
 
 LEAST = 0.7
+RUN, DRIFT = 32, 8
+#: Templates are held by every worker, so a table of them has at most so many words; more is an error.
+MOST_WORDS = 4_000_000
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Label, mandatory key phrase, and words of the licence's usual notice or key paragraph.
 TEMPLATES = (
@@ -58,6 +63,7 @@ class Index:
         self.idf = {x: math.log((len(templates) + 1) / n) for x, n in Counter(x for w in self.words for x in set(w)).items()}
         self.weight = [sum(self.idf[x] for x in w) for w in self.words]
         self.base = [(p.encode().split(), label) for p, label in base]
+        self.drifts = sorted(range(-DRIFT, DRIFT + 1), key=lambda d: (abs(d), d))
         #: Templates, and the position in each, by the rarest word of their key phrase.
         self.seed: dict[bytes, list[tuple[int, int]]] = {}
         for n, k in enumerate(self.key):
@@ -83,26 +89,57 @@ class Index:
                 pass
         return out
 
+    def aligned(self, words: list[bytes], n: int, start: int) -> float:
+        """The weight of template n's words that stand in place, where its first word would be at start."""
+        t, first = self.words[n], self.key_at[n] // RUN * RUN
+        total = 0.0
+        for runs in (range(first, len(t), RUN), range(first - RUN, -1, -RUN)):
+            shift = 0
+            for i in runs:
+                run = t[i : i + RUN]
+                best, best_shift = -1.0, shift
+                for d in self.drifts if i != first else (0,):
+                    at = start + i + shift + d
+                    hit = sum(self.idf[x] for x, y in zip(run[max(0, -at) :], words[max(0, at) : max(0, at + len(run))]) if x == y)
+                    if hit > best:
+                        best, best_shift = hit, shift + d
+                total, shift = total + best, best_shift
+        return total
+
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels whose template aligns and whose key phrase stands in place, with their best score."""
         best: dict[str, float] = {}
         for at, w in enumerate(words):
             for n, i in self.seed.get(w, ()):
-                t, k, start = self.words[n], self.key_at[n], at - i
+                k, start = self.key_at[n], at - i
                 if start + k < 0 or words[start + k : start + k + len(self.key[n])] != self.key[n]:
                     continue
-                hit = sum(self.idf[x] for i, x in enumerate(t) if 0 <= start + i < len(words) and words[start + i] == x)
-                score = min(1.0, hit / self.weight[n])
+                score = min(1.0, self.aligned(words, n, start) / self.weight[n])
                 if score >= LEAST and score > best.get(self.label[n], 0):
                     best[self.label[n]] = score
         return best
 
 
+def templates_of(table: DataFrame, most_words: int = MOST_WORDS) -> tuple:
+    """(label, key phrase, text) of a table of licences with these columns, normalised to words; phrases must stand in their texts."""
+    own = lambda c: F.trim(F.regexp_replace(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    rows = table.select("label", own("phrase").alias("phrase"), own("text").alias("text")).where("label IS NOT NULL AND phrase <> '' AND text <> ''")
+    n = rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    if n > most_words:
+        raise ValueError(f"the licence templates have {n} words; workers hold at most {most_words}")
+    found = sorted(tuple(r) for r in rows.distinct().collect())
+    for label, phrase, text in found:
+        if f" {phrase} " not in f" {text} ":
+            raise ValueError(f"the key phrase {phrase!r} does not stand in a template of {label!r}")
+    return tuple(found)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
     """id, n_words, places (starts of base phrases), base_labels, labels (both sorted) and score for every row."""
+    held = docs.sparkSession.sparkContext.broadcast((tuple(templates), tuple(base)))
 
     def run(batches):
-        ix = Index(templates, base)
+        ix = Index(*held.value)
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
@@ -120,7 +157,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 [b.column(0), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.int64())), pa.array(bl, pa.list_(pa.string())), pa.array(al, pa.list_(pa.string())), pa.array(s, pa.float64())],
                 names=["id", "n_words", "places", "base_labels", "labels", "score"])
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    d = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("t"))
     kind = d.schema["id"].dataType.simpleString()
     return small_batches(d).mapInArrow(run, f"id {kind}, n_words long, places array<long>, base_labels array<string>, labels array<string>, score double")
 

@@ -421,6 +421,79 @@ def test_license_templates_in_a_long_text_with_several_licenses(spark):
     assert row["labels"] == ["cc-by", "cc-by-nc", "mit"] and row["score"] == pytest.approx(1.0)
 
 
+def _brute_labels(words, templates, base):
+    """Every template at every start, word by word; runs of 32 words may lie up to 8 words off the run nearer the key phrase."""
+    n = len(templates)
+    df = Counter(x for _, _, t in templates for x in set(t.split()))
+    idf = {x: math.log((n + 1) / c) for x, c in df.items()}
+    found = {}
+    for label, phrase, text in templates:
+        t, k = text.split(), phrase.split()
+        at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        first = at // C.RUN
+        for start in range(-len(t), len(words)):
+            if start + at < 0 or words[start + at : start + at + len(k)] != k:
+                continue
+            total = 0.0
+            for side in ([*range(first, -(-len(t) // C.RUN))], [*range(first - 1, -1, -1)]):
+                shift = 0
+                for r in side:
+                    def hit(d):
+                        return sum(idf[t[i]] for i in range(r * C.RUN, min(len(t), (r + 1) * C.RUN)) if 0 <= start + i + shift + d < len(words) and words[start + i + shift + d] == t[i])
+
+                    d = 0 if r == first else max(range(-C.DRIFT, C.DRIFT + 1), key=lambda d: (round(hit(d), 9), -abs(d), -d))
+                    total, shift = total + hit(d), shift + d
+            score = min(1.0, total / sum(idf[x] for x in t))
+            if score >= C.LEAST:
+                found[label] = max(found.get(label, 0), score)
+    bare = {label for phrase, label in base if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+    return sorted(bare | set(found)), max([0.5 * bool(bare), *found.values()])
+
+
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    common = [w for _, _, t in C.TEMPLATES for w in t.split()]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            t = rng.choice(C.TEMPLATES)[2].split()
+            for _ in range(rng.choice([0, 0, 1, 3, 12])):
+                j = rng.randrange(len(t))
+                t[j : j + rng.randint(0, 1)] = [rng.choice(common)] * rng.randint(0, 2)
+            words += t[rng.choice([0, 0, 3]) :] + [rng.choice(common) for _ in range(rng.randint(0, 20))]
+        rows.append((i, " ".join(words)))
+    got = {r["id"]: r for r in C.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for i, t in rows:
+        labels, score = _brute_labels(t.split(), C.TEMPLATES, C.BASE)
+        assert got[i]["labels"] == labels and got[i]["score"] == pytest.approx(score)
+        seen |= set(labels)
+    assert seen == {t[0] for t in C.TEMPLATES}
+
+
+def test_license_templates_from_a_table_of_whole_licenses(spark):
+    rng = random.Random(5)
+    whole = [f"clause{rng.randrange(900)}" for _ in range(700)]
+    whole[300:304] = ["the", "long", "Sample", "License"]
+    rows = [("sample", "long sample license", " ".join(whole)), ("other", "other terms", "These other terms, and no more."), (None, "x", "x")]
+    templates = C.templates_of(spark.createDataFrame(rows, "label string, phrase string, text string"))
+    assert [t[0] for t in templates] == ["other", "sample"]
+    filled = list(whole)
+    for at in (620, 450, 100):
+        filled[at:at] = ["Some", "Company", "Inc"]
+    del filled[30:33]
+    text = "intro " * 20 + " ".join(filled)
+    row = C.scan(spark.createDataFrame([(1, text)], "`doc.id` long, `a.text` string"), "doc.id", "a.text", templates).first()
+    assert row["labels"] == ["sample"] and row["score"] > 0.9
+    labels, score = _brute_labels([w.lower() for w in text.split()], templates, C.BASE)
+    assert labels == ["sample"] and row["score"] == pytest.approx(score)
+    with pytest.raises(ValueError):
+        C.templates_of(spark.createDataFrame([("x", "not there", "some text")], "label string, phrase string, text string"))
+    with pytest.raises(ValueError):
+        C.templates_of(spark.createDataFrame(rows, "label string, phrase string, text string"), most_words=100)
+
+
 # 9
 
 
