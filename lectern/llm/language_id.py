@@ -1,16 +1,19 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, and calibrated rejection.
 
-Training takes at most `per_lang` labelled rows of each language, drawn by a hash of the id, and sees of each a random
-window of at most `window` bytes in each of the EPOCHS (both bounds are parameters). Stochastic gradient descent runs in numpy on the driver. A text's vector is the mean of the embeddings of its byte
-n-grams (orders 1 to 4, over lower-cased letters with single spaces), so scores are means of one precomputed table of
-fixed size, which every worker holds. Whole texts are scored.
+Training takes about `per_lang` labelled rows of each language (all of them where there are fewer), those with the least
+hashes of the id, and of each a stretch of at most `stretch` characters from a place that the hash names, cut out before anything reaches
+the driver. Each of the EPOCHS sees of a stretch a random window of at most `window` bytes. These bounds, and `most_langs`
+languages (more labels are an error), are parameters, so the driver's memory is bounded. Stochastic gradient descent runs in numpy on the
+driver. A text's vector is the mean of the embeddings of its byte n-grams (orders 1 to 4, over lower-cased letters with
+single spaces), so scores are means of one precomputed table of fixed size, which every worker holds. Whole texts are scored.
 
 A fifth of the sample is kept aside: it sets the temperature (least log loss) and the rejection bound, the score that all
 but REJECT of its rightly predicted rows reach, and never above MOST_BOUND.
 
 Defined results: null text or text without a letter is `und` with score 0 and rejected; where no labelled row exists every text is
-`und`; rows with a null label or id are not learned from; repeated rows each get a row; an empty table gives no rows; ties go to the language
-that sorts first. Only id, text and (to learn) lang are read.
+`und`; rows with a null label or id are not learned from; a very long text is scored whole, in pieces whose n-grams count
+once; repeated rows each get a row; an empty table gives no rows; ties go to the language that sorts first. Only id, text and
+(to learn) lang are read; other columns pass through and may have any names.
 """
 from __future__ import annotations
 
@@ -23,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import batch_of, col, free_name, map_rows, table
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3, 4)
 PER_LANG, EPOCHS, RATE = 600, 6, 0.4
 #: Bytes of a sampled text that one epoch of training sees at most; 16 at least.
 WINDOW = 1 << 12
+#: Characters of a sampled text that reach the driver at most, and labels that are learned at most.
+STRETCH, MOST_LANGS = 1 << 14, 500
 REJECT, MOST_BOUND = 0.002, 0.45
 PIECE = 1 << 20
 #: ASCII letters lower-cased, other ASCII bytes blank, the rest as it is.
@@ -76,7 +81,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def logits(model: Model, text: bytes) -> np.ndarray:
     x, total, n = normal(text), np.zeros(len(model.langs)), 0
     for i in range(0, len(x), PIECE):
-        for g in grams(x[max(0, i - max(ORDERS) + 1) : i + PIECE] if i else x[:PIECE]):
+        # N-grams belong to the piece in which they start.
+        for g in grams(x[i : i + PIECE + max(ORDERS) - 1]):
+            g = g[:PIECE]
             total += np.take(model.table, g, axis=0).sum(axis=0)
             n += len(g)
     return total / max(n, 1) + model.bias
@@ -123,24 +130,31 @@ def train(rows: list[tuple[int, bytes, str]], seed: int = 7, window: int = WINDO
     return model
 
 
-def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, window: int = WINDOW) -> Model:
-    """Train on at most about per_lang rows of each language and windows of at most `window` bytes, whatever the table's size."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    d = d.where(F.col("lang").isNotNull() & F.col("id").isNotNull())
+def _draw(salt: str) -> Column:
+    """A number in [0, 1) of 53 bits by the hash of the id."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), "id"), 11) / float(1 << 53)
+
+
+def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, window: int = WINDOW,
+        stretch: int = STRETCH, most_langs: int = MOST_LANGS) -> Model:
+    """Train on about per_lang rows of each language and stretches of at most `stretch` characters, whatever the table's size."""
+    d = docs.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text"))
+    d = d.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull())
     d = d.where(where) if where is not None else d
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} labels; raise most_langs or clean the column {lang_col}")
     if not counts:
         return train([])
-    draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 20)))])
-    sample = d.where(draw < F.try_element_at(share, "lang")).where("text is not null").select("id", F.col("text").cast("binary").alias("text"), "lang")
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, per_lang / n)])
+    at = F.floor(_draw("stretch") * F.greatest(F.length("text") - stretch + 1, F.lit(1))).cast("int")
+    sample = d.where(_draw("language") < F.try_element_at(share, "lang")).select("id", F.substring("text", at + 1, F.lit(stretch)).cast("binary").alias("text"), "lang")
     return train([(r["id"], bytes(r["text"]), r["lang"]) for r in sample.toLocalIterator()], window=window)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
     """docs with one more struct column: lang, score and rejected."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(docs, name)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -158,13 +172,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", name: str = "
                     lang.append(m.langs[k])
                     score.append(float(p[k]))
             rejected = pa.array([k == "und" or s < m.bound for k, s in zip(lang, score)], pa.bool_())
-            new = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), rejected], names=["lang", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, name])
-
-    from pyspark.sql import types as T
+            yield batch_of([*b.columns, pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), rejected], names=["lang", "score", "rejected"])])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL("lang string, score double, rejected boolean"))])
-    return small_batches(docs).mapInArrow(run, schema)
+    return map_rows(docs, run, f"{name} struct<lang:string,score:double,rejected:boolean>")
 
 
 def fold(id_col: str, n: int) -> Column:

@@ -542,3 +542,48 @@ def test_window_bounds_what_an_epoch_sees(monkeypatch):
     seen.clear()
     L.train(rows)
     assert 64 < max(seen) <= L.WINDOW
+
+
+def _plain_logits(m, text):
+    """Every n-gram of the whole text, one at a time."""
+    x = (" " + " ".join(re.sub(rb"[\x00-\x60\x7b-\x7f]", b" ", text.lower()).decode("latin-1").split()) + " ").encode("latin-1")
+    total, n = np.zeros(len(m.langs)), 0
+    for order in L.ORDERS:
+        for i in range(len(x) - order + 1):
+            h = (int.from_bytes(x[i : i + order], "big") + order * 0x9E3779B9) * 0x85EBCA6B & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0xC2B2AE35 & 0xFFFFFFFF
+            total += m.table[h >> 16]
+            n += 1
+    return total / n + m.bias, n
+
+
+def test_scores_equal_brute_force_also_over_several_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = L.Model(["a", "b", "c"], rng.normal(0, 1, (L.BUCKETS, 3)).astype(np.float32), rng.normal(0, 1, 3), 1.0, 0.0)
+    for text in ("Ein Wort, é und 12 mehr!".encode(), b"x", bytes(rng.choice([97, 98, 99, 32, 195, 169], 797).astype(np.uint8))):
+        want, n = _plain_logits(m, text)
+        for piece in (L.PIECE, 200, 7, 1):
+            monkeypatch.setattr(L, "PIECE", piece)
+            assert np.allclose(L.logits(m, text), want)
+            monkeypatch.undo()
+        assert n == sum(len(g) for g in L.grams(L.normal(text)))
+
+
+def test_sample_is_bounded_and_grows_no_gaps(spark, monkeypatch):
+    rows = [(i, ("alpha beta " if i % 5 else "gamma delta ") * (3 if i % 7 else 4000), "a" if i % 5 else "b") for i in range(3000)] + [(None, "alpha", "a"), (1, None, "a"), (2, "alpha", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(L, "train", lambda rows, **kw: seen.append(rows))
+    L.fit(docs, per_lang=200, stretch=500)
+    n = Counter(r[2] for r in seen[0])
+    assert 140 < n["a"] < 260 and 140 < n["b"] < 260 and max(len(r[1]) for r in seen[0]) == 500
+    L.fit(docs, per_lang=10_000)
+    assert Counter(r[2] for r in seen[1]) == {"a": 2400, "b": 600}
+    with pytest.raises(ValueError):
+        L.fit(docs, most_langs=1)
+
+
+def test_columns_with_dots_pass_through(spark):
+    m = L.train([(i, b"alpha beta" if i % 2 else b"gamma delta", "a" if i % 2 else "b") for i in range(60)])
+    out = L.predict(spark.createDataFrame([(1, "alpha", 2, 3)], "`a.id` long, `the.text` string, `x.y` int, language int"), m, "the.text")
+    assert out.columns == ["a.id", "the.text", "x.y", "language", "language_"] and out.first()["x.y"] == 2
