@@ -511,6 +511,25 @@ def test_url_sql_on_awkward_rows(spark, edge):
     assert rows_of(U.op9_url_filter(spark, edge)) == rows_in(con, U.SQL)
 
 
+def test_registered_domains(spark):
+    want = {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.example.com": ("example.com", "com"), "example.com:8080": ("example.com", "com"),
+            "10.0.0.1": ("10.0.0.1", "ip"), "10.0.0.1:80": ("10.0.0.1", "ip"), "[::1]:80": ("[::1]", "ip"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    d = spark.createDataFrame([(h,) for h in want], "host string")
+    dom, suf = U.domains(F.col("host"))
+    assert {r[0]: (r[1], r[2]) for r in d.select("host", dom, suf).collect()} == want
+    dom, suf = U.domains(F.col("host"), ("k12.ca.us",))
+    assert spark.createDataFrame([("a.b.k12.ca.us",)], "host string").select(dom, suf).first()[:] == ("b.k12.ca.us", "k12.ca.us")
+
+
+def test_reputation_is_by_registered_domain(spark):
+    pages = [(i, f"http://www.bad.co.uk/{'x' if i % 10 else 'y'}/{i}") for i in range(400)] + [(1000 + i, f"http://www.good.co.uk/{'y' if i % 10 else 'x'}/{i}") for i in range(400)]
+    pages += [(2000, "http://new.bad.co.uk/z"), (2001, "http://new.good.co.uk/z"), (2002, "http://www.bad.co.uk/z"), (2003, "http://new.bad.co.uk:81/z")]
+    rules = (("uk", "/x/", "block"), ("uk", "/y/", "allow"))
+    got = {r["id"]: (r["verdict"], r["block_rate"]) for r in U.judge(spark.createDataFrame(pages, "page_id long, url string"), rules=rules).collect()}
+    assert got[2002][0] == "block" and got[2002][1] > 0.8
+    assert got[2000][1] > 0.7 > 0.3 > got[2001][1] and got[2003][1] == got[2000][1]
+
+
 # 10
 
 
