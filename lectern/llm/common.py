@@ -124,18 +124,17 @@ def col(name: str):
 
 def prefix(values, zero, op, chunk: int = 128):
     """For an array, the array of op over all earlier items (zero for the first). Chunks keep the copying near linear."""
-    n = F.size(values)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / chunk).cast("int")), lambda c: F.slice(values, c * chunk + 1, F.lit(chunk)))
 
-    def of(parts):
-        def of_totals(totals):
-            def one(part, c):
-                before = F.aggregate(F.slice(totals, F.lit(1), c), zero, op)
-                start = F.struct(before.alias("at"), F.array().cast("array<bigint>").alias("out"))
-                return F.aggregate(part, start, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    def of_values(v):
+        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / chunk).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(v, c * chunk + 1, F.lit(chunk)))
+        return F.when(F.size(v) > 0, let(chunks, of_chunks)).otherwise(F.array().cast("array<bigint>"))
 
-            return F.flatten(F.transform(parts, one))
+    def of_chunks(parts):
+        return let(F.transform(parts, lambda p: F.aggregate(p, zero, op)), lambda totals: F.flatten(F.transform(parts, lambda p, c: one(p, c, totals))))
 
-        return let(F.transform(parts, lambda p: F.aggregate(p, zero, op)), of_totals)
+    def one(part, c, totals):
+        start = F.struct(F.aggregate(F.slice(totals, F.lit(1), c), zero, op).alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
-    return F.when(n > 0, let(chunks, of)).otherwise(F.array().cast("array<bigint>"))
+    return let(values, of_values)

@@ -1,22 +1,26 @@
 """Secret scans with an incremental ledger of blobs.
 
 Every text is a blob named by its SHA-256. A blob is scanned once for each rule version: only (blob, version) pairs that
-the ledger lacks are scanned, and findings are joined back to every row that holds the blob. All of it is Spark SQL.
+the ledger lacks are scanned, and findings are joined back to every row that holds the blob. The ledger is a Parquet table in a
+folder (read_ledger, extend_ledger), partitioned by version; a rerun on old texts scans nothing. All of it is Spark SQL.
 
-A finding is a stretch in code points, end exclusive. Base kinds are assign, access and hex; jwt, github and pem are
-additional. Matches of a kind are leftmost and do not overlap; those that are too short are dropped after matching.
+A finding is a stretch in code points, end exclusive; its places in bytes stand beside, so that pieces are cut without
+counting through the text. Base kinds are assign, access and hex; jwt, github and pem are additional. Matches of a kind are
+leftmost and do not overlap; those that are too short are dropped after matching.
 
-Defined results: a null text is scanned as an empty one and has no findings; repeated rows share one scan and each get a
-row; an empty table gives no rows; an empty ledger means that all is scanned. Only id and text are read.
+Defined results: a null text is scanned as an empty one and has no findings; a very long text is scanned whole, and its findings are added up
+in chunks; findings of several kinds at one place stand in the order of the kinds; repeated rows share one scan and each get a
+row; an empty table gives no rows; an empty ledger means that all is scanned. Only id and text are read; redact keeps all
+columns, whatever their names.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import col, free_name, let, prefix, stage, table
 
-VERSION = "2"
+VERSION = "3"
 #: kind, pattern, group whose length counts (0: the match), least length, and a cheap test that a text must pass.
 RULES = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12, r"(?i)passw|secret|token|api_?key"),
@@ -28,25 +32,34 @@ RULES = (
 )
 KINDS = tuple(r[0] for r in RULES)
 BASE = KINDS[:3]
-_SPAN = "array<struct<start:int,rank:int,end:int>>"
+_SPAN = "array<struct<start:int,rank:int,end:int,first:int,last:int>>"
+LEDGER = f"blob binary, version string, spans {_SPAN}"
 
 
 def _spans(text: Column, rank: int) -> Column:
-    """The matches of a rule: what split() leaves between matches and the matches themselves give the places."""
+    """The matches of a rule: what split() leaves between matches and the matches themselves add up to the places."""
     kind, pattern, group, least, first = RULES[rank]
+
+    def of(parts):
+        ends = prefix(F.transform(parts, lambda r: (r["gap"] + r["hit"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+        bytes_ = prefix(F.transform(parts, lambda r: (r["gapb"] + r["hitb"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+        def place(r, at):
+            start, begin = (at["c"] + r["gap"]).cast("int"), (at["b"] + r["gapb"]).cast("int")
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + r["hit"]).alias("end"), begin.alias("first"), (begin + r["hitb"]).alias("last"), r["size"].alias("size"))
+
+        all_ = F.zip_with(parts, F.arrays_zip(ends.alias("c"), bytes_.alias("b")), place)
+        kept = F.filter(all_, lambda x: x["size"] >= least)
+        return F.transform(kept, lambda x: F.struct(*[x[k].alias(k) for k in ("start", "rank", "end", "first", "last")]))
+
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), F.transform(sizes, F.length).alias("size"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc, r):
-        begin = acc["at"] + r["gap"]
-        end = begin + r["hit"]
-        found = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(r["size"] >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(first or pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), sizes.alias("size"))
+    # The last gap has no match behind it.
+    parts = F.transform(F.filter(rows, lambda r: r["hit"].isNotNull()), lambda r: F.struct(
+        F.length(r["gap"]).alias("gap"), F.length(r["hit"]).alias("hit"), F.octet_length(r["gap"]).alias("gapb"), F.octet_length(r["hit"]).alias("hitb"), F.length(r["size"]).alias("size")))
+    return F.when(text.rlike(first or pattern), let(parts, of)).otherwise(F.array()).cast(_SPAN)
 
 
 def scan(blobs: DataFrame, version: str = VERSION) -> DataFrame:
@@ -55,21 +68,39 @@ def scan(blobs: DataFrame, version: str = VERSION) -> DataFrame:
     return blobs.select("blob", F.lit(version).alias("version"), spans.alias("spans"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger in a folder; an empty one where nothing has been written yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def extend_ledger(fresh: DataFrame, path: str) -> None:
+    """Append the rows that find_secrets or update_ledger gave; readers see whole commits only."""
+    fresh.select("blob", "spans", "version").write.mode("append").partitionBy("version").parquet(path)
+
+
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", version: str = VERSION) -> DataFrame:
     """The ledger's new rows: each blob of docs that it lacks under this version, scanned once."""
-    named = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    named = docs.select(F.coalesce(col(text_col), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
     if ledger is not None:
-        named = named.join(ledger.where(F.col("version") == version).select("blob").distinct(), "blob", "left_anti")
+        named = named.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
     return scan(named.groupBy("blob").agg(F.first("text").alias("text")), version)
 
 
+def _known(fresh: DataFrame, ledger: DataFrame | None, version: str) -> DataFrame:
+    """blob and spans of all blobs with findings. Two runs at once may both have written a blob: one of its rows counts."""
+    if ledger is not None:
+        fresh = fresh.unionByName(ledger.where(F.col("version") == version).dropDuplicates(["blob"]))
+    return fresh.where(F.size("spans") > 0).select("blob", "spans")
+
+
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", version: str = VERSION) -> tuple[DataFrame, DataFrame]:
-    """(id, spans) for every row of docs, and the ledger's new rows."""
+    """(id, blob, spans) for every row of docs, and the ledger's new rows."""
     fresh = stage(update_ledger(docs, ledger, text_col, version))
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("version") == version))
-    found = known.where(F.size("spans") > 0).select("blob", "spans")
-    paths = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
-    out = paths.join(found, "blob", "left")
+    paths = docs.select(col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(col(text_col), F.lit("")), 256)).alias("blob"))
+    out = paths.join(_known(fresh, ledger, version), "blob", "left")
     return out.select("id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")), fresh
 
 
@@ -78,28 +109,25 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, mark: str = "[secret]") -> DataFrame:
-    """docs with each finding's characters replaced by a mark; overlapping findings get one."""
-    key, spans = "__blob", "__spans"
-    while any(c.lower() in (key, spans) for c in docs.columns):
-        key, spans = key + "_", spans + "_"
-    fresh = stage(update_ledger(docs, ledger, text_col))
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("version") == VERSION))
-    found = known.where(F.size("spans") > 0).select(F.col("blob").alias(key), F.col("spans").alias(spans))
-    t = F.col(text_col)
+def redact(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, mark: str = "[secret]", version: str = VERSION) -> DataFrame:
+    """docs with each finding's characters replaced by a mark; findings that overlap or touch in text get one for each stretch."""
+    key, spans = free_name(docs, "blob"), free_name(docs, "spans")
+    fresh = stage(update_ledger(docs, ledger, text_col, version))
+    found = _known(fresh, ledger, version).toDF(key, spans)
+    t = col(text_col)
     joined = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))).join(found, key, "left")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        skip = s["start"] < acc["at"]
-        piece = F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(piece).alias("out"))
-
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-
-    new = F.when(F.col(spans).isNull(), t).otherwise(F.aggregate(F.col(spans), begin, step, finish))
-    return joined.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    raw = t.cast("binary")
+
+    def of(s):
+        # Up to where the text is dealt with before each finding; one that starts before that lengthens the last stretch.
+        tops = prefix(F.transform(s, lambda x: x["last"].cast("long")), F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+        pieces = F.zip_with(s, tops, lambda x, top: F.when((x["first"] < top) & (top > 0), F.lit("")).otherwise(
+            F.concat(F.substring(raw, (top + 1).cast("int"), (x["first"] - top).cast("int")).cast("string"), F.lit(mark))))
+        end = F.array_max(F.transform(s, lambda x: x["last"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(raw, end + 1, F.octet_length(t)).cast("string"))
+
+    new = F.when(F.col(spans).isNull(), t).otherwise(let(F.col(spans), of))
+    return joined.select(*[(new if c == text_col else col(c)).alias(c) for c in docs.columns])
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
