@@ -449,16 +449,80 @@ def test_splitting_tree_is_exact_and_hypergeometric(spark):
     assert abs(np.mean(lefts) - mean) < 4 * math.sqrt(var / 40) and np.std(lefts) > 0
 
 
+def test_hypergeometric_numbers(spark):
+    """Drawn numbers against exact probabilities: the number for u is the least in the order from the mode outward whose sum exceeds u."""
+    rng = random.Random(4)
+    cases = [(n, k, d, rng.random()) for n, k, d in [(10, 4, 5), (1, 1, 1), (7, 0, 3), (7, 7, 3), (40, 20, 20), (300, 10, 150), (5000, 1700, 2500)] for _ in range(12)]
+    df = spark.createDataFrame(cases, "n long, k long, d long, u double")
+    got = df.select("*", M.hypergeometric(F.col("n"), F.col("k"), F.col("d"), F.col("u")).alias("x")).collect()
+    for n, k, d, u, x in got:
+        p = {i: math.comb(k, i) * math.comb(n - k, d - i) / math.comb(n, d) for i in range(max(0, d - (n - k)), min(d, k) + 1)}
+        mode = (d + 1) * (k + 1) // (n + 2)
+        order = sorted(p, key=lambda i: (abs(i - mode), i < mode))
+        total, want = 0.0, None
+        for i in order:
+            total += p[i]
+            if total > u and want is None:
+                want = i
+        assert x == want, (n, k, d, u)
+    big = spark.range(400).select(M.hypergeometric(F.lit(10**9), F.lit(3 * 10**8), F.lit(5 * 10**8), M._unit(F.col("id"))).alias("x")).toPandas()["x"]
+    sd = math.sqrt(5e8 * 0.3 * 0.7 * 0.5)
+    assert abs(big.mean() - 1.5e8) < 4 * sd / 20 and 0.85 < big.std() / sd < 1.15
+
+
+def test_log_factorials(spark):
+    d = spark.createDataFrame([(n,) for n in (0, 1, 2, 9, 100, 12345, 10**9)], "n long")
+    assert all(r[1] == pytest.approx(math.lgamma(r[0] + 1), rel=1e-12, abs=1e-11) for r in d.select("n", M.log_factorial(F.col("n"))).collect())
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(3), rng.randrange(1 << 52) if i % 3 else 5, i, rng.randrange(9)) for i in range(500)]
+    d = M.stage(spark.createDataFrame(rows, "k int, p long, i int, v long"))
+    got = {r["i"]: r["s"] for r in M.running(d, "k", F.col("p"), ("i",), F.col("v"), "s").collect()}
+    assert got == {i: sum(w for j, q, g, w in rows if j == k and (q, g) < (p, i)) for k, p, i, v in rows}
+
+
+def test_every_draw_goes_to_one_shard(spark):
+    draws = spark.createDataFrame([(s, b, q, 5, t) for s, n in ((1, 300), (2, 7), (3, 60)) for t, (b, q) in enumerate((t // 2, t % 2) for t in range(n))], "src int, block long, pass int, words long, turn long")
+    dealt, shards = M.deal(draws, 4)
+    rows = dealt.collect()
+    assert shards == 16 and len(rows) == 367 == len({(r["src"], r["block"], r["pass"]) for r in rows})
+    n = Counter(r["shard"] for r in rows)
+    assert set(n) == set(range(16)) and max(n.values()) - min(n.values()) <= 1
+
+
 def test_mixed_rows_hold_the_taken_words(spark, edge):
-    docs = spark.read.parquet(f"{edge}/documents.parquet").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    """All rows, those without an id and repeated ones included: what is taken of each is what the plan says, source by source."""
+    docs = spark.read.parquet(f"{edge}/documents.parquet").withColumnRenamed("cls", "c.l.s")
     out = M.mix(docs, levels=2)
-    assert out.columns[: len(docs.columns)] == docs.columns and out.columns[-2:] == ["_shard", "take"]
+    assert out.columns[: len(docs.columns)] == docs.columns and out.columns[-2:] == ["shard_", "take"]
     rows, _ = M.plan_mix(M.stage(M.sized_rows(docs)))
-    want = {r["id"]: r["whole"] * r["size"] + r["part"] for r in rows.collect()}
-    got = Counter()
+    want, got, n = Counter(), Counter(), lambda t: len(SPACE.findall(t or ""))
+    for r in rows.collect():
+        want[r["id"]] += r["whole"] * r["size"] + r["part"]
     for r in out.collect():
-        got[r["doc_id"]] += len(SPACE.findall(r["text"]))
+        got[r["doc_id"]] += n(r["text"])
     assert {k: v for k, v in want.items() if v} == dict(got)
+    size, taken = Counter(), Counter()
+    for r in docs.select("source", "text").collect():
+        size[r["source"]] += n(r["text"])
+    for r in out.select("source", "text").collect():
+        taken[r["source"]] += n(r["text"])
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in _targets(dict(size)).items())
+
+
+def test_rows_without_ids_meet_their_target(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.randrange(99)}" for _ in range(n))
+    rows = [(None if s == "a" else i % 5, text(rng.choice([3, 3, 40])), s) for i, s in enumerate("a" * 60 + "b" * 60 + "c" * 30)] + [(None, "same words here", "a")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, taken = Counter(), Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    for r in M.mix(docs, levels=1).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in _targets(dict(size)).items())
 
 
 # 8
