@@ -1,15 +1,19 @@
 """Edit-aware token counts with a segment tree of pre-tokens for each document.
 
-A text's pre-tokens are cut into leaves of LEAF pre-tokens; a leaf has its characters and its tokens, and an implicit binary
-tree holds the sums. An edit (from a place, drop so many characters, insert a string) re-encodes from the leaf that holds the first
-pre-token which could have looked at a changed character, and stops where a new pre-token ends at an old leaf's end beyond
-the edit: what follows is as before, because the pattern never looks back. Sums change along the touched leaves' paths.
+A text's pre-tokens are cut into leaves of LEAF pre-tokens; a leaf has its characters and its tokens, and the nodes of a binary
+tree above have the sums of both. An edit (from a place, drop so many characters, insert a string) descends by characters to the
+leaf that holds the first pre-token which could have looked at a changed character, encodes from there, and stops where a new
+pre-token ends at an old leaf's end beyond the edit: what follows is as before, because the pattern never looks back. The
+first touched leaf becomes a leaf or a small tree of the new pre-tokens, the others that were touched become empty, and only the sums
+on their paths change. A tree that has grown lopsided or hollow (DEEP, or more empty leaves than full ones) is balanced again
+from its leaves, without encoding.
 
 The tokenizer is a public byte-level BPE vocabulary (a file of ranks); its path is a parameter, and the driver broadcasts its
 bytes (under 2 MB). Counts equal those of encoding the whole new text.
 
-Defined results: a null text is an empty one with no leaf and 0 tokens; edits past the end are clipped to it; edits of a document apply in
-order of their number; repeated rows each get a row; an empty table gives no rows. Columns other than those named pass through.
+Defined results: a null text is an empty one with no characters and 0 tokens; a very long text has a larger tree; edits past the end are clipped to
+it; edits of a document apply in order of their number, equal numbers in order of place; repeated rows each get a row; an empty
+table gives no rows. Columns other than those named pass through, whatever their names.
 """
 from __future__ import annotations
 
@@ -19,11 +23,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import batch_of, col, free_name, map_rows, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pre-token pattern.
@@ -31,7 +34,11 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 LEAF = 64
 #: The pattern looks at most so many characters beyond a pre-token's end.
 AHEAD = 4
-_TREE = "chars array<int>, tokens array<int>, sums array<int>"
+#: A tree is balanced again when a descent takes more than twice the least number of steps and so many more.
+DEEP = 8
+#: For each node, the root first, its characters, tokens and children (0: none, so it is a leaf).
+_TREE = "struct<chars:array<int>,tokens:array<int>,left:array<int>,right:array<int>>"
+_PARTS = ("chars", "tokens", "left", "right")
 _SPLIT = regex.compile(PATTERN)
 
 
@@ -73,68 +80,114 @@ def leaves_of(pieces: list[str], counter: Counter) -> tuple[list[int], list[int]
     return chars.tolist(), tokens.tolist()
 
 
-def tree_of(tokens: list[int]) -> list[int]:
-    """sums[1] is the root; node i has the children 2i and 2i + 1; leaves start at half the length."""
-    size = 1
-    while size < len(tokens):
-        size *= 2
-    sums = [0] * size + tokens + [0] * (size - len(tokens))
-    for i in range(size - 1, 0, -1):
-        sums[i] = sums[2 * i] + sums[2 * i + 1]
-    return sums
+class Tree:
+    """A segment tree over a text's leaves."""
 
+    def __init__(self, chars: list[int], tokens: list[int], left: list[int], right: list[int]):
+        self.chars, self.tokens, self.left, self.right = chars, tokens, left, right
+        self._hollow = sum(not c and not a for c, a in zip(chars, left))
 
-class Tree:
-    def __init__(self, chars: list[int], tokens: list[int], sums: list[int] | None = None):
-        self.chars, self.tokens = chars, tokens
-        self.sums = tree_of(tokens) if sums is None else sums
+    @classmethod
+    def of(cls, chars: list[int], tokens: list[int]) -> Tree:
+        """A balanced tree over leaves with these characters and tokens."""
+        tree = cls([0], [0], [0], [0])
+        tree._grow(0, chars, tokens)
+        return tree
 
     @property
     def total(self) -> int:
-        return self.sums[1]
+        return self.tokens[0]
+
+    def _grow(self, top: int, chars: list[int], tokens: list[int]) -> None:
+        """Make the leaf `top` a balanced tree over the given leaves."""
+        todo = [(top, 0, len(chars))]
+        up = []
+        while todo:
+            node, i, j = todo.pop()
+            if j - i < 2:
+                self.chars[node], self.tokens[node] = (chars[i], tokens[i]) if j > i else (0, 0)
+                continue
+            k = len(self.chars)
+            for part in (self.chars, self.tokens, self.left, self.right):
+                part += (0, 0)
+            self.left[node], self.right[node] = k, k + 1
+            up.append(node)
+            todo += ((k, i, (i + j) // 2), (k + 1, (i + j) // 2, j))
+        for node in reversed(up):
+            self._add_up(node)
+
+    def _add_up(self, node: int) -> None:
+        a, b = self.left[node], self.right[node]
+        self.chars[node], self.tokens[node] = self.chars[a] + self.chars[b], self.tokens[a] + self.tokens[b]
+
+    def _down(self, place: int) -> tuple[list[int], int]:
+        """The path to the leaf with the character at `place` (the last leaf for later ones), and where that leaf begins."""
+        path, begin = [0], 0
+        while self.left[path[-1]]:
+            a = self.left[path[-1]]
+            if place < begin + self.chars[a] or not self.chars[self.right[path[-1]]]:
+                path.append(a)
+            else:
+                begin += self.chars[a]
+                path.append(self.right[path[-1]])
+        return path, begin
+
+    def leaves(self) -> list[int]:
+        """The leaves from left to right."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            if self.left[node]:
+                todo += (self.right[node], self.left[node])
+            else:
+                out.append(node)
+        return out
 
     def edit(self, text: str, at: int, drop: int, insert: str, counter: Counter) -> tuple[str, int]:
         """Apply one edit; the new text and how many characters were encoded again."""
         at = min(max(at, 0), len(text))
         end = min(at + max(drop, 0), len(text))
-        new = text[:at] + insert + text[end:]
-        shift = len(insert) - (end - at)
-        first, begin = 0, 0
-        while first < len(self.chars) and begin + self.chars[first] + AHEAD < at:
-            begin += self.chars[first]
-            first += 1
-        # Old leaf ends from here on, where they would be in the new text.
-        stops, pos, last = {}, begin, first
-        for k in range(first, len(self.chars)):
-            pos += self.chars[k]
-            if pos >= end:
-                stops[pos + shift] = k + 1
-        pieces, here, last = [], begin, len(self.chars)
+        new, shift = text[:at] + insert + text[end:], len(insert) - (end - at)
+        # A pre-token that ends more than AHEAD before the edit has not looked at it.
+        path, begin = self._down(max(at - AHEAD - 1, 0))
+        touched, old_end = [path], begin + self.chars[path[-1]]
+        pieces, here = [], begin
         for m in _SPLIT.finditer(new, begin):
             pieces.append(m.group())
             here = m.end()
-            if here in stops and here >= at + len(insert):
-                last = stops[here]
+            while old_end < len(text) and (old_end < end or old_end + shift < here):
+                path, start = self._down(old_end)
+                touched.append(path)
+                old_end = start + self.chars[path[-1]]
+            if here == old_end + shift and old_end >= end and here >= at + len(insert):
                 break
-        chars, tokens = leaves_of(pieces, counter)
-        if len(chars) == last - first:
-            for k, (c, t) in enumerate(zip(chars, tokens), first):
-                self.chars[k], self.tokens[k] = c, t
-                i = len(self.sums) // 2 + k
-                self.sums[i] = t
-                while i > 1:
-                    i //= 2
-                    self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
-        else:  # more or fewer leaves: places move, so the sums (not the counts) are made anew
-            self.chars[first:last], self.tokens[first:last] = chars, tokens
-            self.sums = tree_of(self.tokens)
+        else:
+            while old_end < len(text):
+                path, start = self._down(old_end)
+                touched.append(path)
+                old_end = start + self.chars[path[-1]]
+        for path in touched:
+            self._set(path, 0, 0)
+        first = touched[0]
+        self._grow(first[-1], *leaves_of(pieces, counter))
+        for node in reversed(first[:-1]):
+            self._add_up(node)
+        live = len(self.chars) // 2 + 1
+        if max(map(len, touched)) > 2 * live.bit_length() + DEEP or (live > 16 and 2 * self._hollow > live):
+            self._balance()
         return new, here - begin
 
+    def _set(self, path: list[int], chars: int, tokens: int) -> None:
+        less, fewer = self.chars[path[-1]] - chars, self.tokens[path[-1]] - tokens
+        self._hollow += not chars
+        for node in path:
+            self.chars[node] -= less
+            self.tokens[node] -= fewer
 
-def _free(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
+    def _balance(self) -> None:
+        kept = [k for k in self.leaves() if self.chars[k]]
+        new = Tree.of([self.chars[k] for k in kept], [self.tokens[k] for k in kept])
+        self.chars, self.tokens, self.left, self.right, self._hollow = new.chars, new.tokens, new.left, new.right, 0
 
 
 def _ranks(spark, path: str):
@@ -142,35 +195,28 @@ def _ranks(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-_STRUCT = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("sums", pa.list_(pa.int32()))])
+def _column(trees: list[Tree]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array([getattr(t, p) for t in trees], pa.list_(pa.int32())) for p in _PARTS], names=list(_PARTS))
 
 
 def build(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
-    """docs with one more column, the tree (its root is sums[1], counted from 0), and that column's name."""
-    held, key, name = _ranks(docs.sparkSession, vocabulary), uuid.uuid4().hex, _free(docs, "tree")
+    """docs with one more column, the tree (its first node is the root, with the sums), and that column's name."""
+    held, key, name = _ranks(docs.sparkSession, vocabulary), uuid.uuid4().hex, free_name(docs, "tree")
     at = docs.columns.index(text_col)
 
     def run(batches):
         counter = _counter(held, key)
         for b in batches:
-            chars, tokens, sums = [], [], []
-            for t in b.column(at).to_pylist():
-                c, n = leaves_of(_SPLIT.findall(t or ""), counter)
-                chars.append(c)
-                tokens.append(n)
-                sums.append(tree_of(n))
-            kind = pa.list_(pa.int32())
-            tree = pa.StructArray.from_arrays([pa.array(chars, kind), pa.array(tokens, kind), pa.array(sums, kind)], names=["chars", "tokens", "sums"])
-            yield pa.RecordBatch.from_arrays([*b.columns, tree], names=[*b.schema.names, name])
+            yield batch_of([*b.columns, _column([Tree.of(*leaves_of(_SPLIT.findall(t or ""), counter)) for t in b.column(at).to_pylist()])])
 
-    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(_TREE))])), name
+    return map_rows(docs, run, f"{name} {_TREE}"), name
 
 
 def recount(docs: DataFrame, tree: str, edits: str, text_col: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, str]:
     """Apply each row's edits (an array of structs seq, at, drop, insert) to its text and tree.
 
     Returns docs with text and tree replaced and a column more, the characters that were encoded again, and its name."""
-    held, key, name = _ranks(docs.sparkSession, vocabulary), uuid.uuid4().hex, _free(docs, "recoded")
+    held, key, name = _ranks(docs.sparkSession, vocabulary), uuid.uuid4().hex, free_name(docs, "recoded")
     it, itree, ie = (docs.columns.index(c) for c in (text_col, tree, edits))
 
     def run(batches):
@@ -178,33 +224,38 @@ def recount(docs: DataFrame, tree: str, edits: str, text_col: str = "text", voca
         for b in batches:
             texts, trees, again = [], [], []
             for text, old, todo in zip(b.column(it).to_pylist(), b.column(itree).to_pylist(), b.column(ie).to_pylist()):
-                t, done = Tree(old["chars"], old["tokens"], old["sums"]), 0
-                for e in sorted(todo or [], key=lambda e: e["seq"]):
+                t, done = Tree(*[old[p] for p in _PARTS]), 0
+                for e in sorted(todo or [], key=lambda e: (e["seq"], e["at"], e["drop"], e["insert"] or "")):
                     text, n = t.edit(text or "", e["at"], e["drop"], e["insert"] or "", counter)
                     done += n
                 texts.append(text)
-                trees.append({"chars": t.chars, "tokens": t.tokens, "sums": t.sums})
+                trees.append(t)
                 again.append(done)
             cols = list(b.columns)
-            cols[it], cols[itree] = pa.array(texts, b.schema.field(it).type), pa.array(trees, _STRUCT)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(again, pa.int64())], names=[*b.schema.names, name])
+            cols[it], cols[itree] = pa.array(texts, b.schema.field(it).type), _column(trees)
+            yield batch_of([*cols, pa.array(again, pa.int64())])
+
+    return map_rows(docs, run, f"{name} long"), name
+
 
-    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])), name
+def n_tokens(tree: str) -> Column:
+    """The tokens of a tree."""
+    return F.element_at(col(tree).getField("tokens"), 1).cast("long")
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, tree: str = "tree", id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs (with trees from build) after the edits table id, seq, at, drop, insert; documents without edits are not touched."""
-    name = _free(docs, "edits")
-    per = edits.groupBy(F.col(id_col)).agg(F.collect_list(F.struct("seq", "at", "drop", "insert")).alias(name))
-    out, again = recount(docs.join(per, id_col, "left").select(*docs.columns, name), tree, name, text_col, vocabulary)
-    return out.drop(name, again)
+    name, key = free_name(docs, "edits"), free_name(docs, "edited")
+    per = edits.groupBy(col(id_col).alias(key)).agg(F.collect_list(F.struct("seq", "at", "drop", "insert")).alias(name))
+    out, _ = recount(docs.join(per, docs["`" + id_col + "`"] == per[key], "left").select(*[col(c) for c in docs.columns], name), tree, name, text_col, vocabulary)
+    return out.select(*[col(c) for c in docs.columns])
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     """Counts of every whole text, and again after one edit of each: in its middle, 12 characters give way to a phrase."""
     docs, tree = build(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    root = F.element_at(F.col(f"{tree}.sums"), 2).cast("long")
     edit = F.struct(F.lit(1).alias("seq"), F.expr("cast(coalesce(length(text), 0) div 2 as int)").alias("at"), F.lit(12).alias("drop"), F.lit(" (revised) ").alias("insert"))
-    docs = docs.select("doc_id", "text", tree, root.alias("n_tokens"), F.size(f"{tree}.tokens").alias("n_leaves"), F.array(edit).alias("edits"))
+    n_leaves = F.size(F.filter(F.arrays_zip(f"{tree}.left", f"{tree}.chars"), lambda x: (x["left"] == 0) & (x["chars"] > 0)))
+    docs = docs.select("doc_id", "text", tree, n_tokens(tree).alias("n_tokens"), n_leaves.alias("n_leaves"), F.array(edit).alias("edits"))
     out, again = recount(docs, tree, "edits")
-    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "n_leaves", F.coalesce(root, F.lit(0)).alias("n_tokens_edited"), F.col(again).alias("chars_encoded_again"))
+    return out.select("doc_id", "n_tokens", "n_leaves", n_tokens(tree).alias("n_tokens_edited"), F.col(again).alias("chars_encoded_again"))
