@@ -7,12 +7,17 @@ the emission table has a fixed size however large the vocabulary. Baum-Welch: ea
 backward recursions over its training texts and emits expected counts; Spark adds them; the driver normalises STATES x classes
 numbers. Scoring runs the scaled forward recursion over each whole text, which gives its exact likelihood.
 
+A text of more than LONG tokens is one sequence like any other: its pieces are stepped through side by side, first from each
+state, which gives a STATES x STATES transfer matrix for each; the matrices, multiplied in order, give the forward vector before and the
+backward vector behind each piece, and with these the pieces are as good as the whole.
+
 Word counts: words of at least a threshold (chosen so that at most COMMON words reach it) are broadcast; a text's other words
-are joined with the count table, so neither side of the vocabulary is dropped.
+are joined with the count table, so neither side of the vocabulary is dropped. Expected counts are added as whole numbers of
+1 / UNIT and rare words' logarithms as decimals, so sums do not depend on the order in which tasks end, and reruns agree.
 
 Defined results: a null text is an empty one and has its end token only; a null id is trained on and not held out; without training
-texts all counts are 0; repeated rows count and are scored each; an empty table gives no rows. Only id and text are read.
-For training alone, texts of more than PIECE tokens are cut into sequences of that length.
+texts all counts are 0; words of equal counts are ordered by their bytes; repeated rows count and are scored each; an empty
+table gives no rows. Only id and text are read, so other columns may have any names.
 """
 from __future__ import annotations
 
@@ -31,7 +36,11 @@ from .common import small_batches, stage, table
 STATES, ITERATIONS = 6, 4
 TOP, HASHED = 4096, 4096
 COMMON = 200_000
-GROUP, PIECE = 600_000, 100_000
+GROUP = 600_000
+#: Texts of more than LONG tokens are stepped through in pieces.
+LONG, PIECE = 20_000, 2_000
+#: Expected counts are added in so many parts of one.
+UNIT = 1 << 20
 #: So many texts are split into words at a time.
 SLICE = 500
 STRENGTH = 50.0
@@ -94,10 +103,12 @@ def hashed(word: bytes) -> int:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the written table of counts. What reaches the driver: COMMON words, HASHED sums and the histogram of counts."""
+    """From the written table of counts. What reaches the driver: COMMON words, HASHED sums and a histogram of some 3,000 bins."""
     cls = (F.crc32("word") % HASHED).cast("int")
     sums = {r["k"]: (r["c"], r["v"]) for r in counts.groupBy(cls.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
-    per = sorted(((r["c"], r["n"]) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
+    # Counts up to 1,023 have a bin each; above, a power of two has 64. A bin's least count is a threshold.
+    wide = F.when(F.col("c") < 1024, 1).otherwise(F.shiftright(F.expr("cast(conv('1' || repeat('0', length(bin(c)) - 1), 2, 10) as bigint)"), 6))
+    per = sorted(((r["b"], r["n"]) for r in counts.select((F.col("c") - F.col("c") % wide).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()), reverse=True)
     least, held = None, 0
     for c, k in per:
         if held + k > COMMON:
@@ -170,42 +181,129 @@ def buffered(batches, column: int, most: int = 8 * GROUP):
         yield held
 
 
-def log_likelihood(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
-    """log10 probability of each class sequence, by the scaled forward recursion."""
-    c = _Columns(seqs)
-    scale = np.empty(len(c.obs))
-    a = None
+def forward_scales(seqs: list[np.ndarray], p: Parameters, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the probability of each class sequence by the scaled forward recursion, and the last scaled vector of each.
+
+    before: for each sequence the distribution of its first state, where it isn't the model's."""
+    c, k = _Columns(seqs), len(p.start)
+    scale, last = np.empty(len(c.obs)), np.empty((len(seqs), k))
+    a = np.broadcast_to(p.start, (len(seqs), k)) if before is None else before[c.rank]
     for t, n in enumerate(c.n):
         i = c.off[t]
-        a = (np.broadcast_to(p.start, (n, len(p.start))) if a is None else a[:n] @ p.move) * p.emit[c.obs[i : i + n]]
+        a = (a if t == 0 else a[:n] @ p.move) * p.emit[c.obs[i : i + n]]
         s = a.sum(axis=1)
         scale[i : i + n] = s
         a = a / s[:, None]
-    out = np.empty(len(seqs))
+        done = c.n[t + 1] if t + 1 < len(c.n) else 0
+        last[done:n] = a[done:n]
+    out, end = np.empty(len(seqs)), np.empty_like(last)
     out[c.rank] = np.bincount(c.doc, np.log10(scale), minlength=len(seqs))
+    end[c.rank] = last
+    return out, end
+
+
+def pieces_of(seq: np.ndarray) -> list[np.ndarray]:
+    return [seq[i : i + PIECE] for i in range(0, len(seq), PIECE)]
+
+
+def transfers(pieces: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece and each state before its first token, log10 of the piece's probability and the scaled vector behind it."""
+    k, at = len(p.start), max(1, GROUP // (PIECE * len(p.start)))
+    runs = [pieces[i : i + at] for i in range(0, len(pieces), at)]
+    got = [forward_scales([x for x in run for _ in range(k)], p, np.tile(np.eye(k), (len(run), 1))) for run in runs]
+    return np.concatenate([x for x, _ in got]).reshape(-1, k), np.concatenate([x for _, x in got]).reshape(-1, k, k)
+
+
+def _chain(seq: np.ndarray, p: Parameters) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], float]:
+    """A long sequence's pieces; the state distribution before each, given all that is earlier; the weight of each state at
+    its last token, by all that is later; and log10 of the sequence's probability."""
+    pieces = pieces_of(seq)
+    logs, ends = transfers(pieces, p)
+    top = logs.max(axis=1)
+    matrix = 10.0 ** (logs - top[:, None])[:, :, None] * ends  # rows: state at the first token; columns: state at the last
+    before, total, d = [], 0.0, p.start
+    for m, log in zip(matrix, top):
+        before.append(d)
+        f = d @ m
+        s = f.sum()
+        total += math.log10(s) + log
+        d = f / s @ p.move
+    behind, b = [], np.ones(len(p.start))
+    for m in matrix[::-1]:
+        behind.append(b)
+        b = p.move @ (m @ b)
+        b = b / b.max()
+    return pieces, before, behind[::-1], total
+
+
+def log_likelihood(seqs: list[np.ndarray], p: Parameters) -> np.ndarray:
+    """log10 probability of each class sequence."""
+    out = np.empty(len(seqs))
+    short = [i for i, s in enumerate(seqs) if len(s) <= LONG]
+    if short:
+        out[short] = forward_scales([seqs[i] for i in short], p)[0]
+    for i, s in enumerate(seqs):
+        if len(s) > LONG:
+            out[i] = _chain(s, p)[3]
     return out
 
 
 def expected_counts(seqs: list[np.ndarray], p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, moves and emissions (classes x K) expected under p."""
+    k = len(p.start)
+    starts, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(p.emit), k))
+    short = [s for s in seqs if len(s) <= LONG]
+    if short:
+        first, moves, emit, _, _ = _counts(short, p)
+        starts = first.sum(axis=0)
+    for s in seqs:
+        if len(s) <= LONG:
+            continue
+        pieces, before, behind, _ = _chain(s, p)
+        edge, at = [], max(1, GROUP // PIECE)
+        for i in range(0, len(pieces), at):
+            first, m, e, end, begin = _counts(pieces[i : i + at], p, np.array(before[i : i + at]), np.array(behind[i : i + at]))
+            starts = starts + (first[0] if i == 0 else 0)
+            moves, emit = moves + m, emit + e
+            edge += zip(end, begin)
+        for (end, _), (_, begin), piece in zip(edge, edge[1:], pieces[1:]):  # from one piece to the next
+            x = end[:, None] * p.move * (p.emit[piece[0]] * begin)
+            moves = moves + x / x.sum()
+    return starts, moves, emit
+
+
+def _counts(seqs: list[np.ndarray], p: Parameters, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Posterior of each sequence's first state; expected moves within and emissions; the forward vector at each one's last
+    token and the backward one at its first.
+
+    before: the distribution of each first state, where it isn't the model's; behind: each state's weight at the last token."""
     c, k = _Columns(seqs), len(p.start)
-    move, start = p.move.astype(np.float32), p.start.astype(np.float32)
+    move = p.move.astype(np.float32)
     e = p.emit.astype(np.float32)[c.obs]
     a = np.empty_like(e)
     scale = np.empty(len(c.obs), np.float32)
+    start = np.broadcast_to(p.start, (len(seqs), k)) if before is None else before[c.rank]
+    ends = np.ones((len(seqs), k), np.float32) if behind is None else (behind / behind.max(axis=1, keepdims=True))[c.rank].astype(np.float32)
     for t, n in enumerate(c.n):
         i = c.off[t]
-        x = (start if t == 0 else a[c.off[t - 1] : c.off[t - 1] + n] @ move) * e[i : i + n]
+        x = (start.astype(np.float32) if t == 0 else a[c.off[t - 1] : c.off[t - 1] + n] @ move) * e[i : i + n]
         s = np.maximum(x.sum(axis=1), 1e-30)
         scale[i : i + n] = s
         np.divide(x, s[:, None], out=a[i : i + n])
+    last = np.empty((len(seqs), k))
+    for t, n in enumerate(c.n):
+        done = c.n[t + 1] if t + 1 < len(c.n) else 0
+        last[done:n] = a[c.off[t] + done : c.off[t] + n]
     moves = np.zeros((k, k))
     b = np.ones((0, k), np.float32)
     back = move.T.copy()
     g = a  # becomes the posterior, step by step
+    keep = None
     for t in range(len(c.n) - 1, -1, -1):
         i, n, m = c.off[t], c.n[t], len(b)
-        here = np.ones((n, k), np.float32)
+        here = ends[:n].copy()
+        if behind is not None:  # the end's weights are free up to a factor: take the one that makes the posterior sum to 1
+            here[m:] /= np.maximum((a[i + m : i + n] * here[m:]).sum(axis=1, keepdims=True), 1e-30)
         if m:
             j = c.off[t + 1]
             w = b * e[j : j + m] / scale[j : j + m, None]
@@ -218,7 +316,9 @@ def expected_counts(seqs: list[np.ndarray], p: Parameters) -> tuple[np.ndarray,
     if c.n:
         g[: c.n[0]] *= keep
     emit = np.stack([np.bincount(c.obs, g[:, s], minlength=len(p.emit)) for s in range(k)], axis=1)
-    return g[: c.n[0]].sum(axis=0).astype(float), moves, emit
+    first, end, begin = (np.empty((len(seqs), k)) for _ in range(3))
+    first[c.rank], end[c.rank], begin[c.rank] = g[: len(seqs)], last, b
+    return first, moves, emit, end, begin
 
 
 _INDEX: dict = {}
@@ -275,18 +375,18 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, iteration
             starts, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
             for held in buffered(batches, 0):
                 seqs = [np.frombuffer(raw, "<i2") for b in held for raw in b.column(0).to_pylist()]
-                for group in grouped([c[i : i + PIECE] for c in seqs for i in range(0, len(c), PIECE)], len, GROUP):
+                for group in grouped(seqs, len, GROUP):
                     x, y, z = expected_counts(group, now.value)
                     starts, moves, emit = starts + x, moves + y, emit + z
             at = np.flatnonzero(emit.sum(axis=1))
-            rows = np.concatenate([starts[None], moves, emit[at]])
+            rows = np.rint(np.concatenate([starts[None], moves, emit[at]]) * UNIT).astype(np.int64)
             names = np.concatenate([-np.arange(1, states + 2), at])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[pa.array(rows[:, i]) for i in range(states)]], names=["cls", *cols])
 
-        got = seqs.mapInArrow(run, "cls long, " + ", ".join(f"{c} double" for c in cols)).groupBy("cls").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+        got = seqs.mapInArrow(run, "cls long, " + ", ".join(f"{c} long" for c in cols)).groupBy("cls").agg(*[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in cols]).collect()
         starts, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros(p.emit.shape)
         for r in got:
-            x = [r[c] for c in cols]
+            x = [float(r[c]) / UNIT for c in cols]
             if r["cls"] >= 0:
                 emit[r["cls"]] = x
             elif r["cls"] == -1:
@@ -318,7 +418,7 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, p: Parameter
     words = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     c = F.coalesce("c", F.lit(0))
     more = words.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * F.log10(c + 0.1)).alias("logc2"))
+        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known2"), F.sum((F.col("k") * F.log10(c + 0.1)).cast("decimal(28,12)")).cast("double").alias("logc2"))
     logc = F.col("logc") + F.coalesce("logc2", F.lit(0.0))
     base = logc - F.col("n") * vocab.base if vocab.n else F.lit(float("-inf"))
     return part.join(more, "row", "left").select(
