@@ -14,9 +14,10 @@ Each pair is first held against the maximum-likelihood estimate of its similarit
 SIGMAS standard errors below the threshold) and then against the full sets.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; fewer words than a shingle make
-one shingle; repeated rows each get a row; a null id never becomes a component's name unless the class has no other,
-in which case the component is null; an empty table gives an empty result. Only id and text columns are read, so other
-columns may have any names.
+one shingle; a very long text has all its shingles; of equally small documents the one with the least digest is the pivot; repeated
+rows each get a row; a null id never becomes a component's name unless the class has no other, in which case the component is
+null; an empty table gives an empty result. Ids may have any type that has an order. Only id and text columns are read, so
+other columns may have any names.
 
 A pair at the threshold itself is missed by all bands with probability (1 - 0.75**4)**32, about 5e-6; one at 0.8 with
 5e-8.
@@ -30,51 +31,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches, stage, table
+from .common import batch_of, col, free_name, map_rows, small_batches, stage, table
+from .hashing import Bitmap, WordHash, hashes_of, runs, scramble
 
 M, ROWS = 128, 4
 BANDS = M // ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SMALL = 64
 SIGMAS = 6.0
+#: Digests of classes that a task remembers as sent.
+SEEN = 500_000
 DF_SLOTS = 1 << 18
 
 _U = np.uint64
 _MULT = np.array([int.from_bytes(hashlib.blake2b(b"m%d" % j, digest_size=8).digest(), "little") | 1 for j in range(M)], dtype=_U)
 _ADD = np.array([int.from_bytes(hashlib.blake2b(b"a%d" % j, digest_size=8).digest(), "little") for j in range(M)], dtype=_U)
-_PLACE = np.array([int.from_bytes(hashlib.blake2b(b"p%d" % j, digest_size=8).digest(), "little") | 1 for j in range(64)], dtype=_U)
-
-
-class _WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers."""
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
 
 
 def shingle_set(words: list[bytes], memo: dict, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words; the whole sequence if it is shorter."""
     if not words:
         return np.empty(0, _U)
-    h = np.fromiter(map(memo.__getitem__, words), dtype=_U, count=len(words))
-    k = min(size, len(words))
-    acc = np.zeros(len(words) - k + 1, _U)
-    for j in range(k):
-        acc += h[j : j + len(acc)] * _PLACE[j % 64]
-        acc = mix(acc) if k > 64 else acc
-    return np.unique(mix(acc + _U(k)))
+    return np.unique(runs(hashes_of(words, memo), min(size, len(words))))
 
 
 def registers(s: np.ndarray) -> np.ndarray:
@@ -91,7 +70,7 @@ def registers(s: np.ndarray) -> np.ndarray:
 def band_keys(reg: np.ndarray) -> np.ndarray:
     acc = np.arange(1, BANDS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
     for j in range(ROWS):
-        acc = mix(acc + reg.reshape(BANDS, ROWS)[:, j].astype(_U))
+        acc = scramble(acc + reg.reshape(BANDS, ROWS)[:, j].astype(_U))
     return acc.view(np.int64)
 
 
@@ -121,23 +100,23 @@ def _class_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def with_class(docs: DataFrame, text_col: str = "text", name: str = "__cls") -> DataFrame:
-    """docs with one more column, the digest of the word sequence (null without words), as in sketches()."""
-    at = docs.columns.index(text_col)
+def with_class(docs: DataFrame, text_col: str = "text", name: str = "cls") -> tuple[DataFrame, str]:
+    """docs with one more column, the digest of the word sequence (null without words), as in sketches(), and its name."""
+    at, name = docs.columns.index(text_col), free_name(docs, name)
 
     def run(batches):
         for b in batches:
             words = [t.lower().split() if t else [] for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_class_of(w) if w else None for w in words], pa.binary())], names=[*b.schema.names, name])
+            yield batch_of([*b.columns, pa.array([_class_of(w) if w else None for w in words], pa.binary())])
 
-    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    return map_rows(docs, run, f"{name} binary"), name
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
     """One row per input row: id, cls (digest of the word sequence, null without words), n (set size), keys (band keys)."""
 
     def run(batches):
-        memo = _WordHash()
+        memo = WordHash()
         for b in batches:
             ids, out = b.column(0), ([], [], [])
             for t in b.column(1).to_pylist():
@@ -154,48 +133,46 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                 names=["id", "cls", "n", "keys"],
             )
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return small_batches(d).mapInArrow(run, "id long, cls binary, n long, keys array<long>")
-
-
-def _wanted_bits(classes: DataFrame) -> np.ndarray:
-    """A bitmap of bounded size (2 MB) over the first 24 bits of the digests: false positives cost time, never results."""
-    slot = F.conv(F.hex(F.substring("cls", 1, 3)), 16, 10).cast("int")
-    held = classes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, s & 31)) AS b"))
-    bits = np.zeros(1 << 19, np.int64)
-    for b in held.toArrow().to_batches():
-        bits[b.column(0).to_numpy()] = b.column(1).to_numpy()
-    return bits
+    d = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("t"))
+    return small_batches(d).mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, cls binary, n long, keys array<long>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
-    """cls, reg and the full set s of the classes in `wanted` (and of a few others), once each."""
-    held = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
+    """cls, reg and the full set s of the classes in `wanted`, once each.
 
-    def run(batches):
-        memo, seen, bits = _WordHash(), set(), held.value
+    A bitmap of bounded size keeps most other texts from the shuffle, and a semi-join the rest; a task sends a class once."""
+    head = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("long")
+    held = docs.sparkSession.sparkContext.broadcast(Bitmap(wanted.select(head.alias("h")), "h"))
+
+    def texts(batches):
+        seen, bits = set(), held.value
         for b in batches:
-            ks, regs, sets = [], [], []
+            ks, ts = [], []
             for t in b.column(0).to_pylist():
                 words = t.lower().split() if t else ()
-                if not words:
-                    continue
-                k = _class_of(words)
-                slot = k[0] << 16 | k[1] << 8 | k[2]
-                if bits[slot >> 5] >> (slot & 31) & 1 and k not in seen:
-                    seen.add(k)
-                    s = shingle_set(words, memo, size)
-                    ks.append(k)
-                    regs.append(registers(s))
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, pa.binary()), pa.array(regs, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                names=["cls", "reg", "s"])
+                if words:
+                    k = _class_of(words)
+                    if int.from_bytes(k[:8], "big") in bits and k not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(k)
+                        ks.append(k)
+                        ts.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(ts, pa.binary())], names=["cls", "t"])
+
+    def sets(batches):
+        memo = WordHash()
+        for b in batches:
+            regs, ss = [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t.lower().split(), memo, size)
+                regs.append(registers(s))
+                ss.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(regs, pa.list_(pa.int64())), pa.array(ss, pa.list_(pa.int64()))], names=["cls", "reg", "s"])
 
-    d = docs.select(F.col(text_col).cast("binary").alias("t"))
-    found = small_batches(d).mapInArrow(run, "cls binary, reg array<long>, s array<long>")
-    return stage(found.groupBy("cls").agg(F.first("reg").alias("reg"), F.first("s").alias("s")))
+    found = small_batches(docs.select(col(text_col).cast("binary").alias("t"))).mapInArrow(texts, "cls binary, t binary")
+    found = found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("t").alias("t"))
+    return stage(found.mapInArrow(sets, "cls binary, reg array<long>, s array<long>"))
 
 
 def _list_arrays(col: pa.Array) -> list[np.ndarray]:
@@ -253,7 +230,8 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Order all tokens by how many crowded sets hold them (counted in a fixed number of slots), rarest first. Two sets at the
     threshold share a token in the first n - ceil(t n) + 1 places of each, and the first shared token's places bound
-    the overlap. At least one of a pair is `out`, not in the largest component of its bucket.
+    the overlap. At least one of a pair is `out`, not in the largest component of its bucket. Sizes at the threshold differ by a
+    factor of 1 / t at most, so tokens are joined by powers of that factor: only like or neighbouring ones meet.
     """
     t = percent / 100
     mine = stage(sets.join(crowd, "cls").select("cls", "comp", "out", "s"))
@@ -286,10 +264,12 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), cat(toks), cat(places), cat(sizes)], names=["cls", "tok", "p", "n"])
 
     rows = stage(mine.select("cls", "s").mapInArrow(prefix, "cls binary, tok long, p long, n long").join(crowd, "cls"))
-    x, y = rows.where("out").alias("x"), rows.alias("y")
+    power = F.floor(F.log(F.col("n").cast("double")) / -math.log(t)).cast("int")
+    x = rows.where("out").select("*", F.explode(F.array(power - 1, power, power + 1)).alias("power")).alias("x")
+    y = rows.select("*", power.alias("power")).alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * t / (1 + t) - 1e-9)
     can = 1 + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= need
-    near = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & can
+    near = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.power") == F.col("y.power")) & (F.col("x.comp") != F.col("y.comp")) & can
     # Of a pair with several common tokens all but the first fail the bound or repeat it; distinct() leaves one.
     return x.join(y, near & ((F.col("x.cls") < F.col("y.cls")) | ~F.col("y.out"))).select(
         F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
@@ -304,7 +284,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     bucket = member.groupBy("key").agg(F.count("*").alias("size"), F.min_by("cls", F.struct(F.col("id").isNull(), F.col("id"), F.col("cls"))).alias("pivot")).where("size > 1")
     member = stage(member.join(bucket, "key").select("key", "cls", "size", "pivot"))
 
-    sets = class_sets(docs, member.select("cls"), text_col, size)
+    sets = class_sets(docs, stage(member.select("cls").distinct()), text_col, size)
     pairs = lambda d, a, b: d.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
     tried = stage(pairs(member, "cls", "pivot"))
     edges = stage(verified(tried, sets, percent))
@@ -342,8 +322,7 @@ def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sh AS MATERIALIZED (
   SELECT DISTINCT doc_id, s FROM (

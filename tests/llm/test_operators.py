@@ -296,6 +296,45 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         assert bag(N.dedup(docs).select("id", "component_id").collect()) == want
 
 
+def test_every_kind_of_white_space_separates(spark, tmp_path):
+    """CR, VT and FF in the texts: the same rows from Spark, SQL and the plain version; ids may be strings."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, "\r".join(words)), (3, "\v\f".join(words)), (4, "\x1c".join(words)), (5, "\u00a0".join(words)), (6, "\n\t".join(words[:39]) + "\r")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect()
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = N.op4_near_dedup(spark, str(tmp_path))
+    assert rows_of(got) == rows_in(con, N.SQL)
+    assert bag(got.collect()) == bag(_near([{"doc_id": i, "text": t} for i, t in rows]))
+    named = N.dedup(spark.createDataFrame([(f"d{i}", t) for i, t in rows], "`an.id` string, `a.text` string"), "an.id", "a.text")
+    assert {r["id"]: r["component_id"] for r in named.collect()} == {f"d{r['doc_id']}": f"d{r['component_id']}" for r in got.collect()}
+
+
+def test_a_bucket_of_many_members_gives_few_pairs(spark):
+    """20,000 sets in one bucket: those that share three fifths but are no copies give no pairs; planted copies are all among
+    the pairs, which are few more."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(-(2**62), 2**62, 60)
+    own = rng.integers(-(2**62), 2**62, (20_000, 40))
+    own[1::100, :39] = own[::100, :39]  # 200 planted near copies
+    sets = [np.unique(np.concatenate([common, x])) for x in own]
+    rows = [(i.to_bytes(16, "big"), i.to_bytes(16, "big"), True, s.tolist()) for i, s in enumerate(sets)]
+    df = N.stage(spark.createDataFrame(rows, "cls binary, comp binary, out boolean, s array<long>"))
+    pairs = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in N._prefix_pairs(df.select("cls", "comp", "out"), df.select("cls", "s"), 75).collect()}
+    assert {(i, i + 1) for i in range(0, 20_000, 100)} <= pairs and len(pairs) <= 1_000
+
+
+def test_classes_outside_the_bitmap_and_repeated_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"a b c d e f {i % 50}",) for i in range(400)] + [(None,), ("",)], "t string").repartition(3)
+    all_ = N.sketches(docs.selectExpr("1L AS id", "t"), "id", "t").where("cls IS NOT NULL").select("cls").distinct()
+    some = N.stage(all_.limit(20))
+    for bits in (27, 6):
+        monkeypatch.setattr(N.Bitmap, "MOST", bits)
+        got = N.class_sets(docs, some, "t", 5).collect()
+        assert {bytes(r["cls"]) for r in got} == {bytes(r["cls"]) for r in some.collect()} and len(got) == 20
+        assert all(len(r["s"]) == 3 for r in got)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
