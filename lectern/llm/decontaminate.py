@@ -1,16 +1,18 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The normalised words of all items feed one suffix automaton (a separator of its own follows each item). A document's
+The normalised words of all items feed a suffix automaton (a separator of its own follows each item). A document's
 words stream through it; after each word the automaton knows the longest match that ends there. Where that reaches
 `window` words, the last `window` words are an item's window and are hit; an item of fewer words is hit as a whole.
 
-Items are bounded blocks of about BLOCK_WORDS words: only one block's texts are ever broadcast, and each worker builds
-that block's automaton. With several blocks the documents pass once per block, and the hits accumulate in their rows.
+Items of up to `block_words` words (by their size in bytes) are broadcast, and each worker builds their automaton. A larger
+benchmark is dealt into blocks of that size, and the documents pass a fixed number of times, however many blocks there are: once to
+look up hashes of their windows in a bitmap of the items' windows, whose hits are joined with the windows' blocks; those documents
+alone go to the blocks that they need, block and documents in one task in pieces of SHARE documents; and once more to put the hits together.
 
 Words are runs of ASCII letters (lower-cased), digits and bytes from 0x80 on. Defined results: a null or empty text has no
 words and no hits; a null or wordless item matches nothing; a null item id counts as no item though its words are hit;
-repeated rows each get a row; repeated items count once; empty tables give no rows or no hits. Other columns pass through,
-and the operator's own column takes a name that is free.
+a very long text streams whole; hits that overlap or touch are one span; repeated rows each get a row; repeated items count once;
+empty tables give no rows or no hits. Other columns pass through, whatever their names, and the operator's own column takes a name that is free.
 """
 from __future__ import annotations
 
@@ -23,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, small_batches, stage, table
+from .common import ALNUM_TABLE, batch_of, col, free_name, map_rows, small_batches, stage, table
+from .hashing import Bitmap, WordHash, hashes_of, runs
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: Documents that a task holds against one block's automaton, about.
+SHARE = 2_000
 PAIR_SLOTS = 1 << 22
 HITS = "n_words long, items array<string>, spans array<struct<start:int,end:int,longest:int>>"
 _HITS_ARROW = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), (
@@ -182,17 +187,8 @@ def _automaton(held, key: str, window: int) -> Automaton:
     return _BUILT[key]
 
 
-def _free(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def _ddl_schema(df: DataFrame, name: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*df.schema.fields, T.StructField(name, T.StructType.fromDDL(HITS))])
+def _items_of(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    return items.select(col(item_id).cast("string").alias("i"), col(item_text).cast("binary").alias("t")).where("t is not null")
 
 
 def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -200,42 +196,119 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     """docs with one more column, a struct of n_words, items and spans (in words), and that column's name.
 
     cut: texts of which at most this share of words is hit lose their spans."""
-    items = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t is not null")
+    items = _items_of(items, item_id, item_text)
     size = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // (6 * block_words)))
-    name = _free(docs, "hits")
-    out = docs
+    name = free_name(docs, "hits")
     at = docs.columns.index(text_col)
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).distinct()
-        held = docs.sparkSession.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in block.toLocalIterator()])
-        seen, key = k > 0, uuid.uuid4().hex
-
-        last = k == blocks - 1
+    if blocks == 1:
+        held = docs.sparkSession.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in items.distinct().toLocalIterator()])
+        key = uuid.uuid4().hex
 
-        def run(batches, held=held, seen=seen, key=key, last=last):
+        def run(batches):
             for b in batches:
                 auto = _automaton(held, key, window)
-                cols = [b.column(i) for i in range(b.num_columns)]
-                old = cols.pop().to_pylist() if seen else repeat(None)
-                rows, texts = [], cols[at].to_pylist() if cut is not None and last else None
-                for i, (t, before) in enumerate( zip(cols[at].cast(pa.binary()).to_pylist(), old)):
-                    words = words_of(t)
-                    found, spans = auto.match(words)
-                    if before:
-                        found |= set(before["items"])
-                        spans = _merged(spans + [[s["start"], s["end"], s["longest"]] for s in before["spans"]])
-                    rows.append({"n_words": len(words), "items": sorted(found), "spans": [{"start": s, "end": e, "longest": m} for s, e, m in spans]})
-                    if texts is not None and spans and sum(s[1] - s[0] for s in spans) <= cut * len(words):
-                        texts[i] = without_spans(texts[i], spans)
-                if texts is not None:
-                    cols[at] = pa.array(texts, b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, _HITS_ARROW)], names=[*b.schema.names[: len(cols)], name])
-
-        out = small_batches(out).mapInArrow(run, _ddl_schema(docs, name))
-        if blocks > 1:
-            out = stage(out)
-    return out, name
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                words = [words_of(t) for t in texts]
+                yield _with_hits(list(b.columns), at, cut, words, map(auto.match, words))
+
+        return map_rows(docs, run, f"{name} struct<{HITS}>"), name
+
+    row, found = free_name(docs, "row"), free_name(docs, "found")
+    kept = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits = _hits_by_row(kept.select(col(row).alias("row"), col(text_col).cast("binary").alias("t")), items, blocks, window)
+    hits = hits.select(F.col("row").alias("__row"), F.struct("items", "spans").alias(found))
+    both = kept.join(hits, col(row) == F.col("__row"), "left").select(*[col(c) for c in docs.columns], found)
+
+    def put(batches):
+        for b in batches:
+            cols = list(b.columns)
+            found = [({i for x in r["items"] for i in x}, _merged([[y["start"], y["end"], y["longest"]] for x in r["spans"] for y in x])) if r else (set(), []) for r in cols.pop().to_pylist()]
+            words = [words_of(t) for t in cols[at].cast(pa.binary()).to_pylist()]
+            out = _with_hits(cols, at, cut, words, found)
+            yield batch_of([*out.columns[:-1], b.column(b.num_columns - 1), out.columns[-1]])
+
+    out = map_rows(both, put, f"{name} struct<{HITS}>")
+    return out.select(*[col(c) for c in docs.columns], name), name
+
+
+def _with_hits(cols: list, at: int, cut: float | None, words: list, found) -> pa.RecordBatch:
+    """A batch of the columns and the hits (items and spans by row); with cut, texts lose their spans."""
+    rows, texts = [], cols[at].to_pylist() if cut is not None else None
+    for i, (w, (items, spans)) in enumerate(zip(words, found)):
+        rows.append({"n_words": len(w), "items": sorted(items), "spans": [{"start": s, "end": e, "longest": m} for s, e, m in spans]})
+        if texts is not None and spans and sum(s[1] - s[0] for s in spans) <= cut * len(w):
+            texts[i] = without_spans(texts[i], spans)
+    if texts is not None:
+        cols[at] = pa.array(texts, cols[at].type)
+    return batch_of([*cols, pa.array(rows, _HITS_ARROW)])
+
+
+def _hits_by_row(docs: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """row, items and spans (a list of each from every block with hits) of rows row and t with a hit."""
+    items = stage(items.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int")).distinct())
+
+    def windows(batches):
+        memo = WordHash()
+        for b in batches:
+            hs, ns, bs = [], [], []
+            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(t)
+                if words:
+                    n = min(window, len(words))
+                    h = np.unique(runs(hashes_of(words, memo), n))
+                    hs.append(h.view(np.int64))
+                    ns.append(np.full(len(h), n, np.int32))
+                    bs.append(np.full(len(h), k, np.int32))
+            cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.empty(0, kind))
+            yield pa.RecordBatch.from_arrays([cat(hs, np.int64), cat(ns, np.int32), cat(bs, np.int32)], names=["h", "n", "block"])
+
+    wins = stage(small_batches(items.select("t", "block")).mapInArrow(windows, "h long, n int, block int").distinct())
+    sizes = sorted(r["n"] for r in wins.select("n").distinct().collect())  # at most `window` numbers
+    held = docs.sparkSession.sparkContext.broadcast(Bitmap(wins.select("h").distinct(), "h"))
+
+    def look(batches):
+        memo, bits = WordHash(), held.value
+        for b in batches:
+            rows, hs = [], []
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = hashes_of(words_of(t), memo)
+                h = [x[bits.holds(x)] for x in (runs(words, n) for n in sizes) if len(x)]
+                h = np.unique(np.concatenate(h)) if h else ()
+                if len(h):
+                    rows.append(row)
+                    hs.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hs, pa.list_(pa.int64()))], names=["row", "h"])
+
+    seen = small_batches(docs).mapInArrow(look, "row long, h array<long>").select("row", F.explode("h").alias("h"))
+    need = stage(seen.join(wins.select("h", "block"), "h").select("row", "block").distinct())
+    # A block's documents are dealt into shares; its items go to each of them, ahead of the documents.
+    shares = stage(need.groupBy("block").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")))
+    ahead = items.join(shares, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(-1).cast("long").alias("row"), "i", "t")
+    after = docs.join(need, "row").join(shares, "block").select("block", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int").alias("share"), "row", F.lit(None).cast("string").alias("i"), "t")
+    dealt = ahead.unionByName(after).repartition("block", "share").sortWithinPartitions("block", "share", "row")
+
+    def match(batches):
+        now, items, auto = None, [], None
+        for b in batches:
+            rows, found = [], []
+            for block, share, row, i, t in zip(*[c.to_pylist() for c in b.columns]):
+                if (block, share) != now:
+                    now, items, auto = (block, share), [], None
+                if row < 0:
+                    items.append((i, t))
+                    continue
+                if auto is None:
+                    auto = Automaton(items, window)
+                names, spans = auto.match(words_of(t))
+                if spans:
+                    rows.append(row)
+                    found.append({"items": sorted(names), "spans": [{"start": s, "end": e, "longest": m} for s, e, m in spans]})
+            got = pa.array(found, pa.struct([("items", pa.list_(pa.string())), ("spans", _HITS_ARROW.field("spans").type)]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), got.field(0), got.field(1)], names=["row", "items", "spans"])
+
+    kinds = HITS.split(", ", 1)[1]
+    return small_batches(dealt).mapInArrow(match, f"row long, {kinds}").groupBy("row").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -263,8 +336,8 @@ def without_spans(text: str, spans: list) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, window: int = WINDOW, **names) -> DataFrame:
     """docs without the hit spans; a document of whose words more than max_coverage are hit goes as a whole."""
     found, name = find_hits(docs, items, text_col, window=window, cut=max_coverage, **names)
-    n_hit = F.aggregate(F.col(f"`{name}`.spans"), F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    return found.where(n_hit <= max_coverage * F.col(f"`{name}`.n_words")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    n_hit = F.aggregate(F.col(f"{name}.spans"), F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return found.where(n_hit <= max_coverage * F.col(f"{name}.n_words")).select(*[col(c) for c in docs.columns])
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -126,21 +126,24 @@ def test_quality_verdict(spark, where, request):
 
 def _hits(words, items, window):
     hit, found = set(), set()
+    places: dict = {}
+    for n in {min(window, len(w)) for _, w in items if w}:
+        for j in range(len(words) - n + 1):
+            places.setdefault(tuple(words[j : j + n]), []).append(j)
     for i, w in items:
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            for j in range(len(words) - n + 1):
-                if words[j : j + n] == w[k : k + n]:
-                    hit.update(range(j, j + n))
-                    found.add(i)
+            for j in places.get(tuple(w[k : k + n]), ()):
+                hit.update(range(j, j + n))
+                found.add(i)
     return hit, found
 
 
 @pytest.mark.parametrize("block_words", [200_000, 3])
 def test_decontamination(spark, edge, block_words):
     items = [(str(r[0]) if r[0] is not None else None, ALNUM.findall(low(r[1]))) for r in spark.read.parquet(f"{edge}/benchmark.parquet").select("item_id", "text").collect()]
-    docs = [r for r in docs_in(spark, edge) if len(r["text"] or "") < 50_000]
-    out, h = D.find_hits(spark.read.parquet(f"{edge}/documents.parquet").where("length(coalesce(text, '')) < 50000"), spark.read.parquet(f"{edge}/benchmark.parquet"), block_words=block_words)
+    docs = docs_in(spark, edge)
+    out, h = D.find_hits(spark.read.parquet(f"{edge}/documents.parquet"), spark.read.parquet(f"{edge}/benchmark.parquet"), block_words=block_words)
     assert h == "hits_"
     got = bag((r["doc_id"], r[h]["n_words"], sum(s["end"] - s["start"] for s in r[h]["spans"]), ",".join(r[h]["items"])) for r in out.collect())
     want = []
@@ -152,6 +155,26 @@ def test_decontamination(spark, edge, block_words):
     assert any(w[2] for w in want)
 
 
+def test_many_blocks_give_what_one_gives(spark, monkeypatch):
+    """Few words, so that windows recur in many items and documents: all blocks and shares, and columns with dots."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = spark.createDataFrame([(i, text(rng.randint(0, 25))) for i in range(60)], "item_id int, text string")
+    rows = [(i, text(rng.randint(0, 80)), i) for i in range(150)] + [(150, None, 1), (3, text(900), 2)]
+    docs = spark.createDataFrame(rows, "`doc.id` int, `a.text` string, hits int").repartition(3)
+    monkeypatch.setattr(D, "SHARE", 20)
+    for window in (3, 8):
+        want = {}
+        for words, found in ((200_000, want), (10, got := {})):
+            out, h = D.find_hits(docs, items, "a.text", window=window, block_words=words)
+            assert out.columns == ["doc.id", "a.text", "hits", "hits_"]
+            found |= {(r["doc.id"], r["a.text"]): (r[h]["n_words"], list(r[h]["items"]), [s[:] for s in r[h]["spans"]]) for r in out.collect()}
+        cover = lambda spans: {j for s, e, _ in spans for j in range(s, e)}
+        assert {k: (n, i, cover(s)) for k, (n, i, s) in got.items()} == {k: (n, i, cover(s)) for k, (n, i, s) in want.items()}
+        a, b = (bag(D.decontaminate(docs, items, "a.text", window=window, block_words=w).collect()) for w in (200_000, 10))
+        assert a == b and len(a) > 0
+
+
 def test_automaton_on_random_words():
     rng = random.Random(2)
     for _ in range(150):
