@@ -1,7 +1,9 @@
 """From raw documents to a training mixture in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents (the last adds the output shard
-and the pass); run() writes each as Parquet and reads it again for the next.
+and the pass); run() writes each as Parquet and reads it again for the next. Stages read doc_id, text, source and (to learn)
+lang; n_chars, where there is one, follows the text; all other columns pass through, whatever their names. Every stage gives no
+rows for an empty table, and rereads its input, so that a lost executor costs a recomputation at most.
 """
 from __future__ import annotations
 
@@ -13,50 +15,74 @@ from lectern.llm import language_id as l
 from lectern.llm import mixing as m
 from lectern.llm import near_dedup as n
 from lectern.llm import secret_scan as s
-from lectern.llm.common import stage, table
+from lectern.llm.common import cleanup, col, free_name, stage, table, written
+
+
+def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """out with the columns of docs alone, in their order."""
+    return out.select(*[col(c) for c in docs.columns])
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    if "n_chars" not in docs.columns:
+        return docs
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.select(*[n_chars.alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier, fitted on a bounded sample of the labelled ones, does not reject."""
+    """Documents whose language the classifier, fitted on a bounded sample of the labelled ones, does not reject.
+
+    Texts that are null or have no letter go; so does every document where none has a label. Very long texts are scored
+    whole. Rows with equal texts share their fate; ties between languages go to the one that sorts first."""
     out = l.predict(docs, l.fit(docs))
-    return out.where(~F.col(f"`{out.columns[-1]}`.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _like(docs, out.where(~col(out.columns[-1]).getField("rejected")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of exact and near copies: the one with the least id.
 
     Where rows share an id or have none, they are decided by id and text: of a group's rows with the least id (or, if none of
-    the group has an id, of all its rows) the one whose digest is least stays. A text without words is in no group; its row stays, once
-    for each id and text."""
+    the group has an id, of all its rows) the one whose digest is least stays; of rows equal in id and words any one. A text that is null
+    or without words is in no group; its row stays, once for each id and text. Very long texts take part with all their shingles."""
     found = stage(n.dedup(docs))
-    out = docs.join(found.where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("__gone"))
+    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     again = stage(found.groupBy("id").count().where("count > 1 OR id IS NULL").select(F.col("id").alias("__again")))
     if again.isEmpty():
         return out
     same = F.col("doc_id") == F.col("__again")
-    some = n.with_class(docs.join(again, same, "left_semi").union(docs.where("doc_id IS NULL")))
-    some = stage(some.withColumn("__blank", F.when(F.col("__cls").isNull(), F.col("text"))).dropDuplicates(["doc_id", "__cls", "__blank"]))
+    some, cls = n.with_class(docs.join(again, same, "left_semi").union(docs.where("doc_id IS NULL")))
+    blank = free_name(some, "blank")
+    some = some.withColumn(blank, F.when(F.col(cls).isNull(), F.col("text")))
+    some = stage(some.dropDuplicates(["doc_id", cls, blank]))
     first = found.where("kept AND cls IS NOT NULL").groupBy("comp").agg(F.min("cls").alias("__first"), F.first("id").alias("__id"))
-    some = some.join(first, (F.col("__cls") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").union(some.where("__cls IS NULL"))
-    return out.where("doc_id IS NOT NULL").join(again, same, "left_anti").union(some.select(*docs.columns))
+    some = some.join(first, (F.col(cls) == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").union(some.where(F.col(cls).isNull()))
+    return out.where("doc_id IS NOT NULL").join(again, same, "left_anti").union(_like(docs, some))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the benchmark's passages; those that are mostly such passages go."""
+    """Documents without the benchmark's passages; those that are mostly such passages go.
+
+    A null or wordless text has no passage and stays as it is; an empty benchmark leaves all as it is; very long texts are
+    cleaned whole; repeated rows and repeated items count once each. Passages that overlap are cut as one."""
     return _recounted(d.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a mark in place of every secret."""
+    """Documents with a mark in place of every secret.
+
+    No row goes. A null text stays null, an empty one empty; very long texts are scanned whole; rows of one text are
+    scanned once and all marked; findings of several kinds that overlap get one mark."""
     return _recounted(s.redact(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture by source, a row for each time that a document is taken."""
+    """The mixture by source, a row for each time that a document is taken.
+
+    A null or wordless text is never taken; a null source is a source of its own; rows without an id or with that of another are told
+    apart by their text, and of equal rows it is immaterial which is cut; the one document of each source that the target cuts keeps
+    its first words, however long it is."""
     return _recounted(m.mix(docs))
 
 
@@ -73,7 +99,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mixture of the folder's documents. The tables that stages write on the way are deleted, but for the result's."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for _, f in STAGES:
         docs = stage(f(spark, docs, sf_dir))
+        cleanup(spark, since=since, keep=1)
     return docs
