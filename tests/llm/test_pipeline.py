@@ -1,11 +1,13 @@
 """The stages in turn, on awkward rows and on the smallest tables."""
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline as P
 from lectern.llm.common import stage
-from tests.llm.test_operators import ALNUM, _near, _secrets, low
+from tests.llm.test_operators import ALNUM, SPACE, _near, _secrets, _targets, low
 
 KEYS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,9 +62,65 @@ def test_no_secret_stays(steps):
     assert all(r["n_chars"] == len(r["text"]) for r in steps[4].collect())
 
 
-def test_mixture_near_target(steps):
-    n = steps[4].count()
-    assert 0 < steps[5].select("doc_id").distinct().count() <= n
+def test_mixture_meets_its_targets(steps):
+    """Source by source, the words of the mixture are the target by the plain rule, and no document is taken more than twice."""
+    n = lambda t: len(SPACE.findall(t or ""))
+    size, taken, by_doc, own = Counter(), Counter(), Counter(), {}
+    for r in steps[4].collect():
+        size[r["source"]] += n(r["text"])
+        own[r["doc_id"]] = r
+    for r in steps[5].collect():
+        taken[r["source"]] += n(r["text"])
+        by_doc[r["doc_id"]] += n(r["text"])
+        w, of = SPACE.findall(r["text"]), own[r["doc_id"]]
+        assert r["text"] == of["text"] or w == SPACE.findall(of["text"])[: len(w)]
+        assert (r["source"], r["lang"], r["n_chars"]) == (of["source"], of["lang"], len(r["text"]))
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in _targets(dict(size)).items())
+    assert all(k <= 2 * n(own[i]["text"]) for i, k in by_doc.items())
+
+
+def test_shards_are_shuffled_and_whole(steps):
+    rows = steps[5].select("doc_id", "take", "shard").collect()
+    assert len({(r["doc_id"], r["take"]) for r in rows}) == len(rows)
+    by_shard = Counter(r["shard"] for r in rows)
+    assert set(by_shard) == set(range(2))
+
+
+def test_columns_with_dots_pass_through_every_stage(spark, edge):
+    docs = spark.read.parquet(f"{edge}/documents.parquet").withColumnRenamed("cls", "c.l.s").withColumnRenamed("hits", "a`b").withColumnRenamed("n", "text.n")
+    names = docs.columns
+    for _, f in P.STAGES:
+        docs = stage(f(spark, docs, edge))
+        assert docs.columns[: len(names)] == names and docs.count() > 0
+    assert {(r["c.l.s"], r["text.n"]) for r in docs.collect()} == {("x", 6)}
+
+
+def test_no_folder_is_an_error_outside_local_sessions(spark, monkeypatch):
+    from lectern.llm import common
+
+    class Bare:
+        def __init__(self, master):
+            self.conf = self.sparkContext = self
+            self.master, self.applicationId = master, f"app-{master}"
+
+        def get(self, *_):
+            return None
+
+        getConf = lambda self: self
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Bare("spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(Bare("local-cluster[2,1,1024]"))
+    assert common.shared_dir(Bare("local[2]")) == common.shared_dir(Bare("local[2]"))
+
+
+def test_run_leaves_only_its_result(spark, small):
+    from lectern.llm import common
+
+    before = common.written()
+    out = P.run(spark, small)
+    assert common.written() == before + 1 and out.count() > 0
 
 
 def test_awkward_and_empty_rows(spark, edge, empty):
