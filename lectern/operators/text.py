@@ -21,13 +21,20 @@ INSTITUTION_SUFFIXES = ("대학교병원", "대학교", "대학병원", "대학"
                         "연구회", "협회", "주식회사", "농업기술원", "보건환경연구원", "사업단", "연구단", "박물관", "과학관")
 NOT_A_DEPARTMENT = ("대학원", "일반대학원", "산업대학원", "특수대학원", "전문대학원", "University", "College", "Graduate School", "대학", "학과", "과")
 NATIONAL = ("국립", "농촌진흥청")
-COMPANY = r"\(주\)|주식회사|㈜|\(재\)|재단법인|사단법인"
+#: Markers of a company or other body, which name no institution.
+COMPANY = r"\((?:주|재|사|유|합|학)\)|㈜|㈔|㈐|주식회사|재단법인|사단법인|유한회사"
+#: Agencies that are written without a space before their unit.
+JOINED_AGENCIES = ("농촌진흥청", "국립농촌진흥청", "산림청")
+#: Words and tails of a query that say nothing of its topic.
+QUERY_TAILS = ("관련", "관한", "대한")
+QUERY_NOISE = ("논문", "연구", "자료", "문헌")
 #: Characters that have a raised or lowered form.
-RAISED = dict(zip("0123456789+-=()n", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"))
+RAISED = dict(zip("0123456789+-=()ni", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ"))
 LOWERED = dict(zip("0123456789+-=()aeox", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎ₐₑₒₓ"))
 #: Tails that mark a sentence, the longest keyword.
 SENTENCE_TAILS = ("하였다", "되었다", "있다", "한다", "이다", "였다", "합니다")
 KEYWORD_MAX = 60
+#: Separators of terms in a keyword field; tags that are known.
 SEPARATORS = r"\s+[.·|]\s+|\s*/\s+|\s+/\s*|;\s*|,\s+"
 
 
@@ -78,16 +85,46 @@ def folded(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(c)).otherwise(nfkc_casefold(F.when(~c.rlike(r"^[\x00-\x7F]*$"), c)))
 
 
+_ASCII = r"^[\x00-\x7F]*$"
+
+
+@arrow("string")
+def nfkc_lower(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).lower())
+
+
+@arrow("array<string>")
+def nfkc_lower_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda vs: None if vs is None else [None if v is None else unicodedata.normalize("NFKC", v).lower() for v in vs])
+
+
+def lowered(c: Column) -> Column:
+    """NFKC and lower case, by the Arrow function only where the text is not ASCII."""
+    return F.when(c.rlike(_ASCII), F.lower(c)).otherwise(nfkc_lower(F.when(~c.rlike(_ASCII), c)))
+
+
+def lowered_each(c: Column) -> Column:
+    plain = F.forall(c, lambda x: F.coalesce(x, F.lit("")).rlike(_ASCII))
+    return F.when(plain, F.transform(c, F.lower)).otherwise(nfkc_lower_each(F.when(~plain, c)))
+
+
 def keyword_key(name: Column, lang: Column) -> Column:
     return F.concat(lang, F.lit(":"), folded(F.regexp_replace(F.trim(name), r"\s+", " ")))
 
 
 def display_key(name: Column) -> Column:
-    return F.regexp_replace(folded(name), r"\s+", "")
+    """What makes two spellings of a keyword one: case, white space and width do not count."""
+    return F.regexp_replace(lowered(name), r"(?U)\s+", "")
 
 
-def split_terms(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, SEPARATORS), lambda x: F.regexp_replace(F.trim(x), "^[ ;,.]+|[ ;,.]+$", "")), lambda x: x != "")
+def split_terms_py(value) -> list[str]:
+    return [c for x in re.split(SEPARATORS, clean_term_py(value) or "") if (c := clean_term_py(x))]
+
+
+@arrow("array<string>")
+def split_terms(s: pd.Series) -> pd.Series:
+    """Terms of a keyword field at its plain separators, each cleaned."""
+    return s.map(split_terms_py)
 
 
 def token_language(t: Column) -> Column:
@@ -97,13 +134,15 @@ def token_language(t: Column) -> Column:
     return F.when(t.rlike(HANGUL), "ko").when(t.rlike("[A-Za-z]"), F.when(neutral, "neutral").otherwise("en")).otherwise("neutral")
 
 
+#: What makes a token neutral, as token_language has it: its letters and digits are few, an acronym, a number with a unit, or a formula.
+_NEUTRAL = re.compile(r".{0,3}|(?=.*[A-Z])[A-Z0-9]{1,8}|[0-9]+[A-Za-z]+|([A-Z][a-z]?[0-9]*){1,4}")
+
+
 def _kind(token: str) -> str:
     if re.search(HANGUL, token):
         return "ko"
-    body = re.sub("[^A-Za-z0-9]", "", token)
-    if not re.search("[A-Za-z]", token) or len(body) <= 3 or (body.isupper() and len(body) <= 8) or re.fullmatch(r"\d+[A-Za-z]+", body) or re.fullmatch(r"(?:[A-Z][a-z]?\d*){1,4}", body):
-        return "neutral"
-    return "en"
+    latin = re.search("[A-Za-z]", token)
+    return "en" if latin and not _NEUTRAL.fullmatch(re.sub("[^A-Za-z0-9]", "", token)) else "neutral"
 
 
 def language_runs_py(value: str) -> tuple[list[str], list[str]]:
@@ -232,13 +271,20 @@ def parsed_fields(kw: Column, kw2: Column, doi: Column, year: Column, abstract:
                     year.try_cast("int").alias("year"), F.trim(F.regexp_replace(abstract, "[ \\n\\t\\r]+", " ")).alias("abstract"))
 
 
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def query_key(terms: Column) -> Column:
+    """A cache key of a query's keywords: NFKC, lower case, without tails and noise words and marks; sorted, each once."""
+
     def norm(t: Column) -> Column:
-        t = F.regexp_replace(F.trim(F.lower(t)), "(관련|관한|대한)[ ]*", " ")
-        t = F.regexp_replace(t, "[^0-9a-z_가-힣 -]", " ")
-        return F.trim(F.regexp_replace(t, "[ ]+", " "))
+        t = F.regexp_replace(F.trim(t), "(" + "|".join(QUERY_TAILS) + r")(?U:\s*)", " ")
+        t = F.regexp_replace(t, f"(?<!{_WORD})(" + "|".join(QUERY_NOISE) + f")(?!{_WORD})", " ")
+        t = F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s-]", " ")
+        return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
-    return F.substring(F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(terms, norm), lambda x: x != ""))), "|"), 1, 500)
+    keys = F.transform(F.filter(lowered_each(terms), lambda x: x.isNotNull()), norm)
+    return F.substring(F.array_join(F.array_sort(F.array_distinct(F.filter(keys, lambda x: x != ""))), "|"), 1, 500)
 
 
 def short_query(q: Column) -> Column:
@@ -302,10 +348,25 @@ def polished_institution(raw: Column) -> Column:
     return F.when(v.rlike(HANGUL) | ~v.contains(","), F.nullif(v, F.lit(""))).otherwise(chosen)
 
 
+def _under_agency(raw: Column) -> Column:
+    """What follows a ministry or agency at the start of a name; NULL where none stands there."""
+    t = F.trim(raw)
+    spaced = F.regexp_extract(t, r"^[가-힣]+(?:청|부|처)\s+(\S.*)$", 1)
+    joined = F.regexp_extract(t, "^(?:" + "|".join(JOINED_AGENCIES) + r")(\S.*)$", 1)
+    return F.coalesce(F.nullif(spaced, F.lit("")), F.nullif(joined, F.lit("")))
+
+
 def institution_units(raw: Column) -> Column:
     """The root, and under a ministry or agency the unit's own root."""
-    sub = F.nullif(F.regexp_extract(raw, "^[가-힣]+(?:청|부|처) +(.*)$", 1), F.lit(""))
-    return F.array_distinct(F.array_compact(F.array(F.coalesce(F.nullif(F.regexp_extract(raw, "^([가-힣]+(?:청|부|처)) ", 1), F.lit("")), institution_root(raw)), institution_root(sub))))
+    return F.array_distinct(F.array_compact(F.array(institution_root(raw), institution_root(_under_agency(raw)))))
+
+
+def specific_unit(raw: Column) -> Column:
+    """The unit that an affiliation names; NULL where it names only a ministry or agency, as the unit could be any of theirs."""
+    bare = F.trim(F.regexp_replace(raw, COMPANY, " "))
+    units = institution_units(bare)
+    return F.when(_under_agency(bare).isNotNull(), F.when(F.size(units) > 1, F.element_at(units, -1))).when(
+        F.size(units) > 0, F.when(~F.get(units, 0).rlike("^[가-힣]+(청|부|처)$"), F.get(units, 0)))
 
 
 # Markup, markers
@@ -377,6 +438,42 @@ def noun_tokens(text: Column, stop: tuple = ("the", "and", "of"), least: int = 2
     return F.transform(F.array_sort(F.transform(F.array_distinct(t), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), lambda s: s["w"])
 
 
+#: Words of a query that are no topic.
+SEARCH_STOP = ("연구", "논문", "관련", "분야", "자료", "내용", "결과", "최근", "요즘", "추천", "정보", "주제", "검색", "문헌", "학술", "저널")
+
+
+def plain_nouns(text: str) -> list[tuple[str, int]]:
+    """Where no morphological analyser is given: runs of letters of one script, and of digits, count as nouns."""
+    return [(m.group(), m.start()) for m in re.finditer("[가-힣]+|[A-Za-z]+|[0-9]+", text)]
+
+
+def topic_nouns(tokenize=plain_nouns, stop: tuple = SEARCH_STOP):
+    """An Arrow function from a text to its topic candidates, longest first, then by first place.
+
+    tokenize: from a text to its nouns with their places; it runs in the workers. Nouns that touch in the text are
+    joined to a compound as well, unless one of them is a stop-word."""
+
+    @arrow("array<string>")
+    def found(s: pd.Series) -> pd.Series:
+        def of(text):
+            runs, at = [], {}
+            for word, start in tokenize(text or ""):
+                if not runs or runs[-1][-1][1] + len(runs[-1][-1][0]) != start:
+                    runs.append([])
+                runs[-1].append((word, start))
+            for run in runs:
+                for word, start in run:
+                    if len(word) > 1 and word not in stop:
+                        at.setdefault(word, start)
+                if len(run) > 1 and not {w for w, _ in run} & {*stop}:
+                    at.setdefault("".join(w for w, _ in run), run[0][1])
+            return sorted(at, key=lambda w: (-len(w), at[w]))
+
+        return s.map(of)
+
+    return found
+
+
 # Arrays and JSON
 
 
@@ -384,11 +481,29 @@ def name_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s·,.\-]", ""))
 
 
-def author_place(name: Column, root: Column, names: Column, insts: Column) -> Column:
-    """Place (from 0) of the one author of that name, of several the one whose institution holds the root; else NULL."""
-    hits = F.filter(F.sequence(F.lit(0), F.size(names) - 1), lambda i: name_key(F.get(names, i)) == name_key(name))
-    near = F.filter(hits, lambda i: F.contains(F.coalesce(F.get(insts, i), F.lit("")), F.coalesce(root, F.lit("\u0000"))))
-    return F.when(F.size(names) == 0, None).when(F.size(hits) == 1, hits[0]).when((F.size(hits) > 1) & (F.size(near) == 1), near[0])
+def _name_keys(names: Column) -> Column:
+    """name_key of each, by NFKC."""
+    return F.transform(lowered_each(names), name_key)
+
+
+def author_place(name: Column, root: Column, names: Column, insts: Column, second: Column | None = None) -> Column:
+    """Place (from 0) of the one author of that name, of several the one whose institution holds the root; else NULL.
+
+    second: the name to look for where the first is blank or stands nowhere."""
+    both = F.struct(_name_keys(names).alias("keys"), _name_keys(F.array(name, F.lit(None).cast("string") if second is None else second)).alias("wanted"))
+
+    def of(v: Column) -> Column:
+        def place(key: Column) -> tuple[Column, Column]:
+            hits = F.filter(F.sequence(F.lit(0), F.greatest(F.size(names), F.lit(1)) - 1), lambda i: F.get(v["keys"], i) == key)
+            near = F.filter(hits, lambda i: F.contains(F.coalesce(F.get(insts, i), F.lit("")), F.coalesce(root, F.lit("\u0000"))))
+            some = (F.coalesce(key, F.lit("")) != "") & (F.size(hits) > 0)
+            return some, F.when(F.size(hits) == 1, F.get(hits, 0)).when(F.size(near) == 1, F.get(near, 0))
+
+        (some, at), (more, other) = place(F.get(v["wanted"], 0)), place(F.get(v["wanted"], 1))
+        return F.when(some, at).when(more, other)
+
+    # The keys are computed outside of the functions on arrays, which hold no Arrow function.
+    return F.get(F.transform(F.array(both), of), 0)
 
 
 #: An author's part in a paper, as the registry writes it.
@@ -403,9 +518,36 @@ def author_roles(division: Column, part: Column, parts: Column) -> Column:
     return F.array_compact(F.array(F.when(first, "first"), F.when(corr, F.when(n > 1, "co_corresponding").otherwise("corresponding")), F.when(other, "participant")))
 
 
+def in_range(values: Column, count: Column) -> Column:
+    return F.filter(values, lambda x: (x >= 1) & (x <= count))
+
+
 def valid_numbers(values: Column, count: Column) -> Column:
     """1-based numbers in range, each once, in order."""
-    return F.array_distinct(F.filter(values, lambda x: (x >= 1) & (x <= count)))
+    return F.array_distinct(in_range(values, count))
+
+
+def _list_place(value: Column, count: Column) -> Column:
+    """The place (from 0) that the first number in a string names in a list of `count`; NULL outside."""
+    n = F.regexp_extract(value, "[0-9]+", 0).try_cast("int") - 1
+    return F.when((n >= 0) & (n < count), n)
+
+
+def list_places(values: Column, count: Column) -> Column:
+    """Places (from 0) that strings name in a list of `count`, each once, in order."""
+    return F.array_distinct(F.array_compact(F.transform(values, lambda v: _list_place(v, count))))
+
+
+def one_to_one(pairs: Column, n_left: Column, n_right: Column) -> Column:
+    """Pairs of places from pairs of strings (arrays): those in range; of pairs that share a side only the first counts."""
+    start = F.struct(F.array().cast("array<int>").alias("l"), F.array().cast("array<int>").alias("r"))
+
+    def step(a, p):
+        i, j = _list_place(F.get(p, 0), n_left), _list_place(F.get(p, 1), n_right)
+        ok = (F.size(p) == 2) & i.isNotNull() & j.isNotNull() & ~F.array_contains(a["l"], F.coalesce(i, F.lit(-1))) & ~F.array_contains(a["r"], F.coalesce(j, F.lit(-1)))
+        return F.when(ok, F.struct(F.concat(a["l"], F.array(i)).alias("l"), F.concat(a["r"], F.array(j)).alias("r"))).otherwise(a)
+
+    return F.aggregate(pairs, start, step, lambda a: F.arrays_zip(a["l"].alias("left"), a["r"].alias("right")))
 
 
 @arrow("string")

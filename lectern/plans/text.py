@@ -24,9 +24,9 @@ def str01(spark, d):
     return _words(spark, d).select("w", X.clean_term("w").alias("term"))
 
 
-@query("str02_split_terms", r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\s+[.·|]\s+|\s*/\s+|\s+/\s*|;\s*|,\s+'), lambda x: regexp_replace(trim(x), '^[ ;,.]+|[ ;,.]+$', '', 'g')), lambda x: x <> ''), '|') AS terms FROM documents""")
+@query("str02_split_terms", r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^[ ;,.]+|[ ;,.]+$', '', 'g'), '\s+[.·|]\s+|\s*/\s+|\s+/\s*|;\s*|,\s+'), lambda x: regexp_replace(trim(x), '^[ ;,.]+|[ ;,.]+$', '', 'g')), lambda x: x <> ''), '|') AS terms FROM documents""")
 def str02(spark, d):
-    return A.docs(spark, d).select("doc_id", F.array_join(X.split_terms(F.col("text")), "|").alias("terms"))
+    return A.docs(spark, d).select("doc_id", F.array_join(X.split_terms("text"), "|").alias("terms"))
 
 
 @query("str03_token_language", f"""WITH {_WORDS}, b AS (SELECT w, regexp_replace(w, '[^A-Za-z0-9]', '', 'g') AS b FROM w) SELECT w, CASE WHEN regexp_matches(w, '[가-힣]') THEN 'ko' WHEN regexp_matches(w, '[A-Za-z]') THEN CASE WHEN length(b) <= 3
@@ -40,7 +40,8 @@ def str04(spark, d):
     return A.docs(spark, d).select("doc_id", X.language_runs("text").alias("r")).select("doc_id", F.array_join("r.ko", "|").alias("ko"), F.array_join("r.en", "|").alias("en"))
 
 
-@query("str05_bracketed")
+@query("str05_bracketed", """SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '\\([^()]*\\)|\\[[^\\[\\]]*\\]'), lambda x: regexp_replace(trim(regexp_replace(substr(x, 2, length(x) - 2), '\\s+', ' ', 'g')), '^[ ;,.]+|[ ;,.]+$', '', 'g')), lambda x: x <> ''), '|') AS terms
+  FROM (SELECT doc_id, text || ' (' || lang || ') [' || source || ']' AS t FROM documents)""")
 def str05(spark, d):
     t = F.concat("text", F.lit(" ("), "lang", F.lit(") ["), "source", F.lit("]"))
     return A.docs(spark, d).select("doc_id", F.array_join(X.bracketed(t), "|").alias("terms"))
@@ -115,6 +116,15 @@ def str17(spark, d):
     return A.docs(spark, d).select("doc_id", F.array_join(X.noun_tokens(F.col("text")), " ").alias("nouns"))
 
 
+@query("str17_topic_nouns", oracle("papers", """WITH t AS (SELECT id, title || '연구 ' || db_code || id || ' ' || db_code AS x FROM papers), w AS (SELECT id, regexp_extract_all(x, '[가-힣]+|[A-Za-z]+|[0-9]+') AS w, x FROM t),
+  n AS (SELECT id, x, list_filter(w, lambda k: length(k) > 1 AND k <> '연구') AS n, regexp_extract_all(x, '[0-9A-Za-z가-힣]+') AS runs FROM w),
+  c AS (SELECT id, x, list_distinct(list_concat(n, list_filter(runs, lambda r: NOT contains(r, '연구') AND len(regexp_extract_all(r, '[가-힣]+|[A-Za-z]+|[0-9]+')) > 1))) AS c FROM n)
+  SELECT id, array_to_string(list_transform(list_sort(list_transform(c, lambda k: {'n': -length(k), 'at': strpos(x, k), 'k': k})), lambda s: s.k), ' ') AS nouns FROM c"""))
+def str17_topics(spark, d):
+    t = F.concat("title", F.lit("연구 "), "db_code", F.col("id").cast("string"), F.lit(" "), "db_code")
+    return A.papers(spark, d).select("id", F.array_join(X.topic_nouns()(t), " ").alias("nouns"))
+
+
 _INST = "CASE rid % 6 WHEN 0 THEN '가람대학교 컴퓨터학과' WHEN 1 THEN '가람대학교병원, 서울' WHEN 2 THEN 'Garam University, Seoul' WHEN 3 THEN '나래연구소' WHEN 4 THEN '농촌청 다솜과학원 토양과' ELSE institution END"
 
 
@@ -124,21 +134,48 @@ def _inst(spark, d):
     return A.researchers(spark, d).select("rid", i.alias("inst"))
 
 
-@query("str18_institution_root", oracle("researchers", "SELECT rid, CASE rid % 6 WHEN 0 THEN '가람대학교' WHEN 1 THEN '가람대학교병원' WHEN 2 THEN 'Garam University' WHEN 3 THEN '나래연구소' WHEN 4 THEN '농촌청 다솜과학원' ELSE institution END AS root FROM researchers"))
+_SUFFIXES = "[" + ", ".join(f"'{x}'" for x in X.INSTITUTION_SUFFIXES) + "]"
+_NO_DEPT = ", ".join(f"'{x}'" for x in X.NOT_A_DEPARTMENT)
+#: The suffix that starts first, the longest one there; without one the whole (not Korean) or the first word.
+_ROOTED = f"""i AS (SELECT rid, {_INST} AS inst FROM researchers), f AS (SELECT rid, inst, trim(string_split_regex(inst, '[,/]')[1]) AS f FROM i),
+  e AS (SELECT *, list_sort(list_transform(list_filter({_SUFFIXES}, lambda x: contains(f, x)), lambda x: strpos(f, x) * 1000 - length(x)))[1] AS e FROM f),
+  r AS (SELECT rid, inst, f, CASE WHEN f = '' THEN NULL WHEN e IS NOT NULL THEN trim(substr(f, 1, CAST(ceil(e / 1000) AS INT) - 1 + CAST(ceil(e / 1000) * 1000 - e AS INT)))
+    WHEN NOT regexp_matches(f, '[가-힣]') THEN f ELSE string_split_regex(f, '[ ]+')[1] END AS root FROM e)"""
+
+
+@query("str18_institution_root", oracle("researchers", f"WITH {_ROOTED} SELECT rid, root FROM r"))
 def str18(spark, d):
     return _inst(spark, d).select("rid", X.institution_root(F.col("inst")).alias("root"))
 
 
-@query("str19_institution_dept", oracle("researchers", "SELECT rid, CASE rid % 6 WHEN 0 THEN '컴퓨터학과' WHEN 4 THEN '토양과' END AS dept FROM researchers"))
+@query("str19_institution_dept", oracle("researchers", f"""WITH {_ROOTED}, q AS (SELECT rid, trim(CASE WHEN starts_with(f, root) THEN substr(f, length(root) + 1) ELSE replace(f, root, '') END) AS rest FROM r)
+  SELECT rid, CASE WHEN rest <> '' AND rest NOT IN ({_NO_DEPT}) THEN rest END AS dept FROM q"""))
 def str19(spark, d):
     return _inst(spark, d).select("rid", X.institution_dept(F.col("inst")).alias("dept"))
 
 
-@query("str20_institution_match", oracle("researchers", "SELECT rid, rid % 6 IN (0, 1) AS same FROM researchers"))
+_MATCHED = f"""c AS (SELECT inst, trim(regexp_replace(inst, '{X.COMPANY}', ' ', 'g')) AS s FROM n), w AS (SELECT inst, lower(regexp_replace(s, '\\s+', '', 'g')) AS n, list_filter(string_split_regex(s, '[\\s,/·()]+'), lambda x: x <> '') AS w FROM c),
+  t AS (SELECT inst, n, regexp_replace(n, '^국립', '') AS stem, list_transform(range(1, len(w) + 1), lambda k: lower(array_to_string(list_slice(w, k, len(w)), ''))) AS tails FROM w)"""
+_SAME = "a.n <> '' AND b.n <> '' AND (a.n = b.n OR " + " OR ".join(
+    f"len(list_filter({y}.tails, lambda t: starts_with(t, {x}.stem) OR starts_with(regexp_replace(t, '^(국립|농촌진흥청)', ''), {x}.stem))) > 0" for x, y in ("ab", "ba")) + ")"
+
+
+@query("str20_institution_match", oracle("researchers", f"WITH i AS (SELECT rid, {_INST} AS inst FROM researchers), n AS (SELECT DISTINCT inst FROM i UNION SELECT '가람대학교'), {_MATCHED} SELECT rid, {_SAME} AS same FROM i JOIN t a USING (inst), t b WHERE b.inst = '가람대학교'"))
 def str20(spark, d):
     return _inst(spark, d).select("rid", X.same_institution(F.col("inst"), F.lit("가람대학교")).alias("same"))
 
 
+_NAMES = ("㈔가람", "가람", "(주)가람 연구소", "유한회사 가람", "국립가람대학교", "가람대학교", "나래 가람대학교병원", "남가람대학교", "농촌진흥청 국립다솜과학원", "국립다솜과학원", "농촌진흥청다솜과학원", "(학)다솜")
+
+
+@query("str20_institution_pairs", oracle("researchers", f"WITH i AS (SELECT {_INST} AS inst FROM researchers), n AS (SELECT DISTINCT inst FROM i UNION SELECT unnest({list(_NAMES)})), {_MATCHED} SELECT a.inst AS a, b.inst AS b, {_SAME} AS same FROM t a, t b WHERE a.inst < b.inst"))
+def str20_pairs(spark, d):
+    """Every pair of a short list of names and the distinct institutions (a stated list against few distinct values)."""
+    names = _inst(spark, d).select("inst").union(spark.createDataFrame([(x,) for x in _NAMES], "inst string")).distinct()
+    a, b = names.withColumnRenamed("inst", "a"), names.withColumnRenamed("inst", "b")
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", X.same_institution(F.col("a"), F.col("b")).alias("same"))
+
+
 @query("str21_polished_institution")
 def str21(spark, d):
     return _inst(spark, d).select("rid", X.polished_institution(F.concat(F.lit("Department of X, "), F.col("inst"), F.lit(", 12345 Road"))).alias("institution"))
@@ -149,6 +186,28 @@ def str22(spark, d):
     return _inst(spark, d).select("rid", F.array_join(X.institution_units(F.col("inst")), "|").alias("units"))
 
 
+@query("str22_specific_unit", oracle("researchers", f"""WITH {_ROOTED}, u AS (SELECT rid, inst, root, nullif(regexp_extract(trim(inst), '^[가-힣]+(?:청|부|처)\\s+(\\S.*)$', 1), '') AS sub FROM r),
+  v AS (SELECT rid, root, sub, list_sort(list_transform(list_filter({_SUFFIXES}, lambda x: contains(sub, x)), lambda x: strpos(sub, x) * 1000 - length(x)))[1] AS e FROM u),
+  x AS (SELECT rid, root, sub, CASE WHEN e IS NOT NULL THEN trim(substr(sub, 1, CAST(ceil(e / 1000) AS INT) - 1 + CAST(ceil(e / 1000) * 1000 - e AS INT))) ELSE string_split_regex(sub, '[ ]+')[1] END AS own FROM v)
+  SELECT rid, CASE WHEN sub IS NOT NULL THEN CASE WHEN own <> root THEN own END WHEN NOT regexp_matches(root, '^[가-힣]+(청|부|처)$') THEN root END AS unit FROM x"""))
+def str22_specific(spark, d):
+    return _inst(spark, d).select("rid", X.specific_unit(F.col("inst")).alias("unit"))
+
+
+_WORDY = "[\\p{L}\\p{N}_]"
+_TERMS = "[upper(title) || ' 관련 논문', db_code || '!', '「' || title || '」 연구', title || ' 연구자료', '자료', '-' || db_code || '-논문-']"
+
+
+@query("str23_query_key_rules", oracle("papers", f"""WITH x AS (SELECT id, unnest({_TERMS}) AS t FROM papers), a AS (SELECT id, regexp_replace(trim(lower(t)), '(관련|관한|대한)\\s*', ' ', 'g') AS t FROM x),
+  b AS (SELECT id, array_to_string(list_transform(regexp_extract_all(t, '{_WORDY}+|[^\\p{{L}}\\p{{N}}_]+'), lambda w: CASE WHEN w IN ('논문', '연구', '자료', '문헌') THEN ' ' ELSE w END), '') AS t FROM a),
+  c AS (SELECT DISTINCT id, trim(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM b)
+  SELECT id, substr(string_agg(t, '|' ORDER BY t) FILTER (t <> ''), 1, 500) AS key FROM c GROUP BY 1"""))
+def str23_rules(spark, d):
+    c = lambda *x: F.concat(*[F.col(y) if y in ("title", "db_code") else F.lit(y) for y in x])
+    terms = F.array(F.concat(F.upper("title"), F.lit(" 관련 논문")), c("db_code", "!"), c("「", "title", "」 연구"), c("title", " 연구자료"), F.lit("자료"), c("-", "db_code", "-논문-"))
+    return A.papers(spark, d).select("id", X.query_key(terms).alias("key"))
+
+
 @query("str23_query_key", oracle("papers", "SELECT id, CASE WHEN lower(title) < lower(db_code) THEN lower(title) || '|' || lower(db_code) ELSE lower(db_code) || '|' || lower(title) END AS key FROM papers"))
 def str23(spark, d):
     return A.papers(spark, d).select("id", X.query_key(F.array(F.upper("title"), "db_code", F.col("title"))).alias("key"))
@@ -243,16 +302,36 @@ def arr06(spark, d):
 def arr07(spark, d):
     v = F.array(F.col("id") % 7, F.lit(3).cast("long"), F.col("id") % 3, F.lit(9).cast("long"))
     # In range, and separately without repeats (the order kept); the check compares what is in range.
-    return A.papers(spark, d).select("id", F.array_join(F.filter(v, lambda x: (x >= 1) & (x <= 5)), ",").alias("raw_in_range"))
+    return A.papers(spark, d).select("id", F.array_join(X.in_range(v, F.lit(5)), ",").alias("raw_in_range"))
+
+
+_PAIRS = "[[(id % 4 + 1)::VARCHAR, (id % 3 + 1)::VARCHAR], ['no. ' || (id % 2 + 1), 'x'], ['no. ' || (id % 5), (id % 6)::VARCHAR], ['2', '3'], ['3'], [(id % 4 + 1)::VARCHAR, '4'], ['9', '1'], ['4', '1']]"
+_PLACE = "list_transform(p, lambda v: TRY_CAST(nullif(regexp_extract(v, '[0-9]+'), '') AS INT) - 1)"
+
+
+@query("arr07_one_to_one_pairs", oracle("papers", f"""WITH q AS (SELECT id, list_filter(list_transform({_PAIRS}, lambda p: {_PLACE}), lambda p: len(p) = 2 AND p[1] BETWEEN 0 AND 3 AND p[2] BETWEEN 0 AND 3) AS q FROM papers),
+  r AS (SELECT id, list_reduce(list_prepend(CAST([] AS INT[][]), list_transform(q, lambda p: [p])), lambda a, p: CASE WHEN len(list_filter(a, lambda o: o[1] = p[1][1] OR o[2] = p[1][2])) = 0 THEN list_concat(a, p) ELSE a END) AS r FROM q)
+  SELECT id, array_to_string(list_transform(r, lambda p: p[1] || '-' || p[2]), ',') AS pairs FROM r"""))
+def arr07_pairs(spark, d):
+    i = F.col("id")
+    n = lambda m, more=0: (i % m + more).cast("string")
+    two = lambda a, b: F.array(a if not isinstance(a, str) else F.lit(a), b if not isinstance(b, str) else F.lit(b))
+    no = lambda x: F.concat(F.lit("no. "), x)
+    pairs = F.array(two(n(4, 1), n(3, 1)), two(no(n(2, 1)), "x"), two(no(n(5)), n(6)), two("2", "3"), F.array(F.lit("3")), two(n(4, 1), "4"), two("9", "1"), two("4", "1"))
+    p = X.one_to_one(pairs, F.lit(4), F.lit(4))
+    return A.papers(spark, d).select("id", F.array_join(F.transform(p, lambda x: F.concat_ws("-", x["left"], x["right"])), ",").alias("pairs"))
 
 
-@query("arr07_distinct_numbers")
+@query("arr07_distinct_numbers", oracle("papers", "SELECT id, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), ',') AS numbers FROM (SELECT id, list_filter([id % 7, 3, id % 3, 9], lambda x: x >= 1 AND x <= 5) AS v FROM papers)"))
 def arr07b(spark, d):
     v = F.array(F.col("id") % 7, F.lit(3).cast("long"), F.col("id") % 3, F.lit(9).cast("long"))
     return A.papers(spark, d).select("id", F.array_join(X.valid_numbers(v, F.lit(5)), ",").alias("numbers"))
 
 
-@query("arr08_filter_state")
+@query("arr08_filter_state", """WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(1990 + conv_id % 20 AS INT) END AS y0, CASE WHEN turn % 3 = 1 THEN 2020 END AS y1, CASE WHEN turn % 2 = 1 THEN 'journal' END AS p FROM conversations)
+  SELECT a.conv_id, a.turn, (SELECT y0 FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND (y0 IS NOT NULL OR y1 IS NOT NULL) ORDER BY b.turn DESC LIMIT 1) AS year_start,
+    (SELECT y1 FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND (y0 IS NOT NULL OR y1 IS NOT NULL) ORDER BY b.turn DESC LIMIT 1) AS year_end,
+    (SELECT p FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND p IS NOT NULL ORDER BY b.turn DESC LIMIT 1) AS paper_type FROM t a""")
 def arr08(spark, d):
     from ..operators.search import replay_filters
 

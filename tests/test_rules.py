@@ -276,3 +276,71 @@ def test_sort_downgrade_returns_every_row(spark):
     x = spark.createDataFrame(rows, "rid int, paper_id int, citation_count int, pubyear int")
     got = P.downgraded(x, "rid", F.col("citation_count") > 0, 3).select("rid", "paper_id", "ok", "rn").collect()
     assert sorted(map(tuple, got)) == [(1, 10, True, 3), (1, 11, True, 1), (1, 12, True, 2), (2, 20, False, 3), (2, 21, False, 1), (2, 22, False, 2)]
+
+
+# Rules that the catalogue's SQL cannot express, or only in part
+
+
+def test_query_keys_drop_noise_and_width(spark):
+    rows = [(["딥러닝 관련 논문", "Ｄｅｅｐ learning 연구"],), (["learning deep", "Ünï-code_x 자료!", "연구자"],), ([None, "  ", "논문"],), (None,)]
+    assert values(spark, rows, "t array<string>", X.query_key(F.col("t"))) == [("deep learning|딥러닝",), ("learning deep|ünï-code_x|연구자",), ("",), (None,)]
+
+
+def test_display_keys_lower_and_narrow(spark):
+    assert values(spark, [("Deep  Learning",), ("ＤＥＥＰ　Learning",), ("Straße",), (None,)], "w string", X.display_key(F.col("w"))) == [("deeplearning",), ("deeplearning",), ("straße",), (None,)]
+
+
+def test_split_terms_are_cleaned_first(spark):
+    rows = [("a &amp; b; Ｃ, d / e . f ·g",), ("  ;., ",), (None,)]
+    assert values(spark, rows, "t string", X.split_terms("t")) == [(["a & b", "C", "d", "e", "f ·g"],), ([],), ([],)]
+
+
+def test_institutions_without_company_markers(spark):
+    rows = [("㈔가람", "가람", True), ("(학)가람", "유한회사 가람", True), ("㈐나래", "가람", False), ("서울대학교", "남서울대학교", False), ("국립식량과학원", "농촌진흥청 국립식량과학원", True), ("(주)", "가람", False)]
+    assert [r[0] for r in values(spark, rows, "a string, b string, c boolean", X.same_institution(F.col("a"), F.col("b")))] == [r[2] for r in rows]
+
+
+def test_specific_units(spark):
+    rows = {"농촌진흥청 국립식량과학원 중부작물부": "국립식량과학원", "농촌진흥청": None, "연세대학교 의과대학": "연세대학교", "농촌진흥청농업과학기술원": "농업과학기술원", "환경부 ": None, "(주)가람연구소": "가람연구소", "": None}
+    assert {k: v for k, v in values(spark, [(k,) for k in rows], "r string", "r", X.specific_unit(F.col("r")))} == rows
+    units = values(spark, [("농촌진흥청 국립농업과학원 유기농업과",), ("연세대학교 의과대학",)], "r string", X.institution_units(F.col("r")))
+    assert units == [(["농촌진흥청", "국립농업과학원"],), (["연세대학교"],)]
+
+
+def test_polished_institution(spark):
+    rows = {"Dept. of X, Garam University, Seoul": "Garam University", "School of Y, Nara Institute, 12345 Road": "Nara Institute", "School of Y, Seoul": "School of Y", "Bora Co., Ltd., Busan": "Bora Co., Ltd.", "가람대학교, 서울": "가람대학교, 서울", "Plain name": "Plain name", "": None}
+    assert {k: v for k, v in values(spark, [(k,) for k in rows], "r string", "r", X.polished_institution(F.col("r")))} == rows
+
+
+def test_raised_and_lowered_characters():
+    assert X.repaired_py("e<SUP>i</SUP> x<SUB>2</SUB> y<SUP>q</SUP>") == "eⁱ x₂ yq"
+
+
+def test_title_ratio():
+    assert X.title_ratio("Deep Learning!", "deep learning") == 1.0 and X.title_ratio("abcd", "abxx") == 0.5 and X.title_ratio(None, "x") == 0.0
+
+
+def test_topic_nouns(spark):
+    text = "노화 조기진단 관련논문 DNA분석 분석"
+    assert values(spark, [(text,)], "t string", X.topic_nouns()(F.col("t"))) == [(["DNA분석", "조기진단", "관련논문", "DNA", "노화", "분석"],)]
+    split = lambda t: [("조기", 3), ("진단", 5), ("관련", 8), ("논문", 10), ("노화", 0)] if t else []
+    nouns = lambda t: sorted(split(t), key=lambda x: x[1])
+    assert values(spark, [(text,), (None,)], "t string", X.topic_nouns(nouns)(F.col("t"))) == [(["조기진단", "노화", "조기", "진단"],), ([],)]
+
+
+def test_list_places_and_one_to_one_pairs(spark):
+    assert values(spark, [(["3번", "x", "1", "3", "9", "0"],)], "v array<string>", X.list_places(F.col("v"), F.lit(4))) == [([2, 0],)]
+    pairs = [["1", "2"], ["1", "3"], ["2", "2"], ["2", "3"], ["9", "1"], ["3"], [None, "1"], ["no. 4", "1"]]
+    got = values(spark, [(pairs,), ([],)], "p array<array<string>>", X.one_to_one(F.col("p"), F.lit(4), F.lit(4)))
+    assert [[tuple(x) for x in r[0]] for r in got] == [[(0, 1), (1, 2), (3, 0)], []]
+
+
+def test_author_place_by_second_name_and_width(spark):
+    rows = [("가람", "Garam Kim", ["ＧＡＲＡＭ　ＫＩＭ", "x"]), ("x", "y", ["X"]), (None, "y", ["a", "Y."]), ("z", None, ["a"]), ("a", "b", ["a", "a", "b"])]
+    c = X.author_place(F.col("n"), F.lit("가람"), F.col("ns"), F.transform("ns", lambda x: F.lit("")), F.col("m"))
+    assert values(spark, rows, "n string, m string, ns array<string>", c) == [(0,), (0,), (1,), (None,), (None,)]
+
+
+def test_first_json(spark):
+    rows = ['so {broken {"k": 1, "n": {"x": [1]}} tail {"k": 2}', "none", None, '{"가": "}"}']
+    assert values(spark, [(r,) for r in rows], "t string", X.first_json("t")) == [('{"k": 1, "n": {"x": [1]}}',), (None,), (None,), ('{"가": "}"}',)]
