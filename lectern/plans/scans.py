@@ -51,13 +51,21 @@ def src04(spark, d):
     return _xml(spark, d).select("id", R.article(F.col("xml")).alias("a")).select("id", F.col("a.id").alias("art_id"), "a.title", F.col("a.year").try_cast("int").alias("year"), F.get("a.authors.author", 0)["name"].alias("author"), F.array_join("a.keywords.keyword", "|").alias("keywords"))
 
 
-@query("src05_record_finder")
+@query("src05_record_finder", oracle("papers", "SELECT CAST(id AS VARCHAR) AS cn FROM papers"))
 def src05(spark, d):
-    # The container of the records is found once, on the driver, in one sample; the scan then uses that path.
-    sample = {"response": {"header": {"n": 1}, "body": {"records": {"record": [{"cn": "1"}]}}}}
-    assert R.find_records(sample) == [{"cn": "1"}]
     xml = F.concat(F.lit("<r><records><record><cn>"), "id", F.lit("</cn></record></records></r>"))
-    return A.papers(spark, d).select(F.inline(F.from_xml(xml, "struct<records:struct<record:array<struct<cn:string>>>>")["records"]["record"]))
+    parsed = F.to_json(F.from_xml(xml, "struct<records:struct<record:array<struct<cn:string>>>>"))
+    return A.papers(spark, d).select(F.inline(R.records_of(parsed, "struct<cn:string>")))
+
+
+@query("src05_record_containers", oracle("papers", "SELECT id, 'a' || id AS cn FROM papers WHERE id % 6 < 5 UNION ALL SELECT id, 'b' AS cn FROM papers WHERE id % 6 IN (0, 3)"))
+def src05_containers(spark, d):
+    """Documents of several shapes: a bare list, known keys, nesting, an unknown key, none."""
+    one, two = F.concat(F.lit('{"cn": "a'), "id", F.lit('"}')), F.lit('{"cn": "b"}')
+    k, cat = F.col("id") % 6, lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    doc = (F.when(k == 0, cat("[", one, ", ", two, "]")).when(k == 1, cat('{"outputData": [', one, "]}")).when(k == 2, cat('{"h": {"n": 1}, "resultSet": {"x": 1, "Record": [', one, "]}}"))
+           .when(k == 3, cat('{"record": "no", "body": {"list": [', one, ", ", two, "]}}")).when(k == 4, cat('{"h": [1, 2], "rows": [', one, "]}")).otherwise("not json"))
+    return A.papers(spark, d).select("id", F.inline(R.records_of(doc, "struct<cn:string>")))
 
 
 @query("src06_paged_source")

@@ -62,19 +62,40 @@ def article(xml: Column) -> Column:
     return F.from_xml(xml, ARTICLE)
 
 
-def find_records(node, names: tuple = ("record", "records", "item", "items")) -> list:
-    """The first list of records under a known container key, depth first, of a parsed document."""
-    inside = node if isinstance(node, list) else list(node.values()) if isinstance(node, dict) else []
-    for x in inside:
-        if found := find_records(x, names):
-            return found
-    for n in names if isinstance(node, dict) else ():
-        held = node.get(n) if isinstance(node.get(n), list) else [node[n]] if n in node else []
-        if held and all(isinstance(x, dict) for x in held):
+#: Keys under which records are found, in the order in which they are tried.
+CONTAINERS = ("record", "Record", "records", "Records", "result", "RESULT", "outputData", "resultSet", "returnObject")
+
+
+def find_records(node, names: tuple = CONTAINERS) -> list:
+    """The first list of records of a parsed document: itself if it is a list; else a list under a known key, or in what stands
+    under one; else, in order, what the other keys hold."""
+    if not isinstance(node, dict):
+        return node if isinstance(node, list) else []
+    known = [(node.get(n), True) for n in names]
+    for held, any_list in known + [(x, False) for x in node.values()]:
+        if isinstance(held, list) and (any_list or (held and isinstance(held[0], dict))):
             return held
+        if isinstance(held, dict) and (found := find_records(held, names)):
+            return found
     return []
 
 
+def records_of(documents: Column, schema: str, names: tuple = CONTAINERS) -> Column:
+    """The records of parsed documents (JSON text), as an array of structs of the schema; NULL for what is no JSON."""
+    import json
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def found(text):
+        try:
+            return None if text is None else json.dumps(find_records(json.loads(text), names), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return F.from_json(pandas_udf(lambda s: s.map(found), "string")(documents), f"array<{schema}>")
+
+
 class PagedSource(DataSource):
     """Records by keyword and page: a partition per keyword. Options: keywords (comma-separated), pages, size.
 

@@ -34,9 +34,13 @@ def test_registry_encodings_and_headers(spark, tmp_path):
 
 
 def test_find_records():
-    assert R.find_records({"a": {"b": [{"record": [{"x": 1}, {"x": 2}]}]}}) == [{"x": 1}, {"x": 2}]
-    assert R.find_records({"records": {"record": {"x": 1}}}) == [{"x": 1}]
-    assert R.find_records({"a": 1}) == []
+    rows = [{"x": 1}, {"x": 2}]
+    assert R.find_records(rows) == rows and R.find_records("x") == []
+    for key in R.CONTAINERS:
+        assert R.find_records({"first": [{"no": 1}], key: rows}) == rows and R.find_records({"body": {key: rows}}) == rows
+    assert R.find_records({"result": {"n": 1}, "returnObject": {"a": {"Records": rows}}}) == rows
+    assert R.find_records({"n": [1, 2], "a": {"b": rows}}) == rows and R.find_records({"record": []}) == []
+    assert R.find_records({"a": 1}) == [] and R.find_records({"record": {"x": 1}}) == []
 
 
 def test_article_xml(spark):
