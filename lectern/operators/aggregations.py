@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import ensure_checkpoint_dir
+from .windows import ensure_checkpoint_dir, global_before, global_rank
 
 
 def cooccurrence(tags: DataFrame, translations: DataFrame | None = None) -> DataFrame:
@@ -96,8 +96,8 @@ def auc(scores: DataFrame) -> DataFrame:
 
     Counts by score are cumulated, so no pairs are made."""
     c = scores.groupBy("score").agg(F.sum(F.when(F.col("y"), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("y"), 0).otherwise(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("w", F.col("p") * below).agg(F.round(F.sum("w") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
+    c = global_before(c, [F.col("score")], "n", "below", scores.agg(F.approx_count_distinct("score", 0.02)).first()[0])
+    return c.withColumn("w", F.col("p") * F.col("below")).agg(F.round(F.sum("w") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
 
 
 def tfidf_vocabulary(tokens: DataFrame, n_docs: int, least_len: int, stop: list[str], share: float) -> DataFrame:
@@ -111,12 +111,12 @@ def tfidf_vocabulary(tokens: DataFrame, n_docs: int, least_len: int, stop: list[
     norm = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     out = x.join(norm, "doc").groupBy("token").agg(F.max("freq").alias("freq"), (F.sum(F.col("w") / F.col("norm")) / n_docs).alias("weight")).checkpoint()
     # The cut by rank is a cut by frequency, but for ties at the edge: only the rows of one frequency need an order.
-    per = out.groupBy("freq").agg(F.count("*").alias("k"))
+    per = out.groupBy("freq").agg(F.count("*").alias("k"))  # a row per frequency: few beside the tokens
     run = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("k").over(run), F.lit(0))).crossJoin(per.agg(F.floor(F.sum("k") * share).alias("keep")))
     x = out.join(per, "freq").where("before < keep")
     whole, edge = x.where("before + k <= keep"), x.where("before + k > keep")
-    edge = edge.withColumn("rn", F.row_number().over(Window.orderBy("token"))).where("before + rn <= keep").drop("rn")
+    edge = global_rank(edge, [F.col("token")], "rn", edge.count()).where("before + rn <= keep").drop("rn")
     return whole.union(edge).select("token", "freq", F.round("weight", 6).alias("weight"))
 
 

@@ -9,9 +9,14 @@ from .windows import top_per_group
 
 
 def match_candidates(people: DataFrame, most: int) -> DataFrame:
-    """rid, cand, verdict for pairs of one name and institution: the `most` best; confirmed by department, else inferred if alone."""
-    b = people.select(F.col("rid").alias("cand"), "name", "institution", F.col("dept").alias("d2"), F.col("rank").alias("r2"))
-    x = people.join(b, ["name", "institution"]).where("rid <> cand").withColumn("n", F.count("*").over(Window.partitionBy("rid")))
+    """rid, cand, verdict for pairs of one name and institution: the `most` best; confirmed by department, else inferred if alone.
+
+    A group's best `most` + 1 hold everybody's best `most` others, so a group is joined with so many, not with itself."""
+    key = ["name", "institution"]
+    size = people.groupBy(*key).agg((F.count("*") - 1).alias("n"))
+    b = top_per_group(people.select("rid", *key, "dept", "rank"), key, [F.col("rank").desc(), "rid"], most + 1)
+    b = b.select(F.col("rid").alias("cand"), *key, F.col("dept").alias("d2"), F.col("rank").alias("r2"))
+    x = people.join(b, key).where("rid <> cand").join(size, key)
     x = top_per_group(x, ["rid"], [F.col("r2").desc(), "cand"], most)
     return x.select("rid", "cand", F.when(F.col("dept") == F.col("d2"), "confirmed").when(F.col("n") == 1, "inferred").otherwise("ambiguous").alias("verdict"))
 
@@ -35,15 +40,21 @@ def duplicate_groups(people: DataFrame, links: DataFrame, least: int, twice: Dat
     return components(people.select("rid"), pairs.select("a", "b")).toDF("rid", "canonical")
 
 
-def same_name_merge(people: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """rid, canonical: same-name pairs whose institution contains the other's, or with `least` shared co-authors (edges rid, other)."""
-    p = people.select("rid", "name", "institution")
-    q = p.toDF("b", "name", "inst2")
-    pairs = p.toDF("a", "name", "inst1").join(q, "name").where("a < b")
-    by_inst = pairs.where(F.contains("inst1", "inst2") | F.contains("inst2", "inst1")).select("a", "b")
-    e = edges.select("rid", "other").distinct()
-    both = pairs.join(e.toDF("a", "c"), "a").join(e.toDF("b", "c"), ["b", "c"]).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return components(people.select("rid"), by_inst.union(both.select("a", "b"))).toDF("rid", "canonical")
+def same_name_merge(people: DataFrame, edges: DataFrame, least: int, cross_script: int | None = None, institution: str = "institution") -> DataFrame:
+    """rid, canonical: same-name people whose institution contains the other's, or with `least` shared co-authors (edges rid, other);
+    where one institution is written in Hangul and the other is not, `cross_script` shared ones suffice.
+
+    People of one name and institution are a star, and only a name's distinct institutions meet; co-authors are joined as
+    keys (name, other), so no name's people meet each other as such."""
+    p = people.select("rid", "name", F.col(institution).alias("inst"))
+    hub = p.where("inst <> ''").groupBy("name", "inst").agg(F.min("rid").alias("hub"))
+    star = p.join(hub, ["name", "inst"]).where("rid <> hub").select("rid", "hub")
+    held = hub.toDF("name", "inst1", "a").join(hub.toDF("name", "inst2", "b"), "name").where("a <> b").where(F.contains("inst1", "inst2")).select("a", "b")
+    e = edges.select("rid", "other").distinct().join(p.select("rid", "name", F.coalesce(F.col("inst").rlike("[가-힣]"), F.lit(False)).alias("ko")), "rid")
+    x = e.select(F.col("rid").alias("a"), "name", "other", F.col("ko").alias("ka")).join(e.select(F.col("rid").alias("b"), "name", "other", F.col("ko").alias("kb")), ["name", "other"])
+    need = F.when(F.col("ka") != F.col("kb"), least if cross_script is None else cross_script).otherwise(least)
+    both = x.where("a < b").groupBy("a", "b", "ka", "kb").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+    return components(people.select("rid"), star.union(held).union(both.select("a", "b")).toDF("a", "b")).toDF("rid", "canonical")
 
 
 def name_components(papers: DataFrame) -> DataFrame:
@@ -58,6 +69,11 @@ def name_components(papers: DataFrame) -> DataFrame:
     return x.select("name", "paper_id", F.col("k").alias("node")).distinct().join(c, "node").select("name", "paper_id", "comp")
 
 
+def component_samples(papers: DataFrame, most: int = 3) -> DataFrame:
+    """name, comp, paper_id: of each of a name's components the first `most` papers, or all where it has fewer."""
+    return top_per_group(name_components(papers), ["name", "comp"], ["paper_id"], most)
+
+
 def modal_id(trusted: DataFrame, overall: DataFrame, share: float) -> DataFrame:
     """rid, author_id: the commonest id on trusted papers (ties: overall count, then the greater id) if it has the share."""
     n = trusted.groupBy("rid", "author_id").agg(F.count("*").alias("n"))

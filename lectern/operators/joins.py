@@ -94,9 +94,18 @@ def undirected_edges(*link_tables: DataFrame) -> DataFrame:
 
 
 def overlap_pairs(tags: DataFrame, least: int) -> DataFrame:
-    """Pairs a < b of papers with at least `least` keywords in common (rows paper_id, name)."""
-    b = tags.select(F.col("paper_id").alias("b"), "name")
-    return tags.select(F.col("paper_id").alias("a"), "name").join(b, "name").where("a < b").groupBy("a", "b").agg(F.countDistinct("name").alias("shared")).where(F.col("shared") >= least)
+    """Pairs a < b of papers with at least `least` keywords in common (rows paper_id, name), and how many.
+
+    With a paper's n keywords in order of rarity, a pair has a common one among the first n - least + 1 of each. So the commonest
+    keywords of a paper make no pairs, and the candidates' lists decide."""
+    held = tags.select("paper_id", "name").distinct()
+    often = held.groupBy("name").agg(F.count("*").alias("often"))
+    order = F.array_sort(F.collect_list(F.struct("often", "name")))
+    papers = held.join(often, "name").groupBy("paper_id").agg(F.transform(order, lambda x: x["name"]).alias("names")).where(F.size("names") >= least)
+    first = papers.select("paper_id", F.explode(F.slice("names", F.lit(1), F.size("names") - (least - 1))).alias("name"))
+    pairs = first.withColumnRenamed("paper_id", "a").join(first.withColumnRenamed("paper_id", "b"), "name").where("a < b").select("a", "b").distinct()
+    x = pairs.join(papers.toDF("a", "na"), "a").join(papers.toDF("b", "nb"), "b")
+    return x.select("a", "b", F.size(F.array_intersect("na", "nb")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def positional_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:

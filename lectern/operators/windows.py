@@ -46,13 +46,34 @@ def global_rank(rows: DataFrame, order: list, name: str, n_rows: int) -> DataFra
     return x.join(F.broadcast(sizes), "__p").withColumn(name, place).drop("__p", "__b")
 
 
+def global_before(rows: DataFrame, order: list, value: str, name: str, n_rows: int) -> DataFrame:
+    """rows with the sum of value over all rows that come earlier in a total order, in ranges beyond ONE_TASK rows."""
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if n_rows <= ONE_TASK:
+        return rows.withColumn(name, before(Window.orderBy(*order)))
+    ensure_checkpoint_dir(rows.sparkSession)
+    x = rows.repartitionByRange(max(2, -(-n_rows // ONE_TASK)), *order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    sums = x.groupBy("__p").agg(F.sum(value).alias("__s")).select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return x.join(F.broadcast(sums), "__p").withColumn(name, before(Window.partitionBy("__p").orderBy(*order)) + F.col("__b")).drop("__p", "__b")
+
+
+_OWN_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark) -> None:
-    """Checkpoints go to the folder that the session names; to a temporary one only where it names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Checkpoints go to the folder that the session names; a local session that names none gets one of its own, any other an error,
+    because its executors would not share the driver's folders."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        import re
         import tempfile
 
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _OWN_DIRS.get(sc.applicationId)
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir is not set: start the session with it, naming a folder that driver and executors share")
+            named = _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="lectern-")
+        sc.setCheckpointDir(named)
 
 
 def spread(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:

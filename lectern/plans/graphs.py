@@ -45,6 +45,38 @@ def grf03(spark, d):
     return I.same_name_merge(A.researchers(spark, d), none, 2)
 
 
+#: Institutions of three kinds and two scripts, and co-authors folded together so that people of one name share some.
+_WHO = "w AS (SELECT rid, name, CASE rid % 4 WHEN 0 THEN '가람대학교' WHEN 1 THEN 'Garam University ' || rid % 7 WHEN 2 THEN '나래연구소 ' || rid ELSE '' END AS inst FROM researchers), e AS (SELECT DISTINCT rid, paper_id % 60 AS other FROM links WHERE paper_id % 3 = 0)"
+_SHARE = "s AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM e a JOIN e b ON a.other = b.other AND a.rid < b.rid JOIN w x ON x.rid = a.rid JOIN w y ON y.rid = b.rid AND x.name = y.name GROUP BY 1, 2)"
+
+
+@query("grf03_same_name_merge_evidence", _rec("researchers links", f"""WITH {_WHO}, {_SHARE}, nodes AS (SELECT rid AS node FROM researchers), edges AS (SELECT a.rid AS a, b.rid AS b FROM w a JOIN w b ON a.name = b.name AND a.rid < b.rid LEFT JOIN s ON s.a = a.rid AND s.b = b.rid
+  WHERE (a.inst <> '' AND b.inst <> '' AND (contains(a.inst, b.inst) OR contains(b.inst, a.inst))) OR n >= CASE WHEN regexp_matches(a.inst, '[가-힣]') <> regexp_matches(b.inst, '[가-힣]') THEN 3 ELSE 5 END), {_COMP} SELECT a AS rid, min(b) AS canonical FROM reach GROUP BY 1"""))
+def grf03_evidence(spark, d):
+    k = F.col("rid") % 4
+    inst = F.when(k == 0, "가람대학교").when(k == 1, F.concat(F.lit("Garam University "), F.col("rid") % 7)).when(k == 2, F.concat(F.lit("나래연구소 "), "rid")).otherwise("")
+    edges = A.links(spark, d).where("paper_id % 3 = 0").select("rid", (F.col("paper_id") % 60).alias("other"))
+    return I.same_name_merge(A.researchers(spark, d).withColumn("inst", inst), edges, 5, 3, "inst")
+
+
+_TWICE = "t AS (SELECT a.rid AS a, b.rid AS b, count(*) AS bad FROM l a JOIN l b ON a.paper_id = b.paper_id AND a.name = b.name AND a.rid < b.rid WHERE a.paper_id % 2 = 0 GROUP BY 1, 2)"
+
+
+@query("grf02_duplicate_groups_twice", _rec("links researchers", f"WITH {_PL}, {_DUP}, {_TWICE}, nodes AS (SELECT rid AS node FROM researchers), edges AS (SELECT pairs.a, pairs.b FROM pairs LEFT JOIN t ON t.a = pairs.a AND t.b = pairs.b WHERE shared >= 4 AND coalesce(bad, 0) * 2 < shared), {_COMP} SELECT a AS rid, min(b) AS canonical FROM reach GROUP BY 1"))
+def grf02_twice(spark, d):
+    l = _pl(spark, d)  # noqa: E741
+    twice = l.join(A.researchers(spark, d).select("rid", "name"), "rid").where("paper_id % 2 = 0").select("paper_id", "name").distinct()
+    return I.duplicate_groups(A.researchers(spark, d), l, 4, twice)
+
+
+@query("grf04_component_samples")
+def grf04_samples(spark, d):
+    # As for the components, a test holds the operator against brute force.
+    r = A.researchers(spark, d).select("rid", "name")
+    x = A.links(spark, d).join(r, "rid").select("name", "paper_id", (F.col("paper_id") % 50 + F.col("rid")).alias("other"))
+    return I.component_samples(x)
+
+
 @query("grf04_name_components")
 def grf04(spark, d):
     # The recursive SQL is too slow on the whole table; a test holds the operator against brute force.

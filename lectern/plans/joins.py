@@ -81,6 +81,11 @@ def jon10(spark, d):
     return J.overlap_pairs(A.links(spark, d).select("paper_id", F.col("rid").alias("name")), 2)
 
 
+@query("jon10_keyword_overlap_of_keywords", oracle("keywords", "SELECT a.paper_id AS a, b.paper_id AS b, count(DISTINCT a.name) AS shared FROM keywords a JOIN keywords b ON a.name = b.name AND a.paper_id < b.paper_id GROUP BY 1, 2 HAVING count(DISTINCT a.name) >= 4"))
+def jon10_keywords(spark, d):
+    return J.overlap_pairs(A.keywords(spark, d), 4)
+
+
 _SET = ("blue bolt", "red bolt", "small ring", "hot gear", "old bolt")
 
 

@@ -10,7 +10,14 @@ from ..streaming import state as S
 from .catalog import query
 
 
-@query("stm01_rate_limit")
+def _starts(rows: str, keys: str, seconds: int) -> str:
+    """SQL for the window starts of rows with ts: recursion from each key's first hit to the first one `seconds` or more later."""
+    on = " AND ".join(f"e.{k} IS NOT DISTINCT FROM r.{k}" for k in keys.split(", "))
+    return f"st AS (SELECT {keys}, min(ts) AS s FROM {rows} GROUP BY ALL UNION ALL SELECT {', '.join('r.' + k for k in keys.split(', '))}, min(e.ts) FROM st r JOIN {rows} e ON {on} AND e.ts >= r.s + INTERVAL {seconds} SECOND GROUP BY {', '.join('r.' + k for k in keys.split(', '))}, r.s)"
+
+
+@query("stm01_rate_limit", f"""WITH RECURSIVE {_starts("events", "user_id", 86_400)}, x AS (SELECT e.user_id, event_id, ts, s FROM events e ASOF JOIN st ON e.user_id = st.user_id AND e.ts >= st.s),
+  n AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS INT) AS n FROM x) SELECT user_id, event_id, n, n <= 2 AS allowed, round((epoch_us(s) + 86400000000 - epoch_us(ts)) / 1000000, 3) AS left FROM n""")
 def stm01(spark, d):
     return S.fixed_windows(A.read(spark, d, "events"), "user_id", "ts", "event_id", 86_400, 2).select("user_id", "event_id", "n", "allowed", F.round("left", 3).alias("left"))
 
@@ -21,7 +28,19 @@ def stm02(spark, d):
     return S.quota(e, "user_id", "session", ["ts", "event_id"], 3, F.col("event_type") == "error").select("event_id", "used", "allowed")
 
 
-@query("stm04_negative_cache")
+_USES = "u AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, ts, event_id % 3 = 0 AS opens, event_type = 'error' AS failed, CASE WHEN event_id % 3 <> 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS c FROM events)"
+
+
+@query("stm02_usage_limits", f"""WITH RECURSIVE {_USES}, {_starts("u", "user_id, c, opens", 172_800)}, x AS (SELECT u.*, st.s FROM u JOIN st ON u.user_id = st.user_id AND u.opens = st.opens AND u.c IS NOT DISTINCT FROM st.c AND u.ts >= st.s AND u.ts < st.s + INTERVAL 172800 SECOND),
+  b AS (SELECT *, CASE WHEN opens THEN 2 ELSE 3 END AS most, coalesce(sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, c, opens, s ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x)
+  SELECT event_id, opens, CAST(least(b + 1, most) AS INT) AS used, b < most AS allowed, CAST(most - least(b + 1, most) AS INT) AS left FROM b""")
+def stm02_limits(spark, d):
+    e = A.read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    x = S.usage_limits(e, "user_id", "day", "ts", "event_id", F.col("event_id") % 3 == 0, F.col("event_type") == "error", 172_800, 2, 3)
+    return x.select("event_id", "opens", "used", "allowed", "left")
+
+
+@query("stm04_negative_cache", f"WITH RECURSIVE f AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), {_starts('f', 'user_id', 86_400)} SELECT user_id, s AS tried FROM st")
 def stm04(spark, d):
     return S.negative_cache(A.read(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", 86_400)
 

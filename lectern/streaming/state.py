@@ -1,66 +1,98 @@
 """Counters, quotas and negative caches: batch folds, and their Structured Streaming twins.
 
 A window starts at a subject's first hit and lasts a fixed time; the next hit after that starts another. No time window of
-Spark SQL does that (session windows end by gaps), so each subject's hits are folded in order: as an aggregate over its sorted
-array in batch, and with state in a stream.
+Spark SQL does that (session windows end by gaps), so in batch a subject's hits pass in order of time through a task that holds one
+batch of rows and the last window's start, however many hits there are; within a batch the fold jumps from window to window. All
+else (places, counts, verdicts) is built-in functions. In a stream the same state is held by Spark.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def window_starts(hits: DataFrame, keys: list[str], ts: str, ties: list[str], seconds: int, name: str = "start") -> DataFrame:
+    """hits with the start (microseconds) of the window of each: a key's first hit starts one, and so does the first hit
+    `seconds` or more after the last start."""
+    span = seconds * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    d = hits.withColumns({"__at": at, "__key": F.to_json(F.struct(*keys))}).repartition(*keys).sortWithinPartitions("__key", "__at", *ties)
+    width = len(hits.columns)
+
+    def fold(batches):
+        last, start = None, None
+        for b in batches:
+            us, key = b.column(width).to_numpy(zero_copy_only=False), b.column(width + 1).to_numpy(zero_copy_only=False)
+            out = np.empty(len(us), np.int64)
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(us)] if len(us) else []
+            for i, end in zip(edges, edges[1:]):
+                if key[i] != last:
+                    last, start = key[i], None
+                while i < end:
+                    if start is None or us[i] >= start + span:
+                        start = int(us[i])
+                    j = i + int(np.searchsorted(us[i:end], start + span))
+                    out[i:j] = start
+                    i = j
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out)], names=[*b.schema.names[:width], name])
+
+    return d.mapInArrow(fold, T.StructType([*hits.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def fixed_windows(hits: DataFrame, subject: str, ts: str, key: str, seconds: int, limit: int) -> DataFrame:
     """subject, key, start, n (the hit's number in its window), allowed, left (seconds until the window ends) of every hit."""
-    def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "k"])
-        start, n, rows = None, 0, []
-        for t in pdf["t"].tolist():
-            if start is None or t >= start + seconds:
-                start, n = t, 0
-            n += 1
-            rows.append((start, n, n <= limit, start + seconds - t))
-        out = pd.DataFrame(rows, columns=["start", "n", "allowed", "left"])
-        return pd.concat([pdf[["s", "k"]].reset_index(drop=True), out], axis=1)
-
-    x = hits.select(F.col(subject).alias("s"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(key).alias("k")).select("s", "k", (F.col("us") / 1_000_000).alias("t"))
-    out = x.groupBy("s").applyInPandas(body, "s long, k long, start double, n int, allowed boolean, left double")
-    return out.withColumnsRenamed({"s": subject, "k": key})
+    x = window_starts(hits.select(subject, key, ts), [subject], ts, [key], seconds)
+    n = F.row_number().over(Window.partitionBy(subject, "start").orderBy(ts, key))
+    left = (F.col("start") + seconds * 1_000_000 - F.unix_micros(F.col(ts).cast("timestamp"))) / 1_000_000
+    return x.select(subject, key, (F.col("start") / 1_000_000).alias("start"), n.alias("n"), (n <= limit).alias("allowed"), left.alias("left"))
 
 
 def quota(uses: DataFrame, subject: str, session: str, order: list, limit: int, failed: Column) -> DataFrame:
     """Each use's running count in its session, failures handed back, and whether it was within the limit.
 
     Without rejections changing the count, running sums suffice: a use is allowed while the successes before it are fewer."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(subject, session).orderBy(*order)
     before = F.coalesce(F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return uses.withColumn("used", F.least(before, F.lit(limit))).withColumn("allowed", before < limit)
 
 
-def negative_cache(failures: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Failures that would be tried: the first of a key, then the first at least `seconds` after the last one tried."""
-    at = F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
+def usage_limits(uses: DataFrame, subject: str, session: str, ts: str, key: str, opens: Column, failed: Column, seconds: int, chats: int, turns: int) -> DataFrame:
+    """Two counters: uses that open a session count for their subject, all others for their session of that subject. Each counter's window
+    starts at its first use and lasts `seconds`; a failed use is handed back, and one beyond the limit changes nothing.
+
+    subject, session, key, opens, used (after the use), allowed, left of every use."""
+    d = uses.select(subject, session, key, ts, F.coalesce(opens, F.lit(False)).alias("opens"), F.coalesce(failed, F.lit(False)).alias("failed"))
+    d = d.withColumn("counter", F.when(F.col("opens"), None).otherwise(F.col(session).cast("string")))
+    x = window_starts(d, [subject, "counter", "opens"], ts, [key], seconds)
+    limit = F.when(F.col("opens"), chats).otherwise(turns)
+    w = Window.partitionBy(subject, "counter", "opens", "start").orderBy(ts, key).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.least(F.coalesce(F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w), F.lit(0)), limit)
+    used = F.when(before < limit, before + 1).otherwise(limit)
+    return x.select(subject, session, key, "opens", used.cast("int").alias("used"), (before < limit).alias("allowed"), (limit - used).cast("int").alias("left"))
 
-    def step(a, t):
-        ok = a["last"].isNull() | (t >= a["last"] + seconds * 1_000_000)
-        return F.struct(F.when(ok, t).otherwise(a["last"]).alias("last"), F.when(ok, F.concat(a["out"], F.array(t))).otherwise(a["out"]).alias("out"))
 
-    x = failures.groupBy(key).agg(at.alias("t"))
-    return x.select(key, F.explode(F.aggregate("t", start, step, lambda a: a["out"])).alias("t")).select(key, F.timestamp_micros("t").alias("tried"))
+def negative_cache(failures: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """Failures that would be tried: the first of a key, then the first at least `seconds` after the last one tried."""
+    x = window_starts(failures.select(key, ts), [key], ts, [], seconds)
+    return x.select(key, F.timestamp_micros("start").alias("tried")).distinct()
 
 
-def daily_budget(calls: DataFrame, day: Column, order: list, limit: int) -> DataFrame:
-    """Each call's number in its local day, and whether the day's budget still held."""
-    from pyspark.sql import Window
+def daily_budget(calls: DataFrame, day: Column, order: list, limit: int, ts: str = "ts", minutes: int = 5) -> DataFrame:
+    """Each call's number in its local day, and whether the day's budget still held. order begins with ts.
 
-    n = F.row_number().over(Window.partitionBy("day").orderBy(*order))
-    return calls.withColumn("day", day).withColumn("n", n).withColumn("allowed", F.col("n") <= limit)
+    A day is numbered in slices of some minutes: the calls before the slice, by its counts, and the place within it."""
+    d = calls.withColumn("day", day).withColumn("__slice", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / (60 * minutes)))
+    per = d.groupBy("day", "__slice").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("day").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(per.select("day", "__slice", before.alias("__before")), ["day", "__slice"])
+    n = F.row_number().over(Window.partitionBy("day", "__slice").orderBy(*order)) + F.col("__before")
+    return d.withColumn("n", n.cast("int")).withColumn("allowed", F.col("n") <= limit).drop("__slice", "__before")
 
 
 def stream_fixed_windows(hits: DataFrame, subject: str, ts: str, seconds: int, limit: int) -> DataFrame:
