@@ -16,6 +16,44 @@ def keyword_cascade(keys: DataFrame, query: str, synonyms: tuple[str, ...] = (),
     return out if accept is None else out.where(accept)
 
 
+#: Words of one meaning that a search may put in each other's place; the least similarity of a keyword's vector.
+SYNONYMS = {"게놈": ("유전체",), "유전체": ("게놈",)}
+LEAST_SIMILARITY = 0.65
+_RESERVED = r"""[+\-!(){}\[\]^"~*?:\\/&|]"""
+
+
+def keyword_search(keys: DataFrame, query: str, query_vector: list[float] | None = None, lang: str | None = None, limit: int = 5, synonyms: dict = SYNONYMS,
+                   accept: Column | None = None, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """name, stage, score, paper_count of the best keywords at the first stage at which an acceptable one is found: 1 the phrase, 2 all words
+    in any order, 3 and on a synonym each, last the vectors. keys: name, lang, paper_count and (for the last stage) v.
+
+    The score of a name found by words is the share of its words that are meant; of one found by its vector, the cosine. accept
+    is a condition on keys, and holds at every stage, so that an unusable keyword never ends the search."""
+    import re
+
+    from .vectors import cosine
+
+    words = re.sub(_RESERVED, " ", query).lower().split()
+    if not words:
+        return keys.select("name", F.lit(0).alias("stage"), F.lit(0.0).alias("score"), "paper_count").limit(0)
+    d = keys if lang is None else keys.where(F.col("lang") == lang)
+    d = d if accept is None else d.where(accept)
+    own = F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    padded = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+    phrase = lambda ws: padded.contains(" " + " ".join(ws) + " ")
+    tried = [phrase(words), F.size(F.array_intersect(own, F.array(*map(F.lit, words)))) == len(set(words)), *(phrase(s.lower().split()) for s in synonyms.get(" ".join(words), ()))]
+    stage = F.coalesce(*[F.when(t, k + 1) for k, t in enumerate(tried)])
+    n = [len(words), len(words), *(len(s.split()) for s in synonyms.get(" ".join(words), ()))]
+    score = F.element_at(F.array(*[F.lit(float(x)) for x in n]), stage) / F.size(own)
+    if query_vector is not None:
+        sim = F.round(cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in query_vector])), 9)
+        stage, score = F.coalesce(stage, F.when(sim >= least, len(tried) + 1)), F.when(stage.isNotNull(), score).otherwise(sim)
+    found = d.select("name", stage.alias("stage"), F.round(score, 6).alias("score"), "paper_count").where("stage IS NOT NULL")
+    # A scalar beside the rows: the first stage with a row.
+    first = found.agg(F.min("stage").alias("__first"))
+    return found.join(F.broadcast(first), F.col("stage") == F.col("__first")).drop("__first").orderBy(F.col("score").desc(), F.col("paper_count").desc(), "name").limit(limit)
+
+
 def replay_filters(turns: DataFrame) -> DataFrame:
     """conv_id, turn and the filters in force after it: NULL leaves a filter, and the two years move together."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)

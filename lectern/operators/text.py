@@ -252,6 +252,27 @@ def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_ratio(x, y) for x, y in zip(a, b)])
 
 
+def may_be_similar(a: Column, b: Column, least: float) -> Column:
+    """Whether the lengths of two titles' letters and digits allow a ratio of `least`."""
+    n = lambda c: F.length(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z가-힣]", ""))
+    return 2.0 * F.least(n(a), n(b)) >= least * (n(a) + n(b))
+
+
+def title_similarity_from(least: float):
+    """title_similarity where it reaches `least`, else NULL: what two titles have of each character bounds their matching blocks."""
+
+    @arrow("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        def of(x, y):
+            x, y = (re.sub("[^0-9a-z가-힣]", "", (t or "").lower()) for t in (x, y))
+            m = difflib.SequenceMatcher(None, x, y)
+            return m.ratio() if m.quick_ratio() >= least and m.ratio() >= least else None
+
+        return pd.Series([of(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return similarity
+
+
 def issn(raw: Column) -> Column:
     b = F.upper(F.regexp_replace(raw, "[^0-9Xx]", ""))
     return F.when(b.rlike("^[0-9]{7}[0-9X]$"), F.concat_ws("-", F.substring(b, 1, 4), F.substring(b, 5, 4)))

@@ -1,10 +1,13 @@
 """Vector similarity, BM25 and hybrid search."""
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import global_rank, rrf
+from .windows import ensure_checkpoint_dir, global_rank, rrf
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -29,25 +32,34 @@ def query_similarity(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("id", F.greatest(F.lit(0.0), cosine(F.col("v"), q)).alias("sim"))
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75, share: float = 0.25) -> DataFrame:
+def _term_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """id, size and the counts of the wanted terms (an array) of documents id, toks: a row of a few numbers each."""
+    tf = F.array(*[F.size("toks") - F.size(F.array_remove("toks", t)) for t in wanted]).cast("array<int>")
+    return docs.select("id", F.size("toks").alias("size"), tf.alias("tf"))
+
+
+def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75, share: float = 0.25, counts: DataFrame | None = None) -> DataFrame:
     """id, score of every document (id, toks). Repeated query terms add; a negative idf becomes `share` times the mean idf.
 
-    Document lengths and the terms' counts come from one pass over tokens, kept only for query terms; the mean idf needs the
-    document frequency of every word, hence one count by word (partial sums before the shuffle)."""
-    n_docs, avg = docs.agg(F.count("*"), F.avg(F.size("toks"))).first()
-    if not n_docs or not avg:
-        return docs.select("id", F.lit(0.0).alias("score"))
-    df = docs.select(F.explode(F.array_distinct("toks")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    idf = F.log(F.lit(float(n_docs)) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    Lengths and the terms' counts (counts: already computed by _term_counts) are all that scores need; only where an idf is negative
+    are the document frequencies of all words counted, for their mean."""
     wanted = list(dict.fromkeys(terms))
-    got = df.select("t", idf.alias("idf")).agg(F.avg("idf").alias("mean"), *[F.max(F.when(F.col("t") == t, F.col("idf"))).alias(f"i{k}") for k, t in enumerate(wanted)]).first()
-    score, size = F.lit(0.0), F.size("toks")
-    for k, t in enumerate(wanted):
-        if got[f"i{k}"] is not None:
-            weight = got[f"i{k}"] if got[f"i{k}"] >= 0 else share * (got["mean"] or 0.0)
-            tf = size - F.size(F.array_remove("toks", t))
-            score = score + terms.count(t) * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / float(avg)))
-    return docs.select("id", score.alias("score"))
+    counts = _term_counts(docs, wanted) if counts is None else counts
+    got = counts.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *[F.count_if(F.col("tf")[k] > 0).alias(f"d{k}") for k in range(len(wanted))]).first()
+    n_docs, avg = got["n"], got["avg"]
+    if not n_docs or not avg:
+        return counts.select("id", F.lit(0.0).alias("score"))
+    weights = [math.log(n_docs - got[f"d{k}"] + 0.5) - math.log(got[f"d{k}"] + 0.5) if got[f"d{k}"] else None for k in range(len(wanted))]
+    if any(w is not None and w < 0 for w in weights):
+        df = docs.select(F.explode(F.array_distinct("toks")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+        mean = df.agg(F.avg(F.log(F.lit(float(n_docs)) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))).first()[0]
+        weights = [share * (mean or 0.0) if w is not None and w < 0 else w for w in weights]
+    score, size = F.lit(0.0), F.col("size")
+    for k, w in enumerate(weights):
+        if w is not None:
+            tf = F.col("tf")[k]
+            score = score + terms.count(wanted[k]) * w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / float(avg)))
+    return counts.select("id", score.alias("score"))
 
 
 def ranked(scores: DataFrame, score: str, n_rows: int) -> DataFrame:
@@ -58,12 +70,16 @@ def ranked(scores: DataFrame, score: str, n_rows: int) -> DataFrame:
 def hybrid_search(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], floor: float = 0.7) -> DataFrame:
     """id, score, sim of what reaches floor times the best similarity; fusion of the lexical and the vector ranking.
 
-    Both are computed before any filter, as filters must only shrink a result."""
-    sim = query_similarity(vectors, query).withColumn("sim", F.round("sim", 9))
-    lex = bm25(docs, terms).withColumn("score", F.round("score", 9))
-    fused = rrf(ranked(sim, "sim", vectors.count()), ranked(lex, "score", docs.count()))
-    top = sim.agg(F.max("sim").alias("top"))
-    return fused.join(sim, "id").crossJoin(F.broadcast(top)).where(F.col("sim") >= floor * F.col("top")).select("id", F.round("score", 6).alias("score"), F.round("sim", 6).alias("sim"))
+    Both are computed before any filter, as filters must only shrink a result. Vectors and texts are read once each: what
+    the rankings need is a few numbers a row, kept in the checkpoint folder."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    sim = query_similarity(vectors, query).withColumn("sim", F.round("sim", 9)).checkpoint()
+    counts = _term_counts(docs, list(dict.fromkeys(terms))).checkpoint()
+    n, top = sim.agg(F.count("*"), F.max("sim")).first()
+    lex = bm25(docs, terms, counts=counts).withColumn("score", F.round("score", 9))
+    fused = rrf(ranked(sim, "sim", n), ranked(lex, "score", counts.count()))
+    best = sim.where(F.col("sim") >= floor * F.lit(top))
+    return fused.join(best, "id").select("id", F.round("score", 6).alias("score"), F.round("sim", 6).alias("sim"))
 
 
 def best_sentence(sentences: DataFrame, query: list[float]) -> DataFrame:
@@ -81,3 +97,38 @@ def blended(rows: DataFrame, target: dict, weight: float = 0.7) -> DataFrame:
     if target.get("g") is None:
         return rows.select("id", F.round(c, 6).alias("sim"))
     return rows.crossJoin(F.broadcast(whole)).select("id", F.round(F.when(F.col("whole"), weight * c + (1 - weight) * cosine(F.col("g"), lit(target["g"]))).otherwise(c), 6).alias("sim"))
+
+
+#: What the encoder wants ahead of a text.
+PASSAGE, QUERY = "passage: ", "query: "
+
+
+def passage_text(title: Column, abstract: Column, keywords: Column) -> Column:
+    """What a paper's vector is made of: the title twice, the abstract, the keywords (an array); absent parts go."""
+    part = lambda c: F.nullif(c, F.lit(""))
+    return F.concat(F.lit(PASSAGE), F.concat_ws(" ", part(title), part(title), part(abstract), part(F.array_join(keywords, " "))))
+
+
+def query_text(query: Column) -> Column:
+    return F.concat(F.lit(QUERY), query)
+
+
+def embedded(rows: DataFrame, text: str, encoder: Callable[[], Callable], name: str = "v") -> DataFrame:
+    """rows with the vector of a text column. encoder: makes, once in a task, a function from a list of texts to their vectors.
+
+    A null text has no vector."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator):
+        encode = encoder()
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            some = [t for t in texts if t is not None]
+            made = iter(encode(some) if some else [])
+            vectors = [None if t is None else [float(x) for x in next(made)] for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))

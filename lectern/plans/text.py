@@ -71,7 +71,9 @@ def str09(spark, d):
 def str10(spark, d):
     p = A.papers(spark, d)
     x = A.cites(spark, d).join(p.select(F.col("id").alias("src"), F.col("title").alias("a")), "src").join(p.select(F.col("id").alias("dst"), F.col("title").alias("b")), "dst")
-    return x.select("src", "dst", F.round(X.title_similarity("a", "b"), 6).alias("ratio")).where("ratio >= 0.85")
+    # Lengths bound the ratio before any text reaches Python.
+    x = x.where(X.may_be_similar(F.col("a"), F.col("b"), 0.85))
+    return x.select("src", "dst", F.round(X.title_similarity_from(0.85)("a", "b"), 6).alias("ratio")).where("ratio >= 0.85")
 
 
 @query("str11_issn", oracle("papers", """SELECT id, CASE WHEN regexp_matches(b, '^[0-9]{7}[0-9X]$') THEN substr(b, 1, 4) || '-' || substr(b, 5, 4) END AS issn FROM (SELECT id, upper(regexp_replace(r, '[^0-9Xx]', '', 'g')) AS b FROM (SELECT id, CASE id % 4 WHEN 0 THEN ' 1234-567x ' WHEN 1 THEN lpad(CAST(id AS VARCHAR), 8, '0') WHEN 2 THEN '12x' ELSE NULL END AS r FROM papers))"""))
@@ -241,6 +243,35 @@ def str28(spark, d):
     return keyword_cascade(A.keywords(spark, d).select("name").distinct(), "blue bolt")
 
 
+_STAGED = """k AS (SELECT name, count(DISTINCT paper_id) AS paper_count, min(lang) AS lang FROM keywords GROUP BY 1), w AS (SELECT *, string_split(name, ' ') AS w FROM k WHERE paper_count % 2 = 0)"""
+
+
+@query("str28_keyword_search", oracle("keywords", f"""WITH {_STAGED}, s AS (SELECT name, paper_count, CASE WHEN contains(' ' || name || ' ', ' bolt blue ') THEN 1 WHEN list_contains(w, 'blue') AND list_contains(w, 'bolt') THEN 2 END AS stage, round(2 / len(w), 6) AS score FROM w)
+  SELECT name, stage, score, paper_count FROM s WHERE stage = (SELECT min(stage) FROM s) ORDER BY score DESC, paper_count DESC, name LIMIT 5"""))
+def str28_search(spark, d):
+    from ..operators.search import keyword_search
+
+    k = A.keywords(spark, d).groupBy("name").agg(F.countDistinct("paper_id").alias("paper_count"), F.min("lang").alias("lang"))
+    return keyword_search(k, "bolt (blue)", accept=F.col("paper_count") % 2 == 0)
+
+
+_KEYED = """k AS (SELECT name, count(DISTINCT paper_id) AS paper_count, row_number() OVER (ORDER BY name) AS id FROM keywords GROUP BY 1)"""
+
+
+@query("str28_keyword_search_by_vector", oracle("keywords vecs", f"""WITH {_KEYED}, q AS (SELECT v FROM vecs WHERE id = 0), s AS (SELECT name, paper_count, round(list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v))), 9) AS sim FROM k JOIN vecs a USING (id), q)
+  SELECT name, 3 AS stage, round(sim, 6) AS score, paper_count FROM s WHERE sim >= 0.05 ORDER BY round(sim, 6) DESC, paper_count DESC, name LIMIT 5"""))
+def str28_vector(spark, d):
+    from pyspark.sql import Window
+
+    from ..operators.search import keyword_search
+    from .vectors import query_vector
+
+    v = A.vecs(spark, d)
+    # The vocabulary is small: a place for each of its words pairs it with a vector.
+    k = A.keywords(spark, d).groupBy("name").agg(F.countDistinct("paper_id").alias("paper_count")).withColumn("id", F.row_number().over(Window.orderBy("name")))
+    return keyword_search(k.join(v.select("id", "v"), "id").withColumn("lang", F.lit("en")), "nothing like it", query_vector(v, 0), least=0.05)
+
+
 @query("str29_assembly")
 def str29(spark, d):
     return A.docs(spark, d).select("doc_id", X.assembled(X.sentences(F.col("text"))).alias("a")).select("doc_id", F.length("a.text").alias("n"), "a.complete")

@@ -108,6 +108,13 @@ def vec11(spark, d):
     return A.docs(spark, d).select("doc_id", F.size(bm25_text(F.col("source"), F.col("text"), F.col("lang"))).cast("long").alias("n"))
 
 
+@query("vec11_passage_text", "SELECT doc_id, 'passage: ' || CASE WHEN source IS NULL OR source = '' THEN '' ELSE source || ' ' || source || ' ' END || text || ' ' || lang || ' ' || doc_id AS passage, 'query: ' || lang AS query FROM documents WHERE text <> ''")
+def vec11_passage(spark, d):
+    docs = A.docs(spark, d).where("text <> ''")
+    p = V.passage_text(F.col("source"), F.col("text"), F.array(F.col("lang"), F.col("doc_id").cast("string")))
+    return docs.select("doc_id", p.alias("passage"), V.query_text(F.col("lang")).alias("query"))
+
+
 @query("vec12_similarity_diagnostics", oracle("vecs keywords", f"""WITH t AS (SELECT paper_id AS id, name FROM keywords WHERE paper_id IN (SELECT id FROM vecs)), p AS (SELECT x.id AS i, y.id AS j, count(*) AS n FROM t x JOIN t y ON x.name = y.name AND x.id < y.id GROUP BY 1, 2)
   SELECT least(3, n) AS shared, count(*) AS n, round(avg({_COS}), 6) AS mean FROM p JOIN vecs a ON a.id = i JOIN vecs b ON b.id = j GROUP BY 1"""))
 def vec12(spark, d):

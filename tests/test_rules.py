@@ -344,3 +344,70 @@ def test_author_place_by_second_name_and_width(spark):
 def test_first_json(spark):
     rows = ['so {broken {"k": 1, "n": {"x": [1]}} tail {"k": 2}', "none", None, '{"가": "}"}']
     assert values(spark, [(r,) for r in rows], "t string", X.first_json("t")) == [('{"k": 1, "n": {"x": [1]}}',), (None,), (None,), ('{"가": "}"}',)]
+
+
+def test_similar_titles_pass_their_bounds(spark):
+    rng = random.Random(5)
+    pairs = [(t := "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 14))), t[: rng.randint(0, 14)] + rng.choice(["", "a", "xyz"])) for _ in range(300)] + [(None, "a"), ("", "")]
+    got = values(spark, pairs, "a string, b string", "a", "b", X.may_be_similar(F.col("a"), F.col("b"), 0.8), X.title_similarity_from(0.8)("a", "b"))
+    for a, b, may, r in got:
+        want = X.title_ratio(a, b)
+        assert (r == pytest.approx(want)) if want >= 0.8 else r is None
+        assert may or want < 0.8
+
+
+def test_keyword_search_stages(spark):
+    from operator import itemgetter
+
+    from lectern.operators.search import keyword_search
+
+    rows = [("deep learning", "en", 5, [1.0, 0.0]), ("Learning: deep nets", "en", 9, [0.0, 1.0]), ("deep learning nets", "en", 1, [1.0, 1.0]), ("유전체", "ko", 3, [1.0, 0.1]), ("aging", "en", 2, [0.9, 0.1])]
+    k = spark.createDataFrame(rows, "name string, lang string, paper_count int, v array<double>")
+    names = lambda *a, **b: [itemgetter("name", "stage")(r.asDict()) for r in keyword_search(k, *a, **b).collect()]
+    assert names("Deep-learning") == [("deep learning", 1), ("deep learning nets", 1)]
+    assert names("nets deep") == [("Learning: deep nets", 2), ("deep learning nets", 2)]
+    assert names("게놈") == [("유전체", 3)] and names("게놈", lang="en") == [] and names("(!)") == []
+    assert names("ageing", [1.0, 0.0], least=0.95) == [("deep learning", 3), ("유전체", 3), ("aging", 3)]
+    assert names("deep learning", [1.0, 0.0], accept=F.col("name") == "aging") == [("aging", 3)]
+
+
+def test_encoder_hook(spark):
+    made = V.embedded(spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id int, t string"), "t", lambda: lambda texts: np.array([[len(t), 1] for t in texts]))
+    assert [(r["id"], r["v"]) for r in made.orderBy("id").collect()] == [(1, [2.0, 1.0]), (2, None), (3, [3.0, 1.0])]
+    assert values(spark, [("T", None, ["a", "b"]), (None, "x", None)], "t string, a string, k array<string>", V.passage_text(F.col("t"), F.col("a"), F.col("k"))) == [("passage: T T a b",), ("passage: x",)]
+
+
+def test_component_samples_are_the_first_of_each(spark):
+    rng = random.Random(4)
+    rows = [(f"n{rng.randrange(3)}", rng.randrange(40), rng.randrange(60)) for _ in range(90)]
+    got = I.component_samples(spark.createDataFrame(rows, "name string, paper_id long, other long"), 3).collect()
+    want = set()
+    for name in {r[0] for r in rows}:
+        of = {p: {o for n, q, o in rows if (n, q) == (name, p)} for p in {r[1] for r in rows if r[0] == name}}
+        left = set(of)
+        while left:
+            comp, todo = set(), [min(left)]
+            while todo:
+                p = todo.pop()
+                if p not in comp:
+                    comp.add(p)
+                    todo += [q for q in of if of[p] & of[q]]
+            left -= comp
+            want |= {(name, p) for p in sorted(comp)[:3]}
+    assert {(r["name"], r["paper_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_merge_evidence_by_script(spark):
+    people = [(1, "a", "가람대학교"), (2, "a", "Garam"), (3, "a", "나래대학교"), (4, "a", "가람대학교병원"), (5, "b", "가람대학교"), (6, "a", ""), (7, "a", "")]
+    edges = [(1, 9), (2, 9), (3, 9), (1, 8), (3, 7), (6, 3)]
+    p, e = spark.createDataFrame(people, "rid long, name string, institution string"), spark.createDataFrame(edges, "rid long, other long")
+    got = {r["rid"]: r["canonical"] for r in I.same_name_merge(p, e, 2, 1).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}  # 2 joins 1 and 3 across scripts; 1 and 3 share one only
+    assert {r["rid"]: r["canonical"] for r in I.same_name_merge(p, e, 2).collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6, 7: 7}
+
+
+def test_names_twice_in_half_of_the_papers_block(spark):
+    people = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "rid long, name string")
+    links = spark.createDataFrame([(r, p) for r in (1, 2, 3, 4) for p in range(4)], "rid long, paper_id long")
+    twice = spark.createDataFrame([(0, "a"), (1, "a"), (0, "b")], "paper_id long, name string")
+    assert {r["rid"]: r["canonical"] for r in I.duplicate_groups(people, links, 3, twice).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
