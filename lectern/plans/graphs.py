@@ -85,7 +85,11 @@ def grf04(spark, d):
     return I.name_components(x)
 
 
-@query("grf05_authorship_judge")
+@query("grf05_authorship_judge", oracle("links researchers papers ext_links", """WITH o AS (SELECT a.rid, a.paper_id, b.rid AS other FROM links a JOIN links b ON a.paper_id = b.paper_id AND a.rid <> b.rid), k AS (SELECT DISTINCT a.rid, b.rid AS other FROM ext_links a JOIN ext_links b ON a.paper_id = b.paper_id AND a.rid <> b.rid),
+  c AS (SELECT l.rid, l.paper_id, r.institution AS unit, 'Brand#' || p.journal_id AS inst, (SELECT count(DISTINCT other) FROM o WHERE o.rid = l.rid AND o.paper_id = l.paper_id) AS n FROM links l JOIN researchers r ON r.rid = l.rid JOIN papers p ON p.id = l.paper_id),
+  s AS (SELECT o.rid, o.paper_id, count(DISTINCT o.other) AS shared FROM o JOIN k ON k.rid = o.rid AND k.other = o.other GROUP BY 1, 2),
+  j AS (SELECT c.*, coalesce(contains(inst, unit), false) AS r1, coalesce(shared, 0) >= 2 AS r2 FROM c LEFT JOIN s USING (rid, paper_id)), t AS (SELECT rid, inst FROM j WHERE (r1 OR r2) AND inst IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT paper_id) >= 2)
+  SELECT j.rid, paper_id, CASE WHEN n = 0 THEN NULL WHEN r1 THEN 1 WHEN r2 THEN 2 WHEN t.rid IS NOT NULL THEN 3 ELSE 0 END AS rule FROM j LEFT JOIN t ON t.rid = j.rid AND t.inst = j.inst"""))
 def grf05(spark, d):
     l, r = A.links(spark, d), A.researchers(spark, d)  # noqa: E741
     others = l.groupBy("paper_id").agg(F.collect_list("rid").alias("all"))
@@ -96,7 +100,20 @@ def grf05(spark, d):
     return I.judged(c, known, 2)
 
 
-@query("grf06_institution_renames")
+_RENAMES = """s AS (SELECT rid, institution, min(year) AS y0, max(year) AS y1 FROM r GROUP BY 1, 2), m AS (SELECT a.institution AS old, b.institution AS new, count(DISTINCT a.rid) AS people FROM s a JOIN s b ON a.rid = b.rid AND a.institution <> b.institution AND a.y1 <= b.y0 GROUP BY 1, 2 HAVING count(DISTINCT a.rid) >= {least}),
+  q AS (SELECT institution AS new, year AS start FROM (SELECT *, row_number() OVER (PARTITION BY institution ORDER BY year, rid) - 1 AS i, count(*) OVER (PARTITION BY institution) AS n FROM r WHERE year IS NOT NULL) WHERE i = floor(n * 0.05))
+  SELECT old, new, people FROM m JOIN q USING (new) WHERE (SELECT avg(CASE WHEN year > start + 1 THEN 1.0 ELSE 0.0 END) FROM r WHERE institution = old AND year IS NOT NULL) <= {late}"""
+
+
+@query("grf06_institution_renames_of_links", oracle("links papers", f"WITH r AS (SELECT rid, 'I' || CASE WHEN pubyear < 1995 THEN rid % 6 ELSE rid % 6 + 3 END AS institution, pubyear AS year FROM links JOIN papers ON id = paper_id), {_RENAMES.format(least=3, late=0.5)}"))
+def grf06_links(spark, d):
+    """Institutions whose name depends on the year, so that many people move and few old names stay in use."""
+    p = A.papers(spark, d).select(F.col("id").alias("paper_id"), F.col("pubyear").alias("year"))
+    inst = F.concat(F.lit("I"), (F.when(F.col("year") < 1995, F.col("rid") % 6).otherwise(F.col("rid") % 6 + 3)).cast("string"))
+    return I.renamed_institutions(A.links(spark, d).join(p, "paper_id").select("rid", inst.alias("institution"), "year"), 3, 0.5, 0.05)
+
+
+@query("grf06_institution_renames", oracle("papers", f"WITH r AS (SELECT author AS rid, degree AS institution, pubyear AS year FROM papers WHERE degree IS NOT NULL), {_RENAMES.format(least=3, late=1.0)}"))
 def grf06(spark, d):
     return I.renamed_institutions(A.papers(spark, d).select(F.col("author").alias("rid"), F.col("degree").alias("institution"), F.col("pubyear").alias("year")).where("institution IS NOT NULL"), 3, 1.0, 0.05)
 

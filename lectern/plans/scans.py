@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import adapters as A
 from ..adapters import oracle
@@ -21,6 +22,18 @@ def src01(spark, d):
     return files.select(F.inline(R.papers_in(text))).select(F.col("CN").alias("cn"), F.col("DBCode").alias("db_code"), F.col("Title").alias("title"), F.col("Pubyear").alias("pubyear"))
 
 
+@query("src01_corpus_files", oracle("papers", "SELECT 'CN' || id AS cn, db_code, title, pubyear FROM papers WHERE id % 10 <> 3"))
+def src01_files(spark, d):
+    """The same from files: every second one an object with `papers`, the others bare lists."""
+    path, p = W.scratch(spark), A.papers(spark, d)
+    cn = F.when(F.col("id") % 10 != 3, F.concat(F.lit("CN"), F.col("id")))
+    item = F.struct(cn.alias("CN"), F.col("db_code").alias("DBCode"), F.col("title").alias("Title"), F.col("pubyear").alias("Pubyear"))
+    files = p.groupBy(F.floor(F.col("id") / 500).alias("f")).agg(F.collect_list(item).alias("papers"))
+    text = F.when(F.col("f") % 2 == 0, F.to_json(F.struct("papers"))).otherwise(F.to_json("papers"))
+    files.select("f", text.alias("value")).repartition("f").write.partitionBy("f").text(path)
+    return R.read_corpus(spark, path).select(F.col("CN").alias("cn"), F.col("DBCode").alias("db_code"), F.col("Title").alias("title"), F.col("Pubyear").alias("pubyear"))
+
+
 @query("src02_ranking_csv", oracle("journals", "SELECT title, issn, CAST(sjr_score AS DOUBLE) AS sjr, quartile, CAST(h_index AS INT) AS h_index FROM journals"))
 def src02(spark, d):
     path = W.scratch(spark)
@@ -28,7 +41,7 @@ def src02(spark, d):
     return R.read_ranking(spark, path).select("title", F.get("issn", 0).alias("issn"), "sjr", "quartile", "h_index")
 
 
-@query("src03_registry_csv")
+@query("src03_registry_csv", oracle("journals", "SELECT title, issn FROM journals"))
 def src03(spark, d):
     paths = [f"{W.scratch(spark)}-{day}" for day in ("20240101", "20250301")]
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -46,7 +59,20 @@ def _xml(spark, d):
     return A.papers(spark, d).join(k, F.col("id") == F.col("paper_id"), "left").select("id", xml.alias("xml"))
 
 
-@query("src04_article_xml")
+_ARTICLES = """SELECT id, 'ART' || id AS art_id, title, pubyear AS year, 'A' || author AS author, coalesce(k, '') AS keywords FROM papers LEFT JOIN (SELECT paper_id, string_agg(name, '|' ORDER BY name) AS k FROM keywords GROUP BY 1) ON paper_id = id"""
+
+
+@query("src04_article_files", oracle("papers keywords", f"SELECT art_id, title, year, author, keywords FROM ({_ARTICLES})"))
+def src04_files(spark, d):
+    """The same from XML files of many articles each."""
+    path = W.scratch(spark)
+    body = F.concat(F.lit("<articles>"), F.array_join(F.collect_list("xml"), ""), F.lit("</articles>"))
+    _xml(spark, d).groupBy(F.floor(F.col("id") / 500).alias("f")).agg(body.alias("value")).repartition("f").write.partitionBy("f").text(path)
+    a = spark.read.format("xml").option("rowTag", "article").schema(T.StructType.fromDDL(f"a {R.ARTICLE}")["a"].dataType).load(path)
+    return a.select(F.col("id").alias("art_id"), "title", F.col("year").try_cast("int").alias("year"), F.get("authors.author", 0)["name"].alias("author"), F.array_join("keywords.keyword", "|").alias("keywords"))
+
+
+@query("src04_article_xml", oracle("papers keywords", _ARTICLES))
 def src04(spark, d):
     return _xml(spark, d).select("id", R.article(F.col("xml")).alias("a")).select("id", F.col("a.id").alias("art_id"), "a.title", F.col("a.year").try_cast("int").alias("year"), F.get("a.authors.author", 0)["name"].alias("author"), F.array_join("a.keywords.keyword", "|").alias("keywords"))
 
@@ -68,7 +94,12 @@ def src05_containers(spark, d):
     return A.papers(spark, d).select("id", F.inline(R.records_of(doc, "struct<cn:string>")))
 
 
-@query("src06_paged_source")
+#: The pages that the default source makes up: a keyword's records begin at the sum of its bytes modulo 7.
+_PAGES = "p AS (SELECT k, CAST(q AS INT) AS page, a + q * 20 + i AS n FROM (VALUES " + ", ".join(f"('{k}', {sum(k.encode()) % 7})" for k in ("alpha", "beta", "gamma")) + ") x(k, a), range(0, 5) y(q), range(0, 20) z(i))"
+
+
+@query("src06_paged_source", f"""WITH {_PAGES}, r AS (SELECT 'CN' || lpad(CAST(n AS VARCHAR), 5, '0') AS cn, k AS keyword, page, CASE n % 3 WHEN 0 THEN 'JAKO' WHEN 1 THEN 'DIKO' ELSE 'CFKO' END AS db_code, CAST(2000 + n % 25 AS INT) AS year FROM p)
+  SELECT cn, keyword, page, db_code, year FROM (SELECT *, row_number() OVER (PARTITION BY cn ORDER BY keyword, page) AS rn FROM r WHERE year >= 2001 AND db_code <> 'CFKO') WHERE rn = 1 ORDER BY cn LIMIT 60""")
 def src06(spark, d):
     spark.dataSource.register(R.PagedSource)
     rows = spark.read.format("paged").option("keywords", "alpha,beta,gamma").option("pages", 5).option("size", 20).load()
@@ -125,7 +156,16 @@ def snk05(spark, d):
     return source.withColumn("stale", F.lit(False)).union(stale.withColumn("stale", F.lit(True)))
 
 
-@query("snk06_backup")
+@query("snk05_vector_store", oracle("vecs docs", "SELECT d.id, v.label AS old, d.label FROM (SELECT doc_id AS id, source AS label FROM docs WHERE lang = 'en') d LEFT JOIN (SELECT id, CAST(label AS VARCHAR) AS label FROM vecs) v ON v.id = d.id"))
+def snk05_store(spark, d):
+    """The written store after an upsert of the source and the removal of stale ids, with the counts checked."""
+    old = A.vecs(spark, d).select("id", F.col("label").cast("string").alias("label"))
+    new = A.docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("source").alias("label"))
+    out = W.sync_store(old, new, "id", W.scratch(spark))
+    return out.join(old.withColumnRenamed("label", "old"), "id", "left").select("id", "old", "label")
+
+
+@query("snk06_backup", oracle("journals cites vecs", "SELECT 'journals' AS store, count(*) AS n FROM journals UNION ALL SELECT 'cites', count(*) FROM cites UNION ALL SELECT 'vectors', count(*) FROM vecs"))
 def snk06(spark, d):
     n = W.backup({"journals": A.journals(spark, d), "cites": A.cites(spark, d), "vectors": A.vecs(spark, d)}, W.scratch(spark))
     return spark.createDataFrame(sorted(n.items()), "store string, n long")

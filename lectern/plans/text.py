@@ -243,7 +243,7 @@ def str28(spark, d):
     return keyword_cascade(A.keywords(spark, d).select("name").distinct(), "blue bolt")
 
 
-_STAGED = """k AS (SELECT name, count(DISTINCT paper_id) AS paper_count, min(lang) AS lang FROM keywords GROUP BY 1), w AS (SELECT *, string_split(name, ' ') AS w FROM k WHERE paper_count % 2 = 0)"""
+_STAGED = """k AS (SELECT name, count(DISTINCT paper_id) AS paper_count, min(lang) AS lang FROM keywords GROUP BY 1), w AS (SELECT *, string_split(name, ' ') AS w FROM k WHERE paper_count > 1)"""
 
 
 @query("str28_keyword_search", oracle("keywords", f"""WITH {_STAGED}, s AS (SELECT name, paper_count, CASE WHEN contains(' ' || name || ' ', ' bolt blue ') THEN 1 WHEN list_contains(w, 'blue') AND list_contains(w, 'bolt') THEN 2 END AS stage, round(2 / len(w), 6) AS score FROM w)
@@ -252,7 +252,7 @@ def str28_search(spark, d):
     from ..operators.search import keyword_search
 
     k = A.keywords(spark, d).groupBy("name").agg(F.countDistinct("paper_id").alias("paper_count"), F.min("lang").alias("lang"))
-    return keyword_search(k, "bolt (blue)", accept=F.col("paper_count") % 2 == 0)
+    return keyword_search(k, "bolt (blue)", accept=F.col("paper_count") > 1)
 
 
 _KEYED = """k AS (SELECT name, count(DISTINCT paper_id) AS paper_count, row_number() OVER (ORDER BY name) AS id FROM keywords GROUP BY 1)"""

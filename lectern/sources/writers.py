@@ -1,19 +1,19 @@
 """Sinks: insert-ignore, upserts, graph merges, vector synchronisation and backups, as whole-table rewrites of Parquet."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import latest
+from ..operators.windows import ensure_checkpoint_dir, latest
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the session names; a temporary one only where it names none."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
-    return f"{(d or tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    """A new folder under the shared one that the session names; as ensure_checkpoint_dir says where it names none."""
+    ensure_checkpoint_dir(spark)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{named.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -49,6 +49,19 @@ def sync(target: DataFrame, source: DataFrame, key: str) -> tuple[DataFrame, Dat
     return source, target.join(source, key, "left_anti").select(key)
 
 
+def sync_store(target: DataFrame, source: DataFrame, key: str, path: str) -> DataFrame:
+    """Write to path what the target becomes: source's rows replace those of their key, keys that source lacks go. The written table, whose
+    count must be that of the source's keys, else an error."""
+    kept, stale = sync(target.select(key), source.select(key), key)
+    after = upsert(target.join(stale, key, "left_anti"), source, [key], [F.col(key)])
+    after.write.mode("overwrite").parquet(path)
+    out = target.sparkSession.read.parquet(path)
+    found, wanted = out.count(), kept.distinct().count()
+    if found != wanted:
+        raise ValueError(f"the store holds {found} rows, its source {wanted} keys")
+    return out
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
     """Each table as Parquet under path; the rows of each, read back."""
     out = {}

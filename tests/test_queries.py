@@ -6,7 +6,7 @@ import pytest
 from lectern.plans import catalog
 from tests.compare import SMALL, connect, rows_in, rows_of
 
-MAY_BE_EMPTY = {"grf06_institution_renames"}
+MAY_BE_EMPTY: set = set()
 
 
 @pytest.fixture(scope="module")

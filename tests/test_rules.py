@@ -411,3 +411,45 @@ def test_names_twice_in_half_of_the_papers_block(spark):
     links = spark.createDataFrame([(r, p) for r in (1, 2, 3, 4) for p in range(4)], "rid long, paper_id long")
     twice = spark.createDataFrame([(0, "a"), (1, "a"), (0, "b")], "paper_id long, name string")
     assert {r["rid"]: r["canonical"] for r in I.duplicate_groups(people, links, 3, twice).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_neighbour_means_of_a_path(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [3.0, 4.0])], "id int, v array<double>")
+    got = {r["id"]: r["v"] for r in C.neighbour_means(v, spark.createDataFrame([(1, 2), (2, 3)], "a int, b int"), 1).collect()}
+    half = [2**-0.5, 2**-0.5]
+    assert got[1] == pytest.approx(half) and got[2] == pytest.approx(half) and got[3] == pytest.approx(half) and got[4] == pytest.approx([0.6, 0.8])
+
+
+def test_reduced_vectors_equal_a_decomposition(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (40, 6)) * [5, 3, 2, 1, 0.1, 0.1]
+    got = C.reduced(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>"), 3).orderBy("id").collect()
+    y = np.array([r["v"] for r in got])
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = (x - x.mean(axis=0)) @ axes[:3].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    # Signs of axes are free, so angles are compared.
+    assert np.allclose(y @ y.T, want @ want.T, atol=1e-6) and np.allclose(np.linalg.norm(y, axis=1), 1)
+
+
+def test_research_flow_of_one_person(spark):
+    from lectern.operators.researchers import research_flow
+
+    rows = [(1, 10, [1.0, 0.0], 2001, "a"), (1, 11, [1.0, 0.05], 2003, "b"), (1, 12, [0.0, 1.0], 2010, "c"), (1, 13, [0.02, 1.0], None, "d")]
+    tags = [(10, "x"), (11, "x"), (11, "y"), (12, "z")]
+    got = research_flow(spark.createDataFrame(rows, "g long, id long, v array<double>, year int, title string"), spark.createDataFrame(tags, "paper_id long, name string")).orderBy("rank").collect()
+    assert [(r["rank"], r["first"], r["last"], r["papers"], r["sentence"]) for r in got] == [(0, 2010, 2010, 2, "z (2010-2010)"), (1, 2001, 2003, 2, "x, y (2001-2003)")]
+
+
+def test_institution_renames(spark):
+    rows = [(r, "old", y) for r in (1, 2, 3) for y in (1990, 1991)] + [(r, "new", y) for r in (1, 2, 3) for y in (1992, 1993)] + [(9, "kept", y) for y in (1990, 2000)] + [(1, "kept", 1989)]
+    got = I.renamed_institutions(spark.createDataFrame(rows, "rid int, institution string, year int"), 3, 0.1, 0.05).collect()
+    assert [tuple(r) for r in got] == [("old", "new", 3)]
+
+
+def test_sync_store_checks_its_count(spark, tmp_path):
+    from lectern.sources import writers as O
+
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, label string")
+    new = spark.createDataFrame([(2, "B"), (4, "d"), (4, "d")], "id int, label string")
+    assert sorted(map(tuple, O.sync_store(old, new, "id", str(tmp_path / "store")).collect())) == [(2, "B"), (4, "d")]
