@@ -453,3 +453,20 @@ def test_sync_store_checks_its_count(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, label string")
     new = spark.createDataFrame([(2, "B"), (4, "d"), (4, "d")], "id int, label string")
     assert sorted(map(tuple, O.sync_store(old, new, "id", str(tmp_path / "store")).collect())) == [(2, "B"), (4, "d")]
+
+
+def test_keywords_by_language_show_their_terms(spark):
+    rows = [("딥러닝(Deep Learning); 영상 처리, CNN",), ("machine learning / 기계 학습",), (None,)]
+    got = values(spark, rows, "t string", X.keywords_by_language("t"))
+    assert [(r[0]["ko"], r[0]["en"]) for r in got] == [(["딥러닝", "영상 처리"], ["deep learning", "cnn"]), (["기계 학습"], ["machine learning"]), ([], [])]
+
+
+def test_assembled_sentences(spark):
+    s = ["a" * 99 + ".", "b" * 99 + ".", "c" * 99 + "."]
+    got = values(spark, [(s,), (s[:2],), (["d" * 300],), ([],)], "s array<string>", X.assembled(F.col("s")).alias("x"))
+    assert [(r[0]["text"], r[0]["complete"]) for r in got] == [(s[0], False), (" ".join(s[:2]), True), ("d" * 300, False), ("", True)]
+
+
+def test_token_kinds_agree_with_the_expression(spark):
+    rows = [(t,) for t in ("DNA", "ABCDEFGH", "ABCDEFGHI", "word", "abc", "H2SO4", "12mm", "1234", "--", "딥", "Na", "NaCl", "Deep", "a-b-c", "A1b2", "CamelCaseWord", "x1y2z3")]
+    assert all(a == b for a, b in [(X._kind(t), lang) for t, lang in values(spark, rows, "t string", "t", X.token_language(F.col("t")))])
