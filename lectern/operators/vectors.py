@@ -1,6 +1,7 @@
 """Vector similarity, BM25 and hybrid search."""
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -20,10 +21,19 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+#: Query vectors that are held against all rows at a time.
+QUERY_BLOCK = 1_000
+
+
 def best_cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """id, score: the greatest cosine with any of a few query vectors (a stated query set against all rows)."""
-    q = F.broadcast(queries.select(F.col("v").alias("qv")))
-    return vectors.crossJoin(q).groupBy("id").agg(F.round(F.max(cosine("v", "qv")), 6).alias("score"))
+    """id, score: the greatest cosine with any of the query vectors, a stated query set that is held against all rows in blocks."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    best = []
+    for k in range(blocks):
+        q = queries.select(F.col("v").alias("qv"))
+        q = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qv"), F.lit(blocks)) == k)
+        best.append(vectors.crossJoin(F.broadcast(q)).groupBy("id").agg(F.max(cosine("v", "qv")).alias("score")))
+    return functools.reduce(DataFrame.union, best).groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def query_similarity(vectors: DataFrame, query: list[float]) -> DataFrame:

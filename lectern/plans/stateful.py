@@ -40,6 +40,19 @@ def stm02_limits(spark, d):
     return x.select("event_id", "opens", "used", "allowed", "left")
 
 
+@query("stm03_verification_codes", """WITH c AS (SELECT *, event_type = 'signup' AS issued, event_type = 'purchase' AS ok, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS code FROM events),
+  l AS (SELECT *, NOT issued AND coalesce(ts - max(CASE WHEN issued THEN ts END) OVER (PARTITION BY user_id, code) < INTERVAL 20 DAY, false) AS live FROM c),
+  b AS (SELECT *, coalesce(sum(CASE WHEN live AND ok THEN 1 ELSE 0 END) OVER w, 0) AS oks, coalesce(sum(CASE WHEN live AND NOT ok THEN 1 ELSE 0 END) OVER w, 0) AS fails FROM l WINDOW w AS (PARTITION BY user_id, code ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT user_id, event_id, CASE WHEN NOT live OR oks > 0 OR fails >= 3 THEN 'expired' WHEN ok THEN 'verified' WHEN fails + 1 >= 3 THEN 'blocked' ELSE 'wrong' END AS verdict FROM b WHERE NOT issued""")
+def stm03(spark, d):
+    return S.verifications(A.read(spark, d, "events"), "user_id", "ts", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase", 20 * 86_400, 3)
+
+
+@query("stm05_cache_hits", f"WITH RECURSIVE {_starts('events', 'user_id', 86_400)}, x AS (SELECT e.user_id, event_id, ts, s FROM events e ASOF JOIN st ON e.user_id = st.user_id AND e.ts >= st.s) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) > 1 AS hit FROM x")
+def stm05(spark, d):
+    return S.cached(A.read(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", ["event_id"], 86_400).select("user_id", "event_id", "hit")
+
+
 @query("stm04_negative_cache", f"WITH RECURSIVE f AS (SELECT user_id, ts FROM events WHERE event_type = 'error'), {_starts('f', 'user_id', 86_400)} SELECT user_id, s AS tried FROM st")
 def stm04(spark, d):
     return S.negative_cache(A.read(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", 86_400)

@@ -83,6 +83,28 @@ def negative_cache(failures: DataFrame, key: str, ts: str, seconds: int) -> Data
     return x.select(key, F.timestamp_micros("start").alias("tried")).distinct()
 
 
+def cached(requests: DataFrame, key: str, ts: str, ties: list[str], seconds: int) -> DataFrame:
+    """requests with hit: whether an answer to the key was stored less than `seconds` before. A miss stores one; a hit does not renew it."""
+    x = window_starts(requests, [key], ts, ties, seconds, "__start")
+    n = F.row_number().over(Window.partitionBy(key, "__start").orderBy(ts, *ties))
+    return x.withColumn("hit", n > 1).drop("__start")
+
+
+def verifications(rows: DataFrame, subject: str, ts: str, key: str, issued: Column, right: Column, seconds: int = 900, most: int = 5) -> DataFrame:
+    """subject, key, verdict of every row that issues no code: verified, wrong, blocked (the `most`th wrong one, which ends the code) or
+    expired (no code, one older than `seconds`, ended or used). A new code ends the one before."""
+    d = rows.select(subject, key, ts, F.coalesce(issued, F.lit(False)).alias("issued"), F.coalesce(right, F.lit(False)).alias("right"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    d = d.withColumn("code", F.sum(F.col("issued").cast("int")).over(Window.partitionBy(subject).orderBy(ts, key)))
+    of = Window.partitionBy(subject, "code")
+    since = F.col("at") - F.max(F.when(F.col("issued"), F.col("at"))).over(of)
+    d = d.withColumn("live", ~F.col("issued") & F.coalesce(since < seconds * 1_000_000, F.lit(False)))
+    before = of.orderBy(ts, key).rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c: F.coalesce(F.sum((F.col("live") & c).cast("int")).over(before), F.lit(0))
+    ended = ~F.col("live") | (count(F.col("right")) > 0) | (count(~F.col("right")) >= most)
+    verdict = F.when(ended, "expired").when(F.col("right"), "verified").when(count(~F.col("right")) + 1 >= most, "blocked").otherwise("wrong")
+    return d.withColumn("verdict", verdict).where(~F.col("issued")).select(subject, key, "verdict")
+
+
 def daily_budget(calls: DataFrame, day: Column, order: list, limit: int, ts: str = "ts", minutes: int = 5) -> DataFrame:
     """Each call's number in its local day, and whether the day's budget still held. order begins with ts.
 

@@ -110,3 +110,28 @@ def test_registered_functions(spark):
     assert "split_terms" in register(spark)
     assert spark.sql("SELECT clean_term('  Ａ&amp;B. ') AS t").first()["t"] == "A&B"
     assert [r["term"] for r in spark.sql("SELECT * FROM split_terms('딥러닝; Deep Learning')").collect()] == ["딥러닝", "deep learning"]
+
+
+def test_codes_expire_block_and_are_used_up(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(0, "x"), (1, "code"), (2, "x"), (3, "ok"), (4, "ok"), (10, "code"), (11, "x"), (12, "x"), (13, "x"), (14, "ok"), (20, "code"), (21, "x"), (22, "code"), (23, "x"), (24, "x"), (81, "ok"), (100, "code"), (160, "ok")]
+    df = spark.createDataFrame([(1, i, at(s), kind) for i, (s, kind) in enumerate(rows)] + [(2, 99, at(5), "ok")], "u int, i int, ts timestamp, kind string")
+    got = {r["i"]: r["verdict"] for r in S.verifications(df, "u", "ts", "i", F.col("kind") == "code", F.col("kind") == "ok", 60, 3).collect()}
+    assert got == {0: "expired", 2: "wrong", 3: "verified", 4: "expired", 6: "wrong", 7: "wrong", 8: "blocked", 9: "expired", 11: "wrong", 13: "wrong", 14: "wrong", 15: "verified", 17: "expired", 99: "expired"}
+
+
+def test_cached_answers(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([("k", i, at(s)) for i, s in enumerate([0, 0, 59, 60, 119, 200])] + [(None, 9, at(3))], "k string, i int, ts timestamp")
+    assert {r["i"]: r["hit"] for r in S.cached(df, "k", "ts", ["i"], 60).collect()} == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 9: False}
+
+
+def test_a_subject_over_many_batches_is_folded_as_a_whole(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    df = spark.createDataFrame([(1, i, at(7 * i)) for i in range(500)], "u int, i int, ts timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r["i"]: r["n"] for r in S.fixed_windows(df, "u", "ts", "i", 60, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: i % 9 + 1 for i in range(500)}
