@@ -470,3 +470,19 @@ def test_assembled_sentences(spark):
 def test_token_kinds_agree_with_the_expression(spark):
     rows = [(t,) for t in ("DNA", "ABCDEFGH", "ABCDEFGHI", "word", "abc", "H2SO4", "12mm", "1234", "--", "딥", "Na", "NaCl", "Deep", "a-b-c", "A1b2", "CamelCaseWord", "x1y2z3")]
     assert all(a == b for a, b in [(X._kind(t), lang) for t, lang in values(spark, rows, "t string", "t", X.token_language(F.col("t")))])
+
+
+@pytest.mark.parametrize("longest", [10, 2, 0])
+def test_similarity_by_shared_keywords_equals_all_pairs(spark, longest):
+    rng = np.random.default_rng(8)
+    x = {i: rng.normal(0, 1, 3) if i else np.zeros(3) for i in range(40)}
+    names = {i: {f"k{j}" for j in rng.integers(0, 7, rng.integers(0, 6))} for i in x}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "id int, v array<double>")
+    got = C.similarity_diagnostics(rows, spark.createDataFrame([(i, n) for i, ns in names.items() for n in ns] + [(99, "k1")], "id int, name string"), 3, longest).collect()
+    want = {}
+    for i in x:
+        for j in x:
+            if i < j and (n := min(3, len(names[i] & names[j]))):
+                norm = np.linalg.norm(x[i]) * np.linalg.norm(x[j])
+                want.setdefault(n, []).append(x[i] @ x[j] / norm if norm else 0.0)
+    assert {r["shared"]: (r["n"], r["mean"]) for r in got} == {n: (len(s), pytest.approx(np.mean(s), abs=2e-6)) for n, s in want.items()}
