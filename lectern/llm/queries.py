@@ -14,6 +14,7 @@ _QUERIES = {
     "op8_license_scan": "license_scan",
     "op9_url_filter": "url_filter",
     "op10_language_id": "language_id",
+    "op11_source_divergence": "source_divergence",
 }
 
 
