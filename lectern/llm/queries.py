@@ -15,6 +15,7 @@ _QUERIES = {
     "op9_url_filter": "url_filter",
     "op10_language_id": "language_id",
     "op11_source_divergence": "source_divergence",
+    "op12_quality_classifier": "quality_classifier",
     "op13_collocations": "collocations",
 }
 
