@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, small_batches, stage, table
+from .common import col, free_name, small_batches, stage, table
 from .hashing import runs, scramble
 from .word_columns import LOWER, Tally, Words, bytes_in, slices
 
@@ -77,9 +77,9 @@ class Sketch:
     def __init__(self, words: int, rows: int = ROWS, bits: int = BITS):
         self.rows, self.bits = rows, bits
         self.width = min(max(int(words).bit_length(), 16), 39, bits + 13)
-        self.block = min(max(self.width - 13, 10), 16)
-        #: A bitmap has a bit for 2**fold cells.
+        #: A bitmap has a bit for 2**fold cells, and a byte or more for a stretch.
         self.fold = max(self.width - bits, 0)
+        self.block = min(max(self.width - 13, 10, self.fold + 3), 16)
 
     def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
         return scramble(hashes * _ROW[row]) >> _U(64 - self.width)
@@ -138,17 +138,14 @@ def _alive(p: Pieces, tags: np.ndarray, filters: list[Survivors], longest: int)
         for k in (1, 2)[:longest]:
             out[k] = (hashed(p.words, tags, k), p.starts_of(k))
         return out
-    for k in (1, 2)[:longest]:
-        h = hashed(p.words, tags, k)
-        mask = p.starts_of(k)
-        mask[mask] = filters[0].hold(h[mask])
-        out[k] = (h, mask)
-    for k in range(3, longest + 1):
-        h, before = hashed(p.words, tags, k), out[k - 1][1]
-        mask = p.starts_of(k) & before
-        mask[:-1] &= before[1:]
-        if len(filters) > 1:
-            mask[mask] = filters[1].hold(h[mask])
+    for k in range(1, longest + 1):
+        h, mask = hashed(p.words, tags, k), p.starts_of(k)
+        if k > 1:  # both parts must survive
+            before = out[k - 1][1]
+            mask &= before
+            mask[:-1] &= before[1:]
+        if k < 3 or len(filters) > 1:
+            mask[mask] = filters[0 if k < 3 else 1].hold(h[mask])
         out[k] = (h, mask)
     return out
 
@@ -279,13 +276,14 @@ def subsumed(phrases: DataFrame, longest: int = LONGEST, share: int = SHARE) ->
 
 def first_of_each(df: DataFrame, by: str, order: list, top: int, rank: str = "rank") -> DataFrame:
     """The first `top` rows of each value of `by`, numbered from 1, by a range-partitioned sort: a value's rows lie in as many tasks as they need."""
-    at = stage(df.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn("at", F.monotonically_increasing_id()))
-    at = at.withColumn("p", F.shiftright("at", 33))
-    parts = at.groupBy(by, "p").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy(by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(by, "p", "first", before.alias("before")).where(F.col("before") < top)
-    out = at.join(parts, [by, "p"]).withColumn(rank, F.col("at") - F.col("first") + F.col("before") + 1)
-    return out.where(F.col(rank) <= top).drop("at", "p", "first", "before")
+    at, p, first, rows, before = (free_name(df, x) for x in ("at", "p", "first", "rows", "before"))
+    sorted_ = stage(df.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order).withColumn(at, F.monotonically_increasing_id()))
+    sorted_ = sorted_.withColumn(p, F.shiftright(at, 33))
+    parts = sorted_.groupBy(by, p).agg(F.min(at).alias(first), F.count("*").alias(rows))
+    earlier = F.coalesce(F.sum(rows).over(Window.partitionBy(by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(by, p, first, earlier.alias(before)).where(F.col(before) < top)
+    out = sorted_.join(parts, [by, p]).withColumn(rank, F.col(at) - F.col(first) + F.col(before) + 1)
+    return out.where(F.col(rank) <= top).drop(at, p, first, before)
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP) -> DataFrame:

@@ -57,7 +57,7 @@ def slices(column: pa.Array, ends: np.ndarray, most: int = SLICE) -> Iterator[tu
             while a < end:
                 b = min(a + most, end)
                 while b < end and not ends[data[b - 1]]:
-                    found = np.flatnonzero(ends[data[b : b + most]])
+                    found = np.flatnonzero(ends[data[b : min(b + most, end)]])
                     b = b + int(found[0]) + 1 if len(found) else min(b + most, end)
                 yield i, np.zeros(1, np.int64), data[a:b]
                 a = b

@@ -41,8 +41,12 @@ def pages() -> list[tuple]:
     return [(i, u, "<p>") for i, u in enumerate(urls)] + [(0, urls[0], None), (None, urls[2], None)] + [(100 + i, f"http://hot.example.net/{'es' if i % 3 else 'de'}/{i}", None) for i in range(40)]
 
 
+def labels() -> list[tuple]:
+    return [(i, None if i == 24 else int(i % 3 > 0), i % 2, "x") for i in (*range(20, 28), *range(30, 43), *range(50, 80), 999)] + [(50, 0, 0, "y"), (None, 1, 0, "z")]
+
+
 def write(spark, path: str, empty: bool = False) -> str:
-    for name, rows, schema in (("documents", documents(), SCHEMA), ("benchmark", benchmark(), "item_id long, text string, extra string"), ("pages", pages(), "page_id long, url string, host string")):
+    for name, rows, schema in (("labels", labels(), "doc_id long, quality int, toxic int, text string"), ("documents", documents(), SCHEMA), ("benchmark", benchmark(), "item_id long, text string, extra string"), ("pages", pages(), "page_id long, url string, host string")):
         df = spark.createDataFrame(rows, schema)
         (df.limit(0) if empty else df.repartition(3)).write.parquet(f"{path}/{name}.parquet")
     return path

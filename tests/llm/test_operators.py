@@ -30,6 +30,7 @@ from tests.llm.conftest import docs_in
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BOTH = pytest.mark.parametrize("where", ["edge", "small"])
+PER_GROUP = {"op11_source_divergence", "op13_collocations"}
 NAMES = [n for n in queries.queries() if n.startswith("op")]
 
 
@@ -56,7 +57,8 @@ def test_row_for_row_and_reruns_agree(spark, edge, name):
     table = "pages" if name.startswith("op9") else "documents"
     f = queries.queries()[name]
     a, b = rows_of(f(spark, edge)), rows_of(f(spark, edge))
-    assert len(a[1]) == spark.read.parquet(f"{edge}/{table}.parquet").count()
+    if name not in PER_GROUP:
+        assert len(a[1]) == spark.read.parquet(f"{edge}/{table}.parquet").count()
     assert a == b
 
 
