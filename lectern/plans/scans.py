@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from .. import adapters as A
 from ..adapters import oracle
 from ..sources import readers as R
+from ..sources import vector_index as I
 from ..sources import writers as W
 from .catalog import query
 from .vectors import _COS, query_vector
@@ -113,6 +114,28 @@ def src07(spark, d):
     return R.vector_scan(x, query_vector(v, 0), (1996, 2000), ("JAKO",)).select("id", F.round("distance", 6).alias("distance"))
 
 
+_TOPS = f"SELECT query, id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS rank FROM (SELECT b.id AS query, a.id, round(greatest(0, {_COS}), 9) AS sim FROM vecs a, (SELECT * FROM vecs WHERE id % 20 = 0) b WHERE a.id <> b.id)) WHERE rank <= 10"
+
+
+def _index(spark, d, **how):
+    path = W.scratch(spark)
+    v = A.vecs(spark, d)
+    I.build(v, path)
+    return I.search(spark, path, v.where("id % 20 = 0").select(F.col("id").alias("query"), "v"), 10, **how).withColumn("sim", F.round("sim", 6))
+
+
+@query("src07_vector_index_exact", oracle("vecs", _TOPS))
+def src07_index_exact(spark, d):
+    """Ten nearest of every 20th vector from the stored index, all cells read."""
+    return _index(spark, d, exact=True)
+
+
+@query("src07_vector_index")
+def src07_index(spark, d):
+    """The same from the cells that each query probes."""
+    return _index(spark, d, probes=16)
+
+
 @query("src08_graph_scan", oracle("keywords cites links", "SELECT DISTINCT l.rid AS node FROM keywords k JOIN cites c ON c.src = k.paper_id JOIN links l ON l.paper_id = c.dst WHERE k.name = 'blue bolt'"))
 def src08(spark, d):
     start = spark.createDataFrame([("blue bolt",)], "node string")

@@ -89,6 +89,16 @@ def vec08(spark, d):
     return C.neighbour_means(v, undirected_edges(A.links(spark, d)), hops=2).select("id", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
 
 
+@query("vec08_graph_embedding")
+def vec08_trained(spark, d):
+    """The trained embedding: neighbourhoods of 25 and 10 drawn by seed, two epochs."""
+    from ..operators import graph_embedding as E
+    from ..operators.joins import undirected_edges
+
+    out, _ = E.train(A.vecs(spark, d).select("id", "v"), undirected_edges(A.links(spark, d)), E.Config(hidden=32, size=16, epochs=2, steps=2))
+    return out.select("id", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+
+
 @query("vec09_pca")
 def vec09(spark, d):
     return C.reduced(A.vecs(spark, d).select("id", "v"), 16)
