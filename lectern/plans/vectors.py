@@ -55,6 +55,38 @@ def vec03(spark, d):
     return V.bm25(_lex(spark, d), list(TERMS)).select("id", F.round("score", 6).alias("score"))
 
 
+def _text_index(spark, rows):
+    from ..sources import text_index as I
+    from ..sources.writers import scratch
+
+    path = scratch(spark)
+    I.build(rows, path)
+    return I, path
+
+
+@query("vec03_indexed_bm25", f"""WITH tk AS MATERIALIZED (SELECT doc_id AS id, {_TOKS} AS t FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avg FROM tk),
+  df AS MATERIALIZED (SELECT w, count(*) AS d FROM (SELECT id, unnest(list_distinct(t)) AS w FROM tk) GROUP BY 1), idf AS (SELECT w, ln(n - d + 0.5) - ln(d + 0.5) AS i FROM df, st), mean AS (SELECT avg(i) AS m FROM idf),
+  q AS (SELECT query, w, count(*) AS times FROM (SELECT id AS query, unnest(t[1:4]) AS w FROM tk WHERE id % 20 = 0) GROUP BY ALL), qi AS (SELECT query, w, times * CASE WHEN i >= 0 THEN i ELSE 0.25 * m END AS i FROM q JOIN idf USING (w), mean),
+  p AS MATERIALIZED (SELECT id, w, n AS len, count(*) AS f FROM (SELECT id, len(t) AS n, unnest(t) AS w FROM tk) GROUP BY ALL)
+  SELECT query, id, round(sum(i * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avg))), 6) AS score FROM qi JOIN p USING (w), st GROUP BY ALL""")
+def vec03_indexed(spark, d):
+    """The first four terms of every 20th document against the stored index of all."""
+    docs = _lex(spark, d)
+    I, path = _text_index(spark, docs)
+    return I.bm25(spark, path, docs.where("id % 20 = 0").select(F.col("id").alias("query"), F.slice("toks", 1, 4).alias("terms"))).withColumn("score", F.round("score", 6))
+
+
+@query("str28_indexed_names", oracle("keywords", """WITH k AS (SELECT DISTINCT name, string_split(name, ' ') AS w FROM keywords), q AS (SELECT DISTINCT w[2] || ' ' || w[1] AS query, [w[2], w[1]] AS t FROM k),
+  p AS (SELECT query, name FROM q JOIN k ON contains(' ' || name || ' ', ' ' || query || ' ')), a AS (SELECT query, name FROM q JOIN k ON list_has_all(w, t) WHERE query NOT IN (SELECT query FROM p))
+  SELECT query, name, 'phrase' AS step FROM p UNION ALL SELECT query, name, 'all' FROM a"""))
+def str28_indexed(spark, d):
+    """Two words of every name, turned round, as queries: phrases, else names with both, from the stored index of names."""
+    names = A.keywords(spark, d).select("name").distinct().select(F.col("name").alias("id"), F.split("name", " ").alias("toks"))
+    I, path = _text_index(spark, names)
+    q = names.select(F.concat_ws(" ", F.col("toks")[1], F.col("toks")[0]).alias("query"), F.array(F.col("toks")[1], F.col("toks")[0]).alias("terms")).distinct()
+    return I.cascade(spark, path, q).select("query", F.col("id").alias("name"), "step")
+
+
 @query("vec04_hybrid_search", oracle("vecs", f"""WITH {_BM25}, sim AS MATERIALIZED ({SIM}), rs AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM sim), rl AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM bm)
   SELECT id, round(coalesce(1 / (60 + rs.r), 0) + coalesce(1 / (60 + rl.r), 0), 6) AS score, round(sim, 6) AS sim FROM rs FULL JOIN rl USING (id) JOIN sim USING (id) WHERE sim >= 0.7 * (SELECT max(sim) FROM sim)"""))
 def vec04(spark, d):
