@@ -9,6 +9,7 @@ from ..adapters import oracle
 from ..sources import readers as R
 from ..sources import vector_index as I
 from ..sources import writers as W
+from ..sources.graph_store import GraphStore
 from .catalog import query
 from .vectors import _COS, query_vector
 
@@ -170,7 +171,24 @@ def snk04(spark, d):
     e = k.select(F.lit("HAS_KEYWORD").alias("kind"), s("paper_id").alias("src"), F.col("name").alias("dst")).union(l.select(F.lit("AUTHORED"), s("rid"), s("paper_id")))
     n = k.select(F.lit("Keyword").alias("kind"), F.col("name").alias("key")).union(l.select(F.lit("Author"), s("rid")))
     W.merge_graph(n, e.union(e), path)
-    return spark.read.parquet(f"{path}/edges").groupBy("kind").agg(F.count("*").alias("n"))
+    return GraphStore(spark, path).read("edges").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("snk04_graph_store", oracle("keywords links", """SELECT 'nodes' AS tbl, kind, count(*) AS n FROM (SELECT 'Keyword' AS kind, name AS k FROM keywords UNION SELECT 'Author', CAST(rid AS VARCHAR) FROM links) GROUP BY 2
+  UNION ALL SELECT 'edges', kind, count(*) FROM (SELECT 'HAS_KEYWORD' AS kind, CAST(paper_id AS VARCHAR) AS a, name AS b FROM keywords UNION SELECT 'AUTHORED', CAST(rid AS VARCHAR), CAST(paper_id AS VARCHAR) FROM links) GROUP BY 2"""))
+def snk04_store(spark, d):
+    """Keywords and authors loaded one after the other into one store, then both again: what it holds."""
+    k, l = A.keywords(spark, d), A.links(spark, d)  # noqa: E741
+    s = lambda c: F.col(c).cast("string")
+    loads = [(k.select(F.lit("Keyword").alias("kind"), F.col("name").alias("key")).distinct(), k.select(F.lit("HAS_KEYWORD").alias("kind"), s("paper_id").alias("src"), F.col("name").alias("dst"), "pos")),
+             (l.select(F.lit("Author").alias("kind"), s("rid").alias("key")).distinct(), l.select(F.lit("AUTHORED").alias("kind"), s("rid").alias("src"), s("paper_id").alias("dst"), F.col("author_order").alias("pos")))]
+    store = GraphStore(spark, W.scratch(spark))
+    for n, e in [*loads, *loads]:
+        store.merge(n, e)
+    if store.versions() != [1, 2]:
+        raise RuntimeError("a repeated load made a version")
+    count = lambda t: store.read(t).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), "kind", "n")
+    return count("nodes").union(count("edges"))
 
 
 @query("snk05_vector_sync", oracle("vecs docs", "SELECT id, false AS stale FROM (SELECT doc_id AS id FROM docs WHERE lang = 'en') UNION ALL SELECT id, true FROM vecs WHERE id NOT IN (SELECT doc_id FROM docs WHERE lang = 'en')"))

@@ -38,10 +38,12 @@ def keep_if_signed(old: DataFrame, new: DataFrame, key: str, signature: str, col
     return x.select(key, F.when(F.col("__n"), F.col("__s")).otherwise(F.col(signature)).alias(signature), F.when(F.col("__n"), F.col("__c")).otherwise(F.col(column)).alias(column), F.when(same, F.col(sibling)).alias(sibling))
 
 
-def merge_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node and edge tables, a node by its key and an edge by its ends once each."""
-    nodes.dropDuplicates(["kind", "key"]).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/nodes")
-    edges.dropDuplicates(["kind", "src", "dst"]).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edges")
+def merge_graph(nodes: DataFrame, edges: DataFrame, path: str) -> int:
+    """Merge nodes (kind, key) and edges (kind, src, dst) into the store at path, a node by its key and an edge by its ends once each; the
+    version that holds them. What the store held before stays."""
+    from .graph_store import GraphStore
+
+    return GraphStore(nodes.sparkSession, path).merge(nodes, edges)
 
 
 def sync(target: DataFrame, source: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
