@@ -9,6 +9,8 @@ from .windows import global_rank
 
 #: Codes of each listed type.
 CODES = {"journal": ("JAKO", "JAFO"), "conference": ("CFKO",), "thesis": ("DIKO",)}
+#: Codes of papers in foreign citation indexes.
+SCI_CODES = ("SCIE", "SSCI", "AHCI")
 
 
 def year_range(year: int | None, start: int | None, end: int | None) -> tuple[int | None, int | None]:
@@ -18,6 +20,12 @@ def year_range(year: int | None, start: int | None, end: int | None) -> tuple[in
     return (end, start) if start is not None and end is not None and start > end else (start, end)
 
 
+def normal_years(start: Column, end: Column) -> tuple[Column, Column]:
+    """The same for columns: reversed bounds are swapped."""
+    swap = F.coalesce(start > end, F.lit(False))
+    return F.when(swap, end).otherwise(start), F.when(swap, start).otherwise(end)
+
+
 def year_in_range(year: Column, lo: int | None, hi: int | None) -> Column:
     """Inclusive; an unknown year fails as soon as a side is set."""
     ok = F.lit(True)
@@ -34,7 +42,7 @@ def list_filter(items: DataFrame, year=(None, None), kind: str | None = None, kc
     if kci is not None:
         ok = ok & ((F.col("db_code") == "JAKO") == kci)
     if sci:
-        ok = ok & F.col("db_code").isin("SCI", "SCIE")
+        ok = ok & F.col("db_code").isin(*SCI_CODES)
     return items.where(ok)
 
 

@@ -38,6 +38,20 @@ def anchor_children(related: DataFrame, counts: DataFrame, anchors: DataFrame, k
     return e.withColumn("rank", rn).where(F.col("rank") <= k).select(F.col("a").alias("anchor"), F.col("b").alias("child"), "n", "rank", "pa", "pb")
 
 
+def map_with_more(related: DataFrame, counts: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """anchor, child, n, rank, has_more (whether the child has a keyword below it, ties included, that is not placed yet) and anchor_more
+    (whether the anchor has one that is strictly rarer). Placed are the anchor and its k children."""
+    kids = anchor_children(related, counts, anchors, k)
+    below = anchor_children(related, counts, counts, 1 << 30).select(F.col("anchor").alias("a"), F.col("child").alias("b"), (F.col("pb") < F.col("pa")).alias("rarer"))
+    sizes = below.groupBy("a").agg(F.count("*").alias("below"), F.max("rarer").alias("rarer"))
+    placed = kids.select("anchor", F.col("child").alias("b")).union(kids.select("anchor", F.col("anchor").alias("b")).distinct())
+    # A child meets the few placed keywords of its map, not all of its neighbours.
+    near = kids.select("anchor", F.col("child").alias("a")).join(placed, "anchor").join(below.select("a", "b"), ["a", "b"]).groupBy("anchor", F.col("a").alias("child")).agg(F.count("*").alias("taken"))
+    x = kids.join(near, ["anchor", "child"], "left").join(sizes.select(F.col("a").alias("child"), "below"), "child", "left").join(sizes.select(F.col("a").alias("anchor"), "rarer"), "anchor", "left")
+    more = F.coalesce("below", F.lit(0)) > F.coalesce("taken", F.lit(0))
+    return x.select("anchor", "child", "n", "rank", more.alias("has_more"), F.coalesce("rarer", F.lit(False)).alias("anchor_more"))
+
+
 def cross_links(children: DataFrame, related: DataFrame, hub: int = 3) -> tuple[DataFrame, DataFrame]:
     """Links among the children of one anchor, and the children that `hub` or more of them meet."""
     c = children.select("anchor", "child")

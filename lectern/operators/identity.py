@@ -21,6 +21,23 @@ def match_candidates(people: DataFrame, most: int) -> DataFrame:
     return x.select("rid", "cand", F.when(F.col("dept") == F.col("d2"), "confirmed").when(F.col("n") == 1, "inferred").otherwise("ambiguous").alias("verdict"))
 
 
+def choose_candidates(people: DataFrame, links: DataFrame, candidates: DataFrame, listed: DataFrame, most: int = 3) -> DataFrame:
+    """rid, cand, status, confidence: the registry's candidate that is taken for each person who has any.
+
+    Rows people rid, name, institution; links rid, paper_id; candidates cand, name, institution, articles; listed cand, paper_id. Of the `most`
+    candidates of one's name and institution with most articles, the first that lists one of one's papers is confirmed; without such a one the
+    first is taken, inferred if it is the only candidate at all, else ambiguous. Pairs are compared by joined papers, not by arrays of them."""
+    key = ["name", "institution"]
+    size = candidates.groupBy(*key).agg(F.count("*").alias("n"))
+    best = top_per_group(candidates, key, [F.coalesce("articles", F.lit(0)).desc(), "cand"], most)
+    x = people.select("rid", *key).join(best, key).join(size, key).select("rid", "cand", "articles", "n")
+    mine = x.select("rid", "cand").join(links.select("rid", "paper_id"), "rid").join(listed.select("cand", "paper_id"), ["cand", "paper_id"]).select("rid", "cand").distinct()
+    x = x.join(mine.withColumn("ok", F.lit(True)), ["rid", "cand"], "left")
+    x = top_per_group(x, ["rid"], [F.coalesce("ok", F.lit(False)).desc(), F.coalesce("articles", F.lit(0)).desc(), "cand"], 1)
+    confidence = F.when(F.col("ok"), "confirmed").when(F.col("n") == 1, "inferred")
+    return x.select("rid", "cand", F.when(confidence.isNull(), "ambiguous").otherwise("matched").alias("status"), confidence.alias("confidence"))
+
+
 def shared_papers(people: DataFrame, links: DataFrame) -> DataFrame:
     """a < b of one name with how many papers they share."""
     l = links.join(people.select("rid", "name"), "rid")  # noqa: E741

@@ -109,6 +109,51 @@ def blended(rows: DataFrame, target: dict, weight: float = 0.7) -> DataFrame:
     return rows.crossJoin(F.broadcast(whole)).select("id", F.round(F.when(F.col("whole"), weight * c + (1 - weight) * cosine(F.col("g"), lit(target["g"]))).otherwise(c), 6).alias("sim"))
 
 
+#: Rows of a block of the pairwise product.
+PAIR_BLOCK = 512
+
+
+def pairwise(rows: DataFrame, weight: float = 0.7, block: int = PAIR_BLOCK) -> DataFrame:
+    """a <= b, sim of all pairs of a stated set of rows id, v, g (ids unique): 1 on the diagonal; the graph part counts only if every row has g.
+
+    The result has a row for each pair, so the set is one that a user names. Rows are gathered in blocks of `block`, each block meets
+    the blocks from itself on by a join of block numbers, and a task multiplies two blocks at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, whole = rows.agg(F.count("*"), F.coalesce(F.min(F.col("g").isNotNull().cast("int")), F.lit(0))).first()
+    if not n:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim")).limit(0)
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = -(-n // block)
+    d = global_rank(rows.select("id", F.col("v").cast("array<double>").alias("v"), F.col("g").cast("array<double>").alias("g")), [F.col("id")], "r", n)
+    d = d.withColumn("k", F.floor((F.col("r") - 1) / block).cast("int")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("r", "id", "v", "g"))).alias("m"))
+    pick = lambda c: F.transform("m", lambda s: s[c])
+    d = d.select("k", pick("id").alias("ids"), F.flatten(pick("v")).alias("v"), F.flatten(pick("g")).alias("g") if whole else F.array().cast("array<double>").alias("g"))
+    d = d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d
+    left = d.withColumn("k2", F.explode(F.sequence(F.col("k"), F.lit(blocks - 1))))
+    both = left.join(d.toDF("k2", "ids2", "v2", "g2"), "k2").select("k", "k2", "ids", "v", "g", "ids2", "v2", "g2")
+
+    def unit(column, rows_):
+        x = np.asarray(column.values).reshape(rows_, -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                k, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                ids, ids2 = b.column(2)[i].values, b.column(5)[i].values
+                s = unit(b.column(3)[i], len(ids)) @ unit(b.column(6)[i], len(ids2)).T
+                if whole:
+                    s = weight * s + (1 - weight) * (unit(b.column(4)[i], len(ids)) @ unit(b.column(7)[i], len(ids2)).T)
+                x, y = np.nonzero(np.triu(np.ones(s.shape, bool))) if k == k2 else np.nonzero(np.ones(s.shape, bool))
+                value = np.where((x == y) & (k == k2), 1.0, s[x, y])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids2.take(pa.array(y)), pa.array(value)], names=["a", "b", "sim"])
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}, sim double")
+
+
 #: What the encoder wants ahead of a text.
 PASSAGE, QUERY = "passage: ", "query: "
 

@@ -1,6 +1,7 @@
 """Queries of graphs, keyword maps, citation graphs and entity resolution."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -145,6 +146,21 @@ def grf08(spark, d):
     return kids.join(every, "child", "left").select("anchor", "child", "n", "rank", F.coalesce("more", F.lit(False)).alias("has_more"))
 
 
+@query("grf08_map_with_more", oracle("related key_counts", f"""WITH {_KIDS}, k AS (SELECT * FROM kids WHERE rank <= 6), pl AS (SELECT anchor, child AS b FROM k UNION SELECT anchor, anchor FROM k)
+  SELECT k.anchor, k.child, k.n, CAST(k.rank AS INT) AS rank, EXISTS (SELECT 1 FROM kids g WHERE g.anchor = k.child AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.anchor = k.anchor AND pl.b = g.child)) AS has_more,
+    EXISTS (SELECT 1 FROM kids g JOIN key_counts x ON x.name = g.anchor JOIN key_counts y ON y.name = g.child WHERE g.anchor = k.anchor AND y.papers < x.papers) AS anchor_more FROM k"""))
+def grf08_more(spark, d):
+    c = A.key_counts(spark, d)
+    return G.map_with_more(A.related(spark, d), c, c, 6)
+
+
+@query("grf08_hubs", oracle("related key_counts", f"""WITH {_KIDS}, k AS (SELECT * FROM kids WHERE rank <= 6), x AS (SELECT x.anchor, r.k1, r.k2 FROM related r JOIN k x ON x.child = r.k1 JOIN k y ON y.child = r.k2 AND y.anchor = x.anchor)
+  SELECT anchor, child, count(*) AS links FROM (SELECT anchor, k1 AS child FROM x UNION ALL SELECT anchor, k2 FROM x) GROUP BY 1, 2 HAVING count(*) >= 3"""))
+def grf08_hubs(spark, d):
+    r, c = A.related(spark, d), A.key_counts(spark, d)
+    return G.cross_links(G.anchor_children(r, c, c, 6), r)[1]
+
+
 @query("grf08_cross_links", oracle("related key_counts", f"WITH {_KIDS}, k AS (SELECT * FROM kids WHERE rank <= 6) SELECT x.anchor, r.k1, r.k2, r.n FROM related r JOIN k x ON x.child = r.k1 JOIN k y ON y.child = r.k2 AND y.anchor = x.anchor"))
 def grf08b(spark, d):
     r, c = A.related(spark, d), A.key_counts(spark, d)
@@ -182,6 +198,20 @@ def grf12(spark, d):
     return G.citation_graph(*_cg(spark, d), 18).where("rank > 12").select("src", "dst", "rank")
 
 
+@query("grf12_growing_graph")
+def grf12_growing(spark, d):
+    """Each source opens the 40 papers it cites first, one after the other, then itself six times, in a graph that shows its own node at first."""
+    from ..operators.sessions import growing_graph
+
+    inside, outside = _cg(spark, d)
+    x = inside.select("src", "dst").union(outside.select("src", "dst")).distinct()
+    w = Window.partitionBy("src").orderBy("dst")
+    clicks = x.select("src", (F.row_number().over(w) + 6).alias("step"), (F.col("dst") % 200).alias("node")).where("step <= 46")
+    own = x.select("src").distinct().select("src", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"), F.col("src").alias("node"))
+    steps = own.union(clicks.select("src", "step", "node")).withColumnRenamed("src", "session")
+    return growing_graph(steps, steps.select("session", F.col("session").alias("node")).distinct(), inside, outside)
+
+
 @query("grf13_star_graph", oracle("researchers", "SELECT 'field' AS field, rid, round(greatest(0, least(1, price / 1000)), 6) AS weight FROM researchers"))
 def grf13(spark, d):
     return G.star_graph("field", A.researchers(spark, d).withColumnRenamed("price", "score"), 1000.0).withColumn("weight", F.round("weight", 6))
@@ -202,6 +232,16 @@ def grf15(spark, d):
     return common_keywords(A.links(spark, d), A.keywords(spark, d), 2, 3)
 
 
+@query("grf15_keyword_slots")
+def grf15_slots(spark, d):
+    """Three slots for each pair; keywords that share a first word and differ in script are of one meaning. Every other name is put into Hangul."""
+    from ..operators.researchers import keyword_slots
+
+    k = A.keywords(spark, d).withColumn("name", F.when(F.col("lang") == "ko", F.concat(F.lit("가"), F.col("name"))).otherwise(F.col("name"))).select("paper_id", "pos", "name")
+    groups = k.select("name").distinct().select("name", F.split(F.ltrim(F.translate("name", "가", "")), " ")[0].alias("meaning"))
+    return keyword_slots(A.links(spark, d), k, groups, 3)
+
+
 @query("grf16_research_flow")
 def grf16(spark, d):
     from ..operators.researchers import research_flow

@@ -233,6 +233,22 @@ def jon29(spark, d):
     return match_candidates(A.researchers(spark, d), 3)
 
 
+_REGISTRY = """c AS (SELECT rid * 10 + x.k AS cand, name, institution, rank + x.k AS articles FROM researchers, (VALUES (1), (2)) x(k) WHERE rid % 4 <> 0 OR x.k = 1), l AS (SELECT rid * 10 + 1 + author_order % 2 AS cand, paper_id FROM links WHERE rid % 3 <> 0)"""
+
+
+@query("jon29_candidate_choice", oracle("researchers links", f"""WITH {_REGISTRY}, t AS (SELECT *, row_number() OVER (PARTITION BY name, institution ORDER BY articles DESC, cand) AS rn, count(*) OVER (PARTITION BY name, institution) AS n FROM c),
+  p AS (SELECT r.rid, t.cand, t.articles, t.n, EXISTS (SELECT 1 FROM links k JOIN l USING (paper_id) WHERE k.rid = r.rid AND l.cand = t.cand) AS ok FROM researchers r JOIN t USING (name, institution) WHERE rn <= 3),
+  f AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY ok DESC, articles DESC, cand) AS z FROM p) SELECT rid, cand, CASE WHEN ok OR n = 1 THEN 'matched' ELSE 'ambiguous' END AS status, CASE WHEN ok THEN 'confirmed' WHEN n = 1 THEN 'inferred' END AS confidence FROM f WHERE z = 1"""))
+def jon29_choice(spark, d):
+    """A registry that lists one or two records of everybody, with papers by the parity of the author's place, and none of every third."""
+    from ..operators.identity import choose_candidates
+
+    r, l = A.researchers(spark, d), A.links(spark, d)  # noqa: E741
+    c = r.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).where("rid % 4 <> 0 OR k = 1").select((F.col("rid") * 10 + F.col("k")).alias("cand"), "name", "institution", (F.col("rank") + F.col("k")).alias("articles"))
+    listed = l.where("rid % 3 <> 0").select((F.col("rid") * 10 + 1 + F.col("author_order") % 2).alias("cand"), "paper_id")
+    return choose_candidates(r, l, c, listed)
+
+
 @query("jon30_pending_work", oracle("papers bookmarks", "SELECT DISTINCT 'paper' AS kind, id AS key FROM papers WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM bookmarks b WHERE b.paper_id = papers.id)"))
 def jon30(spark, d):
     done = A.bookmarks(spark, d).select(F.lit("paper").alias("kind"), F.col("paper_id").alias("key"))

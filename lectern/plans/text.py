@@ -261,14 +261,14 @@ _KEYED = """k AS (SELECT name, count(DISTINCT paper_id) AS paper_count, row_numb
 @query("str28_keyword_search_by_vector", oracle("keywords vecs", f"""WITH {_KEYED}, q AS (SELECT v FROM vecs WHERE id = 0), s AS (SELECT name, paper_count, round(list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v))), 9) AS sim FROM k JOIN vecs a USING (id), q)
   SELECT name, 3 AS stage, round(sim, 6) AS score, paper_count FROM s WHERE sim >= 0.05 ORDER BY round(sim, 6) DESC, paper_count DESC, name LIMIT 5"""))
 def str28_vector(spark, d):
-    from pyspark.sql import Window
-
     from ..operators.search import keyword_search
+    from ..operators.windows import global_rank
     from .vectors import query_vector
 
     v = A.vecs(spark, d)
     # The vocabulary is small: a place for each of its words pairs it with a vector.
-    k = A.keywords(spark, d).groupBy("name").agg(F.countDistinct("paper_id").alias("paper_count")).withColumn("id", F.row_number().over(Window.orderBy("name")))
+    k = A.keywords(spark, d).groupBy("name").agg(F.countDistinct("paper_id").alias("paper_count"))
+    k = global_rank(k, [F.col("name")], "id", k.count())
     return keyword_search(k.join(v.select("id", "v"), "id").withColumn("lang", F.lit("en")), "nothing like it", query_vector(v, 0), least=0.05)
 
 
@@ -368,3 +368,24 @@ def arr08(spark, d):
 
     turns = A.read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, 1990 + F.col("conv_id") % 20).cast("int").alias("year_start"), F.when(F.col("turn") % 3 == 1, 2020).cast("int").alias("year_end"), F.when(F.col("turn") % 2 == 1, "journal").alias("paper_type"))
     return replay_filters(turns)
+
+
+_TURNS = """t AS (SELECT conv_id, turn, (conv_id + turn) % 3 <> 0 AS panel, CASE WHEN (conv_id + turn * 7) % 5 < 3 THEN CAST(2000 + (conv_id * 3 + turn * 5) % 20 AS INT) END AS y0, CASE WHEN (conv_id + turn) % 4 = 1 THEN CAST(2005 + (turn * 3) % 10 AS INT) END AS y1,
+  CASE WHEN (conv_id * 2 + turn) % 3 = 1 THEN 'journal' END AS p, (conv_id + turn) % 4 <> 2 AS ty, (conv_id + turn) % 2 = 0 AS tp FROM conversations)"""
+
+
+@query("arr08_owned_filters", f"""WITH {_TURNS}, e AS (SELECT *, CASE WHEN panel THEN CASE WHEN ty THEN y0 IS NOT NULL OR y1 IS NOT NULL END WHEN y0 IS NOT NULL OR y1 IS NOT NULL THEN false END AS my, CASE WHEN panel THEN CASE WHEN tp THEN p IS NOT NULL END WHEN p IS NOT NULL THEN false END AS mp FROM t),
+  o AS (SELECT *, coalesce(last_value(my IGNORE NULLS) OVER w, false) AS oy, coalesce(last_value(mp IGNORE NULLS) OVER w, false) AS op, coalesce(last_value(my IGNORE NULLS) OVER b, false) AS by_, coalesce(last_value(mp IGNORE NULLS) OVER b, false) AS bp FROM e
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  s AS (SELECT *, CASE WHEN my IS NULL THEN NULL WHEN y0 IS NOT NULL OR y1 IS NOT NULL THEN [CASE WHEN y0 > y1 THEN y1 ELSE y0 END, CASE WHEN y0 > y1 THEN y0 ELSE y1 END] WHEN by_ THEN [NULL, NULL]::INT[] END AS sy, CASE WHEN mp IS NULL THEN NULL WHEN p IS NOT NULL THEN [p] WHEN bp THEN [NULL]::VARCHAR[] END AS sp FROM o),
+  r AS (SELECT conv_id, turn, oy, op, last_value(sy IGNORE NULLS) OVER w AS y, last_value(sp IGNORE NULLS) OVER w AS p FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT conv_id, turn, y[1] AS year_start, y[2] AS year_end, p[1] AS paper_type, concat_ws(',', CASE WHEN op THEN 'paper_type' END, CASE WHEN oy THEN 'year_end,year_start' END) AS owned FROM r""")
+def arr08_owned(spark, d):
+    """Turns by rule on their numbers: two of three from the panel, which sends both years or none of them, and the type at every other turn."""
+    from ..operators.sessions import owned_filters
+
+    c, t = F.col("conv_id"), F.col("turn")
+    touched = F.array_compact(F.array(F.when((c + t) % 4 != 2, "year_start"), F.when((c + t) % 4 != 2, "year_end"), F.when((c + t) % 2 == 0, "paper_type")))
+    turns = A.read(spark, d, "conversations").select("conv_id", "turn", ((c + t) % 3 != 0).alias("panel"), F.when((c + t * 7) % 5 < 3, 2000 + (c * 3 + t * 5) % 20).cast("int").alias("year_start"),
+                                                     F.when((c + t) % 4 == 1, 2005 + (t * 3) % 10).cast("int").alias("year_end"), F.when((c * 2 + t) % 3 == 1, "journal").alias("paper_type"), touched.alias("touched"))
+    return owned_filters(turns, ("paper_type",)).withColumn("owned", F.array_join("owned", ","))

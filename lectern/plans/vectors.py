@@ -101,6 +101,13 @@ def vec05(spark, d):
     return V.blended(v.where("id <> 0").select("id", "v", F.slice("v", 1, 16).alias("g")), {"v": q, "g": q[:16]})
 
 
+@query("vec05_pairwise", oracle("vecs", "WITH u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v, list_transform(v[1:16], lambda x: x / sqrt(list_dot_product(v[1:16], v[1:16]))) AS g FROM vecs WHERE id % 4 = 0) SELECT a.id AS a, b.id AS b, CASE WHEN a.id = b.id THEN 1.0 ELSE round(0.7 * list_dot_product(a.v, b.v) + 0.3 * list_dot_product(a.g, b.g), 6) END AS sim FROM u a JOIN u b ON a.id <= b.id"))
+def vec05_pairs(spark, d):
+    """All pairs of a stated set, every fourth researcher."""
+    v = A.vecs(spark, d).where("id % 4 = 0")
+    return V.pairwise(v.select("id", "v", F.slice("v", 1, 16).alias("g"))).withColumn("sim", F.round("sim", 6))
+
+
 @query("vec06_field_affinity", oracle("vecs", "SELECT a.id, round(list_dot_product(a.v, b.v), 4) AS affinity FROM vecs a, (SELECT * FROM vecs WHERE id = 1) b"))
 def vec06(spark, d):
     v = A.vecs(spark, d)
@@ -139,9 +146,10 @@ def vec09(spark, d):
 @query("vec10_translation_pairs", oracle("related vecs keywords", f"""WITH k AS (SELECT name, row_number() OVER (ORDER BY name) AS id, CASE WHEN min(paper_id) % 2 = 0 THEN 'ko' ELSE 'en' END AS lang FROM keywords GROUP BY 1), e AS (SELECT r.k1, r.k2, round({_COS}, 9) AS s FROM related r JOIN k ka ON ka.name = r.k1 JOIN k kb ON kb.name = r.k2 JOIN vecs a ON a.id = ka.id JOIN vecs b ON b.id = kb.id WHERE ka.lang <> kb.lang)
   SELECT k1, k2 FROM e WHERE s >= 0.2"""))
 def vec10(spark, d):
-    from pyspark.sql import Window
+    from ..operators.windows import global_rank
 
-    k = A.keywords(spark, d).groupBy("name").agg(F.min("paper_id").alias("p")).select("name", F.row_number().over(Window.orderBy("name")).alias("id"), F.when(F.col("p") % 2 == 0, "ko").otherwise("en").alias("lang"))
+    k = A.keywords(spark, d).groupBy("name").agg(F.min("paper_id").alias("p"))
+    k = global_rank(k, [F.col("name")], "id", k.count()).select("name", "id", F.when(F.col("p") % 2 == 0, "ko").otherwise("en").alias("lang"))
     return C.translation_pairs(A.related(spark, d), k.join(A.vecs(spark, d), "id").select("name", "lang", "v"), 0.2)
 
 
