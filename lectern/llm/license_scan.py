@@ -1,12 +1,13 @@
 """Licence scans with a positional index of rare words.
 
-Licence templates (notices, key paragraphs or whole licences; a list or a table) are indexed by the rarest word (highest inverse
-template frequency) of their mandatory key phrase: its postings are (template, position). Every occurrence of such a word in
-a file gives the place at which its template would lie; where the key phrase stands in place, the template is aligned
-outward from the phrase in runs of RUN words. A run may lie up to DRIFT words off the place that its neighbour nearer the phrase gives it, so
-that names and dates filled in do not break a long licence; of equally good places the nearest counts, then the earlier one.
-The aligned share of the template's weight is its score, and a label needs a score of LEAST. As the key phrase is mandatory and all its
-places are tried, no alignment is missed, however long the file and however many licences it holds.
+Licence templates (notices, key paragraphs or whole licences; a list or a table) are indexed by their words of high inverse
+template frequency: postings are (template, position). A file's such words vote for (template, place minus position), that is, for where the
+template would begin. Votes are intersected by that relative position around each place where the template's mandatory key phrase stands: a
+tenth of its length either way, so that names, dates and edits do not take words out. Where they and the unindexed words could reach LEAST of the
+template's weight, template and file are aligned from the key phrase outward, word by word and with gaps at any word, never further off than that
+tenth. The aligned share of the weight is the score, and a label needs LEAST of it. A word weighs from 1 to 2 by its rarity, so a template
+of which up to a tenth of the words outside its key phrase are dropped, changed, or joined by others keeps its label. All places of a key
+phrase are tried; nothing is dropped, however long the file and however many licences it holds.
 
 Base phrases are found wherever their words stand consecutively, and give labels as well.
 
@@ -16,8 +17,10 @@ once; repeated rows each get a row; an empty table gives no rows. Only id and te
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM_TABLE, col, small_batches, table
 
 LEAST = 0.7
-RUN, DRIFT = 32, 8
+#: Words in more than this share of the templates are not indexed.
+COMMON = 0.25
 #: Templates are held by every worker, so a table of them has at most so many words; more is an error.
 MOST_WORDS = 4_000_000
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -60,15 +64,28 @@ class Index:
         self.words = [t[2].encode().split() for t in templates]
         self.key = [t[1].encode().split() for t in templates]
         self.key_at = [next(i for i in range(len(w)) if w[i : i + len(k)] == k) for w, k in zip(self.words, self.key)]
-        self.idf = {x: math.log((len(templates) + 1) / n) for x, n in Counter(x for w in self.words for x in set(w)).items()}
-        self.weight = [sum(self.idf[x] for x in w) for w in self.words]
+        df = Counter(x for w in self.words for x in set(w))
+        self.idf = {x: math.log((len(templates) + 1) / n) for x, n in df.items()}
+        top = math.log(len(templates) + 1) or 1.0
+        self.number = {x: i for i, x in enumerate(df)}
+        self.worth = {x: 1 + v / top for x, v in self.idf.items()}
+        self.weight = [sum(self.worth[x] for x in w) for w in self.words]
+        self.band = [len(w) // 10 + 1 for w in self.words]
         self.base = [(p.encode().split(), label) for p, label in base]
-        self.drifts = sorted(range(-DRIFT, DRIFT + 1), key=lambda d: (abs(d), d))
+        #: Postings of rare words, and each template's weight of all others.
+        self.posting: dict[bytes, list[tuple[int, int]]] = {}
+        self.unindexed = [0.0] * len(templates)
+        for n, w in enumerate(self.words):
+            for i, x in enumerate(w):
+                if df[x] <= max(1, COMMON * len(templates)):
+                    self.posting.setdefault(x, []).append((n, i))
+                else:
+                    self.unindexed[n] += self.worth[x]
         #: Templates, and the position in each, by the rarest word of their key phrase.
         self.seed: dict[bytes, list[tuple[int, int]]] = {}
         for n, k in enumerate(self.key):
             x = self.rarest(k)
-            self.seed.setdefault(x, []).append((n, self.key_at[n] + k.index(x)))
+            self.seed.setdefault(x, []).append((n, k.index(x)))
         #: A file without one of these words can hold no key phrase and no base phrase.
         self.need = frozenset([*self.seed, *(self.rarest(p) for p, _ in self.base)])
 
@@ -89,34 +106,60 @@ class Index:
                 pass
         return out
 
-    def aligned(self, words: list[bytes], n: int, start: int) -> float:
-        """The weight of template n's words that stand in place, where its first word would be at start."""
-        t, first = self.words[n], self.key_at[n] // RUN * RUN
-        total = 0.0
-        for runs in (range(first, len(t), RUN), range(first - RUN, -1, -RUN)):
-            shift = 0
-            for i in runs:
-                run = t[i : i + RUN]
-                best, best_shift = -1.0, shift
-                for d in self.drifts if i != first else (0,):
-                    at = start + i + shift + d
-                    hit = sum(self.idf[x] for x, y in zip(run[max(0, -at) :], words[max(0, at) : max(0, at + len(run))]) if x == y)
-                    if hit > best:
-                        best, best_shift = hit, shift + d
-                total, shift = total + best, best_shift
-        return total
+    def aligned(self, words: list[bytes], n: int, at: int) -> float:
+        """The aligned weight of template n whose key phrase stands at `at`."""
+        t, k, k_end, band = self.words[n], self.key_at[n], self.key_at[n] + len(self.key[n]), self.band[n]
+        end = at + len(self.key[n])
+        back, on = t[:k][::-1], t[k_end:]
+        near = words[max(0, at - len(back) - band) : at][::-1], words[end : end + len(on) + band]
+        return sum(self.worth[x] for x in self.key[n]) + self._side(back, near[0], band) + self._side(on, near[1], band)
+
+    def _side(self, t: list[bytes], words: list[bytes], band: int) -> float:
+        """Greatest weight of words of t that stand in words in the same order, each at most band places off."""
+        worth = [self.worth[x] for x in t]
+        if words[: len(t)] == t:
+            return sum(worth)
+        file = np.full(len(t) + 2 * band + len(words), -1, np.int64)
+        file[band : band + len(words)] = [self.number.get(x, -1) for x in words]
+        # row[c]: after i words of t and i + c - band words of the file
+        c = np.arange(2 * band + 1)
+        row = np.where(c >= band, 0.0, -np.inf)
+        row[c - band > len(words)] = -np.inf
+        best = 0.0
+        for i, x in enumerate(t):
+            step = row + np.where(file[i : i + len(c)] == self.number[x], worth[i], 0.0)
+            step[:-1] = np.maximum(step[:-1], row[1:])
+            at = i + 1 + c - band
+            step[at < 0] = -np.inf
+            row = np.maximum.accumulate(step)
+            row[at > len(words)] = -np.inf
+            best = max(best, float(row.max()))
+        return best
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels whose template aligns and whose key phrase stands in place, with their best score."""
-        best: dict[str, float] = {}
+        keys: dict[int, list[int]] = {}
         for at, w in enumerate(words):
             for n, i in self.seed.get(w, ()):
-                k, start = self.key_at[n], at - i
-                if start + k < 0 or words[start + k : start + k + len(self.key[n])] != self.key[n]:
+                if at >= i and words[at - i : at - i + len(self.key[n])] == self.key[n]:
+                    keys.setdefault(n, []).append(at - i)
+        votes: dict[int, list[tuple[int, int]]] = {n: [] for n in keys}
+        if keys:
+            for at, w in enumerate(words):
+                for n, i in self.posting.get(w, ()):
+                    if n in votes:
+                        votes[n].append((at - i, i))
+        best: dict[str, float] = {}
+        for n, places in keys.items():
+            found, band, label = sorted(votes[n]), self.band[n], self.label[n]
+            for at in places:
+                start = at - self.key_at[n]
+                near = {i for _, i in found[bisect_left(found, (start - band, -1)) : bisect_right(found, (start + band, len(self.words[n])))]}
+                if sum(self.worth[self.words[n][i]] for i in near) + self.unindexed[n] < LEAST * self.weight[n] - 1e-9:
                     continue
-                score = min(1.0, self.aligned(words, n, start) / self.weight[n])
-                if score >= LEAST and score > best.get(self.label[n], 0):
-                    best[self.label[n]] = score
+                score = min(1.0, self.aligned(words, n, at) / self.weight[n])
+                if score >= LEAST and score > best.get(label, 0):
+                    best[label] = score
         return best
 
 
