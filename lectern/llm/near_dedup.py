@@ -8,7 +8,8 @@ on a band share a bucket. Within a bucket no pairs are listed wholesale:
 1. every member is paired with the bucket's pivot (its smallest document);
 2. buckets of up to SMALL members: their pairs that are still in different components;
 3. larger buckets: pairs from different components with a common token among the rarest that a pair at the threshold
-   must share (prefix filter with size and position bounds). Nothing is left out, however large the bucket.
+   must share (prefix filter). A token at some place of a set's prefix bounds the sizes of its partners, and sizes are part
+   of the join's key, so sets that share a template, but too little for a link, do not meet. Nothing is left out, however large the bucket.
 
 Each pair is first held against the maximum-likelihood estimate of its similarity from the two sketches (dropped when
 SIGMAS standard errors below the threshold) and then against the full sets.
@@ -43,6 +44,8 @@ SIGMAS = 6.0
 #: Digests of classes that a task remembers as sent.
 SEEN = 500_000
 DF_SLOTS = 1 << 18
+#: Ratio of a class of sizes to the next, and finer classes in one.
+WIDE, FINE = 2.0 / 3.0**0.5, 8
 
 _U = np.uint64
 _MULT = np.array([int.from_bytes(hashlib.blake2b(b"m%d" % j, digest_size=8).digest(), "little") | 1 for j in range(M)], dtype=_U)
@@ -230,7 +233,9 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Order all tokens by how many crowded sets hold them (counted in a fixed number of slots), rarest first. Two sets at the
     threshold share a token in the first n - ceil(t n) + 1 places of each, and the first shared token's places bound
-    the overlap. At least one of a pair is `out`, not in the largest component of its bucket.
+    the overlap: a token at place p of a set of n leaves its partner a size from t n to (n - p + 1) (1 + t) / t - n. Partners are
+    joined by token and class of size: wide classes within that range, fine ones at its upper end. Tokens of one set alone are left out.
+    At least one of a pair is `out`, not in the largest component of its bucket.
     """
     t = percent / 100
     mine = stage(sets.join(crowd, "cls").select("cls", "comp", "out", "s"))
@@ -254,22 +259,35 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ks, toks, places, sizes = [], [], [], []
             for k, s in zip(b.column(0).to_pylist(), _list_arrays(b.column(1)) if b.num_rows else ()):
                 n = len(s)
-                first = s[np.lexsort((s, freq[(s.view(_U) >> _U(46)).astype(np.int64)]))][: n - math.ceil(t * n) + 1]
-                ks += [k] * len(first)
-                toks.append(first)
-                places.append(np.arange(1, len(first) + 1))
-                sizes.append(np.full(len(first), n))
+                f = freq[(s.view(_U) >> _U(46)).astype(np.int64)]
+                order = np.lexsort((s, f))[: n - math.ceil(t * n) + 1]
+                at = np.flatnonzero(f[order] > 1)
+                ks += [k] * len(at)
+                toks.append(s[order[at]])
+                places.append(at + 1)
+                sizes.append(np.full(len(at), n))
             cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), cat(toks), cat(places), cat(sizes)], names=["cls", "tok", "p", "n"])
 
     rows = stage(mine.select("cls", "s").mapInArrow(prefix, "cls binary, tok long, p long, n long").join(crowd, "cls"))
-    x, y = rows.where("out").alias("x"), rows.alias("y")
+    fine = lambda m: F.floor(F.log(m.cast("double")) * FINE / math.log(WIDE) + 1e-9).cast("int")
+    # Half a size of room either way keeps rounding from losing a partner.
+    most = (F.col("n") - F.col("p") + 1) * ((1 + t) / t) - F.col("n") + 0.5
+    x = rows.where("out").withColumns({"lo": fine(F.greatest(F.col("n") * t - 0.5, F.lit(1.0))), "hi": fine(F.greatest(F.least(F.col("n") / t + 0.5, most), F.lit(1.0)))}).where(most >= F.col("n") * t)
+    top = F.floor(F.col("hi") / FINE).cast("int")
+    first = F.floor(F.col("lo") / FINE).cast("int")
+    # Keys: wide classes below the topmost as they are, fine ones of the topmost as negative numbers.
+    wide = F.when(first < top, F.sequence(first, top - 1)).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(F.sequence(F.greatest(F.col("lo"), top * FINE), F.col("hi")), lambda f: -1 - f)
+    x = x.withColumn("k", F.explode(F.concat(wide, ends))).alias("x")
+    own = fine(F.col("n"))
+    y = rows.withColumn("k", F.explode(F.array(F.floor(own / FINE).cast("int"), -1 - own))).alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * t / (1 + t) - 1e-9)
     can = 1 + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= need
-    near = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & can
-    # Of a pair with several common tokens all but the first fail the bound or repeat it; distinct() leaves one.
-    return x.join(y, near & ((F.col("x.cls") < F.col("y.cls")) | ~F.col("y.out"))).select(
-        F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    near = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.comp") != F.col("y.comp")) & can
+    # Of a pair with several common tokens all but the first fail the bound or repeat it; distinct() leaves one. Ranges of
+    # two `out` sets need not hold each other, so both ways count.
+    return x.join(y, near & (F.col("x.cls") != F.col("y.cls"))).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:

@@ -321,6 +321,25 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         assert bag(N.dedup(docs).select("id", "component_id").collect()) == want
 
 
+def test_sets_that_share_a_template_do_not_meet(spark):
+    """No links among many sets of 300 common and 85 own tokens: neither are there pairs to try. Where own tokens are few, all links are found."""
+    rng = np.random.default_rng(1)
+    shared = rng.integers(1, 2**62, 300)
+
+    def tried(own):
+        names = [i.to_bytes(4, "big") for i in range(len(own))]
+        crowd = spark.createDataFrame([(k, b"c" + k, True) for k in names], "cls binary, comp binary, out boolean")
+        sets = {k: np.unique(np.concatenate([shared, rng.integers(1, 2**62, m)])) for k, m in zip(names, own)}
+        frame = spark.createDataFrame([(k, None, s.tolist()) for k, s in sets.items()], "cls binary, reg array<long>, s array<long>")
+        got = {(bytes(r["a"]), bytes(r["b"])) for r in N._prefix_pairs(crowd, frame, 75).collect()}
+        links = {(a, b) for a, b in itertools.combinations(names, 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+        return got, links
+
+    assert tried([85] * 1500) == (set(), set())
+    got, links = tried([40, 50, 51, 10, 0, 90, 99, 100, 101, *range(30, 70)])
+    assert links and links <= got and len(got) <= 2 * len(links)
+
+
 def test_every_kind_of_white_space_separates(spark, tmp_path):
     """CR, VT and FF in the texts: the same rows from Spark, SQL and the plain version; ids may be strings."""
     words = [f"w{i}" for i in range(40)]
