@@ -332,10 +332,11 @@ def test_sets_that_share_a_template_do_not_meet(spark):
         sets = {k: np.unique(np.concatenate([shared, rng.integers(1, 2**62, m)])) for k, m in zip(names, own)}
         frame = spark.createDataFrame([(k, None, s.tolist()) for k, s in sets.items()], "cls binary, reg array<long>, s array<long>")
         got = {(bytes(r["a"]), bytes(r["b"])) for r in N._prefix_pairs(crowd, frame, 75).collect()}
-        links = {(a, b) for a, b in itertools.combinations(names, 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+        common = lambda a, b: len(set(sets[a].tolist()) & set(sets[b].tolist())) if len(own) < 100 else 300  # noqa: E731  own tokens are drawn from 2**62
+        links = {(a, b) for a, b in itertools.combinations(names, 2) if 100 * (c := common(a, b)) >= 75 * (len(sets[a]) + len(sets[b]) - c)}
         return got, links
 
-    assert tried([85] * 1500) == (set(), set())
+    assert tried([85] * 1000) == (set(), set())
     got, links = tried([40, 50, 51, 10, 0, 90, 99, 100, 101, *range(30, 70)])
     assert links and links <= got and len(got) <= 2 * len(links)
 
