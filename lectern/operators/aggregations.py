@@ -132,3 +132,49 @@ def domain_table(rows: DataFrame, generic: int) -> DataFrame:
     """Rows domain, root -> domain, roots, verdict: a domain of one institution, or generic from `generic` institutions on."""
     return rows.groupBy("domain").agg(F.countDistinct("root").alias("roots"), F.min("root").alias("root")).withColumn(
         "verdict", F.when(F.col("roots") >= generic, "generic").when(F.col("roots") == 1, "promote").otherwise("hold"))
+
+
+def narrow_chips(items: DataFrame, bins: int = 3, least: float = 0.7, top: int = 3) -> DataFrame:
+    """g, rank, axis, value, score: what narrows each result list best. Rows g, at (place in the list), year, citations, kind.
+
+    An axis counts if its values spread over two buckets or more with a normalised entropy of `least` or more. Year and kind offer their commonest value
+    (ties: the first in the list), citations the lower edge of the highest of `bins` bins of equal numbers. Ranks are by entropy; ties go to year,
+    then citations, then kind. Lists are counted by value first, so that only distinct values are sorted."""
+    value = F.create_map(F.lit("year"), F.col("year").cast("string"), F.lit("citation"), F.col("citations").cast("string"), F.lit("paper_type"), F.nullif("kind", F.lit("")))
+    c = items.select("g", "at", F.explode(value).alias("axis", "v")).where("v IS NOT NULL").groupBy("g", "axis", "v").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    axes = ["g", "axis"]
+    plain = c.where("axis <> 'citation'").select(*axes, "v", "n", F.struct(-F.col("n"), "first").alias("o"))
+    cited = c.where("axis = 'citation'").withColumn("x", F.col("v").cast("long"))
+    run = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cited = cited.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy("g"))})
+    # The value at an index is the first whose cumulated count passes it.
+    edges = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * i / bins), F.col("total") - 1), F.col("x"))).over(Window.partitionBy("g")) for i in range(1, bins)]
+    edges = F.array_distinct(F.array(*edges)) if bins > 1 else F.array(F.min("x").over(Window.partitionBy("g")))
+    cited = cited.withColumn("edges", edges).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("x"))))
+    cited = cited.groupBy(*axes, "bin", F.array_max("edges").cast("string").alias("v")).agg(F.sum("n").alias("n")).select(*axes, "v", "n", F.struct(F.lit(0).cast("long"), F.lit(0).cast("long")).alias("o"))
+    x = plain.withColumn("o", F.col("o").cast("struct<a:bigint,b:bigint>")).unionByName(cited.withColumn("o", F.col("o").cast("struct<a:bigint,b:bigint>")))
+    x = x.groupBy(*axes).agg(F.sum("n").alias("t"), F.count("*").alias("k"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"), F.min_by("v", "o").alias("value"))
+    # -sum(n/t log2(n/t)) is log2(t) - sum(n log2 n) / t.
+    x = x.where("k > 1").withColumn("score", F.round((F.log2(F.col("t").cast("double")) - F.col("s") / F.col("t")) / F.log2(F.col("k").cast("double")), 6)).where(F.col("score") >= least)
+    order = F.array_position(F.array(F.lit("year"), F.lit("citation"), F.lit("paper_type")), F.col("axis"))
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("score").desc(), order)))
+    return x.where(F.col("rank") <= top).select("g", "rank", "axis", "value", "score")
+
+
+def researcher_profiles(rows: DataFrame, tags: DataFrame, k: int = 10) -> DataFrame:
+    """rid, name, current, history, keywords, papers of each researcher, from author rows rid, at (order of arrival), name, institution, year, paper_id and tags
+    paper_id, pos, name.
+
+    The first non-empty name; the institution of the latest year (ties: first seen; empty ones do not count), all of them in that order; the k keywords that
+    come most often, an author row's paper each time (ties: first seen); distinct papers. NULL arrays where there is nothing."""
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    own = rows.groupBy("rid").agg(F.min_by(filled("name"), F.when(filled("name").isNotNull(), F.col("at"))).alias("name"), F.countDistinct("paper_id").alias("papers"))
+    inst = rows.where("institution <> ''").groupBy("rid", "institution").agg(F.max(F.coalesce("year", F.lit(0))).alias("last"), F.min("at").alias("first"))
+    inst = inst.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct((-F.col("last")).alias("y"), "first", "institution"))).alias("h"))
+    inst = inst.select("rid", F.transform("h", lambda x: x["institution"]).alias("history"))
+    per = rows.groupBy("rid", "paper_id").agg(F.count("*").alias("times"), F.min("at").alias("at"))
+    words = per.join(tags.select("paper_id", "pos", F.col("name").alias("keyword")), "paper_id").groupBy("rid", "keyword").agg(F.sum("times").alias("n"), F.min(F.struct("at", "pos", "keyword")).alias("first"))
+    w = Window.partitionBy("rid").orderBy(F.col("n").desc(), "first")
+    words = words.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    out = own.join(inst, "rid", "left").join(words, "rid", "left")
+    return out.select("rid", "name", F.get("history", 0).alias("current"), "history", "keywords", "papers")

@@ -65,6 +65,35 @@ def expand(related: DataFrame, counts: DataFrame, node: str, shown: list[str], k
     return anchor_children(related, counts, one, 1 << 30).where(~F.col("child").isin(node, *shown)).orderBy(F.col("n").desc(), "child").limit(k).select("child", "n")
 
 
+def expand_with_links(related: DataFrame, counts: DataFrame, requests: DataFrame, shown: DataFrame, k: int = 3) -> DataFrame:
+    """session, kind, source, target, n, has_more, parent_has_more: what opening a node adds to each session's map.
+
+    Rows requests session, node (one a session); shown session, name. `tree` rows lead to the first k keywords below the node, ties included, that are not
+    shown; `cross_link` rows join a new keyword and any placed one, once a pair and never along a tree row. has_more: whether a new keyword has one
+    below it that is not placed; parent_has_more: whether the node has more than k to add. A session without a new keyword has one row of kind
+    `none`. A session holds few keywords, so its pairs are new ones times placed ones."""
+    node = requests.select("session", F.col("node").alias("anchor"))
+    placed = shown.select("session", "name").union(node.select("session", F.col("anchor").alias("name"))).distinct()
+    below = anchor_children(related, counts, counts, 1 << 30).select("anchor", "child", "n")
+    left = node.join(below, "anchor").join(placed.withColumnRenamed("name", "child"), ["session", "child"], "left_anti")
+    w = Window.partitionBy("session")
+    left = left.withColumns({"at": F.row_number().over(w.orderBy(F.col("n").desc(), "child")), "all": F.count("*").over(w)})
+    new = left.where(F.col("at") <= k).select("session", "anchor", "child", "n", (F.col("all") > k).alias("parent_has_more"))
+    every = placed.union(new.select("session", F.col("child").alias("name")))
+    sizes = below.groupBy("anchor").agg(F.count("*").alias("below")).select(F.col("anchor").alias("child"), "below")
+    taken = new.select("session", "child").join(every, "session").join(below.select(F.col("anchor").alias("child"), F.col("child").alias("name")), ["child", "name"])
+    taken = taken.groupBy("session", "child").agg(F.count("*").alias("taken"))
+    more = F.coalesce("below", F.lit(0)) > F.coalesce("taken", F.lit(0))
+    tree = new.join(sizes, "child", "left").join(taken, ["session", "child"], "left")
+    tree = node.join(tree.drop("anchor"), "session", "left").select(
+        "session", F.when(F.col("child").isNull(), "none").otherwise("tree").alias("kind"), F.col("anchor").alias("source"), F.col("child").alias("target"), "n",
+        F.when(F.col("child").isNotNull(), more).alias("has_more"), F.coalesce("parent_has_more", F.lit(False)).alias("parent_has_more"))
+    pairs = new.select("session", "anchor", "child", "parent_has_more").join(every, "session").where("name <> child AND name <> anchor")
+    pairs = pairs.select("session", F.least("child", "name").alias("k1"), F.greatest("child", "name").alias("k2"), "parent_has_more").distinct()
+    links = pairs.join(related.select("k1", "k2", "n"), ["k1", "k2"])
+    return tree.union(links.select("session", F.lit("cross_link"), "k1", "k2", "n", F.lit(None).cast("boolean"), "parent_has_more"))
+
+
 def recenter(related: DataFrame, counts: DataFrame, anchor: str, shown: list[str], k: int = 6, cap: int = 25) -> DataFrame:
     """name, n, carried: the new anchor's children, then shown nodes that it meets and that are not commoner, up to the cap."""
     every = anchor_children(related, counts, counts.where(F.col("name") == anchor), 1 << 30)

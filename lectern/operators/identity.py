@@ -134,3 +134,37 @@ def renamed_institutions(rows: DataFrame, least: int, most_late: float, quantile
 
 def canonical_pick(people: DataFrame, group: str) -> DataFrame:
     return top_per_group(people, [group], [F.col("anchored").desc(), "source", F.col("papers").desc(), "created", "rid"], 1).select(group, "rid")
+
+
+#: Providers of personal mail.
+PERSONAL_MAIL = ("gmail", "naver", "hanmail", "daum", "hotmail", "nate", "yahoo", "outlook", "kakao", "empal", "chol.com", "korea.com", "dreamwiz", "paran", "freechal", "lycos", "hanmir", "netian")
+
+
+def domain_verdicts(people: DataFrame, generic: int = 3) -> DataFrame:
+    """rid, domain, verdict, confidence, email of the people whose match is inferred, judged by whose institution their mail domain is.
+
+    Rows rid, email, institution, confidence. Confirmed people give each domain's institutions by root; a domain of `generic` roots or more says nothing, nor
+    does personal mail. `promote` if a root equals or holds the person's, or the other way round (confidence domain_verified); `revoke` if every one
+    contradicts it (disputed, the address goes); `hold` if a root is unknown or of another script; `unlisted`, `personal` else. People without an address
+    or an institution are left out. A domain's row holds fewer than `generic` roots."""
+    from .text import HANGUL, institution_root
+
+    domain = F.nullif(F.lower(F.trim(F.element_at(F.split("email", "@"), -1))), F.lit(""))
+    x = people.where("email IS NOT NULL AND institution IS NOT NULL").withColumn("domain", F.when(F.col("email").contains("@"), domain)).withColumn("root", institution_root(F.col("institution")))
+    personal = F.col("domain").isNull() | F.exists(F.array(*map(F.lit, PERSONAL_MAIL)), lambda p: F.col("domain").contains(p))
+    x = x.withColumn("personal", personal)
+    # Roots are aggregated by domain and root first, so a crowded domain is a few rows before its array is made.
+    roots = x.where("confidence = 'confirmed' AND NOT personal").groupBy("domain", F.coalesce("root", F.lit("")).alias("r")).agg(F.count("*").alias("n"))
+    table = roots.groupBy("domain").agg(F.count("*").alias("k"), F.collect_list("r").alias("roots")).where(F.col("k") < generic).drop("k")
+    plain = lambda c: F.trim(F.regexp_replace(c, r"[\s·,.\-]", ""))
+
+    def says(r):
+        a, b = plain(F.col("root")), plain(r)
+        known = F.col("root").isNotNull() & (r != "")
+        return F.when(~known, "unknown").when(a.contains(b) | b.contains(a), "match").when(F.col("root").rlike(HANGUL) != r.rlike(HANGUL), "unknown").otherwise("conflict")
+
+    y = x.where("confidence = 'inferred'").join(table, "domain", "left").withColumn("said", F.transform("roots", says))
+    verdict = F.when(F.col("personal"), "personal").when(F.col("roots").isNull(), "unlisted").when(F.array_contains("said", "match"), "promote").when(F.forall("said", lambda v: v == "conflict"), "revoke").otherwise("hold")
+    y = y.withColumn("verdict", verdict)
+    confidence = F.when(F.col("verdict") == "promote", "domain_verified").when(F.col("verdict") == "revoke", "disputed").otherwise(F.col("confidence"))
+    return y.select("rid", "domain", "verdict", confidence.alias("confidence"), F.when(F.col("verdict") != "revoke", F.col("email")).alias("email"))

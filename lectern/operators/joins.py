@@ -123,3 +123,20 @@ def resolve_two(keys: DataFrame, by_id: DataFrame, by_alt: DataFrame) -> DataFra
 def unique_matches(rows: DataFrame, key: str, target: str) -> DataFrame:
     """key, target where a key has exactly one distinct target; counted without gathering a key's rows."""
     return rows.groupBy(key).agg(F.count_distinct(target).alias("n"), F.min(target).alias(target)).where("n = 1").drop("n")
+
+
+def paired_authors(works: DataFrame) -> DataFrame:
+    """id, author_order (from 1), author, affiliation, role of works id, author and affiliation (lists with semicolons), names (an array, used where no
+    author is given) and degree.
+
+    Empty parts are dropped, then parts pair by place; what lacks a partner has none. A thesis (a degree that is not empty) has a sole author's role. Works
+    without authors give no row."""
+    from .text import SOLE_AUTHOR
+
+    filled = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    parts = lambda c: filled(F.split(F.coalesce(F.col(c), F.lit("")), ";"))
+    given = parts("author")
+    authors = F.when(F.size(given) > 0, given).otherwise(filled(F.coalesce("names", F.array().cast("array<string>"))))
+    x = works.select("id", "degree", parts("affiliation").alias("at"), F.posexplode(authors).alias("i", "author"))
+    role = F.when(F.col("degree") != "", SOLE_AUTHOR)
+    return x.select("id", (F.col("i") + 1).alias("author_order"), "author", F.get("at", F.col("i")).alias("affiliation"), role.alias("role"))

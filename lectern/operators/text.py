@@ -324,12 +324,20 @@ def from_inverted(index: Column) -> Column:
 
 
 def institution_root(raw: Column) -> Column:
-    """Up to the suffix that starts first (the longest one there); without one the whole (not Korean) or the first word."""
-    first = F.trim(F.get(F.split(raw, "[,/]"), 0))
-    ends = [F.when(F.instr(first, s) > 0, F.struct(F.instr(first, s).alias("start"), F.lit(-len(s)).alias("neg"))) for s in INSTITUTION_SUFFIXES]
-    best = F.array_min(F.array_compact(F.array(*ends)))
-    root = F.trim(first.substr(F.lit(1), best["start"] - 1 - best["neg"]))
-    return F.when(F.coalesce(first, F.lit("")) == "", None).when(best.isNotNull(), root).when(~first.rlike(HANGUL), first).otherwise(F.get(F.split(first, "[ ]+"), 0))
+    """Up to the suffix that starts first (the longest one there); without one the whole (not Korean) or the first word.
+
+    The name and its best suffix are bound once, so that expressions made of several roots stay small."""
+
+    def ended(first: Column) -> Column:
+        ends = [F.when(F.instr(first, s) > 0, F.struct(F.instr(first, s).alias("start"), F.lit(-len(s)).alias("neg"))) for s in INSTITUTION_SUFFIXES]
+        return F.struct(first.alias("first"), F.array_min(F.array_compact(F.array(*ends))).alias("best"))
+
+    def root(x: Column) -> Column:
+        first, best = x["first"], x["best"]
+        upto = F.trim(first.substr(F.lit(1), best["start"] - 1 - best["neg"]))
+        return F.when(F.coalesce(first, F.lit("")) == "", None).when(best.isNotNull(), upto).when(~first.rlike(HANGUL), first).otherwise(F.get(F.split(first, "[ ]+"), 0))
+
+    return F.get(F.transform(F.transform(F.array(F.trim(F.get(F.split(raw, "[,/]"), 0))), ended), root), 0)
 
 
 def institution_dept(raw: Column) -> Column:
@@ -390,6 +398,28 @@ def specific_unit(raw: Column) -> Column:
         F.size(units) > 0, F.when(~F.get(units, 0).rlike("^[가-힣]+(청|부|처)$"), F.get(units, 0)))
 
 
+#: Fixed value: the role of a thesis's author.
+SOLE_AUTHOR = "단독"
+#: What says whether someone studies or works there.
+ROLE_SUFFIXES = ("석박사통합과정생?", "석사과정생?", "박사과정생?", "박사후연구원", "대학원생", "학부생", "연구교수", "조교수", "부교수", "교수", "책임연구원", "선임연구원", "연구원", "연구위원", "교사", "학생")
+
+
+def department_from(raw: Column) -> Column:
+    """The department of an affiliation: what is left of it without the root, the unit that it names and the role at its end.
+
+    Department and unit are long expressions, so each is bound once, as a field of the only element of an array."""
+    tight = lambda c: F.regexp_replace(c, r"\s+", "")
+
+    def without_unit(x: Column) -> Column:
+        dept, unit = x["dept"], x["unit"]
+        rest = F.when(dept.startswith(unit), F.trim(dept.substr(F.length(unit) + 1, F.lit(1 << 30)))).otherwise(dept)
+        return F.struct(F.trim(F.regexp_replace(rest, r"\s*(" + "|".join(ROLE_SUFFIXES) + r")\s*$", "")).alias("rest"), unit.alias("unit"))
+
+    both = F.array(F.struct(institution_dept(raw).alias("dept"), specific_unit(raw).alias("unit")))
+    kept = lambda x: F.when((x["rest"] != "") & ~F.coalesce(tight(x["rest"]) == tight(x["unit"]), F.lit(False)), x["rest"])
+    return F.get(F.transform(F.transform(both, without_unit), kept), 0)
+
+
 # Markup, markers
 
 

@@ -110,6 +110,21 @@ def agg12(spark, d):
     return G.entropy(x, "g", "n").where("entropy >= 0.7").join(best, "g").select(F.col("g").alias("axis"), "value", "entropy")
 
 
+_CHIP = """CASE WHEN count(*) > 1 THEN round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)), 6) END"""
+
+
+@query("agg12_narrow_chips_by_list", oracle("reads papers", f"""WITH it AS (SELECT user_id AS g, event_id AS seq, pubyear, citation_count AS c, db_code FROM reads JOIN papers ON paper_id = id),
+  v AS (SELECT g, 'year' AS axis, CAST(pubyear AS VARCHAR) AS v, count(*) AS n, min(seq) AS f FROM it WHERE pubyear IS NOT NULL GROUP BY ALL UNION ALL SELECT g, 'paper_type', db_code, count(*), min(seq) FROM it WHERE db_code <> '' GROUP BY ALL),
+  ls AS (SELECT g, list(c ORDER BY c) AS l FROM it WHERE c IS NOT NULL GROUP BY 1), e AS (SELECT g, list_distinct([l[least(CAST(floor(len(l) / 3) AS INT), len(l) - 1) + 1], l[least(CAST(floor(len(l) * 2 / 3) AS INT), len(l) - 1) + 1]]) AS e FROM ls),
+  b AS (SELECT g, len(list_filter(e, lambda x: x <= c)) AS bin, list_max(e) AS top, count(*) AS n FROM it JOIN e USING (g) WHERE c IS NOT NULL GROUP BY ALL),
+  s AS (SELECT g, axis, arg_min(v, (-n, f)) AS value, {_CHIP} AS score FROM v GROUP BY 1, 2 UNION ALL SELECT g, 'citation', CAST(max(top) AS VARCHAR), {_CHIP} FROM b GROUP BY 1),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY score DESC, CASE axis WHEN 'year' THEN 1 WHEN 'citation' THEN 2 ELSE 3 END) AS INT) AS rank FROM s WHERE score >= 0.7) SELECT g, rank, axis, value, score FROM r WHERE rank <= 3"""))
+def agg12_lists(spark, d):
+    """The papers that each user has read, in order, as a result list."""
+    p = A.papers(spark, d).select(F.col("id").alias("paper_id"), F.col("pubyear").alias("year"), F.col("citation_count").alias("citations"), F.col("db_code").alias("kind"))
+    return G.narrow_chips(A.reads(spark, d).select(F.col("user_id").alias("g"), F.col("event_id").alias("at"), "paper_id").join(p, "paper_id"))
+
+
 _BINS = """x AS (SELECT id, db_code, citation_count AS v, row_number() OVER (PARTITION BY db_code ORDER BY citation_count, id) - 1 AS i, count(*) OVER (PARTITION BY db_code) AS n FROM papers WHERE citation_count IS NOT NULL),
   e AS (SELECT DISTINCT db_code, v AS edge FROM x WHERE i IN (CAST(floor(n * 1 / 4) AS INT), CAST(floor(n * 2 / 4) AS INT), CAST(floor(n * 3 / 4) AS INT)))"""
 
@@ -249,6 +264,23 @@ def agg32(spark, d):
     return G.rollup(A.papers(spark, d).select((F.col("author") % 500).alias("rid"), F.col("journal_name").alias("institution"), F.col("pubyear").alias("year"), F.col("id").alias("paper_id"), F.col("id").alias("at")))
 
 
+@query("agg32_researcher_profiles", oracle("links papers keywords", """WITH a AS (SELECT rid, paper_id, unnest(CASE WHEN paper_id % 5 = 0 THEN [0, 1] ELSE [0] END) AS j FROM links),
+  r AS (SELECT rid, paper_id * 2 + j AS seq, CASE paper_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'N' || paper_id END AS name, CASE WHEN (paper_id + j) % 7 = 0 THEN '' ELSE 'I' || ((paper_id + j) % 25) END AS institution, pubyear AS year, paper_id FROM a JOIN papers ON id = paper_id),
+  i AS (SELECT rid, institution, max(coalesce(year, 0)) AS last, min(seq) AS first FROM r WHERE institution <> '' GROUP BY 1, 2), h AS (SELECT rid, list(institution ORDER BY last DESC, first) AS h FROM i GROUP BY 1),
+  k AS (SELECT rid, k.name, count(*) AS n, min((seq, pos, k.name)) AS first FROM r JOIN keywords k USING (paper_id) GROUP BY 1, 2), w AS (SELECT rid, list(name ORDER BY n DESC, first)[1:10] AS w FROM k GROUP BY 1),
+  o AS (SELECT rid, arg_min(name, seq) FILTER (name <> '') AS name, count(DISTINCT paper_id) AS papers FROM r GROUP BY 1)
+  SELECT rid, name, h[1] AS current, array_to_string(h, '|') AS history, array_to_string(w, '|') AS keywords, papers FROM o LEFT JOIN h USING (rid) LEFT JOIN w USING (rid)"""))
+def agg32_profiles(spark, d):
+    """Author rows by links; some papers list a person twice, some without name or institution."""
+    p = A.papers(spark, d).select(F.col("id").alias("paper_id"), F.col("pubyear").alias("year"))
+    a = A.links(spark, d).select("rid", "paper_id").join(p, "paper_id").withColumn("j", F.explode(F.when(F.col("paper_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    k, of = F.col("paper_id"), F.col("paper_id") + F.col("j")
+    rows = a.select("rid", (k * 2 + F.col("j")).alias("at"), F.when(k % 3 == 0, None).when(k % 3 == 1, "").otherwise(F.concat(F.lit("N"), k)).alias("name"),
+                    F.when(of % 7 == 0, "").otherwise(F.concat(F.lit("I"), of % 25)).alias("institution"), "year", "paper_id")
+    x = G.researcher_profiles(rows, A.keywords(spark, d))
+    return x.withColumns({"history": F.array_join("history", "|"), "keywords": F.array_join("keywords", "|")})
+
+
 @query("agg33_shared_papers", oracle("links", "SELECT paper_id FROM (SELECT paper_id, 'ART' || rid AS r FROM links) GROUP BY 1 HAVING count(DISTINCT r) >= 2 AND max(r) LIKE 'ART9%'"))
 def agg33(spark, d):
     x = A.links(spark, d).select("paper_id", F.concat(F.lit("ART"), F.col("rid")).alias("r"))

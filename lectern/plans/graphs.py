@@ -188,6 +188,20 @@ def _cg(spark, d):
     return x.where("db_code = 'JAKO'").drop("db_code"), x.where("db_code <> 'JAKO'").drop("db_code")
 
 
+@query("grf10_expand_with_links", oracle("related key_counts keywords", f"""WITH {_KIDS}, req AS (SELECT paper_id AS session, arg_min(name, (pos, name)) AS node FROM keywords GROUP BY 1), pl AS (SELECT paper_id AS session, name FROM keywords),
+  l AS (SELECT session, node, child, n, row_number() OVER (PARTITION BY session ORDER BY n DESC, child) AS seq, count(*) OVER (PARTITION BY session) > 3 AS pm FROM req JOIN kids ON anchor = node
+    WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.session = req.session AND pl.name = child)), new AS (SELECT * FROM l WHERE seq <= 3), every AS (SELECT * FROM pl UNION SELECT session, child FROM new),
+  x AS (SELECT DISTINCT session, least(child, name) AS k1, greatest(child, name) AS k2, pm FROM new JOIN every USING (session) WHERE name <> child AND name <> node)
+  SELECT session, CASE WHEN child IS NULL THEN 'none' ELSE 'tree' END AS kind, req.node AS source, child AS target, n, CASE WHEN child IS NOT NULL THEN EXISTS (SELECT 1 FROM kids k WHERE k.anchor = new.child
+    AND NOT EXISTS (SELECT 1 FROM every v WHERE v.session = new.session AND v.name = k.child)) END AS has_more, coalesce(pm, false) AS parent_has_more FROM req LEFT JOIN new USING (session)
+  UNION ALL SELECT session, 'cross_link', k1, k2, n, NULL, pm FROM x JOIN related USING (k1, k2)"""))
+def grf10_links(spark, d):
+    """Each paper is a session that shows its keywords and opens the first of them."""
+    k = A.keywords(spark, d)
+    requests = k.groupBy(F.col("paper_id").alias("session")).agg(F.min_by("name", F.struct("pos", "name")).alias("node"))
+    return G.expand_with_links(A.related(spark, d), A.key_counts(spark, d), requests, k.select(F.col("paper_id").alias("session"), "name"))
+
+
 @query("grf11_citation_graph", oracle("cites papers", f"WITH {_CG} SELECT src, dst, CASE o WHEN 0 THEN 'own' ELSE 'external' END AS origin, CAST(rank AS INT) AS rank, t > 12 AS has_more FROM g WHERE rank <= 12"))
 def grf11(spark, d):
     return G.citation_graph(*_cg(spark, d), 12)
@@ -251,6 +265,33 @@ def grf16(spark, d):
     return research_flow(v.join(p, "id"), A.keywords(spark, d))
 
 
+@query("grf16_flow_summary")
+def grf16_summary(spark, d):
+    """The sentence of each person's clusters."""
+    from ..operators.clustering import agglomerative
+    from ..operators.researchers import flow_summary
+
+    v = A.vecs(spark, d).select((F.col("id") % 20).alias("g"), "id", "v")
+    p = A.papers(spark, d).select("id", F.col("pubyear").alias("year"))
+    return flow_summary(agglomerative(v, 0.6).join(p, "id").select("g", "label", "id", "year"), A.keywords(spark, d))
+
+
+_ENDS = ("주로 ", " 관련 연구를 해왔어요.", " 관련 연구가 대부분이에요.")
+
+
+@query("grf16_label_summary", oracle("vecs papers keywords", f"""WITH p AS (SELECT id % 200 AS g, label, id, pubyear AS year FROM vecs JOIN papers USING (id)), s AS (SELECT g, label, count(*) AS n, max(year) AS y, max(id) AS last, min(id) AS first FROM p GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY y DESC NULLS LAST, last DESC, n DESC, first) AS rank FROM s), k AS (SELECT g, label, name, count(*) AS c, min((id, pos)) AS first FROM p JOIN keywords ON paper_id = id GROUP BY 1, 2, 3),
+  w AS (SELECT g, label, list(name ORDER BY c DESC, first, name)[1:6] AS names FROM k GROUP BY 1, 2), t AS (SELECT g, count(*) AS clusters, list(names ORDER BY n DESC, rank) AS a, list(names[1] ORDER BY n DESC, rank) FILTER (names IS NOT NULL) AS h FROM o LEFT JOIN w USING (g, label) GROUP BY 1),
+  c AS (SELECT g, clusters, list_transform([3, 2, 1], lambda m: CASE WHEN len(h) >= m THEN '{_ENDS[0]}' || array_to_string(h[1:m], ', ') || '{_ENDS[1]}' END) AS many, a[1][1] || CASE WHEN a[1][2] IS NULL THEN '' ELSE ' · ' || a[1][2] END || '{_ENDS[2]}' AS two, a[1][1] || '{_ENDS[2]}' AS one FROM t)
+  SELECT g, clusters, CASE WHEN clusters = 1 THEN CASE WHEN length(two) <= 100 THEN two ELSE one END ELSE list_filter(many, lambda x: length(x) <= 100)[1] END AS sentence FROM c"""))
+def grf16_labels(spark, d):
+    """The same for the given labels."""
+    from ..operators.researchers import flow_summary
+
+    p = A.papers(spark, d).select("id", F.col("pubyear").alias("year"))
+    return flow_summary(A.vecs(spark, d).select((F.col("id") % 200).alias("g"), "label", "id").join(p, "id"), A.keywords(spark, d))
+
+
 @query("grf17_weak_pairs", oracle("links researchers", f"WITH {_PL}, {_DUP}, {_MODAL} SELECT p.a, p.b, CASE WHEN x.author_id IS NULL OR y.author_id IS NULL THEN 'undecided' WHEN x.author_id = y.author_id THEN 'same' ELSE 'different' END AS verdict FROM pairs p LEFT JOIN m x ON x.rid = p.a LEFT JOIN m y ON y.rid = p.b WHERE shared < 3"))
 def grf17(spark, d):
     return I.weak_pairs(I.shared_papers(A.researchers(spark, d), _pl(spark, d)), _modal(spark, d), 3)

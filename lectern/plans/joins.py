@@ -225,6 +225,26 @@ def jon28(spark, d):
     return p.where("id % 2 = 0").union(p.join(A.links(spark, d).select(F.col("paper_id").alias("id")), "id", "left_anti")).distinct()
 
 
+_WORKS = """w AS (SELECT id, degree, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ;; ' ELSE 'A' || author || ';; B' || (author % 7) || ' ;' END AS author, CASE id % 3 WHEN 0 THEN 'X' || journal_name || ';' WHEN 1 THEN ';Y;' || journal_name || '; Z' END AS affiliation,
+  CASE WHEN id % 8 = 0 THEN [] WHEN id % 5 = 0 THEN ['C' || author, ' ', NULL, 'D'] END AS names FROM papers WHERE id % 6 <> 0 AND (db_code IN ('DIKO', 'CFKO') OR NOT EXISTS (SELECT 1 FROM links l WHERE l.paper_id = papers.id)))"""
+
+
+@query("jon28_paired_authors", oracle("papers links", f"""WITH {_WORKS}, p AS (SELECT id, degree, list_filter(list_transform(string_split(coalesce(author, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(coalesce(affiliation, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS f,
+  list_filter(list_transform(coalesce(names, []), lambda x: trim(x)), lambda x: x <> '') AS n FROM w), q AS (SELECT id, degree, f, CASE WHEN len(a) > 0 THEN a ELSE n END AS a FROM p), r AS (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM q)
+  SELECT id, CAST(i AS INT) AS author_order, a[i] AS author, f[i] AS affiliation, CASE WHEN degree <> '' THEN '단독' END AS role FROM r"""))
+def jon28_authors(spark, d):
+    """The works of the list: in the corpus with an alternate id (a rule on ids), of two types or without a link."""
+    from ..operators.joins import paired_authors
+
+    p, k = A.papers(spark, d).where("id % 6 <> 0"), F.col("id")
+    typed = F.coalesce(F.col("db_code").isin("DIKO", "CFKO"), F.lit(False))
+    works = p.where(typed).unionByName(p.where(~typed).join(A.links(spark, d).select(F.col("paper_id").alias("id")), "id", "left_anti"))
+    author = F.when(k % 4 == 0, None).when(k % 4 == 1, " ;; ").otherwise(F.concat(F.lit("A"), "author", F.lit(";; B"), F.col("author") % 7, F.lit(" ;")))
+    at = F.when(k % 3 == 0, F.concat(F.lit("X"), "journal_name", F.lit(";"))).when(k % 3 == 1, F.concat(F.lit(";Y;"), "journal_name", F.lit("; Z")))
+    names = F.when(k % 8 == 0, F.array().cast("array<string>")).when(k % 5 == 0, F.array(F.concat(F.lit("C"), "author"), F.lit(" "), F.lit(None).cast("string"), F.lit("D")))
+    return paired_authors(works.select("id", "degree", author.alias("author"), at.alias("affiliation"), names.alias("names")))
+
+
 @query("jon29_candidate_match", oracle("researchers", """WITH c AS (SELECT a.rid, b.rid AS cand, row_number() OVER (PARTITION BY a.rid ORDER BY b.rank DESC, b.rid) AS rn, count(*) OVER (PARTITION BY a.rid) AS n, a.dept = b.dept AS same FROM researchers a JOIN researchers b
   ON a.name = b.name AND a.institution = b.institution AND a.rid <> b.rid) SELECT rid, cand, CASE WHEN same THEN 'confirmed' WHEN n = 1 THEN 'inferred' ELSE 'ambiguous' END AS verdict FROM c WHERE rn <= 3"""))
 def jon29(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..adapters import oracle
+from ..operators import identity as I
 from ..operators import text as X
 from .catalog import query
 
@@ -196,6 +197,40 @@ def str22_specific(spark, d):
     return _inst(spark, d).select("rid", X.specific_unit(F.col("inst")).alias("unit"))
 
 
+_ROLED = _INST + " || CASE rid % 4 WHEN 0 THEN ' 박사과정생' WHEN 1 THEN ' 자연과학부 조교수' WHEN 2 THEN ' 연구원' ELSE '' END"
+
+
+@query("str19_department", oracle("researchers", f"""WITH {_ROOTED.replace(_INST, _ROLED)}, u AS (SELECT rid, inst, f, root, nullif(regexp_extract(trim(inst), '^[가-힣]+(?:청|부|처)\\s+(\\S.*)$', 1), '') AS sub FROM r),
+  v AS (SELECT *, list_sort(list_transform(list_filter({_SUFFIXES}, lambda x: contains(sub, x)), lambda x: strpos(sub, x) * 1000 - length(x)))[1] AS e FROM u),
+  x AS (SELECT *, CASE WHEN e IS NOT NULL THEN trim(substr(sub, 1, CAST(ceil(e / 1000) AS INT) - 1 + CAST(ceil(e / 1000) * 1000 - e AS INT))) ELSE string_split_regex(sub, '[ ]+')[1] END AS own FROM v),
+  y AS (SELECT rid, CASE WHEN sub IS NOT NULL THEN CASE WHEN own <> root THEN own END WHEN NOT regexp_matches(root, '^[가-힣]+(청|부|처)$') THEN root END AS unit, trim(CASE WHEN starts_with(f, root) THEN substr(f, length(root) + 1) ELSE replace(f, root, '') END) AS rest FROM x),
+  z AS (SELECT rid, unit, trim(regexp_replace(trim(CASE WHEN starts_with(rest, unit) THEN substr(rest, length(unit) + 1) ELSE rest END), '\\s*({'|'.join(X.ROLE_SUFFIXES)})\\s*$', '')) AS dept FROM y WHERE rest <> '' AND rest NOT IN ({_NO_DEPT}))
+  SELECT rid, o.dept FROM researchers LEFT JOIN (SELECT rid, dept FROM z WHERE dept <> '' AND coalesce(replace(dept, ' ', '') <> replace(unit, ' ', ''), true)) o USING (rid)"""))
+def str19_department(spark, d):
+    k = F.col("rid") % 4
+    role = F.when(k == 0, " 박사과정생").when(k == 1, " 자연과학부 조교수").when(k == 2, " 연구원").otherwise("")
+    return _inst(spark, d).select("rid", X.department_from(F.concat("inst", role)).alias("dept"))
+
+
+_MAILS = f"""m AS (SELECT rid, inst, root, CASE WHEN rid % 9 = 0 THEN NULL WHEN rid % 7 = 0 THEN 'r' || rid || '@Gmail.com' WHEN rid % 5 = 0 THEN 'r@agency.kr' WHEN rid % 11 = 0 THEN 'none'
+  ELSE 'r' || rid || '@u' || ((rid + CASE WHEN rid % 13 = 0 AND (rid // 6) % 2 = 1 THEN 1 ELSE 0 END) % 6) || '.ac.kr' END AS email, CASE WHEN (rid // 6) % 2 = 0 THEN 'confirmed' ELSE 'inferred' END AS confidence FROM r)"""
+
+
+@query("agg30_domain_verdicts", oracle("researchers", f"""WITH {_ROOTED}, {_MAILS}, q AS (SELECT *, CASE WHEN contains(email, '@') THEN nullif(lower(trim(regexp_extract(email, '([^@]*)$', 1))), '') END AS domain FROM m WHERE email IS NOT NULL AND inst IS NOT NULL),
+  p AS (SELECT *, domain IS NULL OR regexp_matches(domain, '{"|".join(I.PERSONAL_MAIL).replace(".", "[.]")}') AS personal FROM q),
+  t AS (SELECT domain, list(DISTINCT coalesce(root, '')) AS roots FROM p WHERE confidence = 'confirmed' AND NOT personal GROUP BY 1 HAVING count(DISTINCT coalesce(root, '')) < 3),
+  n AS (SELECT p.*, unnest(coalesce(roots, [NULL])) AS b FROM p LEFT JOIN t USING (domain) WHERE confidence = 'inferred'), w AS (SELECT *, regexp_replace(root, '[\\s·,.-]', '', 'g') AS x, regexp_replace(b, '[\\s·,.-]', '', 'g') AS y FROM n),
+  s AS (SELECT rid, domain, email, personal, b, CASE WHEN root IS NULL OR b = '' THEN 'unknown' WHEN contains(x, y) OR contains(y, x) THEN 'match' WHEN regexp_matches(root, '[가-힣]') <> regexp_matches(b, '[가-힣]') THEN 'unknown' ELSE 'conflict' END AS said FROM w),
+  v AS (SELECT rid, any_value(domain) AS domain, any_value(email) AS email, CASE WHEN bool_or(personal) THEN 'personal' WHEN bool_and(b IS NULL) THEN 'unlisted' WHEN bool_or(said = 'match') THEN 'promote' WHEN bool_and(said = 'conflict') THEN 'revoke' ELSE 'hold' END AS verdict FROM s GROUP BY 1)
+  SELECT rid, domain, verdict, CASE verdict WHEN 'promote' THEN 'domain_verified' WHEN 'revoke' THEN 'disputed' ELSE 'inferred' END AS confidence, CASE WHEN verdict <> 'revoke' THEN email END AS email FROM v"""))
+def agg30_verdicts(spark, d):
+    """All researchers; addresses and confidence go by id, as the test tables have none."""
+    k, odd = F.col("rid"), F.floor(F.col("rid") / 6) % 2 == 1
+    own = (k + F.when((k % 13 == 0) & odd, 1).otherwise(0)) % 6
+    email = F.when(k % 9 == 0, None).when(k % 7 == 0, F.concat(F.lit("r"), k, F.lit("@Gmail.com"))).when(k % 5 == 0, "r@agency.kr").when(k % 11 == 0, "none").otherwise(F.concat(F.lit("r"), k, F.lit("@u"), own, F.lit(".ac.kr")))
+    return I.domain_verdicts(_inst(spark, d).select("rid", email.alias("email"), F.col("inst").alias("institution"), F.when(odd, "inferred").otherwise("confirmed").alias("confidence")))
+
+
 _WORDY = "[\\p{L}\\p{N}_]"
 _TERMS = "[upper(title) || ' 관련 논문', db_code || '!', '「' || title || '」 연구', title || ' 연구자료', '자료', '-' || db_code || '-논문-']"
 
