@@ -97,12 +97,14 @@ def thesis_credibility(degree: Column, affiliation: Column) -> Column:
     return F.struct(F.when(d.contains("박사"), "medium").when(d.contains("석사"), "low").otherwise("unknown").alias("badge"), F.concat_ws(" / ", label, F.nullif(a, F.lit(""))).alias("summary"))
 
 
-def trust_badge(kind: Column, degree_inst: Column, kci: Column, sci: Column, citations: Column, if_value: Column, hint: Column) -> Column:
+def trust_badge(kind: Column, degree_inst: Column, kci: Column, sci: Column, citations: Column, if_value: Column, hint: Column, full_text: Column | None = None) -> Column:
+    """What a thesis or another paper shows as evidence; full_text adds whether a thesis's text is to be had, NULL if unknown and for other papers."""
     thesis = kind.isin("thesis_phd", "thesis_master")
     no = lambda c: F.when(~thesis, c)
     return F.struct(
         F.when(kind == "thesis_phd", "박사").when(kind == "thesis_master", "석사").alias("degree_type"), F.when(thesis, degree_inst).alias("institution"),
-        no(F.when(hint, True).otherwise(kci)).alias("kci"), no(sci).alias("sci"), no(citations).alias("citation_count"), no(if_value).alias("if_value"))
+        no(F.when(hint, True).otherwise(kci)).alias("kci"), no(sci).alias("sci"), no(citations).alias("citation_count"), no(if_value).alias("if_value"),
+        *([] if full_text is None else [F.when(thesis, full_text).alias("full_text_available")]))
 
 
 def first_filled(rows: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:

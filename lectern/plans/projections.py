@@ -113,6 +113,16 @@ def prj12(spark, d):
     return p.join(j, F.col("journal_id") == F.col("jid"), "left").select("id", b.alias("b")).select("id", "b.*")
 
 
+@query("prj12_trust_badge_full_text", oracle("papers journals", f"""WITH x AS (SELECT p.*, j.kci_indexed, j.sci_indexed, j.if_value, {_TYPE} AS kind FROM papers p LEFT JOIN journals j ON p.journal_id = j.id), y AS (SELECT *, kind IN ('thesis_phd','thesis_master') AS th FROM x)
+  SELECT id, CASE kind WHEN 'thesis_phd' THEN '박사' WHEN 'thesis_master' THEN '석사' END AS degree_type, CASE WHEN th THEN journal_name END AS institution, CASE WHEN NOT th THEN CASE WHEN db_code = 'JAKO' THEN true ELSE kci_indexed END END AS kci,
+  CASE WHEN NOT th THEN sci_indexed END AS sci, CASE WHEN NOT th THEN citation_count END AS citation_count, CASE WHEN NOT th THEN CAST(if_value AS DOUBLE) END AS if_value, CASE WHEN th THEN pubdate LIKE '%-%' END AS full_text_available FROM y"""))
+def prj12_full_text(spark, d):
+    """With full texts: those of papers with a full date, as the test tables have no such column."""
+    p, j = A.papers(spark, d), A.journals(spark, d).select(F.col("id").alias("jid"), "kci_indexed", "sci_indexed", "if_value")
+    b = P.trust_badge(P.paper_type(F.col("db_code"), F.col("degree")), F.col("journal_name"), F.col("kci_indexed"), F.col("sci_indexed"), F.col("citation_count"), F.col("if_value").cast("double"), F.col("db_code") == "JAKO", F.col("pubdate").contains("-"))
+    return p.join(j, F.col("journal_id") == F.col("jid"), "left").select("id", b.alias("b")).select("id", "b.*")
+
+
 @query("prj13_paper_cards", oracle("papers journals", f"""SELECT p.id, p.title, {_TYPE} AS kind, coalesce(j.title, p.journal_name) AS journal, coalesce(p.citation_count, 0) AS citations, p.db_code = 'JAKO' OR coalesce(j.kci_indexed, false) AS registered,
   coalesce(j.sci_indexed, false) AS sci FROM papers p LEFT JOIN journals j ON p.journal_id = j.id"""))
 def prj13(spark, d):
