@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import ensure_checkpoint_dir, top_per_group
@@ -21,6 +21,67 @@ def paper_star(papers: DataFrame, tags: DataFrame, limit: int) -> DataFrame:
     return k.join(papers.select("id"), "id", "left_semi").union(papers.select("id", F.explode(own).alias("kind", "node")).where("node IS NOT NULL"))
 
 
+def star_nodes(papers: DataFrame, tags: DataFrame, authors: DataFrame, limit: int) -> DataFrame:
+    """center, id, label, name, is_center: each paper and what it meets, every id once.
+
+    Rows papers id, title, title_en, journal, year; tags paper_id, lang, name, of which the first `limit` by language and name count; authors paper_id,
+    name, author_order. Spellings of one keyword key are one node, under the last name; authors are told apart by name. Empty titles give way to the
+    English one and then to the id; a paper without journal or year has no such node."""
+    title = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("title", "title_en")], F.col("id").cast("string"))
+    own = papers.select(F.col("id").alias("center"), _node("paper", F.col("id")).alias("id"), F.lit("Paper").alias("label"), title.alias("name"), F.lit(True).alias("is_center"))
+    near = _star_rows(papers, tags, authors, limit).groupBy("center", "id", "label").agg(F.max("name").alias("name"))
+    return own.union(near.select("center", "id", "label", "name", F.lit(False)))
+
+
+def star_edges(papers: DataFrame, tags: DataFrame, authors: DataFrame, limit: int) -> DataFrame:
+    """center, source, target, type, lang, author_order: the relations of the nodes of `star_nodes`, one for each row that they come from; authors point to the paper, it
+    to the rest."""
+    x = _star_rows(papers, tags, authors, limit)
+    here, author = _node("paper", F.col("center")), F.col("label") == "Author"
+    kind = F.create_map(*[F.lit(v) for pair in (("Keyword", "HAS_KEYWORD"), ("Author", "AUTHORED"), ("Journal", "PUBLISHED_IN"), ("Year", "PUBLISHED_IN_YEAR")) for v in pair])
+    return x.select("center", F.when(author, F.col("id")).otherwise(here).alias("source"), F.when(author, here).otherwise(F.col("id")).alias("target"), kind[F.col("label")].alias("type"), "lang", "author_order")
+
+
+def _node(kind: str, key) -> Column:
+    return F.concat(F.lit(f"{kind}:"), key.cast("string"))
+
+
+def _star_rows(papers: DataFrame, tags: DataFrame, authors: DataFrame, limit: int) -> DataFrame:
+    from .text import keyword_key
+
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda x, center, label, key, name, lang=none("string"), order=none("int"): x.select(
+        F.col(center).alias("center"), _node(label.lower(), key).alias("id"), F.lit(label).alias("label"), name.cast("string").alias("name"), lang.alias("lang"), order.cast("int").alias("author_order"))
+    known = papers.select(F.col("id").alias("paper_id"))
+    k = top_per_group(tags, ["paper_id"], ["lang", "name"], limit).join(known, "paper_id", "left_semi")
+    a = authors.where("name IS NOT NULL").join(known, "paper_id", "left_semi")
+    name, journal, year = F.col("name"), F.col("journal"), F.col("year")
+    return (row(k, "paper_id", "Keyword", keyword_key(name, F.col("lang")), name, lang=F.col("lang")).union(row(a, "paper_id", "Author", name, name, order=F.col("author_order")))
+            .union(row(papers.where("journal IS NOT NULL"), "id", "Journal", journal, journal)).union(row(papers.where("year IS NOT NULL"), "id", "Year", year, year)))
+
+
+def keyword_page(papers: DataFrame, tags: DataFrame, authors: DataFrame, key: str, limit: int, offset: int) -> DataFrame:
+    """place, id, title, pubyear, authors, keywords, keyword_keys, total: a page of the papers that have the keyword of that key.
+
+    Rows papers id, title, pubyear; tags paper_id, lang, name; authors paper_id, name, author_order. Latest papers first (no year: 0), then by title and id; authors by
+    order, nameless ones left out; keywords by language and name; total counts all papers with the keyword. Lists are made for the page alone."""
+    from .text import keyword_key
+
+    of = keyword_key(F.col("name"), F.col("lang"))
+    held = papers.join(tags.where(of == key).select(F.col("paper_id").alias("id")), "id", "left_semi")
+    order = [F.coalesce("pubyear", F.lit(0)).desc(), F.col("title").asc_nulls_last(), F.col("id").asc()]
+    page = held.orderBy(*order).offset(offset).limit(limit)
+    page = page.select("id", "title", "pubyear", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    ids = F.broadcast(page.select(F.col("id").alias("paper_id")))  # at most `limit` rows
+    lists = lambda rows, by, **out: rows.join(ids, "paper_id").groupBy(F.col("paper_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*by))).alias("x")).select(
+        "id", *[F.col(f"x.{c}").alias(n) for n, c in out.items()])
+    a = lists(authors.where("name IS NOT NULL"), ["author_order", "name"], authors="name")
+    k = lists(tags.withColumn("key", of), ["lang", "name", "key"], keywords="name", keyword_keys="key")
+    empty = F.array().cast("array<string>")
+    x = page.join(a, "id", "left").join(k, "id", "left").crossJoin(held.agg(F.count("*").alias("total")))
+    return x.select((F.col("place") + offset).alias("place"), "id", "title", "pubyear", *[F.coalesce(c, empty).alias(c) for c in ("authors", "keywords", "keyword_keys")], "total")
+
+
 def papers_by_keyword(papers: DataFrame, tags: DataFrame, name: str, limit: int, offset: int) -> DataFrame:
     """A page of the papers that have the keyword, with all their keywords in order."""
     page = papers.join(tags.where(F.col("name") == name).select(F.col("paper_id").alias("id")), "id", "left_semi").orderBy(F.col("pubyear").desc_nulls_last(), "id").offset(offset).limit(limit)
@@ -125,6 +186,23 @@ def materialised(refs: DataFrame, alias: DataFrame) -> tuple[DataFrame, DataFram
     return refs.join(a, "external").where("src <> id").select("src", F.col("id").alias("dst")).distinct(), refs.join(a, "external", "left_anti")
 
 
+def keyword_clusters(nodes: DataFrame, tags: DataFrame, least: int = 2) -> DataFrame:
+    """session, node, cluster: own papers of a shown graph that hang together by `least` or more keywords in common.
+
+    Rows nodes session, node, at (place in the graph), own; tags paper_id, name. Clusters of two or more are numbered from 1 in each session, in the order of
+    their first nodes; all other nodes have none. Pairs come from a paper's rarest keywords within its session (`overlap_pairs`)."""
+    from .joins import overlap_pairs
+
+    own = nodes.where("own").select(F.struct("session", "node").alias("key"), "session", "node", "at")
+    held = own.join(tags.select(F.col("paper_id").alias("node"), "name"), "node")
+    pairs = overlap_pairs(held.select(F.col("key").alias("paper_id"), F.struct("session", "name").alias("name")), least)
+    comp = components(own.select("key").distinct(), pairs.select("a", "b")).withColumnRenamed("node", "key")
+    sizes = own.join(comp, "key").groupBy("session", "comp").agg(F.count_distinct("key").alias("n"), F.min(F.struct("at", "node")).alias("first")).where("n > 1")
+    number = sizes.select("session", "comp", F.row_number().over(Window.partitionBy("session").orderBy("first")).alias("cluster"))
+    found = comp.join(number, "comp").select(F.col("key.session").alias("session"), F.col("key.node").alias("node"), "cluster")
+    return nodes.select("session", "node").distinct().join(found, ["session", "node"], "left").select("session", "node", "cluster")
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, comp (least node of the component; alone: itself), of edges a, b.
 

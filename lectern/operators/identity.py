@@ -168,3 +168,27 @@ def domain_verdicts(people: DataFrame, generic: int = 3) -> DataFrame:
     y = y.withColumn("verdict", verdict)
     confidence = F.when(F.col("verdict") == "promote", "domain_verified").when(F.col("verdict") == "revoke", "disputed").otherwise(F.col("confidence"))
     return y.select("rid", "domain", "verdict", confidence.alias("confidence"), F.when(F.col("verdict") != "revoke", F.col("email")).alias("email"))
+
+
+def merged_people(people: DataFrame, groups: DataFrame, most: int = 15) -> DataFrame:
+    """rid, name_eng, history, keywords, absorbed: one row for each group of people who are one.
+
+    Rows people rid, name_eng, history, keywords (arrays), corpus, papers; groups rid, comp. The person with most corpus papers, then most papers, then the least rid
+    stands for the group, keeps its English name and else takes the least of the others'; histories are united, keywords too, the first `most` by name. A person
+    alone stays as is. Values are made distinct before they are gathered, so a group's lists are no longer than its results."""
+    x = people.join(groups.select("rid", "comp"), "rid")
+    best = F.struct(-F.coalesce("corpus", F.lit(0)), -F.coalesce("papers", F.lit(0)), "rid")
+    head = x.groupBy("comp").agg(F.min_by(F.struct("rid", "name_eng", "history", "keywords"), best).alias("h"), F.min("name_eng").alias("other"), F.count("*").alias("n"))
+    held = lambda c: x.select("comp", F.explode(c).alias("v")).where("v IS NOT NULL").distinct()
+    united = lambda rows, name: rows.groupBy("comp").agg(F.array_sort(F.collect_list("v")).alias(name))
+    y = head.join(united(held("history"), "hs"), "comp", "left").join(united(top_per_group(held("keywords"), ["comp"], ["v"], most), "ks"), "comp", "left")
+    of = lambda whole, one: F.when(F.col("n") == 1, F.col("h")[one]).otherwise(F.coalesce(whole, F.array().cast("array<string>"))).alias(one)
+    return y.select(F.col("h.rid").alias("rid"), F.coalesce("h.name_eng", "other").alias("name_eng"), of("hs", "history"), of("ks", "keywords"), (F.col("n") - 1).alias("absorbed"))
+
+
+def pruned(promoted: DataFrame, external: DataFrame, corpus: DataFrame, least: int = 8) -> DataFrame:
+    """rid, papers, kept of people that were promoted (rows rid): kept are those with `least` or more external papers (rows rid, paper_id) or any corpus paper."""
+    count = lambda x, name: x.groupBy("rid").agg(F.count("*").alias(name))
+    x = promoted.select("rid").distinct().join(count(external, "papers"), "rid", "left").join(corpus.select("rid", F.lit(True).alias("ours")).distinct(), "rid", "left")
+    papers = F.coalesce("papers", F.lit(0))
+    return x.select("rid", papers.alias("papers"), ((papers >= least) | F.col("ours").isNotNull()).alias("kept"))

@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -108,8 +108,19 @@ def lowered_each(c: Column) -> Column:
     return F.when(plain, F.transform(c, F.lower)).otherwise(nfkc_lower_each(F.when(~plain, c)))
 
 
+def words_casefold_py(value: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", value).split()).casefold()
+
+
+@arrow("string")
+def nfkc_words_casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else words_casefold_py(v))
+
+
 def keyword_key(name: Column, lang: Column) -> Column:
-    return F.concat(lang, F.lit(":"), folded(F.regexp_replace(F.trim(name), r"\s+", " ")))
+    """`lang:name` with the name's width, white space and case made one; NFKC comes first, since it makes plain spaces of wide ones."""
+    plain = F.lower(F.trim(F.regexp_replace(name, r"[\x09-\x0D\x1C-\x20]+", " ")))
+    return F.concat(lang, F.lit(":"), F.when(name.rlike(_ASCII), plain).otherwise(nfkc_words_casefold(F.when(~name.rlike(_ASCII), name))))
 
 
 def display_key(name: Column) -> Column:
@@ -198,7 +209,7 @@ def by_language_py(value) -> tuple[list[str], list[str]]:
     def once(terms: list[str], lower: bool) -> list[str]:
         seen: dict[str, str] = {}
         for t in terms:
-            seen.setdefault(t.casefold(), t.lower() if lower else t)
+            seen.setdefault(t.casefold(), t.casefold() if lower else t)
         return list(seen.values())
 
     return once([c for x in ko if (c := clean_term_py(x))], False), once([c for x in en if (c := clean_term_py(x))], True)
@@ -210,6 +221,28 @@ def keywords_by_language(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"ko": [r[0] for r in rows], "en": [r[1] for r in rows]})
 
 
+def paper_keywords_py(first, second) -> tuple[list[str], list[str] | None, bool]:
+    ko: dict[str, str] = {}
+    en: dict[str, str] = {}
+    for field in (first, second):
+        for value in field if field is not None else ():
+            k, e = by_language_py(value)
+            for t in k:
+                ko.setdefault(t.casefold(), t)
+            for t in e:
+                en.setdefault(t, t)
+    now = list(ko.values()), list(en.values()) or None
+    was = tuple(None if f is None else list(f) for f in (first, second))
+    return *now, now != was
+
+
+@arrow("struct<ko:array<string>,en:array<string>,changed:boolean>")
+def paper_keywords(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """Both keyword fields of a paper (arrays; null: none) by language, each term once by case, English in lower case (null where there is
+    none), and whether that differs from what was there."""
+    return pd.DataFrame([paper_keywords_py(a, b) for a, b in zip(first, second)], columns=["ko", "en", "changed"])
+
+
 @arrow("struct<ko:array<string>,en:array<string>>")
 def language_runs(s: pd.Series) -> pd.DataFrame:
     rows = [language_runs_py(v or "") if v else ([], []) for v in s]
@@ -483,6 +516,39 @@ def assembled(sents: Column, hard: int = 220, most: int = 200) -> Column:
         F.struct(F.when(part["text"] == "", every).otherwise(part["text"]).alias("text"), F.lit(False).alias("complete")))
 
 
+def reason(sents: Column, hard: int = 220, most: int = 200, longest: int = 40) -> Column:
+    """struct text, start, end, complete of sentences with `**` around phrases: all of them up to `hard` characters, else the whole first ones
+    within `most`; where the first alone is longer, all of them, not complete. Markers do not count, and go (see `markers`)."""
+    size = lambda c: F.length(F.trim(F.replace(c, F.lit("**"), F.lit(""))))
+    every = F.array_join(sents, " ")
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+
+    def step(a, s):
+        longer = F.when(a["text"] == "", s).otherwise(F.concat_ws(" ", a["text"], s))
+        over = a["full"] | (size(longer) > most)
+        return F.struct(F.when(over, a["text"]).otherwise(longer).alias("text"), over.alias("full"))
+
+    fits, part = size(every) <= hard, F.aggregate(sents, start, step)["text"]
+    m = markers(F.when(fits | (part == ""), every).otherwise(part), longest)
+    return F.struct(m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), fits.alias("complete"))
+
+
+def best_reasons(candidates: DataFrame, policy: str = "center", low: int = 150, most: int = 200) -> DataFrame:
+    """The best candidate (rows id, at, text, complete and any more) of each id; what is complete comes first, the earliest wins a tie.
+
+    `center`: the one nearest to the middle of `low` and `most` characters. `under_max`: the longest of those within `most`, or the shortest
+    where none is. Candidates without text do not count; an id with no other has no row."""
+    n, cut = F.length("text"), ~F.col("complete")
+    if policy == "center":
+        key = F.struct(cut, F.abs(n - (low + most) // 2), "at")
+    elif policy == "under_max":
+        key = F.struct(n > most, cut, F.when(n <= most, -n).otherwise(n), "at")
+    else:
+        raise ValueError(f"policy {policy} is not known")
+    rest = [c for c in candidates.columns if c != "id"]
+    return candidates.where("text <> ''").groupBy("id").agg(F.min_by(F.struct(*rest), key).alias("best")).select("id", *[F.col("best")[c].alias(c) for c in rest])
+
+
 def noun_tokens(text: Column, stop: tuple = ("the", "and", "of"), least: int = 2) -> Column:
     """Fallback where no morphological analyser is given: letter tokens, stop-words out, longest first."""
     t = F.filter(F.transform(tokens(text), lambda x: F.regexp_replace(x, "[^0-9a-z가-힣]", "")), lambda x: (F.length(x) >= least) & ~x.isin(*stop))

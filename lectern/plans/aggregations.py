@@ -173,6 +173,15 @@ def agg20(spark, d):
     return r.where("coalesce(l, 0) >= 32 OR coalesce(e, 0) > 0").select("rid")
 
 
+@query("agg20_prune_promoted", oracle("researchers links ext_links papers", """WITH e AS (SELECT rid, count(*) AS papers FROM ext_links GROUP BY 1), c AS (SELECT DISTINCT rid FROM links JOIN papers ON id = paper_id WHERE db_code = 'CFKO')
+  SELECT r.rid, coalesce(papers, 0) AS papers, coalesce(papers, 0) >= 8 OR c.rid IS NOT NULL AS kept FROM researchers r LEFT JOIN e ON e.rid = r.rid LEFT JOIN c ON c.rid = r.rid"""))
+def agg20_promoted(spark, d):
+    from ..operators.identity import pruned
+
+    corpus = A.links(spark, d).join(A.papers(spark, d).where("db_code = 'CFKO'").select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+    return pruned(A.researchers(spark, d), A.links(spark, d, True), corpus)
+
+
 @query("agg21_candidate_indegree", oracle("cites papers", "SELECT dst, count(*) AS n FROM (SELECT dst % 3000 AS dst FROM cites) WHERE dst NOT IN (SELECT id FROM papers WHERE id % 2 = 0) GROUP BY 1"))
 def agg21(spark, d):
     corpus = A.papers(spark, d).where("id % 2 = 0").select(F.col("id").alias("dst"))
@@ -209,6 +218,21 @@ def agg26(spark, d):
     return A.links(spark, d).join(A.keywords(spark, d), "paper_id").groupBy("rid").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 15), "|").alias("keywords"))
 
 
+@query("agg26_merged_people", oracle("researchers links ext_links keywords", """WITH g AS (SELECT *, min(rid) OVER (PARTITION BY name, institution) AS comp, count(*) OVER (PARTITION BY name, institution) AS n, CASE WHEN rank > 25 THEN upper(name) || ' ' || rank END AS eng FROM researchers),
+  c AS (SELECT rid, count(*) AS corpus FROM links GROUP BY 1), e AS (SELECT rid, count(*) AS papers FROM ext_links GROUP BY 1), h AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY coalesce(corpus, 0) DESC, coalesce(papers, 0) DESC, rid) AS place, min(eng) OVER (PARTITION BY comp) AS other FROM g LEFT JOIN c USING (rid) LEFT JOIN e USING (rid)),
+  k AS (SELECT comp, string_agg(name, '|' ORDER BY name) FILTER (n = 1 OR rn <= 15) AS keywords FROM (SELECT g.comp, g.n, w.name, row_number() OVER (PARTITION BY g.comp ORDER BY w.name) AS rn FROM g JOIN links USING (rid) JOIN keywords w USING (paper_id) GROUP BY 1, 2, 3) GROUP BY 1),
+  t AS (SELECT comp, string_agg(DISTINCT dept, '|' ORDER BY dept) AS history FROM g GROUP BY 1) SELECT h.rid, coalesce(eng, other) AS name_eng, history, coalesce(keywords, '') AS keywords, n - 1 AS absorbed FROM h JOIN t USING (comp) LEFT JOIN k USING (comp) WHERE place = 1"""))
+def agg26_people(spark, d):
+    from ..operators.identity import merged_people
+
+    links, n = A.links(spark, d), lambda x, name: x.groupBy("rid").agg(F.count("*").alias(name))
+    tags = links.join(A.keywords(spark, d), "paper_id").groupBy("rid").agg(F.array_sort(F.collect_set("name")).alias("keywords"))
+    p = A.researchers(spark, d).join(n(links, "corpus"), "rid", "left").join(n(A.links(spark, d, True), "papers"), "rid", "left").join(tags, "rid", "left")
+    p = p.withColumns({"name_eng": F.when(F.col("rank") > 25, F.concat(F.upper("name"), F.lit(" "), F.col("rank"))), "history": F.array("dept")})
+    groups = A.researchers(spark, d).select("rid", F.min("rid").over(Window.partitionBy("name", "institution")).alias("comp"))
+    return merged_people(p, groups).select("rid", "name_eng", F.array_join("history", "|").alias("history"), F.coalesce(F.array_join("keywords", "|"), F.lit("")).alias("keywords"), "absorbed")
+
+
 _TOK = "list_filter(string_split_regex(lower(text), '[ \\n\\t\\r]+'), lambda x: x <> '')"
 
 

@@ -24,6 +24,16 @@ def grf01(spark, d):
     return G.components(l.select("rid").distinct(), e)
 
 
+@query("grf01_keyword_clusters", _rec("papers keywords", f"""WITH n AS (SELECT author AS session, id AS node, row_number() OVER (PARTITION BY author ORDER BY pubyear DESC NULLS LAST, id) AS place, db_code <> 'CFKO' AS own FROM papers),
+  edges AS (SELECT x.node AS a, y.node AS b FROM n x JOIN keywords k ON k.paper_id = x.node JOIN n y ON y.session = x.session AND y.node > x.node JOIN keywords l ON l.paper_id = y.node AND l.name = k.name WHERE x.own AND y.own GROUP BY 1, 2 HAVING count(*) >= 2),
+  nodes AS (SELECT node FROM n WHERE own), {_COMP}, c AS (SELECT a AS node, min(b) AS comp FROM reach GROUP BY 1), z AS (SELECT session, comp, row_number() OVER (PARTITION BY session ORDER BY min(place)) AS cluster FROM c JOIN n USING (node) GROUP BY 1, 2 HAVING count(*) > 1)
+  SELECT n.session, n.node, z.cluster FROM n LEFT JOIN c ON c.node = n.node LEFT JOIN z ON z.comp = c.comp"""))
+def grf01_clusters(spark, d):
+    w = Window.partitionBy("author").orderBy(F.col("pubyear").desc_nulls_last(), "id")
+    n = A.papers(spark, d).select(F.col("author").alias("session"), F.col("id").alias("node"), F.row_number().over(w).alias("at"), (F.col("db_code") != "CFKO").alias("own"))
+    return G.keyword_clusters(n, A.keywords(spark, d))
+
+
 _DUP = "pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM l a JOIN l b ON a.paper_id = b.paper_id AND a.name = b.name AND a.rid < b.rid GROUP BY 1, 2)"
 
 

@@ -131,6 +131,46 @@ def jon16(spark, d):
     return papers_by_keyword(A.papers(spark, d), A.keywords(spark, d), "blue bolt", 20, 5)
 
 
+def _star(spark, d):
+    p = A.papers(spark, d).select("id", "title", F.lit(None).cast("string").alias("title_en"), F.col("journal_name").alias("journal"), F.col("pubyear").alias("year"))
+    a = A.links(spark, d).join(A.researchers(spark, d).select("rid", "name"), "rid").select("paper_id", "name", "author_order")
+    return p, A.keywords(spark, d), a
+
+
+#: The rows around each paper, in SQL.
+_STAR = """k AS (SELECT paper_id AS center, 'keyword:' || lang || ':' || name AS id, 'Keyword' AS label, name, lang, CAST(NULL AS INT) AS author_order, row_number() OVER (PARTITION BY paper_id ORDER BY lang, name) AS rn FROM keywords),
+  s AS (SELECT center, id, label, name, lang, author_order FROM k WHERE rn <= 3 UNION ALL SELECT paper_id, 'author:' || name, 'Author', name, NULL, CAST(author_order AS INT) FROM links JOIN researchers USING (rid)
+    UNION ALL SELECT id, 'journal:' || journal_name, 'Journal', journal_name, NULL, NULL FROM papers UNION ALL SELECT id, 'year:' || pubyear, 'Year', CAST(pubyear AS VARCHAR), NULL, NULL FROM papers WHERE pubyear IS NOT NULL)"""
+
+
+@query("jon15_star_nodes", oracle("keywords papers links researchers", f"WITH {_STAR} SELECT id AS center, 'paper:' || id AS id, 'Paper' AS label, title AS name, true AS is_center FROM papers UNION ALL SELECT DISTINCT center, id, label, name, false FROM s"))
+def jon15_nodes(spark, d):
+    from ..operators.graphs import star_nodes
+
+    return star_nodes(*_star(spark, d), 3)
+
+
+@query("jon15_star_edges", oracle("keywords papers links researchers", f"""WITH {_STAR} SELECT center, CASE WHEN label = 'Author' THEN id ELSE 'paper:' || center END AS source, CASE WHEN label = 'Author' THEN 'paper:' || center ELSE id END AS target,
+  CASE label WHEN 'Keyword' THEN 'HAS_KEYWORD' WHEN 'Author' THEN 'AUTHORED' WHEN 'Journal' THEN 'PUBLISHED_IN' ELSE 'PUBLISHED_IN_YEAR' END AS type, lang, author_order FROM s"""))
+def jon15_edges(spark, d):
+    from ..operators.graphs import star_edges
+
+    return star_edges(*_star(spark, d), 3)
+
+
+@query("jon16_keyword_page", oracle("keywords papers links researchers", """WITH h AS (SELECT id, title, pubyear FROM papers WHERE id IN (SELECT paper_id FROM keywords WHERE name = 'blue bolt' AND lang = (SELECT min(lang) FROM keywords WHERE name = 'blue bolt'))),
+  p AS (SELECT *, row_number() OVER (ORDER BY coalesce(pubyear, 0) DESC, title, id) AS place, count(*) OVER () AS total FROM h), a AS (SELECT paper_id AS id, string_agg(name, '|' ORDER BY author_order, name) AS authors FROM links JOIN researchers USING (rid) GROUP BY 1),
+  k AS (SELECT paper_id AS id, string_agg(name, '|' ORDER BY lang, name) AS keywords, string_agg(lang || ':' || name, '|' ORDER BY lang, name) AS keyword_keys FROM keywords GROUP BY 1)
+  SELECT place, id, title, pubyear, coalesce(authors, '') AS authors, keywords, keyword_keys, total FROM p LEFT JOIN a USING (id) LEFT JOIN k USING (id) WHERE place BETWEEN 6 AND 25"""))
+def jon16_page(spark, d):
+    from ..operators.graphs import keyword_page
+
+    p, k, a = _star(spark, d)
+    key = k.where("name = 'blue bolt'").agg(F.min("lang").alias("lang")).first()["lang"]
+    x = keyword_page(A.papers(spark, d).select("id", "title", "pubyear"), k, a, f"{key}:blue bolt", 20, 5)
+    return x.select("place", "id", "title", "pubyear", *[F.array_join(c, "|").alias(c) for c in ("authors", "keywords", "keyword_keys")], "total")
+
+
 @query("jon17_doi_join", oracle("papers", """WITH a AS (SELECT id, CASE id % 5 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'http://dx.doi.org/' WHEN 2 THEN 'HTTPS://DOI.ORG/' WHEN 3 THEN 'http://doi.org/' ELSE '' END || '10.5/P' || id AS doi FROM papers)
   SELECT a.id, b.id AS match FROM a JOIN (SELECT id, '10.5/p' || id AS bare FROM papers WHERE id % 2 = 0) b ON lower(regexp_replace(a.doi, '(?i)^https?://(dx\\.)?doi\\.org/', '')) = b.bare""".replace("\\\\", "\\")))
 def jon17(spark, d):

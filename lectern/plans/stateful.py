@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..adapters import oracle
 from ..functions.register import register
 from ..operators.dates import local_day
 from ..streaming import state as S
@@ -63,6 +64,13 @@ def stm07(spark, d):
     return S.daily_budget(A.read(spark, d, "events"), local_day(F.col("ts")), ["ts", "event_id"], 100).select("event_id", "day", "n", "allowed")
 
 
+@query("udf01_sql_functions", oracle("papers", """SELECT id, '10.' || id || '/a' AS doi, pubyear AS year, CASE WHEN id >= 10000000 AND id < 100000000 THEN substr(CAST(id AS VARCHAR), 1, 4) || '-' || substr(CAST(id AS VARCHAR), 5, 4) END AS issn, 'en:' || lower(title) AS key, len(string_split(title, ' ')) AS words FROM papers"""))
+def udf01_sql(spark, d):
+    register(spark)
+    return spark.sql("""SELECT id, bare_doi(' HTTPS://doi.org/10.' || id || '/a ') AS doi, first_year(pubdate_of) AS year, hyphenated_issn(CAST(id AS STRING)) AS issn, keyword_key('  ' || title || ' ', 'en') AS key, size(lexical_tokens(title)) AS words
+      FROM (SELECT *, 'c' || pubyear AS pubdate_of FROM {papers})""", papers=A.papers(spark, d))
+
+
 @query("udf01_registered_functions")
 def udf01(spark, d):
     register(spark)

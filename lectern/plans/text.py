@@ -58,6 +58,18 @@ def str07(spark, d):
     return _words(spark, d).where(F.col("w").rlike("^[\\x21-\\x7E]+$")).select("w", X.keyword_key(F.col("w"), F.lit("en")).alias("key"))
 
 
+@query("str07_keyword_key_whole")
+def str07_whole(spark, d):
+    return _words(spark, d).select("w", X.keyword_key(F.col("w"), F.when(F.col("w").rlike(X.HANGUL), "ko").otherwise("en")).alias("key"))
+
+
+@query("str06_paper_keywords", oracle("papers", """SELECT id, coalesce(degree, '') AS ko, lower(title || '|' || journal_name || '|' || db_code) AS en, true AS changed FROM papers"""))
+def str06_papers(spark, d):
+    first = F.array(F.concat_ws(" / ", "degree", "title"), F.upper("title"))
+    second = F.array(F.concat(F.col("journal_name"), F.lit("; "), F.col("title"), F.lit(" . "), F.col("db_code")))
+    return A.papers(spark, d).select("id", X.paper_keywords(first, second).alias("r")).select("id", F.array_join("r.ko", "|").alias("ko"), F.array_join("r.en", "|").alias("en"), "r.changed")
+
+
 @query("str08_display_key", oracle("keywords", "SELECT DISTINCT name, replace(lower(name), ' ', '') AS key FROM keywords"))
 def str08(spark, d):
     return A.keywords(spark, d).select("name").distinct().select("name", X.display_key(F.col("name")).alias("key"))
@@ -95,6 +107,11 @@ def str13(spark, d):
     return A.read(spark, d, "pages").select("page_id", F.length(X.repaired("html")).alias("n"))
 
 
+@query("str13_repaired_text")
+def str13_text(spark, d):
+    return A.read(spark, d, "pages").select("page_id", X.repaired("html").alias("text"))
+
+
 @query("str14_parse_fields", oracle("papers", """WITH r AS (SELECT id, CASE WHEN id % 2 = 0 THEN db_code || '; x ;' ELSE 'a. b.' END AS kw, title || '.' AS kw2, CASE WHEN id % 3 = 0 THEN 'https://doi.org/1' ELSE '10.1/1' END AS doi, CASE WHEN id % 5 = 0 THEN 'n/a' ELSE CAST(pubyear AS VARCHAR) END AS y FROM papers)
   SELECT id, array_to_string(list_filter(list_transform(CASE WHEN contains(kw, ';') THEN string_split(kw, ';') ELSE string_split(kw, '.') END, lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords, array_to_string(list_filter(list_transform(string_split(kw2, '.'), lambda x: trim(x)), lambda x: x <> ''), '|') AS keywords2,
   CASE WHEN regexp_matches(doi, '^https?://') THEN doi END AS doi, TRY_CAST(y AS INT) AS year FROM r"""))
@@ -312,6 +329,27 @@ def str29(spark, d):
     return A.docs(spark, d).select("doc_id", X.assembled(X.sentences(F.col("text"))).alias("a")).select("doc_id", F.length("a.text").alias("n"), "a.complete")
 
 
+_REASONS = r"""p AS (SELECT doc_id, lang, source, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \n\t\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+  q AS (SELECT *, trim(replace(array_to_string(s, ' '), '**', '')) AS whole, len(list_filter(range(1, len(s) + 1), lambda i: length(trim(replace(array_to_string(s[1:i], ' '), '**', ''))) <= 200)) AS n FROM p),
+  c AS (SELECT doc_id, lang, source, CASE WHEN length(whole) <= 220 OR n = 0 THEN whole ELSE trim(replace(array_to_string(s[1:n], ' '), '**', '')) END AS text, length(whole) <= 220 AS complete FROM q)"""
+
+
+def _reasons(spark, d):
+    """Each document as a candidate for its language and source."""
+    x = A.docs(spark, d).where("text IS NOT NULL").select(F.concat_ws("/", "lang", "source").alias("id"), F.col("doc_id").alias("at"), X.sentences(F.col("text")).alias("s"))
+    return x.select("id", "at", X.reason(F.col("s")).alias("r")).select("id", "at", "r.text", "r.complete")
+
+
+@query("str29_best_center", f'''WITH {_REASONS} SELECT id, "at", text, complete FROM (SELECT concat_ws('/', lang, source) AS id, doc_id AS "at", text, complete, row_number() OVER (PARTITION BY concat_ws('/', lang, source) ORDER BY complete DESC, abs(length(text) - 175), doc_id) AS rn FROM c WHERE text <> '') WHERE rn = 1''')
+def str29_center(spark, d):
+    return X.best_reasons(_reasons(spark, d))
+
+
+@query("str29_best_under_max", f'''WITH {_REASONS} SELECT id, "at", text, complete FROM (SELECT concat_ws('/', lang, source) AS id, doc_id AS "at", text, complete, row_number() OVER (PARTITION BY concat_ws('/', lang, source) ORDER BY length(text) > 200, complete DESC, CASE WHEN length(text) <= 200 THEN -length(text) ELSE length(text) END, doc_id) AS rn FROM c WHERE text <> '') WHERE rn = 1''')
+def str29_under(spark, d):
+    return X.best_reasons(_reasons(spark, d), "under_max")
+
+
 # Arrays
 
 
