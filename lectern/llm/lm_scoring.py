@@ -358,7 +358,8 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                      pa.array(rare, pa.list_(pa.binary())), pa.array(seq, pa.binary())],
                     names=["id", "fit", "n", "known", "logc", "mass", "rare", "cls"])
 
-    rows = small_batches(docs.select("id", "t", "fit")).mapInArrow(run, "id long, fit boolean, n long, known long, logc double, mass double, rare array<binary>, cls binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = small_batches(docs.select("id", "t", "fit")).mapInArrow(run, f"id {kind}, fit boolean, n long, known long, logc double, mass double, rare array<binary>, cls binary")
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
@@ -414,7 +415,8 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, p: Parameter
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ll[at : at + b.num_rows])], names=[*b.schema.names[:6], "ll"])
                 at += b.num_rows
 
-    part = encoded.select("row", "id", "n", "known", "logc", "mass", "cls").mapInArrow(run, "row long, id long, n long, known long, logc double, mass double, ll double")
+    kind = encoded.schema["id"].dataType.simpleString()
+    part = encoded.select("row", "id", "n", "known", "logc", "mass", "cls").mapInArrow(run, f"row long, id {kind}, n long, known long, logc double, mass double, ll double")
     words = encoded.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
     c = F.coalesce("c", F.lit(0))
     more = words.join(counts, "word", "left").groupBy("row").agg(

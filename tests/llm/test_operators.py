@@ -470,6 +470,12 @@ def test_base_scores(spark, edge):
         assert g["score"] < 0
 
 
+def test_ids_of_another_type(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda d: {tuple(r) for r in H.op6_lm_scoring(spark, d).select(F.col("doc_id").cast("string"), "held_out", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()}
+    assert rows(str(tmp_path)) == rows(small)
+
+
 def test_rare_words_take_the_join(spark, small, monkeypatch):
     one = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in H.op6_lm_scoring(spark, small).collect()}
     monkeypatch.setattr(H, "COMMON", 50)
