@@ -472,8 +472,10 @@ def test_base_scores(spark, edge):
 
 def test_ids_of_another_type(spark, small, tmp_path):
     spark.read.parquet(f"{small}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = lambda d: {tuple(r) for r in H.op6_lm_scoring(spark, d).select(F.col("doc_id").cast("string"), "held_out", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()}
-    assert rows(str(tmp_path)) == rows(small)
+    one, two = ({str(r["doc_id"]): r for r in H.op6_lm_scoring(spark, d).collect()} for d in (small, str(tmp_path)))
+    assert one.keys() == two.keys() and all(one[i][1:6] == two[i][1:6] for i in one)
+    # Another file layout groups the sums of a model's expected counts otherwise.
+    assert all(one[i]["score"] == pytest.approx(two[i]["score"], rel=1e-5) for i in one)
 
 
 def test_rare_words_take_the_join(spark, small, monkeypatch):
