@@ -19,6 +19,7 @@ def keyword_cascade(keys: DataFrame, query: str, synonyms: tuple[str, ...] = (),
 #: Words of one meaning that a search may put in each other's place; the least similarity of a keyword's vector.
 SYNONYMS = {"게놈": ("유전체",), "유전체": ("게놈",)}
 LEAST_SIMILARITY = 0.65
+#: The characters that a search takes out of its query.
 _RESERVED = r"""[+\-!(){}\[\]^"~*?:\\/&|]"""
 
 

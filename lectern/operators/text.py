@@ -34,7 +34,7 @@ LOWERED = dict(zip("0123456789+-=()aeox", "₀₁₂₃₄₅₆₇₈₉₊₋
 #: Tails that mark a sentence, the longest keyword.
 SENTENCE_TAILS = ("하였다", "되었다", "있다", "한다", "이다", "였다", "합니다")
 KEYWORD_MAX = 60
-#: Separators of terms in a keyword field; tags that are known.
+#: Separators of terms in a keyword field.
 SEPARATORS = r"\s+[.·|]\s+|\s*/\s+|\s+/\s*|;\s*|,\s+"
 
 
@@ -138,22 +138,22 @@ def split_terms(s: pd.Series) -> pd.Series:
     return s.map(split_terms_py)
 
 
+#: A token is neutral if its letters and digits are few, an acronym, a number with a unit, or a formula.
+NEUTRAL = (r"^.{0,3}$", r"^(?=.*[A-Z])[A-Z0-9]{1,8}$", r"^[0-9]+[A-Za-z]+$", r"^([A-Z][a-z]?[0-9]*){1,4}$")
+
+
 def token_language(t: Column) -> Column:
     """ko, en, or neutral for short codes, acronyms and formulas."""
     body = F.regexp_replace(t, "[^A-Za-z0-9]", "")
-    neutral = ((F.length(body) <= 3) | (body.rlike("[A-Z]") & ~body.rlike("[a-z]") & (F.length(body) <= 8)) | body.rlike("^[0-9]+[A-Za-z]+$") | body.rlike("^([A-Z][a-z]?[0-9]*){1,4}$"))
+    neutral = body.rlike("|".join(NEUTRAL))
     return F.when(t.rlike(HANGUL), "ko").when(t.rlike("[A-Za-z]"), F.when(neutral, "neutral").otherwise("en")).otherwise("neutral")
 
 
-#: What makes a token neutral, as token_language has it: its letters and digits are few, an acronym, a number with a unit, or a formula.
-_NEUTRAL = re.compile(r".{0,3}|(?=.*[A-Z])[A-Z0-9]{1,8}|[0-9]+[A-Za-z]+|([A-Z][a-z]?[0-9]*){1,4}")
-
-
 def _kind(token: str) -> str:
     if re.search(HANGUL, token):
         return "ko"
     latin = re.search("[A-Za-z]", token)
-    return "en" if latin and not _NEUTRAL.fullmatch(re.sub("[^A-Za-z0-9]", "", token)) else "neutral"
+    return "en" if latin and not re.search("|".join(NEUTRAL), re.sub("[^A-Za-z0-9]", "", token)) else "neutral"
 
 
 def language_runs_py(value: str) -> tuple[list[str], list[str]]:
@@ -456,6 +456,7 @@ def department_from(raw: Column) -> Column:
 # Markup, markers
 
 
+#: The tags that are known.
 _KNOWN = "TEX|SUP|SUB|B|I|P"
 #: A pair of known tags with no known tag inside.
 _INNERMOST = re.compile(rf"<({_KNOWN})\b[^>]*>((?:(?!</?(?:{_KNOWN})\b).)*)</\1>", re.I | re.S)
