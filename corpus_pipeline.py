@@ -7,7 +7,9 @@ rows for an empty table, and rereads its input, so that a lost executor costs a
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate as d
@@ -15,7 +17,8 @@ from lectern.llm import language_id as l
 from lectern.llm import mixing as m
 from lectern.llm import near_dedup as n
 from lectern.llm import secret_scan as s
-from lectern.llm.common import cleanup, col, free_name, stage, table, written
+from lectern.llm.common import cleanup, col, free_name, small_batches, stage, table, written
+from lectern.llm.hashing import Bitmap
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -30,6 +33,24 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.select(*[n_chars.alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
+def _may_hold(ids: DataFrame) -> Column:
+    """Whether doc_id may be in ids (one column, written), by a bitmap of bounded size: rows that it rules out need no join, so their
+    texts are not shuffled. Only a hash of the id passes through Python."""
+    held = ids.sparkSession.sparkContext.broadcast(Bitmap(ids.select(F.xxhash64(ids.columns[0]).alias("h")), "h"))
+
+    @F.arrow_udf("boolean")
+    def holds(h: pa.Array) -> pa.Array:
+        return pa.array(held.value.holds(h.to_numpy().view(np.uint64)))
+
+    return holds(F.xxhash64("doc_id"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in ids (one column, written)."""
+    may = _may_hold(ids)
+    return docs.where(~may).union(docs.where(may).join(ids, F.col("doc_id") == F.col(ids.columns[0]), "left_anti"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier, fitted on a bounded sample of the labelled ones, does not reject.
 
@@ -45,20 +66,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where rows share an id or have none, they are decided by id and text: of a group's rows with the least id (or, if none of
     the group has an id, of all its rows) the one whose digest is least stays; of rows equal in id and words any one. A text that is null
     or without words is in no group; its row stays, once for each id and text. Very long texts take part with all their shingles."""
+    since, docs = written(), small_batches(docs)
     found = stage(n.dedup(docs))
-    gone = found.where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("__gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    cleanup(spark, since=since, keep=1)
+    out = _without(docs, stage(found.where("NOT kept AND id IS NOT NULL").select(F.col("id").alias("__gone")).distinct()))
     again = stage(found.groupBy("id").count().where("count > 1 OR id IS NULL").select(F.col("id").alias("__again")))
     if again.isEmpty():
         return out
-    same = F.col("doc_id") == F.col("__again")
-    some, cls = n.with_class(docs.join(again, same, "left_semi").union(docs.where("doc_id IS NULL")))
+    some = docs.where(_may_hold(again)).join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    some, cls = n.with_class(some.union(docs.where("doc_id IS NULL")))
     blank = free_name(some, "blank")
     some = some.withColumn(blank, F.when(F.col(cls).isNull(), F.col("text")))
     some = stage(some.dropDuplicates(["doc_id", cls, blank]))
     first = found.where("kept AND cls IS NOT NULL").groupBy("comp").agg(F.min("cls").alias("__first"), F.first("id").alias("__id"))
     some = some.join(first, (F.col(cls) == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").union(some.where(F.col(cls).isNull()))
-    return out.where("doc_id IS NOT NULL").join(again, same, "left_anti").union(_like(docs, some))
+    return _without(out.where("doc_id IS NOT NULL"), again).union(_like(docs, some))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as P
+from lectern.llm import common
 from lectern.llm.common import stage
 from tests.llm.test_operators import ALNUM, SPACE, _near, _secrets, _targets, low
 
@@ -43,6 +44,28 @@ def test_repeated_and_missing_ids_are_decided_by_text(spark):
     assert got == sorted([(7, "w1x"), (3, "w2x"), (None, "w3x"), (9, "w4x"), (8, "w5x"), (None, ""), (20, ""), (30, "w6x")], key=repr)
 
 
+def _shuffled(plan) -> int:
+    """Rows that the exchanges of an executed plan have written."""
+    name = plan.nodeName()
+    kids = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(map(_shuffled, kids))
+
+
+def test_dropping_copies_shuffles_few_texts_and_leaves_few_tables(spark):
+    rows = [(i, " ".join(f"w{i if i % 50 else 0}x{j}" for j in range(30)), "en", "s", 1) for i in range(400)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    before, most = common.written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.near_dedup(spark, docs, "")
+        assert common.written() - before <= 3
+        assert {r["doc_id"] for r in out.collect()} == {i for i in range(400) if i % 50 or not i}
+        assert _shuffled(out._jdf.queryExecution().executedPlan()) < 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_no_benchmark_passage_stays(spark, small, steps):
     items = [(str(r[0]), ALNUM.findall(low(r[1]))) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
     by_first: dict = {}
