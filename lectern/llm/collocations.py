@@ -6,6 +6,7 @@ n-gram in it, so an n-gram of LEAST or more has LEAST or more in all its cells,
 which decides the same.) Sketches are as wide as the corpus has words, and lie spread over the tasks; what map tasks get of one is a bitmap of its
 full cells of at most 2**BITS bits a row, folded if the sketch is wider. This goes by order: words and pairs first; then runs of
 three and four words all of whose pairs survive. Second pass: survivors alone are counted exactly, by their words, and those of less than LEAST go.
+A frequent phrase makes a row in nearly every task of that pass, so small input splits are brought together there (TASK_BYTES).
 
 In a corpus so large that most of a bitmap is set, more n-grams survive than need be: the second pass then costs what a plain
 aggregation costs, and the result is the same.
@@ -35,6 +36,10 @@ LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 ROWS, BITS = 2, 26
 #: Entries that a map task gathers before it emits cells.
 GATHER = 4_000_000
+#: A map task of the second pass takes about so many bytes of text, as long as each core has TASKS of them.
+TASK_BYTES, TASKS = 96 << 20, 2
+#: It adds up its rows when it has more than HELD, and hands them on when more than KEPT are left.
+HELD, KEPT = 900_000, 750_000
 _U = np.uint64
 _BREAK = bytes_in((0x0A, 0x0D)) | np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _WORD = ~(_BREAK | bytes_in((0x20, 0x20), (0x09, 0x09)))
@@ -129,6 +134,7 @@ def _sliced(batches):
             p = Pieces(starts, data)
             if len(p.words):
                 yield by_text[p.words.text + first], langs, p, first
+            p = None
 
 
 def _alive(p: Pieces, tags: np.ndarray, filters: list[Survivors], longest: int) -> dict[int, np.ndarray]:
@@ -203,31 +209,37 @@ def _exact(docs: DataFrame, filters: list[Survivors], longest: int) -> DataFrame
     """lang, phrase, size, c: exact counts of what survives, added up in tasks; phrase '' of size 0 has a language's number of words."""
     told = docs.sparkSession.sparkContext.broadcast(filters)
 
+    def counted(tags, langs, p, first):
+        code, names = p.words.encoded()
+        name = {k: i for i, k in enumerate(dict.fromkeys(langs))}
+        lang = np.array([name[k] for k in langs], np.int64)[p.words.text + first]
+        known = pa.array(list(name))
+        n = np.bincount(lang, minlength=len(name))
+        some = np.flatnonzero(n)
+        yield _table(known.take(pa.array(some)), pa.array([""] * len(some)), 0, n[some])
+        alive = _alive(p, tags, told.value, longest)
+        # Codes of runs: exact numbers for (code of the run without its last word, last word), not hashes.
+        run_code, base = lang, len(names)
+        for k in range(1, longest + 1):
+            at = np.flatnonzero(alive[k][1])
+            if not len(at):
+                break
+            key = run_code[at] * base + code[at + k - 1]
+            _, example, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            run_code = np.full(len(code), -1, np.int64)
+            run_code[at] = inverse
+            where = at[example]
+            parts = [names.take(pa.array(code[where + j])) for j in range(k)]
+            phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0]
+            yield _table(known.take(pa.array(lang[where])), phrase.cast(pa.string()), k, count)
+
     def run(batches):
-        tally = Tally(["lang", "phrase", "size"], ["c"])
-        for tags, langs, p, first in _sliced(batches):
-            code, names = p.words.encoded()
-            name = {k: i for i, k in enumerate(dict.fromkeys(langs))}
-            lang = np.array([name[k] for k in langs], np.int64)[p.words.text + first]
-            known = pa.array(list(name))
-            n = np.bincount(lang, minlength=len(name))
-            some = np.flatnonzero(n)
-            yield from tally.add(_table(known.take(pa.array(some)), pa.array([""] * len(some)), 0, n[some]))
-            alive = _alive(p, tags, told.value, longest)
-            # Codes of runs: exact numbers for (code of the run without its last word, last word), not hashes.
-            run_code, base = lang, len(names)
-            for k in range(1, longest + 1):
-                at = np.flatnonzero(alive[k][1])
-                if not len(at):
-                    break
-                key = run_code[at] * base + code[at + k - 1]
-                _, example, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                run_code = np.full(len(code), -1, np.int64)
-                run_code[at] = inverse
-                where = at[example]
-                parts = [names.take(pa.array(code[where + j])) for j in range(k)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0]
-                yield from tally.add(_table(known.take(pa.array(lang[where])), phrase.cast(pa.string()), k, count))
+        tally = Tally(["lang", "phrase", "size"], ["c"], HELD, KEPT)
+        for piece in _sliced(batches):
+            for t in counted(*piece):
+                yield from tally.add(t)
+            piece = t = None  # the next slice is read without this one in memory
+            pa.default_memory_pool().release_unused()
         yield from tally.rest()
 
     got = small_batches(docs).mapInArrow(run, "lang string, phrase string, size int, c long")
@@ -245,7 +257,8 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     filters = [sketched(d, Sketch(size // 5, rows, bits), [], least, longest)]
     if longest > 2:
         filters.append(sketched(d, Sketch(size // 5, rows, bits), list(filters), least, longest))
-    return _exact(d, filters, longest).where((F.col("c") >= least) | (F.col("size") == 0))
+    tasks = max(TASKS * d.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return _exact(d.coalesce(tasks), filters, longest).where((F.col("c") >= least) | (F.col("size") == 0))
 
 
 def _wide(c: str):

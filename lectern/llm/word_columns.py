@@ -108,17 +108,18 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Tally:
-    """Sums by key of a task's slices, kept as Arrow tables and handed on when they pass a bound."""
+    """Sums by key of a task's slices, kept as Arrow tables: added up when they have more than `most` rows, and handed on when more than
+    `keep` (half of them) are left then."""
 
-    def __init__(self, keys: list[str], sums: list[str], most: int = 1_500_000):
-        self.keys, self.sums, self.most, self.held, self.n = keys, sums, most, [], 0
+    def __init__(self, keys: list[str], sums: list[str], most: int = 1_500_000, keep: int | None = None):
+        self.keys, self.sums, self.most, self.keep, self.held, self.n = keys, sums, most, most // 2 if keep is None else keep, [], 0
 
     def add(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
         self.held.append(t)
         self.n += t.num_rows
         if self.n > self.most:
             self._fold()
-            if 2 * self.n > self.most:
+            if self.n > self.keep:
                 yield from self.rest()
 
     def _fold(self) -> None:

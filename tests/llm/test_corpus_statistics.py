@@ -226,6 +226,24 @@ def test_sketches_of_any_width_lose_nothing(spark, edge, rows, bits):
     assert {(r["lang"], r["phrase"], r["size"]): r["c"] for r in got} == want and len(got) == len(want) > 100
 
 
+def test_small_splits_are_counted_together(spark, monkeypatch):
+    def made(plan) -> int:
+        name = plan.nodeName()
+        if name == "MapInArrow":
+            return plan.metrics().apply("pythonNumRowsReceived").value()
+        kids = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(map(made, kids))
+
+    most = K.TASKS * spark.sparkContext.defaultParallelism
+    docs = spark.createDataFrame([("one two three four", "en")] * (8 * most), "text string, lang string").repartition(4 * most)
+    want = {("one two three four"[a:b], 8 * most) for a, b in ((0, 3), (4, 7), (8, 13), (14, 18), (0, 7), (4, 13), (8, 18), (0, 13), (4, 18), (0, 18))} | {("", 32 * most)}
+    for bytes_, tasks in ((K.TASK_BYTES, most), (18 * 8 // 3, 3 * most)):
+        monkeypatch.setattr(K, "TASK_BYTES", bytes_)
+        counts = K.frequent(docs, least=5)
+        assert {(r["phrase"], r["c"]) for r in counts.collect()} == want
+        assert made(counts._jdf.queryExecution().executedPlan()) == tasks * len(want)
+
+
 def test_full_cells_are_found_again():
     keys = np.random.default_rng(2).integers(1, 1 << 62, 5000).astype(np.uint64)
     for words, bits in ((10**5, 26), (10**5, 12), (10**9, 20)):
