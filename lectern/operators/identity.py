@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .graphs import components
 from .windows import top_per_group
 
@@ -38,23 +39,27 @@ def choose_candidates(people: DataFrame, links: DataFrame, candidates: DataFrame
     return x.select("rid", "cand", F.when(confidence.isNull(), "ambiguous").otherwise("matched").alias("status"), confidence.alias("confidence"))
 
 
+def _holders(people: DataFrame, links: DataFrame, twice: DataFrame | None = None) -> DataFrame:
+    """People of a name with their papers, of which those that list the name twice are flagged."""
+    p = people.select("rid", "name")
+    if twice is None:
+        return blocks.members(p, links.select("rid", "paper_id"), "name", "paper_id")
+    l = links.select("rid", "paper_id").join(p, "rid").join(twice.select("paper_id", "name").distinct().withColumn("bad", F.lit(True)), ["paper_id", "name"], "left")  # noqa: E741
+    return blocks.members(p, l.select("rid", "paper_id", F.coalesce("bad", F.lit(False)).alias("bad")), "name", "paper_id", "bad")
+
+
 def shared_papers(people: DataFrame, links: DataFrame) -> DataFrame:
     """a < b of one name with how many papers they share."""
-    l = links.join(people.select("rid", "name"), "rid")  # noqa: E741
-    r = l.select(F.col("rid").alias("b"), "name", "paper_id")
-    return l.select(F.col("rid").alias("a"), "name", "paper_id").join(r, ["name", "paper_id"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return blocks.pairs(_holders(people, links), 1)
 
 
 def duplicate_groups(people: DataFrame, links: DataFrame, least: int, twice: DataFrame | None = None) -> DataFrame:
     """rid, canonical: components of same-name pairs with `least` shared papers, unless in half of them the name appears twice.
 
     twice: rows paper_id, name of papers that list the name twice."""
-    pairs = shared_papers(people, links).where(F.col("shared") >= least)
-    if twice is not None:
-        l = links.join(people.select("rid", "name"), "rid").join(twice, ["paper_id", "name"], "left_semi").select("rid", "paper_id")  # noqa: E741
-        bad = l.toDF("a", "paper_id").join(l.toDF("b", "paper_id"), "paper_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("bad"))
-        pairs = pairs.join(bad, ["a", "b"], "left").where(F.coalesce("bad", F.lit(0)) * 2 < F.col("shared"))
-    return components(people.select("rid"), pairs.select("a", "b")).toDF("rid", "canonical")
+    known = twice is not None
+    linked = lambda n, bad, *_: (n >= least) & (bad * 2 < n) if known else n >= least
+    return components(people.select("rid"), blocks.forest(_holders(people, links, twice), linked, flagged=known)).toDF("rid", "canonical")
 
 
 def same_name_merge(people: DataFrame, edges: DataFrame, least: int, cross_script: int | None = None, institution: str = "institution") -> DataFrame:
