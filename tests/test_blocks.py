@@ -71,3 +71,23 @@ def test_a_crowded_name_sends_no_pairs_to_the_components(spark, monkeypatch):
     who, links = [(f"r{i:03d}", "n") for i in range(300)], [(f"r{i:03d}", p) for i in range(300) for p in range(4)]
     got, edges = _edges(monkeypatch, lambda: I.duplicate_groups(*_frames(spark, who, links), 4))
     assert set(got.values()) == {"r000"} and edges < 300
+
+
+def test_groups_without_papers_that_list_the_name_twice(spark, small, monkeypatch):
+    who, links = _world(random.Random(3), 90, 3, 30)
+    twice = [(p, f"n{p % 3}") for p in range(30)] + [(0, "n0")]
+    bad = lambda a, v: sum((p, dict(who)[a]) in twice for p in v)
+    got, _ = _edges(monkeypatch, lambda: I.duplicate_groups(*_frames(spark, who, links), 3, spark.createDataFrame(twice, "paper_id int, name string")))
+    want = _groups(who, [(a, b) for (a, b), v in _shared(who, links).items() if len(v) >= 3 and 2 * bad(a, v) < len(v)])
+    assert got == want and want != _groups(who, [k for k, v in _shared(who, links).items() if len(v) >= 3])
+
+
+def test_papers_twice_are_counted_within_a_name(spark, monkeypatch):
+    # 300 people of as many names on one paper: no pair of them is of one name, and none must be made.
+    who, links = [(f"r{i:03d}", f"n{i}") for i in range(300)], [(f"r{i:03d}", 1) for i in range(300)]
+    people, held = _frames(spark, who, links)
+    plans, plain = [], I.components
+    monkeypatch.setattr(I, "components", lambda nodes, edges: (plans.append(edges._jdf.queryExecution().toString()), plain(nodes, edges))[1])
+    twice = spark.createDataFrame([(1, f"n{i}") for i in range(300)], "paper_id int, name string")
+    assert all(r["rid"] == r["canonical"] for r in I.duplicate_groups(people, held, 1, twice).collect())
+    assert "(paper_id" not in "".join(x for x in plans[0].splitlines() if "Join" in x and "a#" in x) and "hashpartitioning(a#" not in plans[0]
