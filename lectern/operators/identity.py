@@ -1,6 +1,7 @@
 """Entity resolution of researchers."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +67,15 @@ def same_name_merge(people: DataFrame, edges: DataFrame, least: int, cross_scrip
     """rid, canonical: same-name people whose institution contains the other's, or with `least` shared co-authors (edges rid, other);
     where one institution is written in Hangul and the other is not, `cross_script` shared ones suffice.
 
-    People of one name and institution are a star, and only a name's distinct institutions meet; co-authors are joined as
-    keys (name, other), so no name's people meet each other as such."""
+    People of one name and institution are a star, and only a name's distinct institutions meet; shared co-authors are counted in
+    blocks of a name's people, which give a forest, not pairs."""
     p = people.select("rid", "name", F.col(institution).alias("inst"))
     hub = p.where("inst <> ''").groupBy("name", "inst").agg(F.min("rid").alias("hub"))
     star = p.join(hub, ["name", "inst"]).where("rid <> hub").select("rid", "hub")
     held = hub.toDF("name", "inst1", "a").join(hub.toDF("name", "inst2", "b"), "name").where("a <> b").where(F.contains("inst1", "inst2")).select("a", "b")
-    e = edges.select("rid", "other").distinct().join(p.select("rid", "name", F.coalesce(F.col("inst").rlike("[가-힣]"), F.lit(False)).alias("ko")), "rid")
-    x = e.select(F.col("rid").alias("a"), "name", "other", F.col("ko").alias("ka")).join(e.select(F.col("rid").alias("b"), "name", "other", F.col("ko").alias("kb")), ["name", "other"])
-    need = F.when(F.col("ka") != F.col("kb"), least if cross_script is None else cross_script).otherwise(least)
-    both = x.where("a < b").groupBy("a", "b", "ka", "kb").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+    cross = least if cross_script is None else cross_script
+    who = p.select("rid", "name", F.coalesce(F.col("inst").rlike("[가-힣]"), F.lit(False)).cast("int").alias("ko"))
+    both = blocks.forest(blocks.members(who, edges, "name", "other"), lambda n, _, ka, kb: n >= np.where(ka == kb, least, cross), "ko")
     return components(people.select("rid"), star.union(held).union(both.select("a", "b")).toDF("a", "b")).toDF("rid", "canonical")
 
 

@@ -91,3 +91,20 @@ def test_papers_twice_are_counted_within_a_name(spark, monkeypatch):
     twice = spark.createDataFrame([(1, f"n{i}") for i in range(300)], "paper_id int, name string")
     assert all(r["rid"] == r["canonical"] for r in I.duplicate_groups(people, held, 1, twice).collect())
     assert "(paper_id" not in "".join(x for x in plans[0].splitlines() if "Join" in x and "a#" in x) and "hashpartitioning(a#" not in plans[0]
+
+
+def test_same_name_merge_from_a_forest(spark, small, monkeypatch):
+    who, edges = _world(random.Random(4), 90, 3, 24)
+    inst = {r: ("가람대학교", "", f"Inst {r}")[int(r[1:]) % 3] for r, _ in who}
+    people = spark.createDataFrame([(r, n, inst[r]) for r, n in who], "rid string, name string, institution string")
+    got, sent = _edges(monkeypatch, lambda: I.same_name_merge(people, spark.createDataFrame(edges, "rid string, other int"), 6, 4))
+    ko = lambda r: inst[r].startswith("가")
+    near = [(a, b) for (a, b), v in _shared(who, edges).items() if len(v) >= (4 if ko(a) != ko(b) else 6)]
+    near += [(a, b) for a, x in who for b, y in who if a < b and x == y and inst[a] and inst[b] and (inst[a] in inst[b] or inst[b] in inst[a])]
+    assert got == _groups(who, near)
+
+
+def test_shared_people_of_a_crowded_name_send_no_pairs(spark, monkeypatch):
+    people = spark.createDataFrame([(i, "n", "") for i in range(300)], "rid int, name string, institution string")
+    got, sent = _edges(monkeypatch, lambda: I.same_name_merge(people, spark.createDataFrame([(i, o) for i in range(300) for o in range(3)], "rid int, other int"), 3))
+    assert set(got.values()) == {0} and sent < 300
