@@ -108,3 +108,12 @@ def test_shared_people_of_a_crowded_name_send_no_pairs(spark, monkeypatch):
     people = spark.createDataFrame([(i, "n", "") for i in range(300)], "rid int, name string, institution string")
     got, sent = _edges(monkeypatch, lambda: I.same_name_merge(people, spark.createDataFrame([(i, o) for i in range(300) for o in range(3)], "rid int, other int"), 3))
     assert set(got.values()) == {0} and sent < 300
+
+
+def test_weak_pairs_of_many_blocks_without_a_join_of_pairs(spark, small):
+    who, links = _world(random.Random(5), 90, 3, 30)
+    ids = {r: i % 4 for i, (r, _) in enumerate(who) if i % 5}
+    got = I.weak_pairs(*_frames(spark, who, links), spark.createDataFrame(list(ids.items()), "rid string, author_id int"), 3)
+    verdict = lambda a, b: "undecided" if a not in ids or b not in ids else "same" if ids[a] == ids[b] else "different"
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, verdict(a, b)) for (a, b), v in _shared(who, links).items() if len(v) < 3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
