@@ -134,6 +134,9 @@ def overlap_pairs(tags: DataFrame, least: int) -> DataFrame:
     if longest:
         x = papers.where((size >= least) & (size <= longest)).select("paper_id", "names", F.explode(_sets_of(F.col("names"), least)).alias("set"))
         x = x.select("paper_id", *[F.col("set")[i].alias(k) for i, k in enumerate(keys)], F.array_except("names", "set").alias("rest"))
+        kinds = papers.select(F.explode("names").alias("name")).distinct().count()
+        if comb(kinds, least) > sum(comb(n, least) * k for n, k in sizes if n <= longest):  # most sets are of one paper, which goes before the join
+            x = stage(x.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1").drop("n"))
         both = F.array_intersect("rest", "rest2")
         found = x.join(x.select(F.col("paper_id").alias("b"), *keys, F.col("rest").alias("rest2")), keys).where("paper_id < b")
         found = found.where(F.coalesce(F.array_min(both) > F.col(keys[-1]), F.lit(True))).select(F.col("paper_id").alias("a"), "b", (F.size(both) + least).cast("long").alias("shared"))

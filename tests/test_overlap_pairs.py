@@ -29,3 +29,15 @@ def test_common_keywords_make_no_candidates(spark):
     x = J.overlap_pairs(spark.createDataFrame(rows, "paper_id int, name string"), 2)
     assert sorted((r["a"], r["b"], r["shared"]) for r in x.collect()) == [(i, i + 1, 2) for i in range(0, 600, 2)]
     assert "hashpartitioning(a#" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_of_one_paper_go_before_the_join(spark, monkeypatch):
+    from lectern.llm import common
+
+    seen, plain = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df: (seen.append(plain(df)), seen[-1])[1])
+    rows = [(i, n) for i in range(300) for n in (i, i + 1, 1000 + i, 2000 + i // 100)]
+    x = J.overlap_pairs(spark.createDataFrame(rows, "paper_id int, name int"), 2).collect()
+    assert sorted((r["a"], r["b"], r["shared"]) for r in x) == [(i, i + 1, 2) for i in range(299) if (i + 1) % 100]
+    # 1,800 sets of two, of which only those of neighbours are joined
+    assert seen[-1].count() == 2 * 297
