@@ -165,6 +165,17 @@ def resolve_two(keys: DataFrame, by_id: DataFrame, by_alt: DataFrame) -> DataFra
     return x.select("key", F.coalesce("direct", "other").alias("id"))
 
 
+def title_year_matches(refs: DataFrame, papers: DataFrame) -> DataFrame:
+    """ref, id: the least id of the papers of a reference's title whose year is its own, or unknown on either side.
+
+    Rows refs ref, t, y; papers id, t, pubyear. Papers are cut down to the least id of each title and year first, so a common title makes no pairs."""
+    per = papers.groupBy("t", "pubyear").agg(F.min("id").alias("id"))
+    title = per.groupBy("t").agg(F.min("id").alias("every"), F.min(F.when(F.col("pubyear").isNull(), F.col("id"))).alias("undated"))
+    x = refs.join(title, "t").join(per.where("pubyear IS NOT NULL").withColumnRenamed("pubyear", "y"), ["t", "y"], "left")
+    best = F.when(F.col("y").isNull(), F.col("every")).otherwise(F.least("undated", "id"))
+    return x.select("ref", best.alias("id")).where("id IS NOT NULL").groupBy("ref").agg(F.min("id").alias("id"))
+
+
 def unique_matches(rows: DataFrame, key: str, target: str) -> DataFrame:
     """key, target where a key has exactly one distinct target; counted without gathering a key's rows."""
     return rows.groupBy(key).agg(F.count_distinct(target).alias("n"), F.min(target).alias(target)).where("n = 1").drop("n")

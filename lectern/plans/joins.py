@@ -238,7 +238,7 @@ def jon23(spark, d):
 def jon24(spark, d):
     c = A.cites(spark, d).select(F.col("src").alias("ref"), F.concat(F.lit("paper "), F.col("dst") % 997).alias("t"), F.when(F.col("dst") % 4 != 0, F.col("dst") % 6 + 1995).alias("y"))
     p = A.papers(spark, d).select("id", F.lower("title").alias("t"), "pubyear")
-    return c.join(p, "t").where("y IS NULL OR pubyear IS NULL OR pubyear = y").groupBy("ref").agg(F.min("id").alias("id"))
+    return J.title_year_matches(c, p)
 
 
 @query("jon25_unique_match", oracle("papers", "WITH x AS (SELECT title || coalesce(pubyear, 0) AS t, id FROM papers) SELECT t, min(id) AS id FROM x GROUP BY t HAVING count(DISTINCT id) = 1"))
