@@ -126,32 +126,41 @@ def expand(related: DataFrame, counts: DataFrame, node: str, shown: list[str], k
     return anchor_children(related, counts, one, 1 << 30).where(~F.col("child").isin(node, *shown)).orderBy(F.col("n").desc(), "child").limit(k).select("child", "n")
 
 
+#: Keyword tables of so many rows at most are sent to every task.
+LITTLE_MAP = 100_000
+
+
 def expand_with_links(related: DataFrame, counts: DataFrame, requests: DataFrame, shown: DataFrame, k: int = 3) -> DataFrame:
     """session, kind, source, target, n, has_more, parent_has_more: what opening a node adds to each session's map.
 
     Rows requests session, node (one a session); shown session, name. `tree` rows lead to the first k keywords below the node, ties included, that are not
     shown; `cross_link` rows join a new keyword and any placed one, once a pair and never along a tree row. has_more: whether a new keyword has one
     below it that is not placed; parent_has_more: whether the node has more than k to add. A session without a new keyword has one row of kind
-    `none`. A session holds few keywords, so its pairs are new ones times placed ones."""
-    node = requests.select("session", F.col("node").alias("anchor"))
-    placed = shown.select("session", "name").union(node.select("session", F.col("anchor").alias("name"))).distinct()
-    below = anchor_children(related, counts, counts, 1 << 30).select("anchor", "child", "n")
-    left = node.join(below, "anchor").join(placed.withColumnRenamed("name", "child"), ["session", "child"], "left_anti")
-    w = Window.partitionBy("session")
-    left = left.withColumns({"at": F.row_number().over(w.orderBy(F.col("n").desc(), "child")), "all": F.count("*").over(w)})
-    new = left.where(F.col("at") <= k).select("session", "anchor", "child", "n", (F.col("all") > k).alias("parent_has_more"))
-    every = placed.union(new.select("session", F.col("child").alias("name")))
-    sizes = below.groupBy("anchor").agg(F.count("*").alias("below")).select(F.col("anchor").alias("child"), "below")
-    taken = new.select("session", "child").join(every, "session").join(below.select(F.col("anchor").alias("child"), F.col("child").alias("name")), ["child", "name"])
-    taken = taken.groupBy("session", "child").agg(F.count("*").alias("taken"))
-    more = F.coalesce("below", F.lit(0)) > F.coalesce("taken", F.lit(0))
-    tree = new.join(sizes, "child", "left").join(taken, ["session", "child"], "left")
-    tree = node.join(tree.drop("anchor"), "session", "left").select(
-        "session", F.when(F.col("child").isNull(), "none").otherwise("tree").alias("kind"), F.col("anchor").alias("source"), F.col("child").alias("target"), "n",
-        F.when(F.col("child").isNotNull(), more).alias("has_more"), F.coalesce("parent_has_more", F.lit(False)).alias("parent_has_more"))
-    pairs = new.select("session", "anchor", "child", "parent_has_more").join(every, "session").where("name <> child AND name <> anchor")
-    pairs = pairs.select("session", F.least("child", "name").alias("k1"), F.greatest("child", "name").alias("k2"), "parent_has_more").distinct()
-    links = pairs.join(related.select("k1", "k2", "n"), ["k1", "k2"])
+    `none`. A session holds few keywords: they are gathered once, in one row, and p of them hide p of a node's keywords at most, so the first p + k + 1 decide.
+    The map is checked in size and sent to all tasks where it is little, so that sessions are not shuffled again."""
+    from ..llm.common import stage
+
+    related = stage(related.select("k1", "k2", "n"))
+    of = F.broadcast if related.count() <= LITTLE_MAP else lambda x: x
+    below = stage(anchor_children(related, counts, counts, 1 << 30).select("anchor", "child", "n", "rank"))
+    held = shown.where("name IS NOT NULL").groupBy("session").agg(F.collect_set("name").alias("placed"))
+    x = requests.select("session", F.col("node").alias("anchor")).join(held, "session", "left")
+    x = x.withColumn("placed", F.array_union(F.coalesce("placed", F.array().cast("array<string>")), F.array("anchor")))
+    left = x.join(of(below), "anchor").where((F.col("rank") <= F.size("placed") + k + 1) & ~F.array_contains("placed", F.col("child")))
+    left = left.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("rank", "child", "n"))).alias("new"))
+    t = x.join(left, "session", "left").withColumn("parent_has_more", F.coalesce(F.size("new") > k, F.lit(False)) & F.col("new").isNotNull())
+    t = t.withColumn("new", F.slice(F.coalesce("new", F.array().cast("array<struct<rank:int,child:string,n:bigint>>")), 1, k))
+    t = stage(t.withColumn("every", F.array_union("placed", F.transform("new", lambda c: c["child"]))))
+    # A keyword with more below it than a session has in all has more; of the others the lists are short.
+    longest = t.agg(F.max(F.size("every"))).first()[0] or 0
+    sizes = below.groupBy(F.col("anchor").alias("child")).agg(F.count("*").alias("below"), F.collect_list(F.when(F.col("rank") <= longest, F.col("child"))).alias("first"))
+    tree = t.select("session", "anchor", "every", "parent_has_more", F.explode_outer("new").alias("c")).select("session", "anchor", "every", "parent_has_more", "c.child", "c.n").join(of(sizes), "child", "left")
+    more = F.coalesce((F.col("below") > F.size("every")) | (F.size(F.array_except("first", "every")) > 0), F.lit(False))
+    tree = tree.select("session", F.when(F.col("child").isNull(), "none").otherwise("tree").alias("kind"), F.col("anchor").alias("source"), F.col("child").alias("target"), "n",
+                       F.when(F.col("child").isNotNull(), more).alias("has_more"), "parent_has_more")
+    met = lambda c, names: F.transform(names, lambda e: F.struct(F.least(c["child"], e).alias("k1"), F.greatest(c["child"], e).alias("k2")))
+    pairs = F.array_distinct(F.flatten(F.transform("new", lambda c: met(c, F.filter("every", lambda e: (e != c["child"]) & (e != F.col("anchor")))))))
+    links = t.select("session", "parent_has_more", F.explode(pairs).alias("p")).select("session", "parent_has_more", "p.k1", "p.k2").join(of(related), ["k1", "k2"])
     return tree.union(links.select("session", F.lit("cross_link"), "k1", "k2", "n", F.lit(None).cast("boolean"), "parent_has_more"))
 
 

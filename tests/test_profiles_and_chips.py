@@ -118,3 +118,14 @@ def test_authors_pair_with_affiliations(spark):
     got = J.paired_authors(spark.createDataFrame(works, "id int, author string, affiliation string, names array<string>, degree string"))
     assert sorted(tuple(r) for r in got.collect()) == [
         (1, 1, "A", "X", None), (1, 2, "B", "Y", None), (1, 3, "C", None, None), (2, 1, "N", "X", "단독"), (2, 2, "M", None, "단독"), (3, 1, "N", None, None)]
+
+
+def test_expanding_shuffles_sessions_once_and_reads_no_whole_neighbourhood(spark):
+    from lectern.operators import graphs as K
+
+    names = [f"k{i:02d}" for i in range(40)]
+    related = spark.createDataFrame([(a, b, 1 + (i + j) % 5) for i, a in enumerate(names) for j, b in enumerate(names) if a < b], "k1 string, k2 string, n int")
+    counts = spark.createDataFrame([(n, 5) for n in names], "name string, papers int")
+    x = K.expand_with_links(related, counts, spark.createDataFrame([(s, names[s % 40]) for s in range(100)], "session int, node string"), spark.createDataFrame([(s, names[s % 7]) for s in range(100)], "session int, name string"))
+    assert x.where("kind = 'tree'").count() == 300
+    assert "Exchange hashpartitioning(session" not in x._jdf.queryExecution().executedPlan().toString()
