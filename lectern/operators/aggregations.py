@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import ensure_checkpoint_dir, global_before, global_rank
+from .windows import global_before, global_rank
 
 
 def cooccurrence(tags: DataFrame, translations: DataFrame | None = None) -> DataFrame:
@@ -103,13 +103,16 @@ def auc(scores: DataFrame) -> DataFrame:
 def tfidf_vocabulary(tokens: DataFrame, n_docs: int, least_len: int, stop: list[str], share: float) -> DataFrame:
     """Rows doc, token -> token, freq, weight: mean L2-normalised tf-idf over documents, the commonest `share` of tokens."""
     t = tokens.where((F.length("token") >= least_len) & ~F.col("token").isin(*stop)).groupBy("doc", "token").agg(F.count("*").alias("tf"))
-    # Counts and weights are used several times each: computed once, in the checkpoint folder.
-    ensure_checkpoint_dir(tokens.sparkSession)
-    t = t.checkpoint()
+    # Counts and weights are used several times each: computed once, as tables in the checkpoint folder; a document's tokens lie side by side there.
+    from ..llm.common import stage
+
+    t = stage(t)
     df = t.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("freq"))
-    x = t.join(df, "token").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
+    # A token's documents bring its weight to each of them as one number, which both the norm and the mean use.
+    x = stage(t.join(df, "token").select("doc", "token", (F.col("tf") * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)).alias("w")))
     norm = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    out = x.join(norm, "doc").groupBy("token").agg(F.max("freq").alias("freq"), (F.sum(F.col("w") / F.col("norm")) / n_docs).alias("weight")).checkpoint()
+    weight = x.join(norm, "doc").groupBy("token").agg((F.sum(F.col("w") / F.col("norm")) / n_docs).alias("weight"))
+    out = stage(weight.join(df.select("token", "freq"), "token"))
     # The cut by rank is a cut by frequency, but for ties at the edge: only the rows of one frequency need an order.
     per = out.groupBy("freq").agg(F.count("*").alias("k"))  # a row per frequency: few beside the tokens
     run = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, -1)
