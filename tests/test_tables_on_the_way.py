@@ -1,7 +1,12 @@
-"""What queries write on their way."""
+"""What queries write and pair on their way."""
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lectern.operators import aggregations as G
+from lectern.plans import catalog
+from tests.compare import SMALL
 
 
 def test_tfidf_writes_tables_and_no_checkpoints(spark, monkeypatch):
@@ -9,3 +14,13 @@ def test_tfidf_writes_tables_and_no_checkpoints(spark, monkeypatch):
     rows = [(d, t) for d in range(20) for t in ("every", f"w{d % 5}", f"x{d}")]
     got = G.tfidf_vocabulary(spark.createDataFrame(rows, "doc int, token string"), 20, 2, ["the"], 1.0)
     assert {r["token"]: r["freq"] for r in got.collect()} == {"every": 20, **{f"w{i}": 4 for i in range(5)}, **{f"x{i}": 1 for i in range(20)}}
+
+
+def test_graph_means_pair_people_with_vectors_alone(spark, monkeypatch):
+    from lectern.operators import joins as J
+
+    seen, plain = [], J.undirected_edges
+    monkeypatch.setattr(J, "undirected_edges", lambda *links: (seen.append(links[0]), plain(*links))[1])
+    got: DataFrame = catalog.queries()["vec08_graph_means"](spark, SMALL)
+    ids = spark.read.parquet(f"{SMALL}/embeddings.parquet").select(F.col("vec_id").alias("rid"))
+    assert got.count() == ids.count() and seen[0].join(ids, "rid", "left_anti").isEmpty()
