@@ -24,3 +24,22 @@ def test_graph_means_pair_people_with_vectors_alone(spark, monkeypatch):
     got: DataFrame = catalog.queries()["vec08_graph_means"](spark, SMALL)
     ids = spark.read.parquet(f"{SMALL}/embeddings.parquet").select(F.col("vec_id").alias("rid"))
     assert got.count() == ids.count() and seen[0].join(ids, "rid", "left_anti").isEmpty()
+
+
+def test_pairwise_sends_a_block_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from lectern.operators import vectors as V
+
+    monkeypatch.setattr(V, "PAIR_BLOCK", 10)
+    monkeypatch.setattr(V, "PAIR_BLOCKS", 4)
+    x = np.random.default_rng(6).normal(size=(130, 4))
+    rows = spark.createDataFrame([(i, v.tolist(), v[:2].tolist()) for i, v in enumerate(x)], "id long, v array<double>, g array<double>")
+    seen, plain = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, *a: (seen.append(df), plain(df, *a))[1])
+    got = V.pairwise(rows)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = 0.7 * unit(x) @ unit(x).T + 0.3 * unit(x[:, :2]) @ unit(x[:, :2]).T
+    assert {(r["a"], r["b"]): round(r["sim"], 9) for r in got.collect()} == {(a, b): round(float(want[a, b]), 9) for a in range(130) for b in range(a, 130)}
+    # 33 rows a block: 4 blocks meet in 10 pairs; blocks of 10 would be sent 91 times
+    assert seen[0].count() == 10
